@@ -1,0 +1 @@
+"""Intentionally empty: none of the supported workloads is a stream."""
