@@ -1,4 +1,8 @@
-"""Distances and map projections as Column expressions."""
+"""Distances and map projections as SQL expressions.
+
+Builders take column names (or SQL text) and write one expression; handing Spark one
+text is far cheaper on the driver than assembling the same tree call by call.
+"""
 
 from __future__ import annotations
 
@@ -15,21 +19,20 @@ GRS80_A = 6378137.0
 GRS80_F = 1.0 / 298.257222101
 
 
-def _num(value: float) -> Column:
-    return F.lit(float(value))
+def num(value: float) -> str:
+    """A double literal."""
+    return f"{float(value)!r}D"
 
 
-def haversine_rad(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance on the unit sphere; inputs in radians."""
-    half_lat = F.sin((lat2 - lat1) / 2)
-    half_lon = F.sin((lon2 - lon1) / 2)
-    chord = half_lat * half_lat + F.cos(lat1) * F.cos(lat2) * half_lon * half_lon
-    return _num(2) * F.asin(F.sqrt(F.least(_num(1), chord)))
+def haversine_km_text(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Great-circle distance in km; inputs in degrees."""
+    half_lat, half_lon = f"sin((radians({lat2}) - radians({lat1})) / 2)", f"sin((radians({lon2}) - radians({lon1})) / 2)"
+    chord = f"{half_lat} * {half_lat} + cos(radians({lat1})) * cos(radians({lat2})) * {half_lon} * {half_lon}"
+    return f"({num(EARTH_RADIUS_KM)} * 2 * asin(sqrt(least(1D, {chord}))))"
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in km; inputs in degrees."""
-    return _num(EARTH_RADIUS_KM) * haversine_rad(F.radians(lat1), F.radians(lon1), F.radians(lat2), F.radians(lon2))
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    return F.expr(haversine_km_text(lat1, lon1, lat2, lon2))
 
 
 @dataclass(frozen=True)
@@ -66,10 +69,10 @@ class Albers:
         c = self._m2(p1) + n * self._q(p1)
         return n, c, self.a * math.sqrt(c - n * self._q(p0)) / n
 
-    def q_column(self, sin_phi: Column) -> Column:
-        e = math.sqrt(self.e2)
-        es = sin_phi * e
-        return _num(1 - self.e2) * (sin_phi / (_num(1) - es * es) - F.ln((_num(1) - es) / (_num(1) + es)) / (2 * e))
+    def q_text(self, sin_phi: str) -> str:
+        e = num(math.sqrt(self.e2))
+        es = f"({e} * ({sin_phi}))"
+        return f"({num(1 - self.e2)} * (({sin_phi}) / (1 - {es} * {es}) - ln((1 - {es}) / (1 + {es})) / (2 * {e})))"
 
 
 # The projections in use.
@@ -83,17 +86,22 @@ def projection(crs: str | Albers) -> Albers:
     return crs if isinstance(crs, Albers) else CRS[crs]
 
 
-def albers_forward(lon: Column, lat: Column, crs: str | Albers = "EPSG:3310") -> tuple[Column, Column]:
-    """Degrees -> projected metres (x, y)."""
+def albers_forward_text(lon: str, lat: str, crs: str | Albers = "EPSG:3310") -> tuple[str, str]:
     p = projection(crs)
     n, c, rho0 = p.cone
-    q = p.q_column(F.sin(F.radians(lat)))
-    rho = F.sqrt(_num(c) - q * n) * (p.a / n)
-    theta = (F.radians(lon) - math.radians(p.lon0)) * n
-    return rho * F.sin(theta) + p.false_easting, _num(rho0) - rho * F.cos(theta) + p.false_northing
+    rho = f"({num(p.a / n)} * sqrt({num(c)} - {num(n)} * {p.q_text(f'sin(radians({lat}))')}))"
+    theta = f"({num(n)} * (radians({lon}) - {num(math.radians(p.lon0))}))"
+    x = f"({rho} * sin({theta}) + {num(p.false_easting)})"
+    return x, f"({num(rho0)} - {rho} * cos({theta}) + {num(p.false_northing)})"
+
+
+def albers_forward(lon: str, lat: str, crs: str | Albers = "EPSG:3310") -> tuple[Column, Column]:
+    """Degrees -> projected metres (x, y)."""
+    x, y = albers_forward_text(lon, lat, crs)
+    return F.expr(x), F.expr(y)
 
 
-def albers_inverse(x: Column, y: Column, crs: str | Albers = "EPSG:3310") -> tuple[Column, Column]:
+def albers_inverse(x: str, y: str, crs: str | Albers = "EPSG:3310") -> tuple[Column, Column]:
     """Projected metres -> degrees (lon, lat).
 
     Latitude starts from the authalic-latitude series and takes one Newton step,
@@ -101,20 +109,13 @@ def albers_inverse(x: Column, y: Column, crs: str | Albers = "EPSG:3310") -> tup
     """
     p = projection(crs)
     n, c, rho0 = p.cone
-    e2 = p.e2
-    dx, dy = x - p.false_easting, _num(rho0) - (y - p.false_northing)
-    rho2 = dx * dx + dy * dy
-    q = (_num(c) - rho2 * (n * n / (p.a * p.a))) / n
-    beta = F.asin(F.greatest(_num(-1), F.least(_num(1), q / p._q(math.pi / 2))))
-    e4, e6 = e2**2, e2**3
-    start = (
-        beta
-        + F.sin(beta * 2) * (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040)
-        + F.sin(beta * 4) * (23 * e4 / 360 + 251 * e6 / 3780)
-        + F.sin(beta * 6) * (761 * e6 / 45360)
-    )
-    s = F.sin(start)
-    one = _num(1) - s * s * e2
-    phi = start + one * one / (F.cos(start) * 2) * ((q - p.q_column(s)) / (1 - e2))
-    lon = F.degrees(F.atan2(dx, dy) / n) + p.lon0
-    return lon, F.degrees(phi)
+    e2, e4, e6 = p.e2, p.e2**2, p.e2**3
+    dx, dy = f"(({x}) - {num(p.false_easting)})", f"({num(rho0 + p.false_northing)} - ({y}))"
+    q = f"(({num(c)} - ({dx} * {dx} + {dy} * {dy}) * {num(n * n / (p.a * p.a))}) / {num(n)})"
+    beta = f"asin(greatest(-1D, least(1D, {q} / {num(p._q(math.pi / 2))})))"
+    series = {2: e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040, 4: 23 * e4 / 360 + 251 * e6 / 3780, 6: 761 * e6 / 45360}
+    start = f"({beta}" + "".join(f" + {num(v)} * sin({k} * {beta})" for k, v in series.items()) + ")"
+    s = f"sin({start})"
+    curve = f"(1 - {num(e2)} * {s} * {s})"
+    phi = f"({start} + {curve} * {curve} / (2 * cos({start})) * (({q} - {p.q_text(s)}) / {num(1 - e2)}))"
+    return F.expr(f"degrees(atan2({dx}, {dy}) / {num(n)}) + {num(p.lon0)}"), F.expr(f"degrees({phi})")

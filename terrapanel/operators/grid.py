@@ -22,18 +22,11 @@ def projected_bounds(spark: SparkSession, bbox: Sequence[float], crs: str, edge_
     """Bounds of a lon/lat box after projection; ``edge_points`` extra points along every side."""
     x0, y0, x1, y1 = (float(v) for v in bbox)
     steps = edge_points + 1
-    t = F.col("id") / float(steps)
-    sides = spark.range(steps + 1).select(
-        F.explode(
-            F.array(
-                F.struct((x0 + t * (x1 - x0)).alias("lon"), F.lit(y0).alias("lat")),
-                F.struct((x0 + t * (x1 - x0)).alias("lon"), F.lit(y1).alias("lat")),
-                F.struct(F.lit(x0).alias("lon"), (y0 + t * (y1 - y0)).alias("lat")),
-                F.struct(F.lit(x1).alias("lon"), (y0 + t * (y1 - y0)).alias("lat")),
-            )
-        ).alias("p")
-    )
-    x, y = albers_forward(F.col("p.lon"), F.col("p.lat"), crs)
+    along = F.expr(f"{x0!r}D + id / {steps}D * {x1 - x0!r}D"), F.expr(f"{y0!r}D + id / {steps}D * {y1 - y0!r}D")
+    low, high = (F.lit(x0), F.lit(y0)), (F.lit(x1), F.lit(y1))
+    ends = [(along[0], low[1]), (along[0], high[1]), (low[0], along[1]), (high[0], along[1])]
+    sides = spark.range(steps + 1).select(F.explode(F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ends])).alias("p"))
+    x, y = albers_forward("p.lon", "p.lat", crs)
     return extent(sides.select(x.alias("x"), y.alias("y")), "x", "y")
 
 
@@ -47,10 +40,11 @@ def centroid_grid(spark: SparkSession, bbox: Sequence[float], cell_m: float = 50
     x0, y0, x1, y1 = projected_bounds(spark, bbox, crs)
     half = cell_m / 2
     nx, ny = _steps(x0 + half, x1, cell_m), _steps(y0 + half, y1, cell_m)
-    x = F.lit(x0 + half) + F.col("id") % nx * cell_m
-    y = F.lit(y0 + half) + F.floor(F.col("id") / nx) * cell_m
-    lon, lat = albers_inverse(x, y, crs)
-    return spark.range(nx * ny).select((F.col("id") + 1).alias("grid_id"), lat.alias("centroid_lat"), lon.alias("centroid_lon"))
+    centres = spark.range(nx * ny).selectExpr(
+        "id + 1 as grid_id", f"{x0 + half!r}D + id % {nx} * {float(cell_m)!r}D as x", f"{y0 + half!r}D + id div {nx} * {float(cell_m)!r}D as y"
+    )
+    lon, lat = albers_inverse("x", "y", crs)
+    return centres.select("grid_id", lat.alias("centroid_lat"), lon.alias("centroid_lon"))
 
 
 def cell_of(x: Column, y: Column, x0: float, y0: float, cell_m: float) -> tuple[Column, Column]:
@@ -119,7 +113,7 @@ def number_cells(cells: DataFrame, scheme: str = "text", prefix: str = "CA5K_")
 def cell_grid(rings: DataFrame, cell_m: float = 5000.0, crs: str = "EPSG:3310", scheme: str = "text") -> DataFrame:
     """Lookup (grid_id, lon, lat) of cells clipped to a projected boundary, at the clipped centroid."""
     cells = number_cells(clipped_cells(rings, cell_m, whole_metres=scheme == "integer"), scheme)
-    lon, lat = albers_inverse(F.col("cx"), F.col("cy"), crs)
+    lon, lat = albers_inverse("cx", "cy", crs)
     return cells.select("grid_id", lon.alias("lon"), lat.alias("lat"), "i", "j", "area")
 
 
@@ -127,9 +121,8 @@ def raster_frame(spark: SparkSession, bbox: Sequence[float], res_m: float = 1000
     """Pixels of a north-up raster over a lon/lat box: (row, col, x, y, longitude, latitude) of pixel centres."""
     x0, y0, x1, y1 = projected_bounds(spark, bbox, crs, edge_points=21)
     width, height = math.ceil((x1 - x0) / res_m), math.ceil((y1 - y0) / res_m)
-    row, col = F.floor(F.col("id") / width), F.col("id") % width
-    x, y = F.lit(x0) + (col + 0.5) * res_m, F.lit(y1) - (row + 0.5) * res_m
-    lon, lat = albers_inverse(x, y, crs)
-    return spark.range(width * height).select(
-        row.alias("row"), col.alias("col"), x.alias("x"), y.alias("y"), lon.alias("longitude"), lat.alias("latitude")
-    )
+    res = f"{float(res_m)!r}D"
+    pixels = spark.range(width * height).selectExpr(f"id div {width} as row", f"id % {width} as col")
+    pixels = pixels.selectExpr("row", "col", f"{x0!r}D + (col + 0.5D) * {res} as x", f"{y1!r}D - (row + 0.5D) * {res} as y")
+    lon, lat = albers_inverse("x", "y", crs)
+    return pixels.select("*", lon.alias("longitude"), lat.alias("latitude"))

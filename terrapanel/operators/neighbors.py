@@ -26,7 +26,7 @@ def _around(panel: DataFrame, cells: DataFrame, links: DataFrame, made: dict, ce
     cell dimension times its neighbours; they are materialised, counted and broadcast
     only within the session's limit.
     """
-    tiles = cells.select(F.col(cell), bucket_of(F.col("lat"), F.col("lon"), TILE_LEVEL).alias("_tile"))
+    tiles = cells.select(F.col(cell), bucket_of("lat", "lon", TILE_LEVEL).alias("_tile"))
     links = cut_lineage(links.join(tiles, cell))
     rows = links.count()
     routes = broadcast_if_bounded(links.select("neighbor_id", "_tile").distinct(), rows)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.functions.geo import albers_forward
+from terrapanel.functions.geo import albers_forward_text
 from terrapanel.session import BROADCAST_ROWS
 from terrapanel.operators.spatial import salted
 
@@ -26,11 +26,8 @@ def bbox_polygon(spark: SparkSession, bbox: Sequence[float]) -> DataFrame:
 
 
 def project_rings(rings: DataFrame, crs: str = "EPSG:3310") -> DataFrame:
-    def vertex(v: Column) -> Column:
-        x, y = albers_forward(v["x"], v["y"], crs)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return rings.withColumn("ring", F.transform("ring", vertex))
+    x, y = albers_forward_text("v.x", "v.y", crs)
+    return rings.withColumn("ring", F.expr(f"transform(ring, v -> named_struct('x', {x}, 'y', {y}))"))
 
 
 def edges_of(rings: DataFrame) -> DataFrame:

@@ -50,11 +50,8 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label", *, balanced: bool = False, out: str = "weight") -> DataFrame:
-    balance = class_balance(df, label)
-    if balanced:
-        neg, pos = balance.select("weight_neg").scalar(), balance.select("weight_pos").scalar()
-    else:
-        neg, pos = F.lit(1.0), balance.select("scale_pos_weight").scalar()
+    balance = class_balance(df, label).first()
+    neg, pos = (balance.weight_neg, balance.weight_pos) if balanced else (1.0, float(balance.scale_pos_weight))
     return df.withColumn(out, F.when(F.col(label) == 1, pos).otherwise(neg))
 
 
@@ -66,29 +63,29 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute_median(train: DataFrame, columns: Sequence[str], *others: DataFrame) -> list[DataFrame]:
     """Fill NULLs of all frames with the medians of ``train``."""
-    fitted = medians(train, columns).select(F.struct(*columns).alias("m")).scalar()
-    return [d.withColumns({c: F.coalesce(F.col(c).cast("double"), fitted[c]) for c in columns}) for d in (train, *others)]
+    fitted = medians(train, columns).first()  # one row of statistics
+    return [d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fitted[c])) for c in columns}) for d in (train, *others)]
 
 
 def standardise(train: DataFrame, columns: Sequence[str], *others: DataFrame) -> list[DataFrame]:
     """(x - mean) / population standard deviation of ``train``; constant columns are only centred."""
-    moments = train.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).alias("s"))
-    fitted = moments.scalar()
+    fitted = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
 
     def scaled(c: str) -> Column:
-        spread = fitted[f"s_{c}"]
-        return (F.col(c) - fitted[f"m_{c}"]) / F.when(spread == 0, 1.0).otherwise(spread)
+        return (F.col(c) - F.lit(fitted[f"m_{c}"])) / F.lit(fitted[f"s_{c}"] or 1.0)
 
     return [d.withColumns({c: scaled(c) for c in columns}) for d in (train, *others)]
 
 
 def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """(feature, mi): mutual information in nats between equal-width bins of a feature and the label."""
-    span = df.agg(F.struct(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).alias("s")).scalar()
+    span = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
 
     def slot(c: str) -> Column:
         low, high = span[f"lo_{c}"], span[f"hi_{c}"]
-        return F.when(high > low, F.least(F.floor((F.col(c) - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+        if low is None or high <= low:
+            return F.when(F.col(c).isNotNull(), 0)
+        return F.least(F.floor((F.col(c) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
 
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), slot(c).alias("slot")) for c in columns])
     joint = df.select(F.col(label).alias("_y"), F.explode(pairs).alias("p")).groupBy("p.feature", "p.slot", "_y").agg(F.count("*").alias("n"))

@@ -10,11 +10,12 @@ pairs everything with everything and nothing is cut off: the result is exact.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapanel.functions.geo import EARTH_RADIUS_KM, haversine_km
+from terrapanel.functions.geo import EARTH_RADIUS_KM, haversine_km, haversine_km_text, num
 from terrapanel.session import BROADCAST_ROWS
 
 MIN_LEVEL, MAX_LEVEL = 2, 24
@@ -24,24 +25,28 @@ LEAF_ROWS = 32  # the tree goes down until its fullest bucket holds no more
 SALTS = 8
 
 
-def bucket_xy(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
-    scale = 2.0**level / 360.0
-    ix = F.pmod(F.floor((lon + 180.0) * scale).cast("long"), F.lit(2**level))
-    return ix, F.floor((lat + 90.0) * scale).cast("long")
+_SHIFT = 1 << 32
 
 
-def bucket_key(ix: Column, iy: Column) -> Column:
-    return ix * (1 << 32) + iy
+def bucket_xy(lat: str, lon: str, level: int) -> tuple[str, str]:
+    """SQL text of a bucket's column and row."""
+    scale = num(2.0**level / 360.0)
+    return f"pmod(cast(floor(({lon} + 180D) * {scale}) as bigint), {2**level}L)", f"cast(floor(({lat} + 90D) * {scale}) as bigint)"
 
 
-def bucket_of(lat: Column, lon: Column, level: int) -> Column:
-    return bucket_key(*bucket_xy(lat, lon, level))
+def bucket_text(lat: str, lon: str, level: int) -> str:
+    ix, iy = bucket_xy(lat, lon, level)
+    return f"({ix} * {_SHIFT}L + {iy})"
 
 
-def _bucket_centre(key: Column, level: int) -> tuple[Column, Column]:
-    size = 360.0 / 2.0**level
-    ix = F.floor(key / float(1 << 32))
-    return (key - ix * (1 << 32) + 0.5) * size - 90.0, (ix + 0.5) * size - 180.0
+def bucket_of(lat: str, lon: str, level: int) -> Column:
+    return F.expr(bucket_text(lat, lon, level))
+
+
+def _bucket_centre(key: str, level: int) -> tuple[str, str]:
+    """SQL text of the latitude and longitude of a bucket's centre."""
+    size, ix = num(360.0 / 2.0**level), f"floor({key} / {num(_SHIFT)})"
+    return f"(({key} - {ix} * {_SHIFT}L + 0.5D) * {size} - 90D)", f"(({ix} + 0.5D) * {size} - 180D)"
 
 
 def salted(left: DataFrame, right: DataFrame, salt_on: Column, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +88,21 @@ class CellIndex:
                 return out
             level += 2
 
+    def nodes(self, i: int) -> DataFrame:
+        """Tree level ``i``: buckets with their parent, size, centre and the reach of their farthest cell."""
+        levels = self.tree_levels
+        parent = bucket_of("_clat", "_clon", levels[i - 1]) if i else F.lit(0)
+        keyed = self.cells.select(bucket_of("_clat", "_clon", levels[i]).alias("_node"), parent.alias("_parent"), "_clat", "_clon")
+        lat, lon = _bucket_centre("_node", levels[i])
+        reach = F.expr(f"max({haversine_km_text(lat, lon, '_clat', '_clon')}) * {num(1 + 1e-9)} + 1e-6D")
+        grouped = keyed.groupBy("_node", "_parent").agg(F.count("*").alias("_n"), reach.alias("_reach"))
+        return grouped.select("*", F.expr(lat).alias("_nlat"), F.expr(lon).alias("_nlon"))
+
+    @cached_property
+    def roots(self) -> list:
+        """The top of the tree: at most MAX_ROOTS rows."""
+        return self.nodes(0).collect()
+
 
 def index_cells(cells: DataFrame, cell_id: str = "grid_id", lat: str = "lat", lon: str = "lon", *, by_position: bool = True) -> CellIndex:
     """Measure a cell dimension; with ``by_position`` the lowest id stands for all cells at one position."""
@@ -93,13 +113,8 @@ def index_cells(cells: DataFrame, cell_id: str = "grid_id", lat: str = "lat", lo
         located = located.groupBy("_clat", "_clon").agg(F.min("_cell").alias("_cell")).select("_cell", "_clat", "_clon")
     else:
         located = located.distinct()
-    keys = F.array(
-        *[
-            F.struct(F.lit(lv).alias("level"), bucket_of(F.col("_clat"), F.col("_clon"), lv).alias("key"))
-            for lv in range(MIN_LEVEL, MAX_LEVEL + 1)
-        ]
-    )
-    counts = located.select(F.explode(keys).alias("b")).groupBy("b.level", "b.key").agg(F.count("*").alias("n"))
+    keys = ", ".join(f"struct({lv} as level, {bucket_text('_clat', '_clon', lv)} as key)" for lv in range(MIN_LEVEL, MAX_LEVEL + 1))
+    counts = located.select(F.expr(f"explode(array({keys}))").alias("b")).groupBy("b.level", "b.key").agg(F.count("*").alias("n"))
     stats = counts.groupBy("level").agg(F.count("*").alias("occupied"), F.max("n").alias("fullest"), F.sum("n").alias("rows"))
     found = stats.collect()  # one row per level
     if not found:
@@ -109,10 +124,9 @@ def index_cells(cells: DataFrame, cell_id: str = "grid_id", lat: str = "lat", lo
 
 def _neighbourhoods(index: CellIndex, level: int) -> DataFrame:
     """bucket -> cells of the bucket and its eight neighbours (array of bounded length)."""
-    ix, iy = bucket_xy(F.col("_clat"), F.col("_clon"), level)
-    around = F.explode(
-        F.array(*[bucket_key(F.pmod(ix + dx, F.lit(2**level)), iy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    )
+    ix, iy = bucket_xy("_clat", "_clon", level)
+    keys = ", ".join(f"pmod({ix} + {dx}, {2**level}L) * {_SHIFT}L + {iy} + {dy}" for dx in (-1, 0, 1) for dy in (-1, 0, 1))
+    around = F.expr(f"explode(array({keys}))")
     return (
         index.cells.select(around.alias("_bucket"), F.struct("_cell", "_clat", "_clon").alias("c"))
         .groupBy("_bucket")
@@ -120,49 +134,33 @@ def _neighbourhoods(index: CellIndex, level: int) -> DataFrame:
     )
 
 
-def _safe_radius_km(lat: Column, level: int) -> Column:
-    """No cell outside the 3x3 buckets can be closer than this."""
-    step = F.radians(F.lit(360.0 / 2.0**level))
-    return F.lit(EARTH_RADIUS_KM) * F.least(step, F.asin(F.cos(F.radians(lat)) * F.sin(step)))
+def _safe_radius_text(lat: str, level: int) -> str:
+    """No cell outside the 3x3 buckets can be closer than this, in km (less a rounding margin)."""
+    step = f"radians({num(360.0 / 2.0**level)})"
+    return f"({num(EARTH_RADIUS_KM * (1 - 1e-9))} * least({step}, asin(cos(radians({lat})) * sin({step}))))"
 
 
 def _tree_nearest(coords: DataFrame, index: CellIndex, k: int) -> DataFrame:
     """k nearest cells of distinct positions (_lat, _lon) -> _found: array of (dist_km, cell), best first."""
     levels = index.tree_levels
-    key = {lv: bucket_of(F.col("_clat"), F.col("_clon"), lv) for lv in levels}
-    here = [F.col("_lat"), F.col("_lon")]
-
-    def nodes(i: int) -> DataFrame:
-        level = levels[i]
-        parent = key[levels[i - 1]] if i else F.lit(0)
-        keyed = index.cells.select(key[level].alias("_node"), parent.alias("_parent"), "_clat", "_clon")
-        centre = _bucket_centre(F.col("_node"), level)
-        reach = F.max(haversine_km(*centre, F.col("_clat"), F.col("_clon")))
-        return (
-            keyed.groupBy("_node", "_parent")
-            .agg(F.count("*").alias("_n"), (reach * (1 + 1e-9) + 1e-6).alias("_reach"))
-            .withColumns({"_nlat": centre[0], "_nlon": centre[1]})
-        )
 
     def prune(frontier: DataFrame) -> DataFrame:
-        point = Window.partitionBy("_lat", "_lon")
-        measured = frontier.withColumn("_d", haversine_km(*here, F.col("_nlat"), F.col("_nlon")))
-        measured = measured.withColumn(
-            "_members", F.sum("_n").over(point.orderBy(F.col("_d") + F.col("_reach"), "_node").rowsBetween(Window.unboundedPreceding, 0))
-        )
-        bound = F.min(F.when(F.col("_members") >= k, F.col("_d") + F.col("_reach"))).over(point)
-        measured = measured.withColumn("_bound", bound)
-        kept = F.col("_bound").isNull() | (F.col("_d") - F.col("_reach") <= F.col("_bound"))
-        return measured.where(kept).select("_lat", "_lon", F.col("_node").alias("_parent"))
-
-    top = nodes(0).select("_node", "_n", "_reach", "_nlat", "_nlon").collect()  # at most MAX_ROOTS rows
-    roots = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in top])
-    frontier = prune(coords.select("_lat", "_lon", F.explode(roots).alias("r")).select("_lat", "_lon", "r.*"))
+        point = "partition by _lat, _lon"
+        measured = frontier.withColumn("_d", haversine_km("_lat", "_lon", "_nlat", "_nlon"))
+        measured = measured.withColumn("_members", F.expr(f"sum(_n) over ({point} order by _d + _reach, _node rows unbounded preceding)"))
+        measured = measured.withColumn("_bound", F.expr(f"min(case when _members >= {k} then _d + _reach end) over ({point})"))
+        return measured.where("_bound is null or _d - _reach <= _bound").select("_lat", "_lon", F.col("_node").alias("_parent"))
+
+    listed = ", ".join(
+        f"named_struct('_node', {r['_node']}L, '_n', {r['_n']}L, '_reach', {num(r['_reach'])}, '_nlat', {num(r['_nlat'])}, '_nlon', {num(r['_nlon'])})" for r in index.roots
+    )
+    frontier = prune(coords.select("_lat", "_lon", F.expr(f"inline(array({listed}))")))
+    spread = F.struct("_lat", "_lon")
     for i in range(1, len(levels)):
-        frontier = prune(_key_join(frontier, nodes(i), index.levels[levels[i]][0], ["_parent"], "inner", F.struct(*here)))
-    leaves = index.cells.withColumn("_parent", key[levels[-1]])
-    pairs = _key_join(frontier, leaves, index.rows, ["_parent"], "inner", F.struct(*here))
-    found = pairs.select("_lat", "_lon", _ranked_cell(*here, F.col("_cell"), F.col("_clat"), F.col("_clon")).alias("_hit"))
+        frontier = prune(_key_join(frontier, index.nodes(i), index.levels[levels[i]][0], ["_parent"], "inner", spread))
+    leaves = index.cells.withColumn("_parent", bucket_of("_clat", "_clon", levels[-1]))
+    pairs = _key_join(frontier, leaves, index.rows, ["_parent"], "inner", spread)
+    found = pairs.select("_lat", "_lon", F.expr(_ranked_cell("_cell", "_clat", "_clon")).alias("_hit"))
     if k == 1:
         return found.groupBy("_lat", "_lon").agg(F.array(F.min("_hit")).alias("_found"))
     order = Window.partitionBy("_lat", "_lon").orderBy("_hit")
@@ -170,29 +168,28 @@ def _tree_nearest(coords: DataFrame, index: CellIndex, k: int) -> DataFrame:
     return best.groupBy("_lat", "_lon").agg(F.sort_array(F.collect_list("_hit")).alias("_found"))
 
 
-def _ranked_cell(lat: Column, lon: Column, cell: Column, clat: Column, clon: Column) -> Column:
+def _ranked_cell(cell: str, clat: str, clon: str) -> str:
     """Sorts by distance, equal to a micrometre, then by id; the distance itself rides along."""
-    km = haversine_km(lat, lon, clat, clon)
-    return F.struct(F.round(km, 9).alias("rank_km"), cell.alias("cell"), km.alias("dist_km"))
+    km = haversine_km_text("_lat", "_lon", clat, clon)
+    return f"named_struct('rank_km', round({km}, 9), 'cell', {cell}, 'dist_km', {km})"
 
 
 def _nearest(points: DataFrame, index: CellIndex, k: int, lat: str, lon: str) -> DataFrame:
     """Adds ``_found``; rows without coordinates get NULL."""
     level = index.near_level
-    plat, plon = F.col(lat).cast("double"), F.col(lon).cast("double")
     near = _neighbourhoods(index, level)
+    rows = points.select("*", F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
+    rows = rows.withColumn("_bucket", bucket_of("_lat", "_lon", level))
     # At most nine copies of every cell.
-    rows = points.withColumns({"_lat": plat, "_lon": plon}).withColumn("_bucket", bucket_of(F.col("_lat"), F.col("_lon"), level))
-    looked = _key_join(rows, near, 9 * index.rows, ["_bucket"], "left", F.struct("_lat", "_lon")).drop("_bucket")
-    scored = F.transform("_around", lambda c: _ranked_cell(F.col("_lat"), F.col("_lon"), c["_cell"], c["_clat"], c["_clon"]))
-    best = F.array(F.array_min(scored)) if k == 1 else F.slice(F.array_sort(scored), 1, k)
-    looked = looked.withColumn("_found", F.when(F.col("_around").isNotNull(), best)).drop("_around")
-    located = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
-    worst = F.element_at("_found", -1)["dist_km"]
-    proven = (F.size("_found") >= k) & (worst <= _safe_radius_km(F.col("_lat"), level) * (1 - 1e-9))
-    looked = looked.withColumn("_proven", ~located | F.coalesce(proven, F.lit(False)))
+    looked = _key_join(rows, near, 9 * index.rows, ["_bucket"], "left", F.struct("_lat", "_lon"))
+    scored = f"transform(_around, c -> {_ranked_cell('c._cell', 'c._clat', 'c._clon')})"
+    best = f"array(array_min({scored}))" if k == 1 else f"slice(array_sort({scored}), 1, {k})"
+    kept = [c for c in looked.columns if c not in ("_bucket", "_around")]
+    looked = looked.select(*kept, F.expr(f"case when _around is not null then {best} end").alias("_found"))
+    proven = f"_lat is null or _lon is null or coalesce(size(_found) >= {k} and element_at(_found, -1).dist_km <= {_safe_radius_text('_lat', level)}, false)"
+    looked = looked.withColumn("_proven", F.expr(proven))
     settled = looked.where("_proven").drop("_proven")
-    open_rows = looked.where(~F.col("_proven")).drop("_proven", "_found")
+    open_rows = looked.where("not _proven").drop("_proven", "_found")
     answers = _tree_nearest(open_rows.select("_lat", "_lon").distinct(), index, k)
     return settled.unionByName(open_rows.join(answers, ["_lat", "_lon"]).select(*settled.columns)).drop("_lat", "_lon")
 
@@ -237,28 +234,20 @@ def radius_edges(cells: DataFrame, radius_km: float, *, cell_id: str = "grid_id"
     here = cells.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         F.col(cell_id), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")
     )
-    r = F.lit(angle * (1 + 1e-9))
-    phi = F.radians("_lat")
+    r, width, whole = num(angle * (1 + 1e-9)), num(size), 2**level
     # Meridians that touch the circle; a circle over a pole touches all of them.
-    over_pole = F.abs(phi) + r >= F.lit(1.5707963)
-    spread = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(r) / F.cos(phi))))
-    whole = F.lit(2**level)
-    west = F.floor((F.col("_lon") - spread + 180.0) / size).cast("long")
-    east = F.floor((F.col("_lon") + spread + 180.0) / size).cast("long")
-    everything = over_pole | (east - west >= whole - 1)
-    columns = F.when(everything, F.sequence(F.lit(0).cast("long"), whole.cast("long") - 1)).otherwise(F.sequence(west, east))
-    south = F.floor((F.col("_lat") - F.degrees(r) + 90.0) / size).cast("long")
-    north = F.floor((F.col("_lat") + F.degrees(r) + 90.0) / size).cast("long")
-    reached = here.withColumn("_ix", F.explode(columns)).withColumn("_iy", F.explode(F.sequence(south, north)))
-    reached = reached.withColumn("_bucket", bucket_key(F.pmod("_ix", whole), F.col("_iy"))).drop("_ix", "_iy")
+    spread = f"degrees(asin(least(1D, sin({r}) / cos(radians(_lat)))))"
+    west, east = (f"cast(floor((_lon {sign} {spread} + 180D) / {width}) as bigint)" for sign in "-+")
+    everything = f"abs(radians(_lat)) + {r} >= 1.5707963D or {east} - {west} >= {whole - 1}"
+    south, north = (f"cast(floor((_lat {sign} degrees({r}) + 90D) / {width}) as bigint)" for sign in "-+")
+    reached = here.withColumn("_ix", F.expr(f"explode(case when {everything} then sequence(0L, {whole - 1}L) else sequence({west}, {east}) end)"))
+    reached = reached.withColumn("_iy", F.expr(f"explode(sequence({south}, {north}))"))
+    reached = reached.withColumn("_bucket", F.expr(f"pmod(_ix, {whole}L) * {_SHIFT}L + _iy")).drop("_ix", "_iy")
     there = here.select(
-        F.col(cell_id).alias("neighbor_id"),
-        F.col("_lat").alias("_nlat"),
-        F.col("_lon").alias("_nlon"),
-        bucket_of(F.col("_lat"), F.col("_lon"), level).alias("_bucket"),
+        F.col(cell_id).alias("neighbor_id"), F.col("_lat").alias("_nlat"), F.col("_lon").alias("_nlon"), bucket_of("_lat", "_lon", level).alias("_bucket")
     )
     left, right = salted(reached, there, F.col(cell_id))
     pairs = left.join(right, ["_bucket", "_salt"])
-    distance = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_nlat"), F.col("_nlon"))
+    distance = haversine_km("_lat", "_lon", "_nlat", "_nlon")
     return pairs.withColumn("dist_km", distance).where(F.col("dist_km") <= radius_km).select(cell_id, "neighbor_id", "dist_km")
 

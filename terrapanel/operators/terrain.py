@@ -37,7 +37,7 @@ def snapped_terrain(samples: DataFrame) -> DataFrame:
 
 def terrain(df: DataFrame, *, lon: str = "longitude", lat: str = "latitude", elev: str = "elev", crs: str = "EPSG:5070", digits: int = -3) -> DataFrame:
     """Adds slope_deg and aspect_deg; rows lacking coordinates or elevation stay, without values."""
-    x, y = albers_forward(F.col(lon), F.col(lat), crs)
+    x, y = albers_forward(lon, lat, crs)
     known = F.col(elev).isNotNull()
     rows = df.withColumns({"_x": F.when(known, x), "_y": F.when(known, y)})
     rows = rows.withColumns({"xr": half_even(F.col("_x"), digits), "yr": half_even(F.col("_y"), digits)})

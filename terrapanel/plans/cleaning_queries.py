@@ -23,7 +23,7 @@ _TYPE = "case when o_orderpriority = '1-URGENT' then 'RX' else 'WF' end"
 
 def _portal(spark, sf_dir):
     k, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    spot = place(F.col("o_custkey"))
+    spot = place("o_custkey")
     return _orders(spark, sf_dir).select(
         F.when(k % 13 != 0, F.concat(F.lit("I"), F.col("o_custkey"))).alias("IrwinID"),
         F.col("o_orderpriority").alias("IncidentName"),
@@ -59,7 +59,7 @@ def incident_clean(spark, sf_dir):
 def incident_points(spark, sf_dir):
     """Every fifth incident lacks its latitude (missing or zero) and falls back to y."""
     k = F.col("o_orderkey")
-    lat, lon = place(F.col("o_custkey")).values()
+    lat, lon = place("o_custkey").values()
     raw = _orders(spark, sf_dir).select(
         F.concat(F.lit("I"), F.col("o_custkey")).alias("IrwinID"),
         F.col("o_orderdate").cast("string").alias("FireDiscoveryDateTime"),
@@ -96,7 +96,7 @@ _DET_KEY = "(l_suppkey * 1000 + l_linenumber)"
 )
 def detection_clean(spark, sf_dir):
     flag = F.col("l_returnflag")
-    spot = place(F.col("l_suppkey") * 1000 + F.col("l_linenumber"))
+    spot = place("l_suppkey * 1000 + l_linenumber")
     raw = table(spark, sf_dir, "lineitem").select(
         spot["lat"].alias("latitude"),
         spot["lon"].alias("longitude"),
@@ -263,7 +263,7 @@ def preamble_scan(spark, sf_dir):
 )
 def file_factor(spark, sf_dir):
     """Readings named by file: the factor is the text before the first underscore."""
-    spot = place(F.col("user_id"))
+    spot = place("user_id")
     files = table(spark, sf_dir, "events").select(
         F.concat(F.col("event_type"), F.lit("_"), F.date_format("ts", "yyyyMM"), F.lit("_tile1.csv")).alias("file"),
         spot["lat"].alias("LAT"), spot["lon"].alias("LON"), F.year("ts").alias("YEAR"), F.dayofyear("ts").alias("DOY"), "value",
@@ -282,12 +282,12 @@ def file_factor(spark, sf_dir):
 )
 def partition_manifest_query(spark, sf_dir):
     orders = _orders(spark, sf_dir)
-    span = orders.agg(F.struct(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b")).alias("s")).scalar()
+    first, last = orders.agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
     variables = orders.select(F.col("o_orderpriority").alias("variable")).distinct()
     landed = orders.where("o_totalprice > 450000").select(
         F.col("o_orderpriority").alias("variable"), F.trunc("o_orderdate", "month").alias("month_start"), F.concat(F.lit("tile"), F.col("o_orderkey") % 2 + 1).alias("tile")
     )
-    return partition_manifest(variables, ["tile1", "tile2"], [6, 7, 8, 9], landed, first=span["a"], last=span["b"])
+    return partition_manifest(variables, ["tile1", "tile2"], [6, 7, 8, 9], landed, first=F.lit(first), last=F.lit(last))
 
 
 @register(

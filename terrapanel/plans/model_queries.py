@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from terrapanel.functions.columns import with_interactions
 from terrapanel.operators import learning, metrics, sampling
 from terrapanel.operators.distributed import exact_quantiles
-from terrapanel.operators.panel import build_panel, cell_day_mean, merge_factors
+from terrapanel.operators.panel import build_panel, cell_day_mean, densify, merge_factors
 from terrapanel.operators.timeseries import event_history, rolling_rows
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
 from terrapanel.plans.roles import WEATHER, table
+from terrapanel.session import cut_lineage
 
 
 def _orders(spark, sf_dir):
@@ -201,15 +202,13 @@ def _learning_frame(spark, sf_dir):
     obs = roles.observations(spark, sf_dir)
     wide = merge_factors(cell_day_mean(obs, ["grid_id", "date", "factor"], ["value"]), ["grid_id", "date"], "factor", "value", WEATHER, how="outer")
     cells = obs.select("grid_id").distinct()
-    from terrapanel.operators.panel import densify
-
     panel = build_panel(densify(cells, roles.FIRST_DAY, roles.LAST_DAY), [wide])
     panel = panel.withColumn("fire_today", F.coalesce((F.col("PS") > 60).cast("int"), F.lit(0)))
     panel = rolling_rows(panel, "grid_id", "date", [("T2M", 3, "mean", "T2M_3d_mean")])
     panel = event_history(panel, "grid_id", "date", "fire_today", {"fires_last_7d": 7}, include_current=False)
     panel = with_interactions(panel.withColumn("ndvi", F.col("WS10M") / 500.0))
     panel = panel.withColumns({"key": F.concat_ws("|", "grid_id", "date"), "label": F.col("fire_today")})
-    train, val = sampling.temporal_split(panel, "2024-01-23")
+    train, val = sampling.temporal_split(cut_lineage(panel), "2024-01-23")
     filled = sampling.impute_median(train, _FEATURES, val)
     zeroed = [f.na.fill(0.0, _FEATURES) for f in filled]  # a feature without any training value
     return sampling.standardise(zeroed[0], _FEATURES, zeroed[1])
@@ -218,7 +217,6 @@ def _learning_frame(spark, sf_dir):
 def _record(spark, sf_dir, name, weight=None, **options):
     """Fit on the first days, score the last ones, and describe the result."""
     train, val = (f.select("key", "label", *_FEATURES) for f in _learning_frame(spark, sf_dir))
-    train, val = train.cache(), val.cache()
     fitted_on = sampling.with_class_weight(train, "label") if weight else train
     model = learning.fit(fitted_on, _FEATURES, "label", name, weight, **options)
     return learning.model_record(train, learning.score(model, val), _FEATURES, "label")
@@ -250,7 +248,7 @@ def mlp_fit(spark, sf_dir):
 @register("feature_importance", "rank:l feature:s importance:f6")
 def feature_importance(spark, sf_dir):
     train, _ = _learning_frame(spark, sf_dir)
-    model = learning.fit(train.select("key", "label", *_FEATURES).cache(), _FEATURES, "label", "random_forest", numTrees=20, maxDepth=8)
+    model = learning.fit(train.select("key", "label", *_FEATURES), _FEATURES, "label", "random_forest", numTrees=20, maxDepth=8)
     return learning.feature_importance(model, _FEATURES, spark)
 
 

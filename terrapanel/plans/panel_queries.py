@@ -73,7 +73,7 @@ def build_daily_panel(spark, sf_dir):
     cells = roles.cells(spark, sf_dir)
     index = index_cells(cells)
     obs = roles.observations(spark, sf_dir).withColumnRenamed("grid_id", "id")
-    sites = obs.select("id").distinct().withColumns(place(F.col("id")))
+    sites = obs.select("id").distinct().withColumns(place("id"))
     located = obs.join(assign_nearest(sites, index).select("id", "grid_id"), "id")
     reading, factor = F.col("value"), F.col("factor")
     ndvi = F.when((factor == "WS10M") & (reading > 100), reading / 500.0)
@@ -81,7 +81,7 @@ def build_daily_panel(spark, sf_dir):
         *[F.avg(F.when(factor == f, reading)).alias(f) for f in WEATHER], F.avg(ndvi).alias("ndvi")
     )
     fires = cell_day_count(assign_nearest(roles.incidents(spark, sf_dir), index)).select("grid_id", "date", F.lit(1).alias("fire_today"))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type").withColumns(place(F.col("id")))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type").withColumns(place("id"))
     pixels = assign_nearest(part, index).select("grid_id", *[((F.col("p_type") == c).cast("double") * 100).alias(f"pct_{c}") for c in _CLASSES])
     cover = cell_day_mean(pixels, ["grid_id"])
     scaffold = densify_observed(cells, roles.observations(spark, sf_dir))
@@ -160,7 +160,7 @@ label_panel as (select d.date, s.grid_id, case when e.grid_id is null then 0 els
 
 
 def _square(df):
-    x, y = albers_forward(F.col("lon"), F.col("lat"), "EPSG:3310")
+    x, y = albers_forward("lon", "lat", "EPSG:3310")
     i, j = cell_of(x, y, 0.0, 0.0, 5000.0)
     return df.withColumn("grid_id", i * 1_000_000 + j)
 
@@ -186,7 +186,7 @@ def label_panel(spark, sf_dir):
 def _detections(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49)
     code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    spots = items.select(roles.shifted_day(F.col("l_shipdate")).cast("date").alias("date"), code.alias("conf"), *[c.alias(n) for n, c in place(F.col("l_partkey")).items()])
+    spots = items.select(roles.shifted_day(F.col("l_shipdate")).cast("date").alias("date"), code.alias("conf"), *[c.alias(n) for n, c in place("l_partkey").items()])
     return _square(spots).select("date", "grid_id", "conf")
 
 

@@ -29,12 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frac(x: Column) -> Column:
-    return x - F.floor(x)
+def spread(low: float, width: float, key: str, step: float) -> Column:
+    """Evenly spread values in [low, low + width) from integer keys."""
+    return F.expr(f"{low!r}D + {width!r}D * (({key}) * {step!r}D - floor(({key}) * {step!r}D))")
 
 
-def place(key: Column) -> dict[str, Column]:
-    return {"lat": F.lit(32.4) + F.lit(2.2) * frac(key * STEP_LAT), "lon": F.lit(-124.6) + F.lit(1.5) * frac(key * STEP_LON)}
+def place(key: str) -> dict[str, Column]:
+    return {"lat": spread(32.4, 2.2, key, STEP_LAT), "lon": spread(-124.6, 1.5, key, STEP_LON)}
+
+
+def terrain_place(key: str) -> tuple[Column, Column]:
+    """(lon, lat) inside a half-degree box."""
+    return spread(-121.5, 0.5, key, STEP_LON), spread(38.1, 0.4, key, STEP_LAT)
 
 
 def place_sql(key: str) -> str:
@@ -69,7 +75,7 @@ CELLS = """cells as (select min(s_suppkey) as grid_id, lat, lon from (
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *[c.alias(n) for n, c in place(F.col("c_custkey")).items()])
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *[c.alias(n) for n, c in place("c_custkey").items()])
 
 
 POINTS = f"points as (select c_custkey as id, {place_sql('c_custkey')} from customer)"
@@ -113,7 +119,7 @@ def shifted_day_sql(day: str) -> str:
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, date, lat, lon) of urgent finished orders."""
     orders = table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
-    where = place(F.col("o_custkey"))
+    where = place("o_custkey")
     return orders.select(F.col("o_orderkey").alias("id"), shifted_day(F.col("o_orderdate")).cast("date").alias("date"), *[c.alias(n) for n, c in where.items()])
 
 

@@ -38,8 +38,7 @@ def nearest_cell(spark, sf_dir):
 )
 def reverse_nearest(spark, sf_dir):
     """Every cell gets its nearest weather site, so no cell stays empty."""
-    user = F.col("user_id")
-    sites = table(spark, sf_dir, "events").select(user.alias("grid_id"), *[c.alias(n) for n, c in place(user).items()]).distinct()
+    sites = table(spark, sf_dir, "events").select(F.col("user_id").alias("grid_id"), *[c.alias(n) for n, c in place("user_id").items()]).distinct()
     return assign_nearest(roles.cells(spark, sf_dir).withColumnRenamed("grid_id", "id"), sites)
 
 
@@ -86,7 +85,7 @@ _XY = f"with {roles.POINTS}, {roles.cone_sql('EPSG:3310')}, xy as ({roles.forwar
 
 
 def _projected_points(spark, sf_dir):
-    x, y = albers_forward(F.col("lon"), F.col("lat"), "EPSG:3310")
+    x, y = albers_forward("lon", "lat", "EPSG:3310")
     return roles.points(spark, sf_dir).withColumns({"x": x, "y": y})
 
 
@@ -105,7 +104,7 @@ def point_in_cell(spark, sf_dir):
 
 def _framed_boundary(spark, sf_dir):
     """The cells' projected extent with a rectangular hole in it."""
-    x, y = albers_forward(F.col("lon"), F.col("lat"), "EPSG:3310")
+    x, y = albers_forward("lon", "lat", "EPSG:3310")
     x0, y0, x1, y1 = extent(roles.cells(spark, sf_dir).select(x.alias("x"), y.alias("y")), "x", "y")
     x0, y0, x1, y1 = x0 - 7000.0, y0 - 7000.0, x1 + 7000.0, y1 + 7000.0
 
@@ -189,11 +188,10 @@ def raster_frame_query(spark, sf_dir):
     two as ({roles.forward_sql('one', cone='cone2', x='x2', y='y2')}) select *, lon as lon_back, lat as lat_back from two""",
 )
 def albers_project(spark, sf_dir):
-    lon, lat = F.col("lon"), F.col("lat")
-    x, y = albers_forward(lon, lat, "EPSG:3310")
-    x2, y2 = albers_forward(lon, lat, "EPSG:5070")
+    x, y = albers_forward("lon", "lat", "EPSG:3310")
+    x2, y2 = albers_forward("lon", "lat", "EPSG:5070")
     projected = roles.points(spark, sf_dir).select("id", x.alias("x"), y.alias("y"), x2.alias("x2"), y2.alias("y2"))
-    lon_back, lat_back = albers_inverse(F.col("x2"), F.col("y2"), "EPSG:5070")
+    lon_back, lat_back = albers_inverse("x2", "y2", "EPSG:5070")
     return projected.withColumns({"lon_back": lon_back, "lat_back": lat_back})
 
 
@@ -217,13 +215,9 @@ def _slopes(line: str, along: str, x: str, out: str) -> str:
     select k.p_partkey, r.slope_deg, r.aspect_deg from keyed k left join res r on r.xr = k.xr and r.yr = k.yr""",
 )
 def terrain_slope(spark, sf_dir):
-    k = F.col("p_partkey")
-    samples = table(spark, sf_dir, "part").select(
-        k,
-        (F.lit(-121.5) + F.lit(0.5) * roles.frac(k * roles.STEP_LON)).alias("longitude"),
-        (F.lit(38.1) + F.lit(0.4) * roles.frac(k * roles.STEP_LAT)).alias("latitude"),
-        F.when(F.col("p_size") != 50, F.col("p_retailprice") + F.col("p_size")).alias("elev"),
-    )
+    lon, lat = roles.terrain_place("p_partkey")
+    elev = F.when(F.col("p_size") != 50, F.col("p_retailprice") + F.col("p_size"))
+    samples = table(spark, sf_dir, "part").select("p_partkey", lon.alias("longitude"), lat.alias("latitude"), elev.alias("elev"))
     return terrain(samples)
 
 
@@ -245,10 +239,10 @@ _VALID = "count(*) filter (where p_type in (" + ", ".join(f"'{c}'" for c in _CLA
 )
 def landcover_fraction_query(spark, sf_dir):
     """Class shares of 10 km squares; PROMO pixels stand for missing data."""
-    k = F.col("p_partkey")
-    lon, lat = F.lit(-121.5) + F.lit(0.5) * roles.frac(k * roles.STEP_LON), F.lit(38.1) + F.lit(0.4) * roles.frac(k * roles.STEP_LAT)
-    x, y = albers_forward(lon, lat, "EPSG:5070")
-    pixels = table(spark, sf_dir, "part").select("p_type", F.floor(x / 10000.0).alias("i"), F.floor(y / 10000.0).alias("j"))
+    lon, lat = roles.terrain_place("p_partkey")
+    x, y = albers_forward("lon", "lat", "EPSG:5070")
+    centres = table(spark, sf_dir, "part").select("p_type", lon.alias("lon"), lat.alias("lat"))
+    pixels = centres.select("p_type", F.floor(x / 10000.0).alias("i"), F.floor(y / 10000.0).alias("j"))
     shares = landcover_fraction(pixels, ["i", "j"], "p_type", _CLASSES)
     valid = landcover_fraction(pixels, ["i", "j"], "p_type", _CLASSES, renormalise=True)
     return shares.join(valid.withColumnsRenamed({f"pct_{c}": f"pct_{c}_valid" for c in _CLASSES}), ["i", "j"])
@@ -340,7 +334,7 @@ feat as (select *, WS10M / 500e0 as ndvi, (1 - RH2M / 100) * T2M as vpd_proxy fr
 def _site_weather(spark, sf_dir):
     """(grid_id, date, factors): readings at sites, averaged over the sites of each cell."""
     obs = roles.observations(spark, sf_dir).withColumnRenamed("grid_id", "id")
-    sites = obs.select("id").distinct().withColumns(place(F.col("id")))
+    sites = obs.select("id").distinct().withColumns(place("id"))
     at = assign_nearest(sites, roles.cells(spark, sf_dir)).select("id", "grid_id")
     means = cell_day_mean(obs.join(at, "id"), ["grid_id", "date", "factor"], ["value"])
     return merge_factors(means, ["grid_id", "date"], "factor", "value", roles.WEATHER, how="outer")
