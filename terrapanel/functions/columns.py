@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,11 @@ def literal_map(values: Mapping) -> Column:
     return F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_number(col: Column) -> Column:
     """Numeric value, NULL where the text is no number or is NaN."""
     number = col.try_cast("double")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrapanel.functions.columns import bound
 from terrapanel.functions.geo import albers_forward, albers_inverse
 from terrapanel.operators.polygons import clip_ring, ring_moments
 
@@ -81,7 +82,7 @@ def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: boo
         lambda s: F.sequence(F.floor((s["low"] - y0) / cell_m), F.floor((s["high"] - y0) / cell_m)),
     )
     cells = strips.withColumn("j", F.explode(reach)).where(F.col("j").between(0, ny - 1))
-    signed = cells.select("i", "j", "hole", ring_moments(clip_ring(F.col("ring"), y_range=range_of("j", y0))).alias("m"))
+    signed = cells.select("i", "j", "hole", bound(clip_ring(F.col("ring"), y_range=range_of("j", y0)), ring_moments).alias("m"))
     signed = signed.withColumn("s", F.when(F.col("hole"), -1.0).otherwise(1.0))
     merged = signed.groupBy("i", "j").agg(
         F.sum(F.col("s") * F.col("m.area")).alias("area"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,10 +88,13 @@ def with_static(panel: DataFrame, dimension: DataFrame, cell: str = "grid_id") -
 
 
 def keep_covered(panel: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of the cells where each given column is known at least once."""
-    tests = reduce(lambda a, b: a & b, [F.count(c) > 0 for c in columns])
-    covered = panel.groupBy(key).agg(tests.alias("_covered")).where("_covered").select(key)
-    return panel.join(covered, key, "left_semi")
+    """Rows of the cells where each given column is known at least once.
+
+    Takes a panel, one row per (cell, day): the test runs in the same exchange as the
+    windows that follow, and a cell is never longer than the calendar.
+    """
+    tests = reduce(lambda a, b: a & b, [F.count(c).over(Window.partitionBy(key)) > 0 for c in columns])
+    return panel.withColumn("_covered", tests).where("_covered").drop("_covered")
 
 
 def build_labels(events: DataFrame, cells: DataFrame, first, last, *, cell: str = "grid_id", date: str = "date", label: str = "fire_today") -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrapanel.functions.columns import bound
 from terrapanel.functions.geo import albers_forward_text
 from terrapanel.session import BROADCAST_ROWS
 from terrapanel.operators.spatial import salted
@@ -106,8 +107,7 @@ def clip_ring(ring: Column, x_range: tuple[Column, Column] | None = None, y_rang
                 .otherwise(nothing)
             )
 
-        inside = F.flatten(F.transform(kept, step))
-        return F.concat(inside, F.slice(inside, 1, 1))
+        return bound(F.flatten(F.transform(kept, step)), lambda inside: F.concat(inside, F.slice(inside, 1, 1)))
 
     clipped = F.aggregate(F.array(*planes), ring.cast("array<struct<x: double, y: double>>"), cut)
     return F.get(F.filter(F.array(clipped), lambda r: F.size(r) >= 4), F.lit(0))

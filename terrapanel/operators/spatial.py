@@ -20,7 +20,6 @@ from terrapanel.session import BROADCAST_ROWS
 
 MIN_LEVEL, MAX_LEVEL = 2, 24
 MAX_ROOTS = 64  # buckets at the top of the tree
-BUCKET_ROWS = 16  # fullest bucket allowed in the neighbourhood lookup
 LEAF_ROWS = 32  # the tree goes down until its fullest bucket holds no more
 SALTS = 8
 
@@ -73,9 +72,9 @@ class CellIndex:
     rows: int
     levels: dict[int, tuple[int, int]]  # level -> (occupied buckets, fullest bucket)
 
-    @property
-    def near_level(self) -> int:
-        fitting = [lv for lv, (_, fullest) in sorted(self.levels.items()) if fullest <= BUCKET_ROWS]
+    def near_level(self, k: int) -> int:
+        """Bucket level of the neighbourhood lookup: the coarsest whose fullest bucket stays small."""
+        fitting = [lv for lv, (_, fullest) in sorted(self.levels.items()) if fullest <= max(4, 2 * k)]
         return max(4, fitting[0]) if fitting else MAX_LEVEL
 
     @property
@@ -128,16 +127,23 @@ def _neighbourhoods(index: CellIndex, level: int) -> DataFrame:
     keys = ", ".join(f"pmod({ix} + {dx}, {2**level}L) * {_SHIFT}L + {iy} + {dy}" for dx in (-1, 0, 1) for dy in (-1, 0, 1))
     around = F.expr(f"explode(array({keys}))")
     return (
-        index.cells.select(around.alias("_bucket"), F.struct("_cell", "_clat", "_clon").alias("c"))
+        index.cells.select(around.alias("_bucket"), F.struct("_cell", "_clat", "_clon", *_unit_vector("_clat", "_clon")).alias("c"))
         .groupBy("_bucket")
         .agg(F.collect_list("c").alias("_around"))
     )
 
 
-def _safe_radius_text(lat: str, level: int) -> str:
-    """No cell outside the 3x3 buckets can be closer than this, in km (less a rounding margin)."""
+def _unit_vector(lat: str, lon: str) -> list[Column]:
+    """x, y, z of a position on the unit sphere."""
+    parts = {"x": f"cos(radians({lat})) * cos(radians({lon}))", "y": f"cos(radians({lat})) * sin(radians({lon}))", "z": f"sin(radians({lat}))"}
+    return [F.expr(text).alias(axis) for axis, text in parts.items()]
+
+
+def _safe_chord_text(lat: str, level: int) -> str:
+    """Squared chord within which no cell outside the 3x3 buckets can lie (less a rounding margin)."""
     step = f"radians({num(360.0 / 2.0**level)})"
-    return f"({num(EARTH_RADIUS_KM * (1 - 1e-9))} * least({step}, asin(cos(radians({lat})) * sin({step}))))"
+    half = f"sin(least({step}, asin(cos(radians({lat})) * sin({step}))) / 2)"
+    return f"({num(4 * (1 - 1e-9))} * {half} * {half})"
 
 
 def _tree_nearest(coords: DataFrame, index: CellIndex, k: int) -> DataFrame:
@@ -176,22 +182,27 @@ def _ranked_cell(cell: str, clat: str, clon: str) -> str:
 
 def _nearest(points: DataFrame, index: CellIndex, k: int, lat: str, lon: str) -> DataFrame:
     """Adds ``_found``; rows without coordinates get NULL."""
-    level = index.near_level
+    level = index.near_level(k)
     near = _neighbourhoods(index, level)
     rows = points.select("*", F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
     rows = rows.withColumn("_bucket", bucket_of("_lat", "_lon", level))
     # At most nine copies of every cell.
     looked = _key_join(rows, near, 9 * index.rows, ["_bucket"], "left", F.struct("_lat", "_lon"))
-    scored = f"transform(_around, c -> {_ranked_cell('c._cell', 'c._clat', 'c._clon')})"
+    looked = looked.select("*", F.struct(*_unit_vector("_lat", "_lon")).alias("_at"))
+    # Squared chords find the k-th best and shortlist the candidates, distances proper rank the shortlist.
+    # The generator keeps Spark from computing the k-th best again for every use.
+    chord = " + ".join(f"(c.{axis} - _at.{axis}) * (c.{axis} - _at.{axis})" for axis in "xyz")
+    chords = f"transform(_around, c -> {chord})"
+    limit = f"array_min({chords})" if k == 1 else f"try_element_at(array_sort({chords}), {k})"
+    looked = looked.select("*", F.expr(f"inline(array(named_struct('_limit', {limit})))"))
+    proven = f"(_lat is null or _lon is null or coalesce(_limit <= {_safe_chord_text('_lat', level)}, false))"
+    short = f"filter(_around, c -> {chord} <= _limit * 1.000001D + 1e-14D)"
+    scored = f"transform({short}, c -> {_ranked_cell('c._cell', 'c._clat', 'c._clon')})"
     best = f"array(array_min({scored}))" if k == 1 else f"slice(array_sort({scored}), 1, {k})"
-    kept = [c for c in looked.columns if c not in ("_bucket", "_around")]
-    looked = looked.select(*kept, F.expr(f"case when _around is not null then {best} end").alias("_found"))
-    proven = f"_lat is null or _lon is null or coalesce(size(_found) >= {k} and element_at(_found, -1).dist_km <= {_safe_radius_text('_lat', level)}, false)"
-    looked = looked.withColumn("_proven", F.expr(proven))
-    settled = looked.where("_proven").drop("_proven")
-    open_rows = looked.where("not _proven").drop("_proven", "_found")
+    settled = looked.where(proven).select(*points.columns, F.expr(best).alias("_found"))
+    open_rows = looked.where(f"not {proven}").select(*points.columns, "_lat", "_lon")
     answers = _tree_nearest(open_rows.select("_lat", "_lon").distinct(), index, k)
-    return settled.unionByName(open_rows.join(answers, ["_lat", "_lon"]).select(*settled.columns)).drop("_lat", "_lon")
+    return settled.unionByName(open_rows.join(answers, ["_lat", "_lon"]).select(*settled.columns))
 
 
 def assign_nearest(

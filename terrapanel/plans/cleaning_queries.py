@@ -10,7 +10,7 @@ from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
 from terrapanel.plans.roles import place, place_sql, table
 from terrapanel.sources.links import absolute_url, harvest_links, partition_manifest, pick_version, prune_by_date
-from terrapanel.sources.tabular import BLANKS, factor_of, preamble_tokens
+from terrapanel.sources.tabular import body_lines, factor_of
 
 
 def _orders(spark, sf_dir):
@@ -241,10 +241,13 @@ def version_pick(spark, sf_dir):
     return pick_version(prune_by_date(links, year=1997, months=(6, 9)))
 
 
+_BLANKS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 @register(
     "preamble_scan",
     "doc_id:l n_tokens:l digest:s",
-    f"""with t as (select doc_id, list_filter(string_split_regex(text, '{BLANKS}'), lambda x: x <> '') as toks from documents),
+    f"""with t as (select doc_id, list_filter(string_split_regex(text, '{_BLANKS}'), lambda x: x <> '') as toks from documents),
     p as (select doc_id, toks, list_position(list_transform(toks, lambda x: starts_with(x, 'the')), true) as first from t),
     k as (select doc_id, list_slice(toks, first, len(toks)) as kept from p where first > 0),
     d as (select doc_id, flatten(list_transform(kept, lambda x, i: case when starts_with(x, 'the') and i > 1 then [x, x] else [x] end)) as out from k)
@@ -252,8 +255,9 @@ def version_pick(spark, sf_dir):
 )
 def preamble_scan(spark, sf_dir):
     """Whole texts below their first line marker."""
-    read = table(spark, sf_dir, "documents").select("doc_id", preamble_tokens(F.col("text"), "the").alias("tokens")).where(F.col("tokens").isNotNull())
-    return read.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", "\n")).alias("digest"))
+    body = F.explode(F.array_compact(F.array(body_lines(F.col("text"), "the"))))
+    read = table(spark, sf_dir, "documents").select("doc_id", body.alias("lines"))
+    return read.select("doc_id", F.size(F.split("lines", "\n")).alias("n_tokens"), F.md5("lines").alias("digest"))
 
 
 @register(

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.functions.columns import day_of_year_to_date, strip_units
+from terrapanel.functions.columns import bound, day_of_year_to_date, strip_units
 from terrapanel.operators.cleaning import null_nan, require_columns, resolve_columns
 from terrapanel.schemas import WEATHER_FILE
 
-# White space as Unicode has it, in a spelling every regular-expression engine here reads alike.
-BLANKS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# Code points that count as white space.
+_BLANK_POINTS = [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_BLANK_CHARACTERS = "".join(map(chr, _BLANK_POINTS))
 
 
 def scan_csv(
@@ -53,18 +54,20 @@ def scan_elevation(spark: SparkSession, path: str) -> DataFrame:
     return parsed.where(~unreadable)
 
 
-def preamble_tokens(text: Column, marker: str) -> Column:
-    """Tokens of a text from the first one that starts with ``marker`` on.
+def body_lines(text: Column, marker: str) -> Column:
+    """Text from the first token that starts with ``marker`` on, one token per line; NULL without one.
 
     Tokens are cut at any white space, so lines must hold none; a later token that
     starts with the marker comes twice.
     """
-    tokens = F.filter(F.split(text, BLANKS), lambda t: t != "")
-    marked = F.transform(tokens, lambda t: t.startswith(marker))
-    first = F.array_position(marked, True)
-    kept = F.slice(tokens, first.cast("int"), F.size(tokens))
-    doubled = F.flatten(F.transform(kept, lambda t, i: F.when(t.startswith(marker) & (i > 0), F.array(t, t)).otherwise(F.array(t))))
-    return F.when(first > 0, doubled)
+    spaced = F.concat(F.lit(" "), F.rtrim(F.translate(text, _BLANK_CHARACTERS, " " * len(_BLANK_CHARACTERS))))
+    body = bound(spaced, lambda t: F.when(F.instr(t, f" {marker}") > 0, F.substring(t, F.instr(t, f" {marker}") + 1, F.length(t))))
+    doubled = F.regexp_replace(body, rf" (\Q{marker}\E[^ ]*)", " $1 $1")
+    return F.regexp_replace(doubled, " +", "\n")
+
+
+def preamble_tokens(text: Column, marker: str) -> Column:
+    return F.split(body_lines(text, marker), "\n")
 
 
 def skip_preamble(df: DataFrame, key: Sequence[str], text: str, marker: str) -> DataFrame:
