@@ -19,11 +19,12 @@ from terrapanel.operators.panel import (
     merge_factors,
     with_static,
 )
-from terrapanel.operators.spatial import assign_nearest, index_cells
+from terrapanel.operators.spatial import assign_nearest
 from terrapanel.operators.timeseries import event_history, fill_linear, fill_time, missing_streak, rolling_days, rolling_rows, vegetation_features
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
 from terrapanel.plans.roles import FIRST_DAY, LAST_DAY, WEATHER, place, place_sql, table
+from terrapanel.session import cut_lineage
 
 _FACTOR_SHAPE = " ".join(f"{f}:f6" for f in WEATHER)
 _CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -71,19 +72,21 @@ _PANEL_SHAPE = f"grid_id:l date:d {_FACTOR_SHAPE} ndvi:f6 fire_today:l " + " ".j
 def build_daily_panel(spark, sf_dir):
     """Weather, vegetation, incidents and land cover snapped to their nearest cells, every cell on every weather day."""
     cells = roles.cells(spark, sf_dir)
-    index = index_cells(cells)
     obs = roles.observations(spark, sf_dir).withColumnRenamed("grid_id", "id")
-    sites = obs.select("id").distinct().withColumns(place("id"))
-    located = obs.join(assign_nearest(sites, index).select("id", "grid_id"), "id")
+    sites = obs.select("id").distinct().select(F.lit("site").alias("kind"), "id", *[c.alias(n) for n, c in place("id").items()])
+    fires = roles.incidents(spark, sf_dir).select(F.lit("fire").alias("kind"), "id", "lat", "lon", "date")
+    pixels = table(spark, sf_dir, "part").select(F.lit("pixel").alias("kind"), *[c.alias(n) for n, c in place("p_partkey").items()], "p_type")
+    # All sources look for their cells together; the result serves three aggregates.
+    stacked = sites.unionByName(fires, allowMissingColumns=True).unionByName(pixels, allowMissingColumns=True)
+    located = cut_lineage(assign_nearest(stacked, cells).drop("lat", "lon", "dist_km"))
     reading, factor = F.col("value"), F.col("factor")
     ndvi = F.when((factor == "WS10M") & (reading > 100), reading / 500.0)
-    facts = located.groupBy("grid_id", "date").agg(
+    facts = obs.join(located.where("kind = 'site'").select("id", "grid_id"), "id").groupBy("grid_id", "date").agg(
         *[F.avg(F.when(factor == f, reading)).alias(f) for f in WEATHER], F.avg(ndvi).alias("ndvi")
     )
-    fires = cell_day_count(assign_nearest(roles.incidents(spark, sf_dir), index)).select("grid_id", "date", F.lit(1).alias("fire_today"))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type").withColumns(place("id"))
-    pixels = assign_nearest(part, index).select("grid_id", *[((F.col("p_type") == c).cast("double") * 100).alias(f"pct_{c}") for c in _CLASSES])
-    cover = cell_day_mean(pixels, ["grid_id"])
+    fires = cell_day_count(located.where("kind = 'fire'")).select("grid_id", "date", F.lit(1).alias("fire_today"))
+    shares = [((F.col("p_type") == c).cast("double") * 100).alias(f"pct_{c}") for c in _CLASSES]
+    cover = cell_day_mean(located.where("kind = 'pixel'").select("grid_id", *shares), ["grid_id"])
     scaffold = densify_observed(cells, roles.observations(spark, sf_dir))
     return with_static(build_panel(scaffold, [facts, fires], zero_fill=["fire_today"]), cover)
 
