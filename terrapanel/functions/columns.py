@@ -69,6 +69,12 @@ def backfill_coordinate(primary: Column, secondary: Column) -> Column:
     return F.coalesce(F.when(first != 0, first), to_number(secondary))
 
 
+def in_season(date: Column, year: int | None, months: tuple[int, int]) -> Column:
+    """Days of the given months, both inclusive, of one year or of every year."""
+    test = F.month(date).between(*months)
+    return test if year is None else test & (F.year(date) == year)
+
+
 def half_even(col: Column, digits: int) -> Column:
     """Round half to even; negative digits snap to tens, hundreds, ..."""
     if digits < 0:

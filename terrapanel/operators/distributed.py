@@ -29,19 +29,20 @@ def with_range_bucket(df: DataFrame, group: Sequence[str], order: str, *, side:
     The number of groups must be small (columns, classes).
     """
     m = side or _bucket_side(df)
-    shares = F.array(*[F.lit(i / (m * m)) for i in range(1, m * m)])
-    cuts = df.groupBy(*group).agg(F.percentile_approx(order, shares, F.lit(max(1000, 4 * m * m))).alias("_cuts"))
+    shares = ", ".join(f"{i / (m * m)!r}D" for i in range(1, m * m))
+    cuts = df.groupBy(*group).agg(F.expr(f"percentile_approx(`{order}`, array({shares}), {max(1000, 4 * m * m)})").alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.expr(f"transform(sequence(1, {m - 1}), i -> _cuts[i * {m} - 1])"))
     if group:
         cuts = cuts.withColumnsRenamed({g: f"_g_{g}" for g in group})
         same = _all([F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])
         joined = df.join(F.broadcast(cuts), same).drop(*[f"_g_{g}" for g in group])
     else:
-        joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    coarse = F.array(*[F.col("_cuts")[i * m - 1] for i in range(1, m)])
-    joined = joined.withColumn("_hi", F.size(F.filter(coarse, lambda c: c < F.col(order))))
+        bounds = cuts.select(F.struct("_cuts", "_coarse")).scalar()
+        joined = df.withColumns({"_cuts": bounds["_cuts"], "_coarse": bounds["_coarse"]})
+    joined = joined.withColumn("_hi", F.size(F.filter("_coarse", lambda c: c < F.col(order))))
     fine = F.slice("_cuts", F.col("_hi") * m + 1, F.lit(m))
     below = F.size(F.filter(fine, lambda c: c < F.col(order)))
-    return joined.withColumn("_bucket", F.col("_hi") * m + F.least(below, F.lit(m - 1))).drop("_cuts", "_hi")
+    return joined.withColumn("_bucket", F.col("_hi") * m + F.least(below, F.lit(m - 1))).drop("_cuts", "_coarse", "_hi")
 
 
 def _all(conditions: Sequence[Column]) -> Column:

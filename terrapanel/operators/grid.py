@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import bound
 from terrapanel.functions.geo import albers_forward, albers_inverse
-from terrapanel.operators.polygons import clip_ring, ring_moments
+from terrapanel.operators.polygons import clip_ring, ring_moments, within_polygon
 
 
 def extent(df: DataFrame, x: str, y: str) -> tuple[float, float, float, float]:
@@ -53,6 +53,22 @@ def cell_of(x: Column, y: Column, x0: float, y0: float, cell_m: float) -> tuple[
     return F.floor((x - x0) / cell_m), F.floor((y - y0) / cell_m)
 
 
+def assign_to_cells(
+    points: DataFrame, cells: DataFrame, rings: DataFrame, cell_m: float = 5000.0, crs: str = "EPSG:3310", *, lon: str = "lon", lat: str = "lat", whole_metres: bool = False
+) -> DataFrame:
+    """Points inside a projected boundary with the id of the clipped cell they fall into.
+
+    ``cells`` comes from ``number_cells`` or ``cell_grid`` over the same boundary.  The cell
+    follows from arithmetic and an equi-join on (i, j); no geometry is compared pair by pair.
+    """
+    x0, y0, _, _ = extent(rings.select(F.explode("ring").alias("v")).select("v.x", "v.y"), "x", "y")
+    x0, y0 = (float(int(v)) if whole_metres else v for v in (x0, y0))
+    x, y = albers_forward(lon, lat, crs)
+    inside = within_polygon(points.withColumns({"_x": x, "_y": y}), rings, x="_x", y="_y")
+    i, j = cell_of(F.col("_x"), F.col("_y"), x0, y0, cell_m)
+    return inside.withColumns({"i": i, "j": j}).drop("_x", "_y").join(cells.select("i", "j", "grid_id"), ["i", "j"])
+
+
 def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: bool = False) -> DataFrame:
     """Squares over a projected boundary cut to it: (i, j, cell, area, cx, cy), empty ones left out.
 

@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapanel.operators.distributed import take_by_hash
+from terrapanel.operators.spatial import salted
 from terrapanel.session import cut_lineage
 
 MAX_PIVOTS = 1024
@@ -63,9 +64,12 @@ def feature_neighbours(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     bound = F.aggregate(sides, start, widen)["bound"]
     open_balls = F.filter(known, lambda b: F.col("reach")[b["p"]]["d"] - b["r"] <= F.col("bound") * (1 + 1e-12))
     routed = placed.withColumn("bound", bound).select("vid", "vec", "copies", F.explode(F.transform(open_balls, lambda b: b["p"])).alias("p"))
-    salts = max(1, math.ceil(n / ROUTED_ROWS))
-    left = routed.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(salts)).cast("int"))
-    members = placed.select(F.col("home.p").alias("p"), "vid", "vec", "copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    routed = cut_lineage(routed)
+    # A pivot group is searched in as many pieces as its visitors need.
+    pieces = {r.p: math.ceil(r["count"] / ROUTED_ROWS) for r in routed.groupBy("p").count().collect()}  # one row per pivot
+    spread = F.expr("element_at(map(" + ", ".join(f"{p}, {n}" for p, n in pieces.items()) + "), p)")
+    left = routed.withColumn("salt", F.pmod(F.xxhash64("vid"), spread).cast("int"))
+    members = placed.select(F.col("home.p").alias("p"), "vid", "vec", "copies").withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1)))
 
     def search(rows: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         found = {"vid": [], "d": [], "near": []}
@@ -107,7 +111,8 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int =
     near = feature_neighbours(small.select("vec"), min(k, have - 1), seed)
     quota = small.groupBy(label).agg(F.lit(need % have).cast("long").alias("_quota"))
     shared = take_by_hash(small, "_key", label, quota, seed).withColumn("_times", F.lit(need // have) + F.col("_taken").cast("int"))
-    sources = shared.join(near, "vec").where("_times > 0")
+    left, right = salted(shared.where("_times > 0"), near, F.col("_key"))
+    sources = left.join(right, ["vec", "_salt"]).drop("_salt")
     drawn = sources.withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     which = F.floor(_uniform(F.col("_key"), F.col("_no"), F.lit(seed), F.lit("n")) * F.size("near")).cast("int")
     drawn = drawn.withColumns({"_other": F.col("near")[which], "_u": _uniform(F.col("_key"), F.col("_no"), F.lit(seed), F.lit("u"))})
@@ -116,6 +121,13 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int =
     return original.unionByName(made.select(label, *[F.col("x")[i].alias(c) for i, c in enumerate(features)], F.lit(True).alias("synthetic")))
 
 
+def encode_label(df: DataFrame, label: str, out: str = "label") -> DataFrame:
+    """Numeric labels as they are; other values numbered in alphabetical order."""
+    if dict(df.dtypes)[label] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return df.withColumn(out, F.col(label).cast("double"))
+    return StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc").fit(df).transform(df)
+
+
 def learner(name: str, features: int, label: str, weight: str | None = None, **options):
     """A Spark ML classifier: ``gbt``, ``random_forest``, ``svm`` or ``mlp``."""
     common = {"featuresCol": "features", "labelCol": label}

@@ -115,3 +115,19 @@ def build_examples(incidents: DataFrame, detections: DataFrame, cells: DataFrame
     counts = ["fire_today", "irwin_incidents", "firms_detections", "firms_conf_max"]
     panel = build_panel(densify(cells, first, last), [burned, seen], zero_fill=counts, keys=keys)
     return with_static(panel, cells).select(*keys, *counts, *[c for c in cells.columns if c != "grid_id"])
+
+
+def feature_columns(df: DataFrame, base: Sequence[str], *, optional: Sequence[str] = (), prefixes: Sequence[str] = (), drop: Sequence[str] = ()) -> list[str]:
+    """``base`` plus the optional columns that exist plus every column with one of the prefixes, less ``drop``."""
+    found = [c for c in optional if c in df.columns] + [c for c in df.columns if c.startswith(tuple(prefixes))]
+    return [c for c in dict.fromkeys([*base, *found]) if c not in drop]
+
+
+def align_labels(features: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Features with their labels, matched by key (rows have no position)."""
+    return features.join(labels, list(keys), "inner")
+
+
+def daily_totals(examples: DataFrame, columns: Sequence[str], date: str = "date") -> DataFrame:
+    """Column totals per day, missing values counting 0."""
+    return examples.groupBy(date).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrapanel.functions.columns import with_interactions, with_seasonal
+from terrapanel.functions.columns import in_season, with_interactions, with_seasonal
 from terrapanel.functions.geo import albers_forward
 from terrapanel.operators import qa
 from terrapanel.operators.grid import cell_of
@@ -14,6 +14,7 @@ from terrapanel.operators.panel import (
     build_panel,
     cell_day_count,
     cell_day_mean,
+    daily_totals,
     densify_observed,
     keep_covered,
     merge_factors,
@@ -80,10 +81,11 @@ def build_daily_panel(spark, sf_dir):
     stacked = sites.unionByName(fires, allowMissingColumns=True).unionByName(pixels, allowMissingColumns=True)
     located = cut_lineage(assign_nearest(stacked, cells).drop("lat", "lon", "dist_km"))
     reading, factor = F.col("value"), F.col("factor")
-    ndvi = F.when((factor == "WS10M") & (reading > 100), reading / 500.0)
-    facts = obs.join(located.where("kind = 'site'").select("id", "grid_id"), "id").groupBy("grid_id", "date").agg(
-        *[F.avg(F.when(factor == f, reading)).alias(f) for f in WEATHER], F.avg(ndvi).alias("ndvi")
-    )
+    parts = {f: F.when(factor == f, reading) for f in WEATHER} | {"ndvi": F.when((factor == "WS10M") & (reading > 100), reading / 500.0)}
+    # One row per site and day before any join: a busy site costs no more than a quiet one.
+    daily = obs.groupBy("id", "date").agg(*[agg(v).alias(f"{k}_{n}") for k, agg in (("s", F.sum), ("n", F.count)) for n, v in parts.items()])
+    at_cells = daily.join(located.where("kind = 'site'").select("id", "grid_id"), "id")
+    facts = at_cells.groupBy("grid_id", "date").agg(*[F.try_divide(F.sum(f"s_{n}"), F.sum(f"n_{n}").cast("double")).alias(n) for n in parts])
     fires = cell_day_count(located.where("kind = 'fire'")).select("grid_id", "date", F.lit(1).alias("fire_today"))
     shares = [((F.col("p_type") == c).cast("double") * 100).alias(f"pct_{c}") for c in _CLASSES]
     cover = cell_day_mean(located.where("kind = 'pixel'").select("grid_id", *shares), ["grid_id"])
@@ -207,6 +209,34 @@ def examples_panel(spark, sf_dir):
     return build_examples(_events_on_cells(spark, sf_dir), _detections(spark, sf_dir), _squares(spark, sf_dir), FIRST_DAY, LAST_DAY)
 
 
+@register(
+    "daily_totals",
+    "date:d fire_today:l irwin_incidents:l firms_detections:l",
+    f"""with {_SQUARES}, spots as (select cast({roles.shifted_day_sql('l_shipdate')} as date) as date, {place_sql('l_partkey')} from lineitem where l_quantity >= 49), dxy as ({roles.forward_sql('spots')}),
+    det as (select date, count(*) as n from dxy where cast(floor(x / 5000) as bigint) * 1000000 + cast(floor(y / 5000) as bigint) in (select grid_id from squares) group by 1),
+    inc as (select date, count(*) as n from events_on_cells where grid_id in (select grid_id from squares) group by 1)
+    select l.date, sum(fire_today) as fire_today, coalesce(max(inc.n), 0) as irwin_incidents, coalesce(max(det.n), 0) as firms_detections from label_panel l left join inc on inc.date = l.date left join det on det.date = l.date group by 1""",
+)
+def daily_totals_query(spark, sf_dir):
+    examples = build_examples(_events_on_cells(spark, sf_dir), _detections(spark, sf_dir), _squares(spark, sf_dir), FIRST_DAY, LAST_DAY)
+    return daily_totals(examples, ["fire_today", "irwin_incidents", "firms_detections"])
+
+
+@register(
+    "season_filter",
+    "o_orderkey:l date:d",
+    "select o_orderkey, cast(o_orderdate as date) as date from orders where month(o_orderdate) in (6, 7, 8, 9) and year(o_orderdate) = 1998",
+)
+def season_filter(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").where(in_season(day, 1998, (6, 9))).select("o_orderkey", day.alias("date"))
+
+
+@register("labels_with_coordinates", "date:d grid_id:l fire_today:l centroid_lat:f6 centroid_lon:f6", f"with {_SQUARES} select * from label_panel join squares using (grid_id)")
+def labels_with_coordinates(spark, sf_dir):
+    return with_static(_labels(spark, sf_dir), _squares(spark, sf_dir))
+
+
 # Gaps and windows.
 
 

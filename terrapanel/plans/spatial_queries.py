@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import clip
 from terrapanel.functions.geo import albers_forward, albers_inverse
-from terrapanel.operators.grid import cell_of, centroid_grid, clipped_cells, extent, number_cells, raster_frame
+from terrapanel.operators.grid import assign_to_cells, cell_of, centroid_grid, clipped_cells, extent, number_cells, raster_frame
 from terrapanel.operators.landcover import landcover_fraction
 from terrapanel.operators.neighbors import neighbor_sum, radius_mean
 from terrapanel.operators.panel import build_panel, cell_day_mean, densify, merge_factors
@@ -142,6 +142,27 @@ def grid_ids(spark, sf_dir):
     return numbered.withColumn("number", F.col("cell"))
 
 
+@register(
+    "points_in_clipped_grid",
+    "id:l i:l j:l grid_id:s",
+    f"""{_CLIPPED}, {roles.POINTS}, ids as (select i, j, 'CA5K_' || lpad(cast(row_number() over (order by i, j) - 1 as varchar), 5, '0') as grid_id from clipped),
+    pxy as ({roles.forward_sql('points')}), inside as (select id, cast(floor((x - x0) / 5000) as bigint) as i, cast(floor((y - y0) / 5000) as bigint) as j from pxy cross join box cross join hole
+    where x >= x0 and x < x1 and y >= y0 and y < y1 and not (x >= hx0 and x < hx1 and y >= hy0 and y < hy1)) select * from inside join ids using (i, j)""",
+)
+def points_in_clipped_grid(spark, sf_dir):
+    rings = _framed_boundary(spark, sf_dir)
+    return assign_to_cells(roles.points(spark, sf_dir), number_cells(clipped_cells(rings, 5000.0)), rings)
+
+
+@register(
+    "extent",
+    "x0:f6 y0:f6 x1:f6 y1:f6",
+    f"with {roles.POINTS} select min(lon) as x0, min(lat) as y0, max(lon) as x1, max(lat) as y1 from points",
+)
+def extent_query(spark, sf_dir):
+    return roles.points(spark, sf_dir).agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
+
+
 def _lattice_bbox(spark, sf_dir):
     x0, y0, x1, y1 = extent(roles.cells(spark, sf_dir), "lon", "lat")
     return (x0, y0, x1, y1)
