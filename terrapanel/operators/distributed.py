@@ -8,12 +8,12 @@ buckets in a table with one row per bucket.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapanel.session import shuffle_width
+from terrapanel.session import cut_lineage, shuffle_width
 
 
 def _bucket_side(df: DataFrame) -> int:
@@ -55,7 +55,8 @@ def _all(conditions: Sequence[Column]) -> Column:
 def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], *, group: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Running totals ``out = sum(col)`` along ``order`` (unique per group), the row itself included.
 
-    Integer columns give exact results in any partitioning.
+    Integer columns give exact results in any partitioning.  The input is read three
+    times: pass a table that is cheap to read, such as a materialised aggregate.
     """
     group = list(group)
     bucketed = with_range_bucket(df, group, order)
@@ -87,7 +88,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     Works on distinct values with counts, so repeated values cost one row and no
     reducer ever holds a column.
     """
-    counted = long_values(df, columns).where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("n"))
+    counted = cut_lineage(long_values(df, columns).where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("n")))
     totals = counted.groupBy("name").agg(F.sum("n").alias("_total"))
     ranked = prefix_sums(counted, "value", {"upto": "n"}, group=["name"]).join(F.broadcast(totals), "name")
     wanted = F.array(*[F.lit(float(s)) for s in shares])
@@ -109,21 +110,24 @@ def hash_text(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
 
 
-def take_by_hash(df: DataFrame, key: str, group: str, quota: DataFrame, seed: int) -> DataFrame:
-    """Adds ``_taken``: true for the ``_quota`` rows of each group with the smallest md5(key|seed).
+def take_by_hash(df: DataFrame, key: str, group: str, quota: Callable[[DataFrame], DataFrame], seed: int) -> DataFrame:
+    """Adds ``_taken``: true for the ``_quota`` rows of each class with the smallest md5(key|seed).
 
-    ``quota`` holds (group, _quota), one row per class.  Hash buckets below the cut are
-    taken whole, only the bucket on the cut is ranked, so no task sorts a class.
+    ``quota`` turns class sizes (group, _n) into (group, _quota).  Counting hash slots finds
+    the slot each cut falls into; only that slot's rows are ranked, and the cut itself, one
+    (hash, key) per class, then decides every row where it is.  The rows are never shuffled.
     """
-    hashed = df.withColumn("_hash", hash_text(F.col(key), seed)).withColumn("_slot", F.substring("_hash", 1, 4))
-    slots = hashed.groupBy(group, "_slot").agg(F.count("*").alias("_n"))  # at most 65,536 per class
+    digest = hash_text(F.col(key), seed)
+    hashed = df.select(group, F.col(key).alias("_key"), digest.alias("_hash"), F.substring(digest, 1, 4).alias("_slot"))
+    slots = cut_lineage(hashed.groupBy(group, "_slot").agg(F.count("*").alias("_n")))  # at most 65,536 per class
+    wanted = quota(slots.groupBy(group).agg(F.sum("_n").alias("_n")))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
-    edges = slots.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(quota), group)
-    edges = edges.withColumn("_left", F.col("_quota") - F.col("_before"))
-    state = F.when(F.col("_left") <= 0, 0).when(F.col("_left") >= F.col("_n"), 2).otherwise(1)
-    edges = edges.select(group, "_slot", "_left", state.alias("_state"))
-    marked = hashed.join(F.broadcast(edges), [group, "_slot"])
-    settled = marked.where(F.col("_state") != 1).withColumn("_taken", F.col("_state") == 2)
-    order = Window.partitionBy(group, "_slot").orderBy("_hash", key)
-    cut = marked.where(F.col("_state") == 1).withColumn("_taken", F.row_number().over(order) <= F.col("_left"))
-    return settled.unionByName(cut).select(*df.columns, "_taken")
+    placed = slots.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(wanted), group)
+    placed = placed.withColumn("_left", F.col("_quota") - F.col("_before"))
+    cut_slots = placed.where("_left between 1 and _n").select(group, "_slot", "_left")  # at most one per class
+    order = Window.partitionBy(group, "_slot").orderBy("_hash", "_key")
+    ranked = hashed.join(F.broadcast(cut_slots), [group, "_slot"]).withColumn("_rank", F.row_number().over(order))
+    last = ranked.where("_rank <= _left").groupBy(F.col(group).alias("_class")).agg(F.max(F.struct("_hash", "_key")).alias("_last"))
+    joined = df.join(F.broadcast(last), F.col(group) == F.col("_class"), "left")
+    taken = F.struct(digest.alias("_hash"), F.col(key).alias("_key")) <= F.col("_last")
+    return joined.select(*df.columns, F.coalesce(taken, F.lit(False)).alias("_taken"))

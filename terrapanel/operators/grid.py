@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.columns import bound
 from terrapanel.functions.geo import albers_forward, albers_inverse
 from terrapanel.operators.polygons import clip_ring, ring_moments, within_polygon
+from terrapanel.session import cut_lineage
 
 
 def extent(df: DataFrame, x: str, y: str) -> tuple[float, float, float, float]:
@@ -89,7 +90,8 @@ def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: boo
         start = F.lit(low) + F.col(index) * cell_m
         return start, start + cell_m
 
-    strips = spark.range(nx).withColumnRenamed("id", "i").join(F.broadcast(rings.select("ring_id", "hole", "ring")))
+    outline = rings.select(F.collect_list(F.struct("hole", "ring"))).scalar()  # the boundary itself, one value
+    strips = spark.range(nx).select(F.col("id").alias("i"), F.explode(outline).alias("r")).select("i", "r.hole", "r.ring")
     strips = strips.withColumn("ring", clip_ring(F.col("ring"), x_range=range_of("i", x0)))
     reach = F.aggregate(
         "ring",
@@ -119,6 +121,7 @@ def number_cells(cells: DataFrame, scheme: str = "text", prefix: str = "CA5K_")
     """
     if scheme == "integer":
         return cells.withColumn("grid_id", F.col("cell"))
+    cells = cut_lineage(cells)  # read twice
     per_column = cells.groupBy("i").agg(F.count("*").alias("_n"))  # one row per grid column
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_column.select("i", F.coalesce(before, F.lit(0)).alias("_before"))

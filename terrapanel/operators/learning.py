@@ -109,8 +109,8 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int =
     vector = F.array(*[F.col(c).cast("double") for c in features])
     small = df.where(F.col(label) == minority).select(F.col(key).alias("_key"), F.col(label), vector.alias("vec"))
     near = feature_neighbours(small.select("vec"), min(k, have - 1), seed)
-    quota = small.groupBy(label).agg(F.lit(need % have).cast("long").alias("_quota"))
-    shared = take_by_hash(small, "_key", label, quota, seed).withColumn("_times", F.lit(need // have) + F.col("_taken").cast("int"))
+    remainder = F.lit(need % have).cast("long").alias("_quota")
+    shared = take_by_hash(small, "_key", label, lambda sizes: sizes.select(label, remainder), seed).withColumn("_times", F.lit(need // have) + F.col("_taken").cast("int"))
     left, right = salted(shared.where("_times > 0"), near, F.col("_key"))
     sources = left.join(right, ["vec", "_salt"]).drop("_salt")
     drawn = sources.withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_times"))))

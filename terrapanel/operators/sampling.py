@@ -25,15 +25,17 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: in
     if not exact:
         hashed = F.conv(F.substring(hash_text(F.col(key), seed), 1, 8), 16, 10).cast("double")
         return df.withColumn("is_test", hashed / 4294967296.0 < share)
-    quota = df.groupBy(label).agg(F.floor(F.count("*") * F.lit(float(share)) + 0.5).cast("long").alias("_quota"))
-    return take_by_hash(df, key, label, quota, seed).withColumnRenamed("_taken", "is_test")
+    part = F.floor(F.col("_n") * F.lit(float(share)) + 0.5).cast("long").alias("_quota")
+    return take_by_hash(df, key, label, lambda sizes: sizes.select(label, part), seed).withColumnRenamed("_taken", "is_test")
 
 
 def downsample(df: DataFrame, label: str, key: str, ratio: int = 20, seed: int = 42) -> DataFrame:
     """All positives and ``ratio`` times as many negatives (all of them if fewer)."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))  # one row per class
-    pos = sizes.agg(F.coalesce(F.sum(F.when(F.col(label) == 1, F.col("_n"))), F.lit(0))).scalar()
-    quota = sizes.select(label, F.when(F.col(label) == 1, F.col("_n")).otherwise(F.least(F.col("_n"), pos * ratio)).alias("_quota"))
+
+    def quota(sizes: DataFrame) -> DataFrame:
+        positives = sizes.agg(F.coalesce(F.sum(F.when(F.col(label) == 1, F.col("_n"))), F.lit(0))).scalar()
+        return sizes.select(label, F.when(F.col(label) == 1, F.col("_n")).otherwise(F.least(F.col("_n"), positives * ratio)).alias("_quota"))
+
     return take_by_hash(df, key, label, quota, seed).where("_taken").drop("_taken")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.geo import EARTH_RADIUS_KM, haversine_km, haversine_km_text, num
-from terrapanel.session import BROADCAST_ROWS
+from terrapanel.session import BROADCAST_ROWS, cut_lineage
 
 MIN_LEVEL, MAX_LEVEL = 2, 24
 MAX_ROOTS = 64  # buckets at the top of the tree
@@ -104,7 +104,10 @@ class CellIndex:
 
 
 def index_cells(cells: DataFrame, cell_id: str = "grid_id", lat: str = "lat", lon: str = "lon", *, by_position: bool = True) -> CellIndex:
-    """Measure a cell dimension; with ``by_position`` the lowest id stands for all cells at one position."""
+    """Measure a cell dimension; with ``by_position`` the lowest id stands for all cells at one position.
+
+    The distinct cells are written once: every join below reads them several times.
+    """
     located = cells.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         F.col(cell_id).alias("_cell"), F.col(lat).cast("double").alias("_clat"), F.col(lon).cast("double").alias("_clon")
     )
@@ -112,6 +115,7 @@ def index_cells(cells: DataFrame, cell_id: str = "grid_id", lat: str = "lat", lo
         located = located.groupBy("_clat", "_clon").agg(F.min("_cell").alias("_cell")).select("_cell", "_clat", "_clon")
     else:
         located = located.distinct()
+    located = cut_lineage(located)
     keys = ", ".join(f"struct({lv} as level, {bucket_text('_clat', '_clon', lv)} as key)" for lv in range(MIN_LEVEL, MAX_LEVEL + 1))
     counts = located.select(F.expr(f"explode(array({keys}))").alias("b")).groupBy("b.level", "b.key").agg(F.count("*").alias("n"))
     stats = counts.groupBy("level").agg(F.count("*").alias("occupied"), F.max("n").alias("fullest"), F.sum("n").alias("rows"))
