@@ -152,15 +152,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     found = find_contamination(docs, benchmark, doc_id, text, size, item_id, item_text).where(F.size("hits") > 0).select("_ka", "_kb", "hits")
     found = cut_lineage(found.dropDuplicates(["_ka", "_kb"]))
     small = send_if_small(found, F.lit(64) + 8 * F.size("hits"))
-    keyed = docs.select("*", *identity(doc_id, text))
+    # The row travels as one value, so that its columns may have any names.
+    keyed = docs.select(F.struct(*[F.col(f"`{n}`").alias(n) for n in names]).alias("_row"), *identity(doc_id, text))
     if remove == "documents":
-        return keyed.join(small, ["_ka", "_kb"], "left_anti").select(*[F.col(f"`{n}`") for n in names])
+        return keyed.join(small, ["_ka", "_kb"], "left_anti").select("_row.*")
     joined = keyed.join(small, ["_ka", "_kb"], "left")
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"([{_BETWEEN}]*[^{_BETWEEN}]+)"), F.lit(1))
-    tail = F.regexp_extract(F.col(text), f"([{_BETWEEN}]*)$", 1)
+    whole = F.col("_row")[text]
+    pieces = F.regexp_extract_all(whole, F.lit(f"([{_BETWEEN}]*[^{_BETWEEN}]+)"), F.lit(1))
+    tail = F.regexp_extract(whole, f"([{_BETWEEN}]*)$", 1)
     left = F.filter(pieces, lambda x, i: ~F.exists("hits", lambda h: (h["start"] <= i) & (i < h["end"])))
-    cleaned = F.when(F.col("hits").isNull(), F.col(text)).otherwise(F.concat(F.array_join(left, ""), tail))
-    return joined.select(*[cleaned.alias(n) if n == text else F.col(f"`{n}`") for n in names])
+    cleaned = F.when(F.col("hits").isNull(), whole).otherwise(F.concat(F.array_join(left, ""), tail))
+    return joined.select(*[(cleaned if n == text else F.col("_row")[n]).alias(n) for n in names])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:

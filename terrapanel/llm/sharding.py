@@ -26,24 +26,28 @@ def _record_bytes(text: Column) -> Column:
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` plus ``_shard`` (0 to shards-1) and ``_slot`` (0, 1, ... in each shard).
 
+    Columns of those two names in the input are replaced.
+
     A record's bucket follows from the seed, its id and its text.  Rows equal in
     both would meet in one bucket; where that makes a bucket larger than memory
     allows, the rows' positions in the input are hashed too.  NULL ids and texts
     are records like others; an empty table gives an empty table.
     """
-    names = docs.columns
+    names = [n for n in docs.columns if n not in ("_shard", "_slot")]
     size = _record_bytes(F.col(text))
     total, longest = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
     content = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    keyed = docs.withColumn("_bucket", F.pmod(content, F.lit(buckets)).cast("int")).withColumn("_size", size)
+    # The record travels as one value, so that its columns may have any names.
+    record = F.struct(content.alias("_order"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("_record")
+    keyed = docs.select(F.pmod(content, F.lit(buckets)).cast("int").alias("_bucket"), size.alias("_size"), record)
     sizes = keyed.groupBy("_bucket").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     sizes = cut_lineage(sizes)
     largest = sizes.agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("m")).first()["m"]
     if largest > SLACK * bucket_bytes + longest:
         # Equal records by the memory-full: scatter by place as well, once, into a stored table.
-        placed = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-        keyed = cut_lineage(docs.withColumn("_bucket", placed).withColumn("_size", size))
+        placed = F.pmod(F.xxhash64(content, F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
+        keyed = cut_lineage(docs.select(placed.alias("_bucket"), size.alias("_size"), record))
         sizes = cut_lineage(keyed.groupBy("_bucket").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
 
     # How many records the buckets before hold: prefix sums over blocks, so that no task sees all buckets.
@@ -54,8 +58,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id
     starts = sizes.withColumn("_block", block).withColumn("_in", F.coalesce(F.sum("rows").over(inner), F.lit(0))).join(F.broadcast(blocks), "_block")
     starts = cut_lineage(starts.select("_bucket", (F.col("_before") + F.col("_in")).cast("long").alias("_start")))
 
-    record = F.struct(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_order"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
-    scattered = keyed.select("_bucket", record.alias("_record")).repartition(buckets, "_bucket").sortWithinPartitions("_bucket")
+    scattered = keyed.select("_bucket", "_record").repartition(buckets, "_bucket").sortWithinPartitions("_bucket")
     # Sorting first makes the outcome of the seeded shuffle independent of the order of arrival.
     held = scattered.groupBy("_bucket").agg(F.collect_list("_record").alias("_all"))
     ordered = F.array_sort("_all", lambda a, b: F.when(a["_order"] < b["_order"], F.lit(-1)).when(a["_order"] > b["_order"], F.lit(1)).otherwise(F.lit(0)))

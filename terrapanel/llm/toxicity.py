@@ -92,7 +92,7 @@ def train(terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int
     slot_of = np.full(TERMS, -1, dtype=np.int32)
     slot_of[kept] = np.arange(len(kept))
     rng = np.random.default_rng(seed)
-    rate = (labels.sum() + 0.5) / (len(labels) + 1.0)
+    rate = (labels.sum() + 0.5) / (len(labels) + 2.0)
     fm = FactorizationMachine(float(np.log(rate / (1 - rate))), np.zeros(max(len(kept), 1)), 0.05 * rng.standard_normal((max(len(kept), 1), FACTORS)), slot_of)
     if not len(kept):
         return fm
@@ -144,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = cut_lineage(bounded_sample(own, F.col("_id"), max_docs))
     # The sample's ids: ``max_docs`` at most, give or take the hash.
-    rows = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_id"])
-    rows = rows.select(F.xxhash64("_id").alias("order"), "label", term_keys(F.col(text)).alias("terms"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = rows.select(F.xxhash64("_id").alias("order"), "label", term_keys(F.col("_text")).alias("terms"))
     table = rows.mapInArrow(_collect_terms, "order bigint, label int, terms array<int>").toArrow()
     table = table.sort_by("order")
     values, offsets = flat_lists(table.column("terms"))
