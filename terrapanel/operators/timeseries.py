@@ -132,12 +132,31 @@ def vegetation_features(df: DataFrame, key=("latitude", "longitude"), order: str
     return df.withColumn(f"{col}_drop", F.col(f"{col}_7d_mean") - F.col(f"{col}_21d_mean"))
 
 
+def densify_cube(df: DataFrame, *, lat: str = "latitude", lon: str = "longitude", date: str = "date") -> DataFrame:
+    """Every (date, lat, lon) of the axes seen in ``df``, its columns NULL where it has no row.
+
+    The longitudes start the rows; days and latitudes, which are as many as the
+    calendar and one meridian hold, are generated inside each.  Rows with a NULL
+    coordinate have no place in the cube and are left out.
+    """
+    known = df.na.drop(subset=[date, lat, lon])
+    axes = known.agg(F.sort_array(F.collect_set(date)).alias("_days"), F.sort_array(F.collect_set(lat)).alias("_lats"))
+    axes = axes.select(F.struct("_days", "_lats").alias("_axes")).scalar()
+    columns = known.select(lon).distinct().withColumn(lat, F.explode(axes["_lats"])).withColumn(date, F.explode(axes["_days"]))
+    rest = [c for c in df.columns if c not in (date, lat, lon)]
+    stacked = columns.select(date, lat, lon, F.lit(True).alias("_dense")).unionByName(known, allowMissingColumns=True)
+    merged = stacked.groupBy(date, lat, lon).agg(*[F.max(c).alias(c) for c in rest])
+    return merged.select(*df.columns)
+
+
 def fill_cube(df: DataFrame, col: str, out: str, *, lat: str = "latitude", lon: str = "longitude", date: str = "date") -> DataFrame:
-    """Fill a dense (date, lat, lon) cube: in time, then nearest along latitude, then along longitude.
+    """Fill a (date, lat, lon) cube: in time, then nearest along latitude, then along longitude.
 
-    Interior only, ties to the lower coordinate; positions that never had a value stay NULL.
+    Absent places are added first: what is filled into them along a meridian counts
+    when their parallel is filled.  Interior only, ties to the lower coordinate;
+    positions that never had a value stay NULL.
     """
-    timed = fill_time(df, [lat, lon], date, col, "_t", limit=None, ends=False)
+    timed = fill_time(densify_cube(df, lat=lat, lon=lon, date=date), [lat, lon], date, col, "_t", limit=None, ends=False)
     ever = F.max(F.col(col).isNotNull()).over(Window.partitionBy(lat, lon))
     timed = timed.withColumn("_ever", ever)
     down = fill_nearest_along(timed, [date, lon], lat, "_t", "_u")

@@ -200,9 +200,10 @@ def units_strip_cast(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k, strip_units(text).alias("elev"))
 
 
-@register("alias_resolve", "lat:f6 lon:f6 date:d", f"with {roles.INCIDENTS} select lat, lon, date from incidents")
+@register("alias_resolve", "lat:f6 lon:f6 date:d", f"select lat, lon, date from (select cast(o_orderdate as date) as date, {place_sql('o_custkey')} from orders)")
 def alias_resolve(spark, sf_dir):
-    renamed = roles.incidents(spark, sf_dir).select(F.col("lat").alias("InitialLatitude"), F.col("lon").alias("Longitude"), F.col("date").alias("discovery_date"))
+    spot = place("o_custkey")
+    renamed = _orders(spark, sf_dir).select(spot["lat"].alias("InitialLatitude"), spot["lon"].alias("Longitude"), F.col("o_orderdate").cast("date").alias("discovery_date"))
     return resolve_columns(renamed, ALIASES, required=("lat", "lon", "date"))
 
 
@@ -280,18 +281,18 @@ def file_factor(spark, sf_dir):
     "variable:s month_start:d month_end:d tile:s",
     """with lim as (select date_trunc('month', min(o_orderdate)) as a, date_trunc('month', max(o_orderdate)) as b from orders),
     m as (select cast(unnest(generate_series(a, b, interval 1 month)) as date) as month_start from lim),
-    want as (select v.variable, m.month_start, t.tile from (select distinct o_orderpriority as variable from orders) v cross join m cross join (values ('tile1'), ('tile2')) t(tile) where month(month_start) between 6 and 9),
-    have as (select distinct o_orderpriority as variable, cast(date_trunc('month', o_orderdate) as date) as month_start, 'tile' || (1 + o_orderkey % 2) as tile from orders where o_totalprice > 450000)
+    want as (select v.variable, m.month_start, t.tile from (select distinct o_orderpriority as variable from orders) v cross join m cross join (values ('tile1'), ('tile2'), ('tile3')) t(tile) where month(month_start) between 6 and 9),
+    have as (select distinct o_orderpriority as variable, cast(date_trunc('month', o_orderdate) as date) as month_start, 'tile' || (1 + o_orderkey % 2) as tile from orders)
     select w.variable, w.month_start, last_day(w.month_start) as month_end, w.tile from want w where not exists (select 1 from have h where h.variable = w.variable and h.month_start = w.month_start and h.tile = w.tile)""",
 )
 def partition_manifest_query(spark, sf_dir):
     orders = _orders(spark, sf_dir)
     first, last = orders.agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
     variables = orders.select(F.col("o_orderpriority").alias("variable")).distinct()
-    landed = orders.where("o_totalprice > 450000").select(
+    landed = orders.select(
         F.col("o_orderpriority").alias("variable"), F.trunc("o_orderdate", "month").alias("month_start"), F.concat(F.lit("tile"), F.col("o_orderkey") % 2 + 1).alias("tile")
     )
-    return partition_manifest(variables, ["tile1", "tile2"], [6, 7, 8, 9], landed, first=F.lit(first), last=F.lit(last))
+    return partition_manifest(variables, ["tile1", "tile2", "tile3"], [6, 7, 8, 9], landed, first=F.lit(first), last=F.lit(last))
 
 
 @register(

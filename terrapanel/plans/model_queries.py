@@ -202,7 +202,7 @@ def _learning_frame(spark, sf_dir):
     obs = roles.observations(spark, sf_dir)
     wide = merge_factors(cell_day_mean(obs, ["grid_id", "date", "factor"], ["value"]), ["grid_id", "date"], "factor", "value", WEATHER, how="outer")
     cells = obs.select("grid_id").distinct()
-    panel = build_panel(densify(cells, roles.FIRST_DAY, roles.LAST_DAY), [wide])
+    panel = build_panel(densify(cells, *roles.calendar_span(spark, sf_dir)), [wide])
     panel = panel.withColumn("fire_today", F.coalesce((F.col("PS") > 60).cast("int"), F.lit(0)))
     panel = rolling_rows(panel, "grid_id", "date", [("T2M", 3, "mean", "T2M_3d_mean")])
     panel = event_history(panel, "grid_id", "date", "fire_today", {"fires_last_7d": 7}, include_current=False)

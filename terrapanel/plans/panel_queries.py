@@ -24,7 +24,7 @@ from terrapanel.operators.spatial import assign_nearest
 from terrapanel.operators.timeseries import event_history, fill_linear, fill_time, missing_streak, rolling_days, rolling_rows, vegetation_features
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
-from terrapanel.plans.roles import FIRST_DAY, LAST_DAY, WEATHER, place, place_sql, table
+from terrapanel.plans.roles import WEATHER, calendar_span, place, place_sql, table
 from terrapanel.session import cut_lineage
 
 _FACTOR_SHAPE = " ".join(f"{f}:f6" for f in WEATHER)
@@ -60,7 +60,7 @@ def factor_outer_merge(spark, sf_dir):
 _PANEL = f"""{roles.CELLS}, {roles.OBS}, sites as (select grid_id as id, {place_sql('grid_id')} from (select distinct grid_id from obs)),
 {roles.nearest_sql('sites', 'id', 'site_at')}, located as (select a.grid_id, o.date, o.factor, o.value from obs o join site_at a on a.id = o.grid_id),
 weather as (select grid_id, date, {', '.join(f"avg(value) filter (where factor = '{f}') as {f}" for f in WEATHER)} from located group by 1, 2),
-veg as (select grid_id, date, avg(value / 500e0) as ndvi from located where factor = 'WS10M' and value > 100 group by 1, 2),
+veg as (select grid_id, date, avg(value / 500e0) as ndvi from located where factor = 'WS10M' group by 1, 2),
 {roles.INCIDENTS}, {roles.nearest_sql('incidents', 'id', 'fire_at')}, fires as (select grid_id, date, 1 as fire_today from fire_at group by 1, 2),
 lc as (select p_partkey as id, p_type, {place_sql('p_partkey')} from part), {roles.nearest_sql('lc', 'id', 'lc_at')},
 cover as (select grid_id, {', '.join(f"100e0 * count(*) filter (where p_type = '{c}') / count(*) as pct_{c}" for c in _CLASSES)} from lc_at group by 1),
@@ -81,7 +81,7 @@ def build_daily_panel(spark, sf_dir):
     stacked = sites.unionByName(fires, allowMissingColumns=True).unionByName(pixels, allowMissingColumns=True)
     located = cut_lineage(assign_nearest(stacked, cells).drop("lat", "lon", "dist_km"))
     reading, factor = F.col("value"), F.col("factor")
-    parts = {f: F.when(factor == f, reading) for f in WEATHER} | {"ndvi": F.when((factor == "WS10M") & (reading > 100), reading / 500.0)}
+    parts = {f: F.when(factor == f, reading) for f in WEATHER} | {"ndvi": F.when(factor == "WS10M", reading / 500.0)}
     # One row per site and day before any join: a busy site costs no more than a quiet one.
     daily = obs.groupBy("id", "date").agg(*[agg(v).alias(f"{k}_{n}") for k, agg in (("s", F.sum), ("n", F.count)) for n, v in parts.items()])
     at_cells = daily.join(located.where("kind = 'site'").select("id", "grid_id"), "id")
@@ -180,7 +180,7 @@ def _events_on_cells(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    return build_labels(_events_on_cells(spark, sf_dir), _squares(spark, sf_dir), FIRST_DAY, LAST_DAY)
+    return build_labels(_events_on_cells(spark, sf_dir), _squares(spark, sf_dir), *calendar_span(spark, sf_dir))
 
 
 @register("label_panel", "date:d grid_id:l fire_today:l", f"with {_SQUARES} select * from label_panel")
@@ -189,9 +189,9 @@ def label_panel(spark, sf_dir):
 
 
 def _detections(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49)
+    items = table(spark, sf_dir, "lineitem")
     code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    spots = items.select(roles.shifted_day(F.col("l_shipdate")).cast("date").alias("date"), code.alias("conf"), *[c.alias(n) for n, c in place("l_partkey").items()])
+    spots = items.select(roles.shifted_day(spark, sf_dir, F.col("l_shipdate")).cast("date").alias("date"), code.alias("conf"), *[c.alias(n) for n, c in place("l_partkey").items()])
     return _square(spots).select("date", "grid_id", "conf")
 
 
@@ -199,26 +199,26 @@ def _detections(spark, sf_dir):
     "examples_panel",
     "date:d grid_id:l fire_today:l irwin_incidents:l firms_detections:l firms_conf_max:l centroid_lat:f6 centroid_lon:f6",
     f"""with {_SQUARES}, spots as (select cast({roles.shifted_day_sql('l_shipdate')} as date) as date, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as conf, {place_sql('l_partkey')}
-      from lineitem where l_quantity >= 49), dxy as ({roles.forward_sql('spots')}),
+      from lineitem), dxy as ({roles.forward_sql('spots')}),
     det as (select date, cast(floor(x / 5000) as bigint) * 1000000 + cast(floor(y / 5000) as bigint) as grid_id, count(*) as firms_detections, max(conf) as firms_conf_max from dxy group by 1, 2),
     inc as (select date, grid_id, count(*) as irwin_incidents from events_on_cells group by 1, 2)
     select l.date, l.grid_id, fire_today, coalesce(irwin_incidents, 0) as irwin_incidents, coalesce(firms_detections, 0) as firms_detections, coalesce(firms_conf_max, 0) as firms_conf_max, centroid_lat, centroid_lon
     from label_panel l left join inc on inc.date = l.date and inc.grid_id = l.grid_id left join det on det.date = l.date and det.grid_id = l.grid_id join squares s on s.grid_id = l.grid_id""",
 )
 def examples_panel(spark, sf_dir):
-    return build_examples(_events_on_cells(spark, sf_dir), _detections(spark, sf_dir), _squares(spark, sf_dir), FIRST_DAY, LAST_DAY)
+    return build_examples(_events_on_cells(spark, sf_dir), _detections(spark, sf_dir), _squares(spark, sf_dir), *calendar_span(spark, sf_dir))
 
 
 @register(
     "daily_totals",
     "date:d fire_today:l irwin_incidents:l firms_detections:l",
-    f"""with {_SQUARES}, spots as (select cast({roles.shifted_day_sql('l_shipdate')} as date) as date, {place_sql('l_partkey')} from lineitem where l_quantity >= 49), dxy as ({roles.forward_sql('spots')}),
+    f"""with {_SQUARES}, spots as (select cast({roles.shifted_day_sql('l_shipdate')} as date) as date, {place_sql('l_partkey')} from lineitem), dxy as ({roles.forward_sql('spots')}),
     det as (select date, count(*) as n from dxy where cast(floor(x / 5000) as bigint) * 1000000 + cast(floor(y / 5000) as bigint) in (select grid_id from squares) group by 1),
     inc as (select date, count(*) as n from events_on_cells where grid_id in (select grid_id from squares) group by 1)
     select l.date, sum(fire_today) as fire_today, coalesce(max(inc.n), 0) as irwin_incidents, coalesce(max(det.n), 0) as firms_detections from label_panel l left join inc on inc.date = l.date left join det on det.date = l.date group by 1""",
 )
 def daily_totals_query(spark, sf_dir):
-    examples = build_examples(_events_on_cells(spark, sf_dir), _detections(spark, sf_dir), _squares(spark, sf_dir), FIRST_DAY, LAST_DAY)
+    examples = build_examples(_events_on_cells(spark, sf_dir), _detections(spark, sf_dir), _squares(spark, sf_dir), *calendar_span(spark, sf_dir))
     return daily_totals(examples, ["fire_today", "irwin_incidents", "firms_detections"])
 
 
@@ -284,20 +284,16 @@ def event_history_query(spark, sf_dir):
     return event_history(labels, "grid_id", "date", "fire_today", {"fires_before_7d": 7}, include_current=False)
 
 
-_SPARSE = f"{roles.OBS}, daily as (select grid_id, date, avg(value) / 500e0 as ndvi from obs where factor in ('T2M', 'PS') group by 1, 2)"
-
-
 @register(
     "rolling_days",
     "grid_id:l date:d mean7:f6 mean21:f6 drop:f6",
-    f"""with {_SPARSE}, r as (select grid_id, date, case when count(ndvi) over w7 >= 3 then avg(ndvi) over w7 end as mean7, case when count(ndvi) over w21 >= 7 then avg(ndvi) over w21 end as mean21 from daily
+    f"""with {roles.DAILY}, r as (select grid_id, date, case when count(ndvi) over w7 >= 3 then avg(ndvi) over w7 end as mean7, case when count(ndvi) over w21 >= 7 then avg(ndvi) over w21 end as mean21 from daily
     window w7 as (partition by grid_id order by date range between interval 6 days preceding and current row), w21 as (partition by grid_id order by date range between interval 20 days preceding and current row))
     select *, mean7 - mean21 as drop from r""",
 )
 def rolling_days_query(spark, sf_dir):
     """Calendar windows over sparse rows: days without a reading have no row."""
-    sparse = roles.observations(spark, sf_dir).where(F.col("factor").isin("T2M", "PS")).groupBy("grid_id", "date").agg((F.avg("value") / 500.0).alias("ndvi"))
-    rolled = rolling_days(sparse, "grid_id", "date", [("ndvi", 7, 3, "mean7"), ("ndvi", 21, 7, "mean21")])
+    rolled = rolling_days(roles.daily_series(spark, sf_dir), "grid_id", "date", [("ndvi", 7, 3, "mean7"), ("ndvi", 21, 7, "mean21")])
     return rolled.withColumn("drop", F.col("mean7") - F.col("mean21"))
 
 
@@ -360,10 +356,10 @@ def positive_rate(spark, sf_dir):
 @register(
     "qa_completeness",
     "cells:l days:l label_rows:l expected_rows:l complete:b",
-    f"with {_SQUARES} select (select count(*) from squares) as cells, 30 as days, count(*) as label_rows, (select count(*) from squares) * 30 as expected_rows, count(*) = (select count(*) from squares) * 30 as complete from label_panel",
+    f"with {_SQUARES} select (select count(*) from squares) as cells, (select count(*) from days) as days, count(*) as label_rows, (select count(*) from squares) * (select count(*) from days) as expected_rows, count(*) = (select count(*) from squares) * (select count(*) from days) as complete from label_panel",
 )
 def qa_completeness(spark, sf_dir):
-    return qa.completeness(_labels(spark, sf_dir), _squares(spark, sf_dir), FIRST_DAY, LAST_DAY)
+    return qa.completeness(_labels(spark, sf_dir), _squares(spark, sf_dir), *calendar_span(spark, sf_dir))
 
 
 @register(
@@ -374,7 +370,7 @@ def qa_completeness(spark, sf_dir):
 )
 def qa_missing_days(spark, sf_dir):
     obs = roles.observations(spark, sf_dir)
-    return qa.missing_cell_days(obs.select("grid_id", "date").distinct(), obs.select("grid_id"), FIRST_DAY, LAST_DAY)
+    return qa.missing_cell_days(obs.select("grid_id", "date").distinct(), obs.select("grid_id"), *calendar_span(spark, sf_dir))
 
 
 # Deliberately flawed labels: orders as label rows, two thirds of the values valid, some cells unknown.
@@ -425,7 +421,7 @@ def qa_violations(spark, sf_dir):
 def qa_overview(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     kind = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
-    return qa.source_overview(orders.select(roles.shifted_day(F.col("o_orderdate")).cast("date").alias("date"), F.col("o_orderstatus").alias("state"), kind.alias("type")))
+    return qa.source_overview(orders.select(roles.shifted_day(spark, sf_dir, F.col("o_orderdate")).cast("date").alias("date"), F.col("o_orderstatus").alias("state"), kind.alias("type")))
 
 
 @register(

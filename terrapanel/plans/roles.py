@@ -1,14 +1,15 @@
 """Views that give the given tables the roles of the panel inputs, in Spark and in SQL.
 
-Positions follow from keys by fixed arithmetic: cells on a 0.05-degree lattice,
-points spread evenly over the lattice's surroundings.
+Every row of a table takes its role: positions follow from keys by fixed
+arithmetic that spreads them evenly, the calendar spans the readings.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from terrapanel.operators.panel import build_panel, densify
 
@@ -16,7 +17,6 @@ from terrapanel.operators.panel import build_panel, densify
 STEP_LON, STEP_LAT = 0.7548776662466927, 0.5698402909980532
 FACTORS = {"click": "PRECTOTCORR", "error": "PS", "purchase": "RH2M", "signup": "T2M", "view": "WS10M"}
 WEATHER = list(FACTORS.values())
-FIRST_DAY, LAST_DAY = "2024-01-01", "2024-01-30"
 BBOX = (-124.48, 32.53, -123.15, 34.5)
 
 # A concave outline with a hole, degrees.
@@ -26,15 +26,15 @@ OUTLINE = [
 ]
 
 
-_SCHEMAS: dict[str, StructType] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; its schema is looked up in the files once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+def calendar_span(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """First and last day of the readings: one row."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts").cast("date"), F.max("ts").cast("date")).first()
+    return first, last
 
 
 def spread(low: float, width: float, key: str, step: float) -> Column:
@@ -53,8 +53,8 @@ def terrain_place(key: str) -> tuple[Column, Column]:
 
 def place_sql(key: str) -> str:
     return (
-        f"32.4e0 + 2.2e0 * ({key} * {STEP_LAT}e0 - floor({key} * {STEP_LAT}e0)) as lat, "
-        f"-124.6e0 + 1.5e0 * ({key} * {STEP_LON}e0 - floor({key} * {STEP_LON}e0)) as lon"
+        f"32.4e0 + 2.2e0 * (({key}) * {STEP_LAT}e0 - floor(({key}) * {STEP_LAT}e0)) as lat, "
+        f"-124.6e0 + 1.5e0 * (({key}) * {STEP_LON}e0 - floor(({key}) * {STEP_LON}e0)) as lon"
     )
 
 
@@ -70,16 +70,12 @@ def outline_edges_sql() -> str:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    spots = table(spark, sf_dir, "supplier").select(
-        k, (F.lit(32.5) + F.floor(k / 25.0) % 400 * F.lit(0.05)).alias("lat"), (F.lit(-124.5) + k % 25 * F.lit(0.05)).alias("lon")
-    )
-    return spots.groupBy("lat", "lon").agg(F.min("s_suppkey").alias("grid_id")).select("grid_id", "lat", "lon")
+    """One cell for each supplier, between the places of the points."""
+    spot = place("s_suppkey + 0.5D")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("grid_id"), *[c.alias(n) for n, c in spot.items()])
 
 
-CELLS = """cells as (select min(s_suppkey) as grid_id, lat, lon from (
-  select s_suppkey, 32.5e0 + (cast(floor(s_suppkey / 25e0) as bigint) % 400) * 0.05e0 as lat, -124.5e0 + (s_suppkey % 25) * 0.05e0 as lon
-  from supplier) group by lat, lon)"""
+CELLS = f"cells as (select s_suppkey as grid_id, {place_sql('s_suppkey + 0.5e0')} from supplier)"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,32 +99,43 @@ _FACTOR_CASE = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v i
 OBS = f"obs as (select user_id as grid_id, cast(ts as date) as date, {_FACTOR_CASE} as factor, value from events)"
 
 
+def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grid_id, date, ndvi): the days of every series that were read; one series for each site and factor."""
+    obs = observations(spark, sf_dir)
+    number = F.col("grid_id") * len(WEATHER) + F.array_position(F.array(*[F.lit(f) for f in WEATHER]), F.col("factor")) - 1
+    return obs.groupBy(number.cast("long").alias("grid_id"), "date").agg((F.avg("value") / 500.0).alias("ndvi"))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grid_id, date, ndvi): one row per series and calendar day, NULL where nothing was read."""
-    daily = observations(spark, sf_dir).where(F.col("factor").isin("T2M", "PS")).groupBy("grid_id", "date").agg((F.avg("value") / 500.0).alias("ndvi"))
-    cells_ = table(spark, sf_dir, "events").select(F.col("user_id").alias("grid_id")).distinct()
-    return build_panel(densify(cells_, FIRST_DAY, LAST_DAY), [daily])
+    daily = daily_series(spark, sf_dir)
+    return build_panel(densify(daily.select("grid_id").distinct(), *calendar_span(spark, sf_dir)), [daily])
 
 
-CALENDAR = f"days as (select cast(unnest(generate_series(date '{FIRST_DAY}', date '{LAST_DAY}', interval 1 day)) as date) as date)"
-SERIES = f"""{OBS}, {CALENDAR}, daily as (select grid_id, date, avg(value) / 500e0 as ndvi from obs where factor in ('T2M', 'PS') group by 1, 2),
-series as (select c.grid_id, d.date, daily.ndvi from (select distinct grid_id from obs) c cross join days d left join daily on daily.grid_id = c.grid_id and daily.date = d.date)"""
+_FIRST_SQL = "(select cast(min(ts) as date) from events)"
+_DAYS_SQL = "(select date_diff('day', cast(min(ts) as date), cast(max(ts) as date)) + 1 from events)"
+CALENDAR = "days as (select cast(unnest(generate_series(d0, d1, interval 1 day)) as date) as date from (select cast(min(ts) as date) as d0, cast(max(ts) as date) as d1 from events))"
+DAILY = f"""{OBS}, daily as (select grid_id * {len(WEATHER)} + list_position([{', '.join(f"'{f}'" for f in WEATHER)}], factor) - 1 as grid_id, date, avg(value) / 500e0 as ndvi
+from obs group by 1, 2)"""
+SERIES = f"""{DAILY}, {CALENDAR},
+series as (select c.grid_id, d.date, daily.ndvi from (select distinct grid_id from daily) c cross join days d left join daily on daily.grid_id = c.grid_id and daily.date = d.date)"""
 
 
-def shifted_day(day: Column) -> Column:
-    """Order days folded into the readings' calendar."""
-    return F.date_add(F.lit(FIRST_DAY).cast("date"), (F.datediff(day, F.lit("1995-01-01").cast("date")) % 30).cast("int"))
+def shifted_day(spark: SparkSession, sf_dir: str, day: Column) -> Column:
+    """Order days laid out in turn over the readings' calendar."""
+    first, last = calendar_span(spark, sf_dir)
+    return F.date_add(F.lit(first), (F.datediff(day, F.lit("1995-01-01").cast("date")) % ((last - first).days + 1)).cast("int"))
 
 
 def shifted_day_sql(day: str) -> str:
-    return f"(date '{FIRST_DAY}' + cast(date_diff('day', date '1995-01-01', cast({day} as date)) % 30 as integer))"
+    return f"({_FIRST_SQL} + cast(date_diff('day', date '1995-01-01', cast({day} as date)) % {_DAYS_SQL} as integer))"
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, date, lat, lon) of urgent finished orders."""
     orders = table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
     where = place("o_custkey")
-    return orders.select(F.col("o_orderkey").alias("id"), shifted_day(F.col("o_orderdate")).cast("date").alias("date"), *[c.alias(n) for n, c in where.items()])
+    return orders.select(F.col("o_orderkey").alias("id"), shifted_day(spark, sf_dir, F.col("o_orderdate")).cast("date").alias("date"), *[c.alias(n) for n, c in where.items()])
 
 
 INCIDENTS = f"""incidents as (select o_orderkey as id, cast({shifted_day_sql('o_orderdate')} as date) as date, {place_sql('o_custkey')}

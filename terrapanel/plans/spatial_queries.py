@@ -13,7 +13,7 @@ from terrapanel.operators.panel import build_panel, cell_day_mean, densify, merg
 from terrapanel.operators.polygons import RINGS_SCHEMA, within_polygon
 from terrapanel.operators.spatial import assign_nearest, index_cells, knn_edges, radius_edges
 from terrapanel.operators.terrain import terrain
-from terrapanel.operators.timeseries import event_history, fill_cube, fill_time
+from terrapanel.operators.timeseries import densify_cube, event_history, fill_cube, fill_time
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
 from terrapanel.plans.roles import place, place_sql, table
@@ -329,7 +329,7 @@ def _history(spark, sf_dir):
     index = index_cells(cells)
     at = assign_nearest(roles.incidents(spark, sf_dir), index)
     fires = at.groupBy("grid_id", "date").agg(F.lit(1).alias("fire_today"))
-    panel = build_panel(densify(cells, roles.FIRST_DAY, roles.LAST_DAY), [fires], zero_fill=["fire_today"])
+    panel = build_panel(densify(cells, *roles.calendar_span(spark, sf_dir)), [fires], zero_fill=["fire_today"])
     return cells, event_history(panel, "grid_id", "date", "fire_today", {"fires_last_7d": 7, "fires_last_14d": 14})
 
 
@@ -374,15 +374,10 @@ def radius_mean_query(spark, sf_dir):
 
 
 def _cube(spark, sf_dir):
-    """Dense (date, latitude, longitude, ndvi) cube of sparse readings; every 50 positions form a meridian."""
-    daily = (
-        table(spark, sf_dir, "events").where(F.col("event_type") == "view").groupBy(F.col("user_id").alias("grid_id"), F.col("ts").cast("date").alias("date"))
-        .agg((F.avg("value") / 500.0).alias("ndvi"))
-    )
-    spots = table(spark, sf_dir, "events").select(F.col("user_id").alias("grid_id")).distinct()
-    dense = build_panel(densify(spots, roles.FIRST_DAY, roles.LAST_DAY), [daily])
-    u = F.col("grid_id")
-    return dense.select("date", (F.lit(32.0) + u % 50 * F.lit(0.5)).alias("latitude"), (F.lit(-124.0) + F.floor(u / 50.0) * F.lit(0.5)).alias("longitude"), "ndvi")
+    """(date, latitude, longitude, ndvi) of the days read; 47 series share a meridian of 53 places, so that places are missing."""
+    s = F.col("grid_id")
+    lat, lon = F.lit(32.0) + s % 53 * F.lit(0.5), F.lit(-124.0) + F.floor(s / 47.0) * F.lit(0.5)
+    return roles.daily_series(spark, sf_dir).select("date", lat.alias("latitude"), lon.alias("longitude"), "ndvi")
 
 
 def _prev_next(value: str, axis: str, part: str, out: str, tail: str) -> str:
@@ -394,9 +389,9 @@ def _prev_next(value: str, axis: str, part: str, out: str, tail: str) -> str:
       first_value({value} ignore nulls) {ahead} as nv, first_value({known} ignore nulls) {ahead} as na from {tail})"""
 
 
-_CUBE = f"""with {roles.CALENDAR}, daily as (select user_id as grid_id, cast(ts as date) as date, avg(value) / 500e0 as ndvi from events where event_type = 'view' group by 1, 2),
-cube as (select d.date, 32e0 + (u.grid_id % 50) * 0.5e0 as latitude, -124e0 + floor(u.grid_id / 50e0) * 0.5e0 as longitude, v.ndvi
-  from (select distinct user_id as grid_id from events) u cross join days d left join daily v on v.grid_id = u.grid_id and v.date = d.date),
+_CUBE = f"""with {roles.DAILY}, read as (select date, 32e0 + (grid_id % 53) * 0.5e0 as latitude, -124e0 + floor(grid_id / 47e0) * 0.5e0 as longitude, ndvi from daily),
+cube as (select d.date, a.latitude, o.longitude, r.ndvi from (select distinct date from read) d cross join (select distinct latitude from read) a cross join (select distinct longitude from read) o
+  left join read r on r.date = d.date and r.latitude = a.latitude and r.longitude = o.longitude),
 {_prev_next('ndvi', 'date', 'latitude, longitude', 'c1', 'cube')},
 timed as (select date, latitude, longitude, ndvi, case when ndvi is not null then ndvi when pv is not null and nv is not null
   then pv + (nv - pv) * (date_diff('day', pa, date) / cast(date_diff('day', pa, na) as double)) end as t from c1)"""
@@ -404,7 +399,7 @@ timed as (select date, latitude, longitude, ndvi, case when ndvi is not null the
 
 @register("cube_time_fill", "date:d latitude:f3 longitude:f3 ndvi:f6 ndvi_filled:f6", f"{_CUBE} select *, t as ndvi_filled from timed")
 def cube_time_fill(spark, sf_dir):
-    return fill_time(_cube(spark, sf_dir), ["latitude", "longitude"], "date", "ndvi", "ndvi_filled", limit=None, ends=False)
+    return fill_time(densify_cube(_cube(spark, sf_dir)), ["latitude", "longitude"], "date", "ndvi", "ndvi_filled", limit=None, ends=False)
 
 
 def _near_sql(value: str, axis: str, out: str) -> str:
