@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -49,7 +50,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     only = os.environ.get("BENCH_QUERIES")
-    spark = build_session("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
+    spark = build_session("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, os.environ.get("BENCH_CHECKPOINTS") or tempfile.mkdtemp(prefix="bench-checkpoints-"))
     spark.sparkContext.setLogLevel("ERROR")
     registry = load_queries()
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()

@@ -9,7 +9,7 @@ from terrapanel.operators.cleaning import ALIASES, clean_detections, clean_point
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
 from terrapanel.plans.roles import place, place_sql, table
-from terrapanel.sources.links import absolute_url, harvest_links, partition_manifest, pick_version, prune_by_date
+from terrapanel.sources.links import absolute_url, anchor_links, harvest_links, partition_manifest, pick_version, prune_by_date
 from terrapanel.sources.tabular import body_lines, factor_of
 
 
@@ -207,24 +207,36 @@ def alias_resolve(spark, sf_dir):
     return resolve_columns(renamed, ALIASES, required=("lat", "lon", "date"))
 
 
-_HREF_SQL = """regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1)"""
-_RESOLVE_SQL = """case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then link when link like '//%' then regexp_extract(page, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || link
-  when link like '/%' then regexp_extract(page, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || link
-  else regexp_replace(regexp_replace(regexp_replace(page, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)$', '\\1/'), '[^/]*$', '') || link end"""
+# Anchors' addresses, as one list per page, quotes taken off.
+_HREF_SQL = (
+    """list_transform(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), """
+    """lambda q: replace(trim(q, '"'''), '&amp;', '&'))"""
+)
 
 
-@register("link_harvest", "url:s", f"with l as (select url as page, unnest({_HREF_SQL}) as link from pages) select distinct {_RESOLVE_SQL} as url from l where link like '%e'")
+@register(
+    "link_harvest",
+    "url:s",
+    f"""with l as (select url as page, unnest({_HREF_SQL}) as link from pages)
+    select distinct case when starts_with(link, 'http') then link else rtrim(page, '/') || '/' || ltrim(link, '/') end as url from l where lower(link) like '%e'""",
+)
 def link_harvest(spark, sf_dir):
-    return harvest_links(table(spark, sf_dir, "pages"), "e")
+    return harvest_links(table(spark, sf_dir, "pages"), "E")
 
 
-@register("link_resolve", "page_id:l url:s", f"with l as (select page_id, url as page, unnest({_HREF_SQL}) as link from pages) select page_id, {_RESOLVE_SQL.replace('link', 'ltrim(link, chr(47))')} as url from l")
+@register(
+    "link_resolve",
+    "page_id:l url:s",
+    f"""with l as (select page_id, regexp_extract(url, '^([^?#]*/)', 1) as folder, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) as root, unnest({_HREF_SQL}) as link from pages)
+    select page_id, case page_id % 4 when 0 then folder || ltrim(link, '/') when 1 then folder || ltrim(link, '/') || '?C=N'
+      when 2 then root || link else case when regexp_matches(folder, '://[^/]*/$') then folder else regexp_replace(folder, '[^/]+/$', '') end || ltrim(link, '/') end as url from l""",
+)
 def link_resolve(spark, sf_dir):
-    """Links read as relative to their page's folder."""
-    from terrapanel.sources.links import HREF
-
-    found = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("link"))
-    return found.select("page_id", absolute_url(F.col("page"), F.ltrim(F.col("link"), F.lit("/"))).alias("url"))
+    """Links read as relative to their page's folder, to its root, and to the folder above."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), F.explode(anchor_links(F.col("html"))).alias("link"))
+    name, turn = F.ltrim(F.col("link"), F.lit("/")), F.col("page_id") % 4
+    link = F.when(turn == 0, F.concat(F.lit("./"), name)).when(turn == 1, F.concat(name, F.lit("?C=N"))).when(turn == 2, F.col("link")).otherwise(F.concat(F.lit("../"), name))
+    return found.select("page_id", absolute_url(F.col("page"), link).alias("url"))
 
 
 @register(

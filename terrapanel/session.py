@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
-def build_session(app: str = "terrapanel", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "terrapanel", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,7 +22,10 @@ def build_session(app: str = "terrapanel", master: str | None = None, shuffle_pa
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     if master:
         builder = builder.master(master)
     if master and master.startswith("local"):
@@ -35,8 +38,8 @@ def build_session(app: str = "terrapanel", master: str | None = None, shuffle_pa
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Read from ``spark.checkpoint.dir``; a scratch folder is made only where the
-    session names none, i.e. in single-machine tests.
+    Read from ``spark.checkpoint.dir``.  A folder of its own is made only on a single
+    machine whose session names none; anywhere else that is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()

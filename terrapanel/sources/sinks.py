@@ -33,14 +33,16 @@ def write_table(df: DataFrame, path: str, *, small: bool = False) -> None:
 
 
 def write_by_year(df: DataFrame, path: str, date: str = "date") -> None:
-    """One folder per year; reading ``path`` gives the merged table.  Rows meet in their year-month before writing."""
-    keyed = df.withColumns({"year": F.year(date), "_month": F.month(date)}).repartition("year", "_month").drop("_month")
-    keyed.write.mode("overwrite").partitionBy("year").parquet(path)
+    """One folder per year; reading ``path`` gives the merged table.
+
+    Rows of a year meet in files of about the advisory size; a large year goes to many.
+    """
+    df.withColumn("year", F.year(date)).hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def write_by_day(df: DataFrame, path: str, date: str = "date") -> None:
-    """One folder per input day; reading ``path`` gives the union of all days."""
-    df.write.mode("overwrite").partitionBy(date).parquet(path)
+    """One folder per input day; reading ``path`` gives the union of all days.  A day's rows meet before writing."""
+    df.hint("rebalance", date).write.mode("overwrite").partitionBy(date).parquet(path)
 
 
 def write_grid(cells: DataFrame, rings: DataFrame, folder: str) -> None:

@@ -66,20 +66,21 @@ def body_lines(text: Column, marker: str) -> Column:
     return F.regexp_replace(doubled, " +", "\n")
 
 
-def preamble_tokens(text: Column, marker: str) -> Column:
-    return F.split(body_lines(text, marker), "\n")
-
-
-def skip_preamble(df: DataFrame, key: Sequence[str], text: str, marker: str) -> DataFrame:
-    """(key, pos, token) of the part of each text below its preamble."""
-    return df.select(*key, F.posexplode(preamble_tokens(F.col(text), marker)).alias("pos", "token"))
-
-
 def scan_preamble(spark: SparkSession, path: str, schema: str, marker: str = "LAT") -> DataFrame:
-    """Rows of files that carry free text above a header line starting with ``marker``."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    lines = skip_preamble(whole, ["file"], "value", marker).where(~F.col("token").startswith(marker))
-    return lines.select("file", F.from_csv("token", schema).alias("r")).select("file", "r.*")
+    """Rows of files that carry free text above a header line starting with ``marker``.
+
+    Files are read line by line and may be cut into blocks.  A line's place is its
+    block's and its own order of reading; the marker's place in each file, one row,
+    tells the lines above it from those below.
+    """
+    source = F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.text(path).select(*source, F.monotonically_increasing_id().alias("_line"), "value")
+    blank = F.translate("value", _BLANK_CHARACTERS, " " * len(_BLANK_CHARACTERS))
+    tokens = lines.select("_path", "file", "_block", "_line", F.posexplode(F.array_remove(F.split(blank, " +"), "")).alias("_pos", "token"))
+    place = F.struct("_block", "_line", "_pos")
+    starts = tokens.where(F.col("token").startswith(marker)).groupBy("_path").agg(F.min(place).alias("_start"))
+    body = tokens.join(starts, "_path").where((place > F.col("_start")) & ~F.col("token").startswith(marker))
+    return body.select("file", F.from_csv("token", schema).alias("r")).select("file", "r.*")
 
 
 def factor_of(file: Column) -> Column:

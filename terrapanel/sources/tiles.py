@@ -70,7 +70,8 @@ def window_read(pixels: DataFrame, bounds: Sequence[float], *, x: str = "x", y:
 
 
 def clip_pixels(pixels: DataFrame, rings: DataFrame, *, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """Pixels whose centre lies inside a boundary; the test runs once per distinct centre row."""
+    """Pixels whose centre lies inside a boundary; each distinct centre is tested once, however many days it has."""
     from terrapanel.operators.polygons import within_polygon
 
-    return within_polygon(pixels, rings, x=lon, y=lat)
+    inside = within_polygon(pixels.select(lon, lat).distinct(), rings, x=lon, y=lat)
+    return pixels.join(inside, [lon, lat], "left_semi")

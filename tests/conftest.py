@@ -9,8 +9,8 @@ from terrapanel.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[8]", 8)
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[8]", 8, str(tmp_path_factory.mktemp("checkpoints")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -37,8 +37,8 @@ def test_preamble_files_become_factor_rows(spark, tmp_path):
 
 
 def test_later_marker_tokens_come_twice(spark):
-    assert one(spark, tabular.preamble_tokens(F.lit("a b LAT,x\n1  2\tLATER 3 "), "LAT")) == ["LAT,x", "1", "2", "LATER", "LATER", "3"]
-    assert one(spark, tabular.preamble_tokens(F.lit("no such line PLAT"), "LAT")) is None
+    assert one(spark, F.split(tabular.body_lines(F.lit("a b LAT,x\n1  2\tLATER 3 "), "LAT"), "\n")) == ["LAT,x", "1", "2", "LATER", "LATER", "3"]
+    assert one(spark, tabular.body_lines(F.lit("no such line PLAT"), "LAT")) is None
 
 
 def test_elevation_drops_the_units_row_only(spark, tmp_path):
@@ -103,12 +103,29 @@ def test_tile_rows_and_dates(spark):
         ("http://h.org/a/", "/c.nc", "http://h.org/c.nc"),
         ("https://h.org/a", "//i.org/c.nc", "https://i.org/c.nc"),
         ("https://h.org/a", "ftp://i.org/c.nc", "ftp://i.org/c.nc"),
+        ("http://h/a/b/c?q#f", "../x.nc", "http://h/a/x.nc"),
+        ("http://h/a/b/c", "./x.nc", "http://h/a/b/x.nc"),
+        ("http://h/a/b/c", "../../../x/../y.nc", "http://h/y.nc"),
+        ("http://h/a/b/c", "..", "http://h/a/"),
+        ("http://h/a/b/c", ".", "http://h/a/b/"),
+        ("http://h/a/b?x=1", "?C=N", "http://h/a/b?C=N"),
+        ("http://h/a/b?x=1", "#top", "http://h/a/b?x=1#top"),
+        ("http://h", "x?y=/../z", "http://h/x?y=/../z"),
     ],
 )
 def test_links_resolve(spark, page, link, expected):
     assert one(spark, links.absolute_url(F.lit(page), F.lit(link))) == expected
 
 
+def test_links_are_harvested_as_the_index_names_them(spark):
+    html = """<a href="x.NC">1</a><A class=q HREF = y.nc>2</A><a href='/z.nc'>3</a><link href="no.nc"><a name=k>4</a><a href="http://i/w.nc">5</a><a href="v.nc?x">6</a><a href="s.nc">7</a>"""
+    pages = spark.createDataFrame([("http://h/a/", html), ("http://h/a", '<a href="s.nc">7</a>')], "url string, html string")
+    found = sorted(r.url for r in links.harvest_links(pages).collect())
+    assert found == ["http://h/a/s.nc", "http://h/a/x.NC", "http://h/a/y.nc", "http://h/a/z.nc", "http://i/w.nc"]
+    by_standard = sorted(r.url for r in links.harvest_links(pages, resolve=links.absolute_url).collect())
+    assert by_standard == ["http://h/a/s.nc", "http://h/a/x.NC", "http://h/a/y.nc", "http://h/s.nc", "http://h/z.nc", "http://i/w.nc"]
+
+
 def test_joined_and_stacked_factor_merges_agree(spark):
     a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, a double")
     b = spark.createDataFrame([(2, 5.0), (3, 6.0)], "k int, b double")
