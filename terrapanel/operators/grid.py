@@ -77,7 +77,6 @@ def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: boo
     works on the vertices of its strip.  ``whole_metres`` starts the grid at the
     integer part of the bounds.
     """
-    spark = rings.sparkSession
     corner = rings.select(F.explode("ring").alias("v")).select("v.x", "v.y")
     x0, y0, x1, y1 = extent(corner, "x", "y")
     if whole_metres:
@@ -90,8 +89,10 @@ def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: boo
         start = F.lit(low) + F.col(index) * cell_m
         return start, start + cell_m
 
-    outline = rings.select(F.collect_list(F.struct("hole", "ring"))).scalar()  # the boundary itself, one value
-    strips = spark.range(nx).select(F.col("id").alias("i"), F.explode(outline).alias("r")).select("i", "r.hole", "r.ring")
+    # Each ring meets the strips it reaches, and no others.
+    first, last = (F.floor((pick(F.transform("ring", lambda v: v["x"])) - x0) / cell_m) for pick in (F.array_min, F.array_max))
+    reached = F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(nx - 1).cast("long")))
+    strips = rings.where(first <= last).where((last >= 0) & (first <= nx - 1)).select(F.explode(reached).alias("i"), "hole", "ring")
     strips = strips.withColumn("ring", clip_ring(F.col("ring"), x_range=range_of("i", x0)))
     reach = F.aggregate(
         "ring",

@@ -6,6 +6,7 @@ Boundary tables hold rings as rows: ``ring_id``, ``hole`` and ``ring``, an array
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,17 @@ def edges_of(rings: DataFrame) -> DataFrame:
     return numbered.select(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
 
+def band_count(edges: int, tall: float, height: float) -> tuple[int, int]:
+    """How many horizontal bands, and a bound of the edge copies they hold.
+
+    An edge is copied to every band it reaches; edges ``tall`` together make as many
+    copies as their height in bands plus two each, kept below a fixed multiple of
+    the edges.
+    """
+    bands = max(1, min(edges // 4, int(4 * edges * height / tall)))
+    return bands, 2 * edges + math.ceil(bands * tall / height)
+
+
 def within_polygon(points: DataFrame, rings: DataFrame, *, x: str = "lon", y: str = "lat") -> DataFrame:
     """Rows inside the boundary by the even-odd rule (half-open: lower and left edges count as inside).
 
@@ -46,12 +58,12 @@ def within_polygon(points: DataFrame, rings: DataFrame, *, x: str = "lon", y: st
     """
     edges = edges_of(rings).where("y1 <> y2")
     size = edges.agg(
-        F.count("*").alias("n"), F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2"))
+        F.count("*").alias("n"), F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2")), F.sum(F.abs(F.col("y2") - F.col("y1")))
     ).first()
-    n, x0, y0, x1, y1 = size
+    n, x0, y0, x1, y1, tall = size
     if not n:
         return points.where(F.lit(False))
-    bands = max(1, min(65_536, n // 4))
+    bands, copies = band_count(n, tall, y1 - y0)
     height = (y1 - y0) / bands
 
     def band(v: Column) -> Column:
@@ -61,7 +73,7 @@ def within_polygon(points: DataFrame, rings: DataFrame, *, x: str = "lon", y: st
     banded = edges.withColumn("_band", span).groupBy("_band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
     px, py = F.col(x), F.col(y)
     near = points.where(px.between(x0, x1) & py.between(y0, y1)).withColumn("_band", band(py))
-    if n <= BROADCAST_ROWS:
+    if copies <= BROADCAST_ROWS:
         joined = near.join(F.broadcast(banded), "_band")
     else:
         left, right = salted(near, banded, F.struct(px, py))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import clip
 from terrapanel.functions.geo import albers_forward, albers_inverse
-from terrapanel.operators.grid import assign_to_cells, cell_of, centroid_grid, clipped_cells, extent, number_cells, raster_frame
+from terrapanel.operators.grid import assign_to_cells, cell_grid as clipped_lookup, cell_of, centroid_grid, clipped_cells, extent, number_cells, raster_frame
 from terrapanel.operators.landcover import landcover_fraction
 from terrapanel.operators.neighbors import neighbor_sum, radius_mean
 from terrapanel.operators.panel import build_panel, cell_day_mean, densify, merge_factors
@@ -102,11 +102,16 @@ def point_in_cell(spark, sf_dir):
     return points.select("id", i.alias("i"), j.alias("j"))
 
 
-def _framed_boundary(spark, sf_dir):
-    """The cells' projected extent with a rectangular hole in it."""
+def _cells_box(spark, sf_dir):
+    """The cells' projected extent with a margin."""
     x, y = albers_forward("lon", "lat", "EPSG:3310")
     x0, y0, x1, y1 = extent(roles.cells(spark, sf_dir).select(x.alias("x"), y.alias("y")), "x", "y")
-    x0, y0, x1, y1 = x0 - 7000.0, y0 - 7000.0, x1 + 7000.0, y1 + 7000.0
+    return x0 - 7000.0, y0 - 7000.0, x1 + 7000.0, y1 + 7000.0
+
+
+def _framed_boundary(spark, sf_dir):
+    """The cells' projected extent with a rectangular hole in it."""
+    x0, y0, x1, y1 = _cells_box(spark, sf_dir)
 
     def box(a, b, c, d):
         return [(a, b), (c, b), (c, d), (a, d), (a, b)]
@@ -142,6 +147,52 @@ def grid_ids(spark, sf_dir):
     return numbered.withColumn("number", F.col("cell"))
 
 
+_LOOKUP_IDS = "ids as (select *, 'CA5K_' || lpad(cast(row_number() over (order by i, j) - 1 as varchar), 5, '0') as grid_id from clipped)"
+
+
+@register(
+    "clipped_grid_lookup",
+    "grid_id:s lon:f6 lat:f6 i:l j:l area:f2",
+    f"{_CLIPPED}, {_LOOKUP_IDS}, spots as (select grid_id, i, j, area, cx, cy from ids) select grid_id, lon_ as lon, lat_ as lat, i, j, area from ({roles.inverse_sql('spots', 'cx', 'cy')})",
+)
+def clipped_grid_lookup(spark, sf_dir):
+    """Every clipped cell's id at the centroid of what the boundary leaves of it."""
+    return clipped_lookup(_framed_boundary(spark, sf_dir), 5000.0)
+
+
+# The same squares from whole-metre corners: what lies outside them is left out.
+_WHOLE = _CLIPPED.replace("sq as (select i, j, x0 + i * 5000 as ax, least(x0 + (i + 1) * 5000, x1) as bx, y0 + j * 5000 as ay, least(y0 + (j + 1) * 5000, y1) as b_y,",
+    "sq as (select i, j, greatest(trunc(x0) + i * 5000, x0) as ax, least(trunc(x0) + (i + 1) * 5000, x1) as bx, greatest(trunc(y0) + j * 5000, y0) as ay, least(trunc(y0) + (j + 1) * 5000, y1) as b_y,"
+).replace("cast(ceil(w / 5000) as bigint)", "cast(ceil((trunc(x1) - trunc(x0)) / 5000) as bigint)").replace("cast(ceil(h / 5000) as bigint)", "cast(ceil((trunc(y1) - trunc(y0)) / 5000) as bigint)")
+
+
+@register(
+    "integer_grid",
+    "grid_id:l lon:f6 lat:f6 area:f2",
+    f"""{_WHOLE}, spots as (select i * (select max(j) + 1 from ij) + j as grid_id, area, cx, cy from clipped)
+    select grid_id, lon_ as lon, lat_ as lat, area from ({roles.inverse_sql('spots', 'cx', 'cy')})""",
+)
+def integer_grid(spark, sf_dir):
+    return clipped_lookup(_framed_boundary(spark, sf_dir), 5000.0, scheme="integer")
+
+
+# Below the diagonal y = y1 - (x - x0) h / w: the integral of the line's height above a cell's foot, cut at its head.
+_OBLIQUE = f"""with {roles.CELLS}, {roles.cone_sql('EPSG:3310')}, xy as ({roles.forward_sql('cells')}),
+box as (select *, x1 - x0 as w, y1 - y0 as h from (select min(x) - 7000 as x0, min(y) - 7000 as y0, max(x) + 7000 as x1, max(y) + 7000 as y1 from xy)),
+sq as (select *, x0 + i * 5000 as ax, x0 + (i + 1) * 5000 as bx, y0 + j * 5000 as ay from box cross join (select unnest(generate_series(0, cast(ceil(w / 5000) as bigint) - 1)) as i from box)
+  cross join (select unnest(generate_series(0, cast(ceil(h / 5000) as bigint) - 1)) as j from box)),
+g as (select i, j, h / w as slope, y1 - (ax - x0) * h / w - ay as ga, y1 - (bx - x0) * h / w - ay as gb from sq),
+cut as (select i, j, (pow(greatest(ga, 0), 2) - pow(greatest(gb, 0), 2) - pow(greatest(ga - 5000, 0), 2) + pow(greatest(gb - 5000, 0), 2)) / (2 * slope) as area from g)
+select * from cut where area > 1e-6"""
+
+
+@register("oblique_clip_area", "i:l j:l area:f1", _OBLIQUE)
+def oblique_clip_area(spark, sf_dir):
+    """Cells cut by a boundary with a diagonal edge."""
+    x0, y0, x1, y1 = _cells_box(spark, sf_dir)
+    return clipped_cells(spark.createDataFrame([(0, False, [(x0, y0), (x1, y0), (x0, y1), (x0, y0)])], RINGS_SCHEMA), 5000.0)
+
+
 @register(
     "points_in_clipped_grid",
     "id:l i:l j:l grid_id:s",

@@ -143,3 +143,16 @@ def test_neighbour_features(spark):
     near = spatial.radius_edges(cells, 10)
     mean = {(r.grid_id, r.date): r.m for r in neighbors.radius_mean(panel, cells, near, {"n": "m"}).collect()}
     assert mean == {(1, "d1"): 3.5, (2, "d1"): 3.5, (3, "d1"): 7.0, (1, "d2"): 1.0}
+
+
+def test_a_comb_makes_edge_copies_in_proportion(spark):
+    from terrapanel.operators.polygons import band_count, within_polygon
+
+    for teeth in (100, 1000, 10_000):
+        bands, copies = band_count(2 * teeth, 2.0 * teeth, 1.0)
+        assert 1 <= bands and copies <= 6 * 2 * teeth + 1
+    ring = [(0.0, 0.0)] + [v for i in range(200) for v in ((i + 0.5, 1.0), (i + 1.0, 0.0))] + [(200.0, -1.0), (0.0, -1.0), (0.0, 0.0)]
+    comb = spark.createDataFrame([(0, False, ring)], "ring_id long, hole boolean, ring array<struct<x: double, y: double>>")
+    points = [(i, 0.37 * i + 0.0013, 0.5) for i in range(500)]
+    inside = {r.id for r in within_polygon(spark.createDataFrame(points, "id long, lon double, lat double"), comb).collect()}
+    assert inside == {i for i, x, _ in points if x < 200 and 0.25 < x % 1 < 0.75}
