@@ -1,8 +1,10 @@
 """Same-day features of neighbouring cells.
 
 A row travels to every tile that holds a cell linked to it: once per tile, not once
-per edge.  Edges are applied inside the tile.  The grouping keys contain the tile
-and day the rows were sent by, so the aggregate needs no second exchange.
+per edge, and takes along which cells those are.  There it counts for each of them.
+The grouping keys contain the tile and day the rows were sent by, so the aggregate
+needs no second exchange, and the links are looked up by the cell the panel is
+already laid out by, whether they are broadcast or not.
 """
 
 from __future__ import annotations
@@ -12,29 +14,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.operators.spatial import bucket_of
-from terrapanel.session import broadcast_if_bounded, cut_lineage
+from terrapanel.operators.spatial import bucket_of, bucket_text
+from terrapanel.session import cut_lineage, fits_broadcast, measured
 
-TILE_LEVEL = 8  # tiles of 1.4 degrees
+LEVELS = range(2, 21)
+TILE_CELLS = 20_000  # cells the fullest tile is meant to hold
+
+
+def tile_level(cells: DataFrame, most: int = TILE_CELLS) -> int:
+    """The coarsest bucket level whose fullest tile holds no more than ``most`` cells."""
+    keys = ", ".join(f"struct({lv} as level, {bucket_text('lat', 'lon', lv)} as key)" for lv in LEVELS)
+    counts = cells.select(F.expr(f"explode(array({keys}))").alias("b")).groupBy("b.level", "b.key").agg(F.count("*").alias("n"))
+    fullest = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.max("n").alias("n")).collect()}  # one row per level
+    return next((lv for lv in LEVELS if fullest.get(lv, 0) <= most), LEVELS[-1])
 
 
 def _around(panel: DataFrame, cells: DataFrame, links: DataFrame, made: dict, cell: str, date: str) -> DataFrame:
     """Aggregates over linked rows of the same day, one output row per panel row.
 
     ``links``: (cell, neighbor_id, _own, _linked); the ``_own`` link brings the row's own
-    columns, ``_linked`` ones count for the aggregates.  Link tables are as large as the
-    cell dimension times its neighbours; they are materialised, counted and broadcast
-    only within the session's limit.
+    columns, ``_linked`` ones count for the aggregates.  The links of a cell into one
+    tile are one array, as long as its neighbours are many.
     """
-    tiles = cells.select(F.col(cell), bucket_of("lat", "lon", TILE_LEVEL).alias("_tile"))
-    links = cut_lineage(links.join(tiles, cell))
-    rows = links.count()
-    routes = broadcast_if_bounded(links.select("neighbor_id", "_tile").distinct(), rows)
+    tiles = cells.select(F.col(cell), bucket_of("lat", "lon", tile_level(cells)).alias("_tile"))
+    flags = [c for c in links.columns if c not in (cell, "neighbor_id")]
+    placed = links.join(tiles, cell).groupBy("neighbor_id", "_tile").agg(F.collect_list(F.struct(cell, *flags)).alias("_to"))
+    routes = cut_lineage(placed)
+    rows, size = measured(routes.select("neighbor_id", F.explode("_to").alias("t")).select("neighbor_id", "t.*"))
     kept = [c for c in panel.columns if c not in (cell, date)]
-    sent = panel.withColumnRenamed(cell, "neighbor_id").join(routes, "neighbor_id").repartition("_tile", date)
-    joined = sent.join(broadcast_if_bounded(links, rows), ["_tile", "neighbor_id"])
+    routed = panel.withColumnRenamed(cell, "neighbor_id").join(F.broadcast(routes) if fits_broadcast(1, size) else routes.hint("shuffle_hash"), "neighbor_id")
+    sent = routed.repartition("_tile", date).select("*", F.inline("_to")).drop("_to", "neighbor_id")
     own = F.any_value(F.when(F.col("_own"), F.struct(*kept)), F.lit(True)).alias("_self")
-    summed = joined.groupBy("_tile", date, cell).agg(own, *[a.alias(n) for n, a in made.items()])
+    summed = sent.groupBy("_tile", date, cell).agg(own, *[a.alias(n) for n, a in made.items()])
     return summed.where(F.col("_self").isNotNull()).select(cell, date, "_self.*", *made)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import bound
 from terrapanel.functions.geo import albers_forward_text
-from terrapanel.session import BROADCAST_ROWS
+from terrapanel.session import fits_broadcast
 from terrapanel.operators.spatial import salted
 
 RINGS_SCHEMA = "ring_id long, hole boolean, ring array<struct<x: double, y: double>>"
@@ -73,7 +73,7 @@ def within_polygon(points: DataFrame, rings: DataFrame, *, x: str = "lon", y: st
     banded = edges.withColumn("_band", span).groupBy("_band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
     px, py = F.col(x), F.col(y)
     near = points.where(px.between(x0, x1) & py.between(y0, y1)).withColumn("_band", band(py))
-    if copies <= BROADCAST_ROWS:
+    if fits_broadcast(copies, 40):
         joined = near.join(F.broadcast(banded), "_band")
     else:
         left, right = salted(near, banded, F.struct(px, py))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.geo import EARTH_RADIUS_KM, haversine_km, haversine_km_text, num
-from terrapanel.session import BROADCAST_ROWS, cut_lineage
+from terrapanel.session import cut_lineage, fits_broadcast
 
 MIN_LEVEL, MAX_LEVEL = 2, 24
 MAX_ROOTS = 64  # buckets at the top of the tree
@@ -56,9 +56,9 @@ def salted(left: DataFrame, right: DataFrame, salt_on: Column, salts: int = SALT
     )
 
 
-def _key_join(left: DataFrame, right: DataFrame, right_rows: int, keys: list[str], how: str, salt_on: Column) -> DataFrame:
-    """Equi-join that broadcasts a counted small right side and salts the left otherwise."""
-    if right_rows <= BROADCAST_ROWS:
+def _key_join(left: DataFrame, right: DataFrame, right_rows: int, row_bytes: int, keys: list[str], how: str, salt_on: Column) -> DataFrame:
+    """Equi-join that broadcasts a small right side, by counted rows and their bytes, and salts the left otherwise."""
+    if fits_broadcast(right_rows, row_bytes):
         return left.join(F.broadcast(right), keys, how)
     left, right = salted(left, right, salt_on)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -71,6 +71,7 @@ class CellIndex:
     cells: DataFrame  # _cell, _clat, _clon
     rows: int
     levels: dict[int, tuple[int, int]]  # level -> (occupied buckets, fullest bucket)
+    id_bytes: int = 8  # of the longest id
 
     def near_level(self, k: int) -> int:
         """Bucket level of the neighbourhood lookup: the coarsest whose fullest bucket stays small."""
@@ -122,7 +123,8 @@ def index_cells(cells: DataFrame, cell_id: str = "grid_id", lat: str = "lat", lo
     found = stats.collect()  # one row per level
     if not found:
         raise ValueError("the cell dimension is empty")
-    return CellIndex(located, found[0]["rows"], {r["level"]: (r["occupied"], r["fullest"]) for r in found})
+    longest = located.agg(F.max(F.octet_length(F.col("_cell").cast("string")))).first()[0]
+    return CellIndex(located, found[0]["rows"], {r["level"]: (r["occupied"], r["fullest"]) for r in found}, max(8, longest))
 
 
 def _neighbourhoods(index: CellIndex, level: int) -> DataFrame:
@@ -167,9 +169,9 @@ def _tree_nearest(coords: DataFrame, index: CellIndex, k: int) -> DataFrame:
     frontier = prune(coords.select("_lat", "_lon", F.expr(f"inline(array({listed}))")))
     spread = F.struct("_lat", "_lon")
     for i in range(1, len(levels)):
-        frontier = prune(_key_join(frontier, index.nodes(i), index.levels[levels[i]][0], ["_parent"], "inner", spread))
+        frontier = prune(_key_join(frontier, index.nodes(i), index.levels[levels[i]][0], 64, ["_parent"], "inner", spread))
     leaves = index.cells.withColumn("_parent", bucket_of("_clat", "_clon", levels[-1]))
-    pairs = _key_join(frontier, leaves, index.rows, ["_parent"], "inner", spread)
+    pairs = _key_join(frontier, leaves, index.rows, 40 + index.id_bytes, ["_parent"], "inner", spread)
     found = pairs.select("_lat", "_lon", F.expr(_ranked_cell("_cell", "_clat", "_clon")).alias("_hit"))
     if k == 1:
         return found.groupBy("_lat", "_lon").agg(F.array(F.min("_hit")).alias("_found"))
@@ -190,8 +192,8 @@ def _nearest(points: DataFrame, index: CellIndex, k: int, lat: str, lon: str) ->
     near = _neighbourhoods(index, level)
     rows = points.select("*", F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
     rows = rows.withColumn("_bucket", bucket_of("_lat", "_lon", level))
-    # At most nine copies of every cell.
-    looked = _key_join(rows, near, 9 * index.rows, ["_bucket"], "left", F.struct("_lat", "_lon"))
+    # At most nine copies of every cell, each with five numbers and its id.
+    looked = _key_join(rows, near, 9 * index.rows, 56 + index.id_bytes, ["_bucket"], "left", F.struct("_lat", "_lon"))
     looked = looked.select("*", F.struct(*_unit_vector("_lat", "_lon")).alias("_at"))
     # Squared chords find the k-th best and shortlist the candidates, distances proper rank the shortlist.
     # The generator keeps Spark from computing the k-th best again for every use.
@@ -203,10 +205,16 @@ def _nearest(points: DataFrame, index: CellIndex, k: int, lat: str, lon: str) ->
     short = f"filter(_around, c -> {chord} <= _limit * 1.000001D + 1e-14D)"
     scored = f"transform({short}, c -> {_ranked_cell('c._cell', 'c._clat', 'c._clon')})"
     best = f"array(array_min({scored}))" if k == 1 else f"slice(array_sort({scored}), 1, {k})"
-    settled = looked.where(proven).select(*points.columns, F.expr(best).alias("_found"))
-    open_rows = looked.where(f"not {proven}").select(*points.columns, "_lat", "_lon")
-    answers = _tree_nearest(open_rows.select("_lat", "_lon").distinct(), index, k)
-    return settled.unionByName(open_rows.join(answers, ["_lat", "_lon"]).select(*settled.columns))
+    # The places the neighbourhood can't prove are usually few: they are settled first, as a
+    # table of their own, and the rows then pass once, whether proven or not.
+    doubtful = cut_lineage(looked.where(f"not {proven}").select("_lat", "_lon").distinct())
+    count = doubtful.count()
+    if not count:
+        return looked.select(*points.columns, F.expr(best).alias("_found"))
+    answers = cut_lineage(_tree_nearest(doubtful, index, k).withColumnRenamed("_found", "_answer"))
+    flagged = looked.select(*points.columns, "_lat", "_lon", F.expr(f"case when {proven} then {best} end").alias("_near"))
+    joined = _key_join(flagged, answers, count, 16 + k * (40 + index.id_bytes), ["_lat", "_lon"], "left", F.monotonically_increasing_id())
+    return joined.select(*points.columns, F.coalesce("_near", "_answer").alias("_found"))
 
 
 def assign_nearest(
@@ -230,8 +238,12 @@ def assign_nearest(
 
 def knn_edges(cells: DataFrame, k: int = 8, *, cell_id: str = "grid_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(cell, neighbour, dist_km, rank): the k nearest other cells of every cell."""
-    index = index_cells(cells, cell_id, lat, lon, by_position=False)
-    found = _nearest(index.cells, index, k + 1, "_clat", "_clon")
+    every = cells.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(cell_id).alias("_cell"), F.col(lat).cast("double").alias("_clat"), F.col(lon).cast("double").alias("_clon")).distinct()
+    # Of the cells at one place only the k + 1 lowest ids can be anybody's neighbours.
+    here = Window.partitionBy("_clat", "_clon").orderBy("_cell")
+    lowest = every.withColumn("_at", F.row_number().over(here)).where(F.col("_at") <= k + 1).drop("_at")
+    index = index_cells(lowest, "_cell", "_clat", "_clon", by_position=False)
+    found = _nearest(every, index, k + 1, "_clat", "_clon")
     others = F.filter("_found", lambda h: h["cell"] != F.col("_cell"))
     ranked = found.select("_cell", F.posexplode(F.slice(others, 1, k)).alias("_pos", "_hit"))
     return ranked.select(

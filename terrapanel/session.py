@@ -8,9 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count an operator hands to ``broadcast``.  Everything beyond goes
-# through a shuffled join with the same result.
-BROADCAST_ROWS = 2_000_000
+# Most bytes an operator hands to ``broadcast``, as counted rows times the bytes of
+# one.  Everything beyond goes through a shuffled join with the same result.
+BROADCAST_BYTES = 128 << 20
 
 
 def build_session(app: str = "terrapanel", master: str | None = None, shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
@@ -60,9 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when ``rows``, a counted or proven bound, fits ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    """Whether ``rows``, a counted or proven bound, of ``row_bytes`` each may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a flat table: eight bytes a field and the length of its strings."""
+    strings = [n for n, t in df.dtypes if t in ("string", "binary")]
+    text = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0))
+    rows, length = df.agg(F.count("*"), F.coalesce(F.sum(text.cast("long")), F.lit(0))).first()
+    return rows, length + rows * (16 + 8 * len(df.columns))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrapanel.functions.geo import Albers, albers_forward, albers_inverse
+from terrapanel import session
 from terrapanel.operators import grid, neighbors, polygons, spatial
 from terrapanel.operators.terrain import terrain
+from terrapanel.operators.timeseries import event_history
 
 
 def haversine(a, b, c, d):
@@ -31,9 +33,9 @@ def distances(a, b):
     return haversine(a.lat.values[:, None], a.lon.values[:, None], b.lat.values[None], b.lon.values[None])
 
 
-@pytest.mark.parametrize("limit", [spatial.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [session.BROADCAST_BYTES, 0])
 def test_nearest_equals_all_pairs(spark, scattered, monkeypatch, limit):
-    monkeypatch.setattr(spatial, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
     cells, points = scattered
     got = spatial.assign_nearest(spark.createDataFrame(points), spark.createDataFrame(cells)).toPandas().sort_values("id")
     all_pairs = distances(points, cells)
@@ -134,7 +136,9 @@ def test_slope_of_a_plane(spark):
     assert flat == (0.0, 0)
 
 
-def test_neighbour_features(spark):
+@pytest.mark.parametrize("limit", [session.BROADCAST_BYTES, 0])
+def test_neighbour_features(spark, monkeypatch, limit):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
     cells = spark.createDataFrame([(1, 35.0, -120.0), (2, 35.05, -120.0), (3, 36.0, -120.0)], "grid_id long, lat double, lon double")
     panel = spark.createDataFrame([(1, "d1", 2), (2, "d1", 5), (3, "d1", 7), (1, "d2", 1)], "grid_id long, date string, n int")
     edges = spatial.knn_edges(cells, 2)
@@ -145,6 +149,49 @@ def test_neighbour_features(spark):
     assert mean == {(1, "d1"): 3.5, (2, "d1"): 3.5, (3, "d1"): 7.0, (1, "d2"): 1.0}
 
 
+def exchanges_of(df, column):
+    """Hash exchanges in the physical plan that carry ``column``."""
+    plan = df._jdf.queryExecution().sparkPlan().toString() and df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and column in line]
+
+
+def test_panel_rows_travel_once(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = spark.range(200).selectExpr("id as grid_id", "35 + id * 0.05D as lat", "-120D as lon")
+        days = cells.select("grid_id").join(spark.range(3).selectExpr("id as date"))
+        panel = event_history(days.withColumn("hit", (F.col("grid_id") % 3 == 0).cast("int")), "grid_id", "date", "hit", {"past": 2})
+        out = neighbors.neighbor_sum(panel, cells, spatial.knn_edges(cells, 2), ["past"])
+        assert len(exchanges_of(out, "_tile")) == 1
+        assert out.count() == 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tiles_hold_a_bounded_number_of_cells(spark):
+    cells = spark.range(4000).selectExpr("id as grid_id", "35 + (id % 64) * 0.01D as lat", "-120 + floor(id / 64) * 0.01D as lon")
+    level = neighbors.tile_level(cells, most=100)
+    tiles = cells.groupBy(spatial.bucket_of("lat", "lon", level).alias("t")).count()
+    assert tiles.agg(F.max("count")).first()[0] <= 100 < cells.groupBy(spatial.bucket_of("lat", "lon", level - 1).alias("t")).count().agg(F.max("count")).first()[0]
+
+
+def test_many_cells_at_one_place(spark):
+    cells = spark.range(10_000).selectExpr("id as grid_id", "if(id < 9990, 35D, 35D + id * 0.001D) as lat", "-120D as lon")
+    edges = spatial.knn_edges(cells, 3).where("grid_id in (0, 2, 5000, 9995)").toPandas()
+    found = {k: g.sort_values("rank").neighbor_id.tolist() for k, g in edges.groupby("grid_id")}
+    assert found[0] == [1, 2, 3] and found[2] == [0, 1, 3] and found[5000] == [0, 1, 2] and set(found[9995]) == {9994, 9996, 9993} or found[9995][:2] == [9994, 9996]
+    near = spatial.assign_nearest(spark.createDataFrame([(1, 35.0, -120.0)], "id long, lat double, lon double"), cells)
+    assert near.first().grid_id == 0
+
+
+def test_nearest_reads_the_points_once(spark, scattered, tmp_path):
+    cells, points = scattered
+    spark.createDataFrame(points).write.parquet(str(tmp_path / "points"))
+    found = spatial.assign_nearest(spark.read.parquet(str(tmp_path / "points")), spark.createDataFrame(cells))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
 def test_a_comb_makes_edge_copies_in_proportion(spark):
     from terrapanel.operators.polygons import band_count, within_polygon
 
