@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.llm.common import send_if_small
-from terrapanel.session import cut_lineage
+from terrapanel.session import cut_lineage, shuffle_width
 
-# Bytes of records a bucket is meant to hold, and how much of that a bucket may exceed it by.
-BUCKET_BYTES, SLACK = 16 << 20, 4
+# Bytes of records a bucket is meant to hold, how many times that it may hold, and how
+# many buckets a task takes one after the other, so that tasks are of even size.
+BUCKET_BYTES, SLACK, BUCKETS_PER_TASK = 8 << 20, 4, 4
 
 
 def _record_bytes(text: Column) -> Column:
@@ -36,7 +37,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id
     names = [n for n in docs.columns if n not in ("_shard", "_slot")]
     size = _record_bytes(F.col(text))
     total, longest = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
-    buckets = max(1, -(-total // bucket_bytes))
+    tasks = max(shuffle_width(docs.sparkSession), -(-total // (bucket_bytes * BUCKETS_PER_TASK)))
+    buckets = tasks * BUCKETS_PER_TASK
     content = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     # The record travels as one value, so that its columns may have any names.
     record = F.struct(content.alias("_order"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("_record")
@@ -58,7 +60,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id
     starts = sizes.withColumn("_block", block).withColumn("_in", F.coalesce(F.sum("rows").over(inner), F.lit(0))).join(F.broadcast(blocks), "_block")
     starts = cut_lineage(starts.select("_bucket", (F.col("_before") + F.col("_in")).cast("long").alias("_start")))
 
-    scattered = keyed.select("_bucket", "_record").repartition(buckets, "_bucket").sortWithinPartitions("_bucket")
+    scattered = keyed.select("_bucket", "_record").repartition(tasks, "_bucket").sortWithinPartitions("_bucket")
     # Sorting first makes the outcome of the seeded shuffle independent of the order of arrival.
     held = scattered.groupBy("_bucket").agg(F.collect_list("_record").alias("_all"))
     ordered = F.array_sort("_all", lambda a, b: F.when(a["_order"] < b["_order"], F.lit(-1)).when(a["_order"] > b["_order"], F.lit(1)).otherwise(F.lit(0)))
