@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +21,7 @@ from terrapanel.operators.distributed import take_by_hash
 from terrapanel.operators.spatial import salted
 from terrapanel.session import cut_lineage
 
-MAX_PIVOTS = 1024
-ROUTED_ROWS = 4096  # searching rows handled per task group
+MEMBER_ROWS = VISITOR_ROWS = 4096  # rows of a ball, and of those that search it, that meet in one task
 
 
 def _uniform(*parts: Column) -> Column:
@@ -29,68 +30,101 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
+def _distances(here: np.ndarray, there: np.ndarray):
+    """(first row, distances) of runs of rows to all others, a few million numbers at a time."""
+    step = max(1, 4_000_000 // max(1, there.size))
+    for lo in range(0, len(here), step):
+        gap = here[lo : lo + step, None, :] - there[None, :, :]
+        yield lo, np.sqrt((gap * gap).sum(axis=2))
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in column.to_pylist()])
+
+
+def _place(batches, pivots: np.ndarray):
+    """Adds each vector's nearest pivot and the distance to it."""
+    for batch in batches:
+        if batch.num_rows:
+            found = [(d.argmin(axis=1), d.min(axis=1)) for _, d in _distances(_vectors(batch.column("vec")), pivots)]
+            home, reach = (np.concatenate([f[c] for f in found]) for c in range(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(reach)], names=[*batch.schema.names, "home", "reach"])
+
+
+def _route(batches, pivots: np.ndarray, radius: np.ndarray, members: np.ndarray, k: int):
+    """Adds the balls that can hold one of a vector's k nearest others.
+
+    The balls nearest by their far side, as many as hold k others, bound the k-th
+    distance; balls whose near side lies beyond are left out.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        open_balls = []
+        for _, d in _distances(_vectors(batch.column("vec")), pivots):
+            far = d + radius
+            order = np.argsort(far, axis=1, kind="stable")
+            held = np.cumsum(members[order], axis=1) - 1
+            last = np.minimum((held < k).sum(axis=1), len(pivots) - 1)
+            bound = np.where(held[:, -1] >= k, np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)[:, 0], np.inf)
+            open_balls += [np.flatnonzero(row).astype(np.int32) for row in d - radius <= (bound * (1 + 1e-12))[:, None]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(open_balls, type=pa.list_(pa.int32()))], names=[*batch.schema.names, "balls"])
 
 
 def feature_neighbours(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(vec, near): the k nearest other rows of every distinct vector, nearest first.
+    """(vec, near): the k nearest other rows of every distinct vector, nearest first, ties by the vector.
 
     ``points`` holds one ``vec array<double>`` per row.  Equal vectors travel once with
-    their count.  Vectors are divided among pivots drawn from the data, hence as dense
-    as the data; a vector searches the pivot groups whose bounding ball can still hold
-    one of its k nearest (triangle inequality), so the result is exact.
+    their count.  As many pivots as the square root of the vectors, drawn from them and
+    hence as dense as they are, divide them into balls; a vector searches the balls that
+    can still hold one of its k nearest (triangle inequality), so the result is exact.
+    Members and visitors of a ball meet piece by piece, whatever its size.
     """
     distinct = points.groupBy("vec").agg(F.count("*").alias("copies"))
     distinct = cut_lineage(distinct.withColumn("vid", F.monotonically_increasing_id()))
     n = distinct.count()
-    wanted = max(1, min(MAX_PIVOTS, math.isqrt(n)))
+    wanted = max(1, math.isqrt(n))
+    # The square root of the vectors: the least by hash.
     drawn = distinct.orderBy(F.md5(F.concat(F.col("vec").cast("string"), F.lit(f"|{seed}")))).limit(wanted).select("vec").collect()
-    pivots = F.array(*[F.struct(F.lit(i).alias("p"), F.array(*[F.lit(float(v)) for v in r.vec]).alias("at")) for i, r in enumerate(drawn)])
-    reach = F.transform(pivots, lambda p: F.struct(_distance(F.col("vec"), p["at"]).alias("d"), p["p"].alias("p")))
-    placed = distinct.withColumn("reach", reach).withColumn("home", F.array_min("reach"))
-    balls = placed.groupBy(F.col("home.p").alias("p")).agg(F.max("home.d").alias("radius"), F.sum("copies").alias("members"), F.count("*").alias("size"))
-    radius = {r.p: (r.radius, r.members, r.size) for r in balls.collect()}  # one row per pivot
-    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(rad).alias("r"), F.lit(m).alias("m")) for p, (rad, m, _) in radius.items()])
-    # Upper bound of the k-th distance: nearest balls, far side, until k other rows are inside.
-    sides = F.array_sort(F.transform(known, lambda b: F.struct((F.col("reach")[b["p"]]["d"] + b["r"]).alias("far"), b["m"].alias("m"))))
-    start = F.struct(F.lit(-1).cast("long").alias("seen"), F.lit(float("inf")).alias("bound"))
-
-    def widen(s: Column, b: Column) -> Column:
-        seen = s["seen"] + b["m"]
-        return F.struct(seen.alias("seen"), F.when((s["seen"] < k) & (seen >= k), b["far"]).otherwise(s["bound"]).alias("bound"))
-
-    bound = F.aggregate(sides, start, widen)["bound"]
-    open_balls = F.filter(known, lambda b: F.col("reach")[b["p"]]["d"] - b["r"] <= F.col("bound") * (1 + 1e-12))
-    routed = placed.withColumn("bound", bound).select("vid", "vec", "copies", F.explode(F.transform(open_balls, lambda b: b["p"])).alias("p"))
-    routed = cut_lineage(routed)
-    # A pivot group is searched in as many pieces as its visitors need.
-    pieces = {r.p: math.ceil(r["count"] / ROUTED_ROWS) for r in routed.groupBy("p").count().collect()}  # one row per pivot
-    spread = F.expr("element_at(map(" + ", ".join(f"{p}, {n}" for p, n in pieces.items()) + "), p)")
-    left = routed.withColumn("salt", F.pmod(F.xxhash64("vid"), spread).cast("int"))
-    members = placed.select(F.col("home.p").alias("p"), "vid", "vec", "copies").withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1)))
+    context = points.sparkSession.sparkContext
+    pivots = context.broadcast(np.array([list(r.vec) for r in drawn], dtype=float).reshape(len(drawn), -1))
+    schema = "vec array<double>, copies bigint, vid bigint, home int, reach double"
+    placed = cut_lineage(distinct.mapInArrow(lambda it: _place(it, pivots.value), schema))
+    balls = {r.home: (r.radius, r.members, r.size) for r in placed.groupBy("home").agg(F.max("reach").alias("radius"), F.sum("copies").alias("members"), F.count("*").alias("size")).collect()}  # one row per pivot
+    shape = context.broadcast(np.array([balls.get(p, (-np.inf, 0, 0)) for p in range(len(drawn))], dtype=float).reshape(len(drawn), 3))
+    routed = placed.mapInArrow(lambda it: _route(it, pivots.value, shape.value[:, 0], shape.value[:, 1], k), f"{schema}, balls array<int>")
+    visits = cut_lineage(routed.select("vid", "vec", F.explode("balls").alias("p")))
+    # A ball and its visitors are cut into pieces of bounded size; every piece meets every piece.
+    sizes = visits.groupBy("p").agg(F.ceil(F.count("*") / VISITOR_ROWS).cast("int").alias("v"))
+    pieces = cut_lineage(sizes.join(placed.groupBy(F.col("home").alias("p")).agg(F.ceil(F.count("*") / MEMBER_ROWS).cast("int").alias("m")), "p"))
+    pieces = F.broadcast(pieces)  # one row per pivot
+    left = visits.join(pieces, "p").withColumns({"i": F.pmod(F.xxhash64("vid"), F.col("v")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("m") - 1))})
+    right = placed.select(F.col("home").alias("p"), "vid", "vec", "copies").join(pieces, "p")
+    right = right.withColumns({"j": F.pmod(F.xxhash64("vid"), F.col("m")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("v") - 1))})
 
     def search(rows: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         found = {"vid": [], "d": [], "near": []}
         if len(rows) and len(group):
             here, there = np.stack(rows["vec"].to_numpy()), np.stack(group["vec"].to_numpy())
-            ids, copies = group["vid"].to_numpy(), group["copies"].to_numpy()
-            for vid, vec in zip(rows["vid"].to_numpy(), here):
-                dist = np.sqrt(((there - vec) ** 2).sum(axis=1))
-                others = copies - (ids == vid)
-                order = np.argsort(dist, kind="stable")
-                picked = np.repeat(order, np.minimum(others[order], k))[:k]
-                found["vid"].append(vid)
-                found["d"].append(dist[picked])
-                found["near"].append([there[i] for i in picked])
+            asking, ids, copies = rows["vid"].to_numpy(), group["vid"].to_numpy(), group["copies"].to_numpy()
+            most = min(k + 1, len(there)) - 1
+            for lo, d in _distances(here, there):
+                # The k + 1 nearest vectors hold k others; all that tie with the last of them come along.
+                cut = np.partition(d, most, axis=1)[:, most]
+                row, at = np.nonzero(d <= cut[:, None])
+                times = np.minimum(copies[at] - (asking[lo + row] == ids[at]), k)
+                row, at = np.repeat(row, times), np.repeat(at, times)
+                found["vid"].append(asking[lo + row])
+                found["d"].append(d[row, at])
+                found["near"] += list(there[at])
+            found["vid"], found["d"] = np.concatenate(found["vid"]), np.concatenate(found["d"])
         return pd.DataFrame(found)
 
-    schema = "vid long, d array<double>, near array<array<double>>"
-    partial = left.groupBy("p", "salt").cogroup(members.groupBy("p", "salt")).applyInPandas(search, schema)
-    ranked = partial.select("vid", F.explode(F.arrays_zip("d", "near")).alias("h")).groupBy("vid").agg(F.array_sort(F.collect_list("h")).alias("hits"))
-    near = F.transform(F.slice("hits", 1, k), lambda h: h["near"])
-    return distinct.select("vid", "vec").join(ranked, "vid").select("vec", near.alias("near"))
+    partial = left.select("p", "i", "j", "vid", "vec").groupBy("p", "i", "j").cogroup(right.select("p", "i", "j", "vid", "vec", "copies").groupBy("p", "i", "j"))
+    hits = partial.applyInPandas(search, "vid long, d double, near array<double>")
+    best = F.row_number().over(Window.partitionBy("vid").orderBy("d", "near"))
+    ranked = hits.withColumn("rank", best).where(F.col("rank") <= k).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("rank", "near"))).alias("hits"))
+    return distinct.select("vid", "vec").join(ranked, "vid").select("vec", F.transform("hits", lambda h: h["near"]).alias("near"))
 
 
 def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
@@ -133,9 +167,9 @@ def learner(name: str, features: int, label: str, weight: str | None = None, **o
     common = {"featuresCol": "features", "labelCol": label}
     weighted = {**common, **({"weightCol": weight} if weight else {})}
     if name == "gbt":
-        return GBTClassifier(**{**weighted, "maxDepth": 6, "maxIter": 100, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42, **options})
+        return GBTClassifier(**{**weighted, "maxDepth": 6, "maxIter": 500, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42, **options})
     if name == "random_forest":
-        return RandomForestClassifier(**{**weighted, "numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 4, "seed": 42, **options})
+        return RandomForestClassifier(**{**weighted, "numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 4, "seed": 42, **options})
     if name == "svm":
         return LinearSVC(**{**weighted, "regParam": 0.01, "maxIter": 100, **options})
     if name == "mlp":
@@ -172,6 +206,37 @@ def select_by_importance(df: DataFrame, features: Sequence[str], label: str, k:
     return [r.feature for r in feature_importance(model, features, df.sparkSession).where(F.col("rank") <= k).orderBy("rank").collect()]
 
 
+@dataclass
+class ImbalancedModel:
+    """A linear machine fitted to few positives, and what led to it."""
+
+    model: PipelineModel
+    selected: list[str]
+    sampled_rows: int
+    balanced_rows: int
+    sweep: DataFrame  # one row per threshold, the best marked
+    importance: DataFrame  # rank, feature, importance, coefficient
+
+
+def imbalanced_pipeline(
+    train: DataFrame, val: DataFrame, features: Sequence[str], label: str, key: str, *, ratio: int = 20, k: int = 5, k_best: int = 25, thresholds: Sequence[float], seed: int = 42, **options
+) -> ImbalancedModel:
+    """Down-sample the negatives, impute and scale by what is left, oversample the positives, keep the
+    ``k_best`` features by mutual information, fit a linear machine with balanced weights, and sweep
+    its threshold on the validation rows."""
+    from terrapanel.operators import metrics, sampling
+
+    sampled = cut_lineage(sampling.downsample(train, label, key, ratio, seed))
+    filled = [f.na.fill(0.0, list(features)) for f in sampling.impute_median(sampled, features, val)]
+    scaled, scaled_val = sampling.standardise(filled[0], features, filled[1])
+    whole = cut_lineage(smote(scaled, label, key, features, k, seed))
+    scores = sampling.select_k_best(sampling.mutual_information(whole, features, label), min(k_best, len(features)))
+    selected = [r.feature for r in scores.orderBy(F.col("mi").desc(), "feature").collect()]  # one row per feature
+    model = fit(sampling.with_class_weight(whole, label, balanced=True), selected, label, "svm", "weight", **options)
+    sweep = metrics.threshold_sweep(cut_lineage(score(model, scaled_val).select(label, "score")), thresholds, "score", label)
+    return ImbalancedModel(model, selected, sampled.count(), whole.count(), sweep, feature_importance(model, selected, train.sparkSession))
+
+
 METADATA_SCHEMA = T.StructType(
     [
         T.StructField("roc_auc", T.DoubleType()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import with_interactions
@@ -193,12 +195,17 @@ def class_report(spark, sf_dir):
 
 
 # Learners on the readings: is a series above its usual level of errors today?
+#
+# What a learner finds is its own; its queries return what is determined whatever it finds:
+# the rows it was given, their classes and weights, the rows it scored, and whether the
+# figures derived from its scores are the exact ones.
 
 _FEATURES = ["T2M", "RH2M", "WS10M", "PRECTOTCORR", "T2M_3d_mean", "fires_last_7d", "vpd_proxy", "hot_windy", "dry_windy"]
+_CUT = "2024-01-23"
 
 
-def _learning_frame(spark, sf_dir):
-    """(key, date, features, label): dense readings with gaps imputed from the training days."""
+def _unfilled_frame(spark, sf_dir):
+    """(key, date, features, label): dense readings of every site with their gaps, materialised."""
     obs = roles.observations(spark, sf_dir)
     wide = merge_factors(cell_day_mean(obs, ["grid_id", "date", "factor"], ["value"]), ["grid_id", "date"], "factor", "value", WEATHER, how="outer")
     cells = obs.select("grid_id").distinct()
@@ -208,53 +215,162 @@ def _learning_frame(spark, sf_dir):
     panel = event_history(panel, "grid_id", "date", "fire_today", {"fires_last_7d": 7}, include_current=False)
     panel = with_interactions(panel.withColumn("ndvi", F.col("WS10M") / 500.0))
     panel = panel.withColumns({"key": F.concat_ws("|", "grid_id", "date"), "label": F.col("fire_today")})
-    train, val = sampling.temporal_split(cut_lineage(panel), "2024-01-23")
+    return cut_lineage(panel.select("key", "date", "label", *_FEATURES))
+
+
+def _learning_frame(spark, sf_dir):
+    """Training and validation rows, gaps imputed and scaled by the training days."""
+    train, val = sampling.temporal_split(_unfilled_frame(spark, sf_dir), _CUT)
     filled = sampling.impute_median(train, _FEATURES, val)
     zeroed = [f.na.fill(0.0, _FEATURES) for f in filled]  # a feature without any training value
     return sampling.standardise(zeroed[0], _FEATURES, zeroed[1])
 
 
-def _record(spark, sf_dir, name, weight=None, **options):
-    """Fit on the first days, score the last ones, and describe the result."""
-    train, val = (f.select("key", "label", *_FEATURES) for f in _learning_frame(spark, sf_dir))
-    fitted_on = sampling.with_class_weight(train, "label") if weight else train
-    model = learning.fit(fitted_on, _FEATURES, "label", name, weight, **options)
-    return learning.model_record(train, learning.score(model, val), _FEATURES, "label")
+_LEARNT = f"""{roles.OBS}, {roles.CALENDAR}, ps as (select grid_id, date, avg(value) as v from obs where factor = 'PS' group by 1, 2),
+frame as (select c.grid_id, d.date, cast(coalesce(p.v, 0) > 60 as integer) as label from (select distinct grid_id from obs) c cross join days d left join ps p on p.grid_id = c.grid_id and p.date = d.date),
+tr as (select * from frame where date < date '{_CUT}'), va as (select * from frame where date >= date '{_CUT}'),
+sizes as (select (select count(*) from tr) as n, (select sum(label) from tr) as p, (select count(*) from va) as vn, (select sum(label) from va) as vp)"""
+_RECORD = "num_train_rows:l num_val_rows:l train_fire_cases:l val_fire_cases:l scale_pos_weight:f6 weight_neg:f6 weight_pos:f6 scored_rows:l auc_is_exact:b threshold_is_best:b"
+
 
+def _record_sql(weights: str) -> str:
+    neg, pos = {"none": ("1", "1"), "ratio": ("1", "(n - p) / cast(p as double)"), "balanced": ("n / (2e0 * (n - p))", "n / (2e0 * p)")}[weights]
+    return f"""with {_LEARNT} select n as num_train_rows, vn as num_val_rows, p as train_fire_cases, vp as val_fire_cases, (n - p) / cast(p as double) as scale_pos_weight,
+    {neg} as weight_neg, {pos} as weight_pos, vn as scored_rows, true as auc_is_exact, true as threshold_is_best from sizes"""
 
-_RECORD = "roc_auc:f6 auc_pr:f6 best_threshold:f6 num_train_rows:l num_val_rows:l train_fire_cases:l val_fire_cases:l scale_pos_weight:f6"
 
+def _record(spark, sf_dir, name, weights="none", **options):
+    """Fit on the first days, score the last ones, and describe the result."""
+    train, val = (f.select("key", "label", *_FEATURES) for f in _learning_frame(spark, sf_dir))
+    weighted = train.withColumn("weight", F.lit(1.0)) if weights == "none" else sampling.with_class_weight(train, "label", balanced=weights == "balanced")
+    model = learning.fit(weighted, _FEATURES, "label", name, None if weights == "none" else "weight", **options)
+    scored = cut_lineage(learning.score(model, val).select("key", "label", "score"))
+    found = learning.model_record(train, scored, _FEATURES, "label")
+    best = found.first()
+    # The same figures by other means: Spark's evaluator, and counts at the threshold and at those around it.
+    area = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0).evaluate(scored)
+    others = scored.approxQuantile("score", [i / 50 for i in range(51)], 0.001)
+
+    def f1(at: float):
+        hit, said, true = (F.sum(c.cast("double")) for c in ((F.col("score") >= at) & (F.col("label") == 1), F.col("score") >= at, F.col("label") == 1))
+        return 2 * hit / (said + true + 1e-9)
+
+    reached = scored.agg(F.count("*"), f1(best.best_threshold), F.greatest(*[F.coalesce(f1(t), F.lit(0.0)) for t in others])).first()
+    used = {r["label"]: r["w"] for r in weighted.groupBy("label").agg(F.max("weight").alias("w")).collect()}  # one row per class
+    return found.withColumns(
+        {
+            "weight_neg": F.lit(used[0]), "weight_pos": F.lit(used[1]), "scored_rows": F.lit(reached[0]),
+            "auc_is_exact": F.abs(F.col("roc_auc") - area) < 1e-9, "threshold_is_best": F.lit(reached[1] >= reached[2] - 1e-6),
+        }
+    )
 
-@register("gbt_fit", _RECORD)
+
+@register("gbt_fit", _RECORD, _record_sql("ratio"))
 def gbt_fit(spark, sf_dir):
-    return _record(spark, sf_dir, "gbt", "weight", maxDepth=4, maxIter=10)
+    """500 trees of depth 6."""
+    return _record(spark, sf_dir, "gbt", "ratio")
 
 
-@register("rf_fit", _RECORD)
+@register("rf_fit", _RECORD, _record_sql("balanced"))
 def rf_fit(spark, sf_dir):
-    return _record(spark, sf_dir, "random_forest", "weight", numTrees=20, maxDepth=8)
+    """300 trees of any depth Spark allows, four rows a leaf."""
+    return _record(spark, sf_dir, "random_forest", "balanced")
 
 
-@register("svm_fit", _RECORD)
+@register("svm_fit", _RECORD, _record_sql("balanced"))
 def svm_fit(spark, sf_dir):
-    return _record(spark, sf_dir, "svm", "weight", maxIter=20)
+    return _record(spark, sf_dir, "svm", "balanced")
 
 
-@register("mlp_fit", _RECORD)
+@register("mlp_fit", _RECORD, _record_sql("none"))
 def mlp_fit(spark, sf_dir):
-    return _record(spark, sf_dir, "mlp", maxIter=20, layers=[len(_FEATURES), 16, 8, 2])
+    """Hidden layers of 128 and 64."""
+    return _record(spark, sf_dir, "mlp")
+
+
+_RANKED = "rank:l features:l importance_falls:b"
+
+
+def _ranking(found):
+    """One row per rank: whether importance falls from rank to rank, and how many features were ranked."""
+    before = F.lag("importance").over(Window.orderBy("rank"))  # one row per feature
+    count = F.count("*").over(Window.partitionBy(F.lit(0)))
+    return found.select("rank", count.alias("features"), F.coalesce(before >= F.col("importance"), F.lit(True)).alias("importance_falls"))
 
 
-@register("feature_importance", "rank:l feature:s importance:f6")
+@register("feature_importance", _RANKED, f"select unnest(generate_series(1, {len(_FEATURES)})) as rank, {len(_FEATURES)} as features, true as importance_falls")
 def feature_importance(spark, sf_dir):
     train, _ = _learning_frame(spark, sf_dir)
-    model = learning.fit(train.select("key", "label", *_FEATURES), _FEATURES, "label", "random_forest", numTrees=20, maxDepth=8)
-    return learning.feature_importance(model, _FEATURES, spark)
+    model = learning.fit(train.select("key", "label", *_FEATURES), _FEATURES, "label", "random_forest")
+    return _ranking(learning.feature_importance(model, _FEATURES, spark))
+
+
+@register(
+    "select_refit",
+    "selected:l num_train_rows:l scored_rows:l auc_is_exact:b",
+    f"with {_LEARNT} select 5 as selected, n as num_train_rows, vn as scored_rows, true as auc_is_exact from sizes",
+)
+def select_refit(spark, sf_dir):
+    """The five most important features of a first model, and a perceptron fitted to those alone."""
+    train, val = (f.select("key", "label", *_FEATURES) for f in _learning_frame(spark, sf_dir))
+    chosen = learning.select_by_importance(train, _FEATURES, "label", 5, "random_forest")
+    scored = cut_lineage(learning.score(learning.fit(train, chosen, "label", "mlp"), val).select("label", "score"))
+    area = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0).evaluate(scored)
+    found = metrics.auc_ap(metrics.score_curve(scored)).first().roc_auc
+    counts = {"selected": F.lit(len(chosen)), "num_train_rows": F.lit(train.count()), "auc_is_exact": F.lit(abs(found - area) < 1e-9)}
+    return scored.agg(F.count("*").alias("scored_rows")).withColumns(counts)
+
+
+_STEPS_SVM = [round(-2.0 + 0.1 * i, 1) for i in range(41)]
+
+
+@register(
+    "imbalanced_pipeline",
+    "threshold:f1 sampled_rows:l balanced_rows:l selected:l positives:l n_best:l",
+    f"""with {_LEARNT}, s as (select p + least(n - p, 2 * p) as sampled, 2 * greatest(p, least(n - p, 2 * p)) as balanced, vp from sizes)
+    select unnest([{', '.join(f'{t}e0' for t in _STEPS_SVM)}]) as threshold, sampled as sampled_rows, balanced as balanced_rows, 4 as selected, vp as positives, 1 as n_best from s""",
+)
+def imbalanced_pipeline(spark, sf_dir):
+    """Down-sample, impute, scale, oversample, select, fit a balanced linear machine, sweep its threshold."""
+    train, val = sampling.temporal_split(_unfilled_frame(spark, sf_dir), _CUT)
+    found = learning.imbalanced_pipeline(train.drop("date"), val.drop("date"), _FEATURES, "label", "key", ratio=2, k_best=4, thresholds=_STEPS_SVM)
+    sweep = found.sweep.withColumns({"positives": F.col("tp") + F.col("fn"), "n_best": F.sum(F.col("is_best").cast("long")).over(Window.partitionBy(F.lit(0)))})
+    return sweep.withColumns({"sampled_rows": F.lit(found.sampled_rows), "balanced_rows": F.lit(found.balanced_rows), "selected": F.lit(len(found.selected))})
+
+
+# Oversampling and its neighbour search, row by row: promotional parts among all others.
+
+_PARTS = "pts as (select p_partkey as k, cast(p_type = 'PROMO' as integer) as label, cast(p_size as double) as x, p_retailprice as y from part)"
+_NEAR = """own as (select x, y, count(*) as copies from {source} group by 1, 2),
+near as (select a.x, a.y, b.x as nx, b.y as ny, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, least(b.copies - case when a.x = b.x and a.y = b.y then 1 else 0 end, 5) as times from own a cross join own b),
+ranked as (select * from (select x, y, nx, ny, d, row_number() over (partition by x, y order by d, nx, ny) as rank from (select *, unnest(generate_series(1, times)) as copy from near where times > 0)) where rank <= 5)"""
 
 
-@register("smote", "label:l synthetic:b n:l low:f6 high:f6")
+def _parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_type") == "PROMO").cast("int").alias("label"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+
+
+@register("feature_neighbours", "x:f6 y:f6 rank:l nx:f6 ny:f6 d:f6", f"with {_PARTS}, {_NEAR.format(source='pts')} select * from ranked")
+def feature_neighbours(spark, sf_dir):
+    near = learning.feature_neighbours(_parts(spark, sf_dir).select(F.array("x", "y").alias("vec")), 5)
+    rows = near.select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.posexplode("near").alias("at", "n"))
+    gap = F.sqrt(F.pow(F.col("x") - F.col("n")[0], 2) + F.pow(F.col("y") - F.col("n")[1], 2))
+    return rows.select("x", "y", (F.col("at") + 1).alias("rank"), F.col("n")[0].alias("nx"), F.col("n")[1].alias("ny"), gap.alias("d"))
+
+
+def _chance_sql(tail: str) -> str:
+    return f"(cast(('0x' || substr(md5(k || '|' || no || '|42|{tail}'), 1, 12)) as bigint) / 281474976710656e0)"
+
+
+@register(
+    "smote",
+    "label:l synthetic:b x:f6 y:f6",
+    f"""with {_PARTS}, small as (select * from pts where label = 1), {_NEAR.format(source='small')},
+    quota as (select count(*) filter (where label = 0) - count(*) filter (where label = 1) as need, count(*) filter (where label = 1) as have from pts),
+    shared as (select s.*, cast(floor(need / have) as bigint) + case when row_number() over (order by md5(s.k || '|42'), s.k) <= need % have then 1 else 0 end as times from small s cross join quota),
+    drawn as (select k, x, y, unnest(generate_series(1, times)) as no from shared where times > 0),
+    picked as (select *, 1 + cast(floor({_chance_sql('n')} * 5) as bigint) as rank, {_chance_sql('u')} as u from drawn)
+    select label, false as synthetic, x, y from pts union all select 1, true, p.x + u * (r.nx - p.x), p.y + u * (r.ny - p.y) from picked p join ranked r on r.x = p.x and r.y = p.y and r.rank = p.rank""",
+)
 def smote(spark, sf_dir):
-    """Class sizes and value range after oversampling."""
-    train, _ = _learning_frame(spark, sf_dir)
-    whole = learning.smote(train.select("key", "label", *_FEATURES), "label", "key", _FEATURES, 5, 42)
-    return whole.groupBy("label", "synthetic").agg(F.count("*").alias("n"), F.min("T2M").alias("low"), F.max("T2M").alias("high"))
+    return learning.smote(_parts(spark, sf_dir), "label", "k", ["x", "y"], 5, 42)

@@ -101,6 +101,52 @@ def test_smote_balances_between_minority_points(spark):
         assert min(gaps) < 1e-9
 
 
+@pytest.fixture(scope="module")
+def separable(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 4))
+    y = (x[:, 0] + x[:, 1] + 0.2 * rng.normal(size=1200) > 1.5).astype(int)
+    rows = [(i, int(y[i]), *map(float, x[i])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, label int, a double, b double, c double, d double").cache()
+    return df.where("id % 4 > 0"), df.where("id % 4 = 0")
+
+
+@pytest.mark.parametrize("name, options", [("gbt", {"maxIter": 10}), ("random_forest", {"numTrees": 20, "maxDepth": 8}), ("svm", {}), ("mlp", {"maxIter": 60})])
+def test_learners_find_what_is_there(separable, name, options):
+    train, val = separable
+    scored = learning.score(learning.fit(train, ["a", "b", "c", "d"], "label", name, **options), val)
+    assert metrics.auc_ap(metrics.score_curve(scored)).first().roc_auc > 0.93
+
+
+def test_imbalanced_pipeline_finds_the_telling_features(separable):
+    train, val = separable
+    found = learning.imbalanced_pipeline(train, val, ["a", "b", "c", "d"], "label", "id", ratio=2, k_best=2, thresholds=[t / 10 for t in range(-20, 21)])
+    assert set(found.selected) == {"a", "b"} and [r["rank"] for r in found.importance.collect()] == [1, 2]
+    assert found.sweep.where("is_best").first().f1 > 0.75 and found.sweep.count() == 41
+
+
+def test_selected_features_are_the_telling_ones(separable):
+    assert set(learning.select_by_importance(separable[0], ["a", "b", "c", "d"], "label", 2, numTrees=20, maxDepth=6)) == {"a", "b"}
+
+
+def test_encoded_labels_follow_the_alphabet(spark):
+    df = learning.encode_label(spark.createDataFrame([("no",), ("yes",), ("no",)], "y string"), "y", "label")
+    assert {(r.y, r.label) for r in df.collect()} == {("no", 0.0), ("yes", 1.0)}
+
+
+def test_model_and_record_are_written(spark, separable, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from terrapanel.sources import sinks
+
+    train, val = separable
+    model = learning.fit(train, ["a", "b"], "label", "svm")
+    record = learning.model_record(train, learning.score(model, val), ["a", "b"], "label")
+    sinks.write_model(model, record, str(tmp_path / "m"))
+    assert PipelineModel.load(str(tmp_path / "m" / "model")).transform(val).count() == 300
+    assert spark.read.json(str(tmp_path / "m" / "threshold")).first().threshold == record.first().best_threshold
+
+
 def test_qa_report(spark):
     cells = spark.createDataFrame([("a",), ("b",)], "grid_id string")
     labels = spark.createDataFrame([("2023-07-01", "a", 1), ("2023-07-01", "b", 0), ("2023-07-02", "a", 0), ("x", "z", 5)], "date string, grid_id string, fire_today int")
