@@ -18,7 +18,7 @@ from terrapanel.session import cut_lineage, shuffle_width
 
 def _bucket_side(df: DataFrame) -> int:
     """Side m of the m x m bucket split: about four buckets per shuffle partition."""
-    return max(4, min(100, math.ceil(math.sqrt(4 * shuffle_width(df.sparkSession)))))
+    return max(4, math.ceil(math.sqrt(4 * shuffle_width(df.sparkSession))))
 
 
 def with_range_bucket(df: DataFrame, group: Sequence[str], order: str, *, side: int | None = None) -> DataFrame:

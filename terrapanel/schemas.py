@@ -1,13 +1,4 @@
 """Declared schemas of the file inputs."""
 
-# Weather factors in output order.
-WEATHER_FACTORS = ("PRECTOTCORR", "PS", "RH2M", "T2M", "WS10M")
-
+# Columns of a weather file.
 WEATHER_FILE = "LAT double, LON double, YEAR int, DOY int, {factor} double"
-WEATHER = "LAT double, LON double, DATE date, PRECTOTCORR double, PS double, RH2M double, T2M double, WS10M double"
-VEGETATION = "date date, longitude double, latitude double, ndvi double"
-VEGETATION_TILE = "file string, attrs map<string,string>, lat array<double>, lon array<double>, raw array<int>"
-INCIDENTS_CLEAN = "incident_id string, date date, lat double, lon double, state string, type string"
-DETECTIONS = "latitude double, longitude double, acq_date string, confidence string"
-GRID_LOOKUP = "grid_id string, lon double, lat double"
-LABELS = "date date, grid_id string, fire_today int"

@@ -27,6 +27,12 @@ def scan_features(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("features").alias("f")).select("f.properties.*")
 
 
+def features_of(pages: DataFrame, text: str, properties: str) -> DataFrame:
+    """The same for pages held as text, under declared property columns."""
+    schema = f"features array<struct<properties: struct<{properties.replace(' ', ': ').replace(',: ', ', ')}>>>"
+    return pages.select(F.explode(F.from_json(text, schema)["features"]).alias("f")).select("f.properties.*")
+
+
 def format_dates(df: DataFrame, tz: str = "America/Los_Angeles") -> DataFrame:
     """Numeric epoch-millisecond date fields as local wall-clock text; text fields stay as they are."""
     numeric = {n for n, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")}

@@ -34,7 +34,11 @@ def scan_csv(
 
 def scan_headed_text(spark: SparkSession, path: str, aliases: dict[str, Sequence[str]], required: Sequence[str]) -> DataFrame:
     """CSV of unknown column order read as text: header names trimmed and matched regardless of case."""
-    df = spark.read.option("header", True).csv(path)
+    return headed_text(spark.read.option("header", True).csv(path), aliases, required)
+
+
+def headed_text(df: DataFrame, aliases: dict[str, Sequence[str]], required: Sequence[str]) -> DataFrame:
+    """Text columns under the canonical names their trimmed headers stand for in any case."""
     trimmed = df.toDF(*[c.strip() for c in df.columns])
     lower = {c.lower(): c for c in trimmed.columns}
     found = {name: [lower[o.lower()] for o in options if o.lower() in lower] for name, options in aliases.items()}
@@ -47,8 +51,13 @@ def scan_elevation(spark: SparkSession, path: str) -> DataFrame:
     A row is the units row when none of its three fields reads as a number; other
     rows stay even if a field is unreadable.
     """
+    return elevation_rows(spark.read.option("header", True).csv(path))
+
+
+def elevation_rows(df: DataFrame) -> DataFrame:
+    """The same from text columns."""
     names = ("longitude", "latitude", "elev")
-    text = scan_headed_text(spark, path, {n: [n] for n in names}, names)
+    text = headed_text(df, {n: [n] for n in names}, names)
     parsed = text.withColumns({n: strip_units(F.col(n)) for n in names})
     unreadable = F.col("longitude").isNull() & F.col("latitude").isNull() & F.col("elev").isNull()
     return parsed.where(~unreadable)

@@ -203,3 +203,9 @@ def test_a_comb_makes_edge_copies_in_proportion(spark):
     points = [(i, 0.37 * i + 0.0013, 0.5) for i in range(500)]
     inside = {r.id for r in within_polygon(spark.createDataFrame(points, "id long, lon double, lat double"), comb).collect()}
     assert inside == {i for i, x, _ in points if x < 200 and 0.25 < x % 1 < 0.75}
+
+
+def test_rings_are_projected_vertex_by_vertex(spark):
+    ring = [(-120.0, 37.5), (-119.0, 37.5), (-119.0, 38.0), (-120.0, 37.5)]
+    out = polygons.project_rings(spark.createDataFrame([(0, False, ring)], polygons.RINGS_SCHEMA)).first().ring
+    assert abs(out[0].x) < 1e-6 and abs(out[0].y + 57402.446) < 0.01 and out[0] == out[3]
