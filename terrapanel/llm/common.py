@@ -105,7 +105,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def chunks(offsets: np.ndarray, limit: int = 2_000_000):
+def chunks(offsets: np.ndarray, limit: int = 500_000):
     """Runs (lo, hi) of rows that hold ``limit`` values together, or one row that alone holds more."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

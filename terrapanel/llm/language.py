@@ -23,7 +23,7 @@ BUCKETS, GRAMS, SMOOTHING = 1 << 15, 3, 0.5
 # Documents the model is fitted on at most, chosen by a hash of the id among all labelled ones.
 TRAIN_DOCS = 20_000
 UNKNOWN = "und"
-_CHARS = 1_000_000
+_CHARS = 500_000
 
 
 def _letters() -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import flat_lists
+from terrapanel.llm.common import chunks, flat_lists
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
@@ -33,7 +33,7 @@ _FOREIGN = 0x110001
 # How a text falls into units. One blank before a word is left out of the unit's name.
 _UNIT = re.compile(r" *[^ \n]+| +|\n[^ \n]*")
 # Units kept from batch to batch, and units up to which merging runs for all units at once.
-CACHE_UNITS, SHORT_UNIT = 1_000_000, 48
+CACHE_UNITS, SHORT_UNIT = 400_000, 48
 
 
 @dataclass
@@ -315,7 +315,7 @@ def segment(units: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray
     return value.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
-def _runs(units: list[str], limit: int = 1_000_000):
+def _runs(units: list[str], limit: int = 250_000):
     """Runs of units that hold about ``limit`` characters together."""
     ends = np.cumsum([len(u) + 1 for u in units])
     lo = 0
@@ -377,7 +377,7 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, model: PieceModel) -> list[
     return out
 
 
-def _slices(texts: list[str | None], limit: int = 8_000_000):
+def _slices(texts: list[str | None], limit: int = 1_000_000):
     lo, size = 0, 0
     for row, text in enumerate(texts):
         size += len(text or "")
@@ -388,6 +388,11 @@ def _slices(texts: list[str | None], limit: int = 8_000_000):
         yield lo, len(texts)
 
 
+def _sums(ids: np.ndarray, offsets: np.ndarray) -> list[int]:
+    raw = memoryview(np.ascontiguousarray(ids, dtype="<i4")).cast("B")
+    return [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def _encode(batches, model: PieceModel):
     encoder = Encoder(model)
     for batch in batches:
@@ -395,50 +400,46 @@ def _encode(batches, model: PieceModel):
         for lo, hi in _slices(texts):
             ids, offsets = encoder.encode(texts[lo:hi])
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo), lists], names=["id", "text", "ids"])
+            same = [a == (b or "") for a, b in zip(decode_ids(ids, offsets, model), texts[lo:hi])]
+            columns = [batch.column(0).slice(lo, hi - lo), lists, pa.array(_sums(ids, offsets), type=pa.int64()), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "ids_crc32", "round_trip"])
 
 
 def encode(docs: DataFrame, model: PieceModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, ids): the piece ids of every row's whole text; none for NULL and empty texts.
+    """(doc_id, ids, ids_crc32, round_trip): the piece ids of every row's whole text; none for NULL and empty texts.
 
-    As the library encodes, but for one thing: a blank mark (U+2581) that a text
-    itself contains becomes bytes, so that decoding returns the text exactly.
-    Repeated rows repeat, NULL ids are kept, an empty table gives an empty table.
+    ``ids_crc32`` is of the ids as little-endian 32-bit numbers; ``round_trip`` says that
+    they were decoded and gave the text back.  Ids are the library's, but for one thing: a
+    blank mark (U+2581) that a text itself contains becomes bytes, so that decoding returns
+    the text exactly.  Repeated rows repeat, NULL ids are kept, an empty table gives an
+    empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(lambda it: _encode(it, shared.value), f"id {kind}, text string, ids array<int>")
-    return out.select(F.col("id").alias(doc_id), F.col("text").alias(text), "ids")
+    out = rows.mapInArrow(lambda it: _encode(it, shared.value), f"id {kind}, ids array<int>, ids_crc32 bigint, round_trip boolean")
+    return out.withColumnRenamed("id", doc_id)
 
 
 def _decode(batches, model: PieceModel):
     for batch in batches:
         table = pa.Table.from_batches([batch])
         ids, offsets = flat_lists(table.column("ids"))
-        texts, sums = [], []
-        step = max(1, table.num_rows // max(1, len(ids) // 4_000_000 + 1))
-        for lo in range(0, table.num_rows, step):
-            hi = min(lo + step, table.num_rows)
-            part = ids[offsets[lo] : offsets[hi]]
-            at = offsets[lo : hi + 1] - offsets[lo]
-            texts += decode_ids(part, at, model)
-            raw = memoryview(np.ascontiguousarray(part, dtype="<i4")).cast("B")
-            sums += [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string()), pa.array(sums, type=pa.int64())], names=[*batch.schema.names, "decoded", "ids_crc32"])
+        texts = []
+        for lo, hi in chunks(offsets):
+            texts += decode_ids(ids[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], model)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, "decoded"])
 
 
 def decode(rows: DataFrame, model: PieceModel, ids: str = "ids") -> DataFrame:
-    """``rows`` plus ``decoded``, the text of its ids, and ``ids_crc32`` of the ids as little-endian 32-bit numbers."""
+    """``rows`` plus ``decoded``, the text of its ids; NULL ids have the empty text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     named = rows.withColumnRenamed(ids, "ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
-    return named.mapInArrow(lambda it: _decode(it, shared.value), f"{schema}, decoded string, ids_crc32 bigint").withColumnRenamed("ids", ids)
+    return named.mapInArrow(lambda it: _decode(it, shared.value), f"{schema}, decoded string").withColumnRenamed("ids", ids)
 
 
 def report(docs: DataFrame, model_path: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, round_trip): the encoded texts' digests, and whether decoding returns each text."""
-    model = load_model(model_path)
-    out = decode(encode(docs, model, doc_id, text), model)
-    same = F.col("decoded") == F.coalesce(F.col(text), F.lit(""))
-    return out.select(doc_id, F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", same.alias("round_trip"))
+    """(doc_id, n_tokens, ids_crc32, round_trip) of every document."""
+    out = encode(docs, load_model(model_path), doc_id, text)
+    return out.select(doc_id, F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", "round_trip")
