@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import crc_mod, mix
+from terrapanel.llm.common import chunks, crc_mod, mix
 from terrapanel.llm.linear import bounded_sample
 
 BUCKETS, GRAMS, SMOOTHING = 1 << 15, 3, 0.5
@@ -43,17 +44,11 @@ def letter_table() -> np.ndarray:
     return _LETTER
 
 
-def text_runs(texts: list[str | None], limit: int = _CHARS):
-    """(lo, texts) runs of rows that hold about ``limit`` characters together."""
-    lo, held, size = 0, [], 0
-    for row, text in enumerate(texts):
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= limit:
-            yield lo, held
-            lo, held, size = row + 1, [], 0
-    if held:
-        yield lo, held
+def text_runs(column: pa.Array, limit: int = _CHARS):
+    """(lo, texts) runs of rows that hold about ``limit`` bytes together; NULL is the empty text."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in chunks(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), limit):
+        yield lo, [text or "" for text in column.slice(lo, hi - lo).to_pylist()]
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +97,8 @@ def _count(batches):
     held: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for batch in batches:
-        texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), dtype=object)
-        for lo, run in text_runs(texts):
+        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+        for lo, run in text_runs(batch.column("text")):
             buckets, rows, _ = gram_buckets(run)
             own = langs[lo : lo + len(run)]
             for lang in set(own):
@@ -137,8 +132,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def _predict(batches, model: LanguageModel):
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for lo, run in text_runs(texts):
+        for lo, run in text_runs(batch.column("text")):
             if model.languages:
                 best, score, letters = model.scores(run)
                 names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, letters)]

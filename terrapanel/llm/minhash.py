@@ -267,11 +267,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     linked = components(full.mapInArrow(lambda it: _links(it, FLOOR, similarity, weighting), "a bigint, b bigint"))
 
-    placed = members.join(linked, "node", "left").select("id", "node", F.coalesce("component", "node").alias("root"))
-    placed = cut_lineage(placed)
-    least = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("class_id"))
-    out = placed.join(least, "root", "left").select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"))
-    out = out.withColumn("kept", F.col(doc_id) == F.col("class_id"))
+    # One row per linked text carries its class; the documents only look theirs up.
+    found = linked.join(texts.select("node", "id"), "node")
+    least = found.groupBy("component").agg(F.min("id").alias("class_id"))
+    found = found.join(least, "component").select("node", "class_id")
+    classes = cut_lineage(texts.select("node", "id").join(found, "node", "left").select("node", F.coalesce("class_id", "id").alias("class_id")))
+    wordless = members.where(F.col("node").isNull()).select("id", F.col("id").alias("class_id"))
+    out = members.join(classes, "node").select("id", "class_id").unionByName(wordless)
+    out = out.select(F.col("id").alias(doc_id), "class_id").withColumn("kept", F.col(doc_id) == F.col("class_id"))
     alone = docs.where(F.col(doc_id).isNull()).select(F.col(doc_id).alias(doc_id), F.lit(None).cast(kind).alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 

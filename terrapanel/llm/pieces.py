@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.common import chunks, flat_lists
+from terrapanel.llm.language import text_runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
@@ -377,17 +378,6 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, model: PieceModel) -> list[
     return out
 
 
-def _slices(texts: list[str | None], limit: int = 1_000_000):
-    lo, size = 0, 0
-    for row, text in enumerate(texts):
-        size += len(text or "")
-        if size >= limit:
-            yield lo, row + 1
-            lo, size = row + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _sums(ids: np.ndarray, offsets: np.ndarray) -> list[int]:
     raw = memoryview(np.ascontiguousarray(ids, dtype="<i4")).cast("B")
     return [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -396,12 +386,11 @@ def _sums(ids: np.ndarray, offsets: np.ndarray) -> list[int]:
 def _encode(batches, model: PieceModel):
     encoder = Encoder(model)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for lo, hi in _slices(texts):
-            ids, offsets = encoder.encode(texts[lo:hi])
+        for lo, texts in text_runs(batch.column("text"), 1_000_000):
+            ids, offsets = encoder.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids, type=pa.int32()))
-            same = [a == (b or "") for a, b in zip(decode_ids(ids, offsets, model), texts[lo:hi])]
-            columns = [batch.column(0).slice(lo, hi - lo), lists, pa.array(_sums(ids, offsets), type=pa.int64()), pa.array(same)]
+            same = [a == b for a, b in zip(decode_ids(ids, offsets, model), texts)]
+            columns = [batch.column("id").slice(lo, len(texts)), lists, pa.array(_sums(ids, offsets), type=pa.int64()), pa.array(same)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "ids_crc32", "round_trip"])
 
 

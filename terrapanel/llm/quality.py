@@ -257,8 +257,7 @@ def train(feature: np.ndarray, value: np.ndarray, offsets: np.ndarray, target: n
 def _patterns(batches):
     held: dict[int, int] = {}
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for _, run in text_runs(texts):
+        for _, run in text_runs(batch.column("text")):
             found, times = np.unique(pattern_of(votes(run)), return_counts=True)
             for p, n in zip(found.tolist(), times.tolist()):
                 held[p] = held.get(p, 0) + n
@@ -267,8 +266,7 @@ def _patterns(batches):
 
 def _examples(batches):
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for lo, run in text_runs(texts):
+        for lo, run in text_runs(batch.column("text")):
             feature, value, offsets = features(run)
             at = pa.array(offsets, type=pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -303,8 +301,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: i
 
 def _score(batches, scorer: LinearScorer):
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for lo, run in text_runs(texts):
+        for lo, run in text_runs(batch.column("text")):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(run)), pa.array(scorer.scores(run))], names=["id", "score"])
 
 
