@@ -91,14 +91,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     counted = cut_lineage(long_values(df, columns).where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("n")))
     totals = counted.groupBy("name").agg(F.sum("n").alias("_total"))
     ranked = prefix_sums(counted, "value", {"upto": "n"}, group=["name"]).join(F.broadcast(totals), "name")
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
-    at = ranked.withColumn("share", F.explode(wanted)).withColumn("_h", (F.col("_total") - 1) * F.col("share"))
     start = F.col("upto") - F.col("n")
-    low, high = F.floor("_h"), F.ceil("_h")
 
     def covers(rank: Column) -> Column:
         return (start <= rank) & (rank < F.col("upto"))
 
+    def place(share: Column) -> Column:
+        return (F.col("_total") - 1) * share
+
+    # A value only goes on for the shares whose ranks it holds.
+    wanted = F.filter(F.array(*[F.lit(float(s)) for s in shares]), lambda s: covers(F.floor(place(s))) | covers(F.ceil(place(s))))
+    at = ranked.withColumn("share", F.explode(wanted)).withColumn("_h", place(F.col("share")))
+    low, high = F.floor("_h"), F.ceil("_h")
+
     at = at.withColumns({"_lo": F.when(covers(low), F.col("value")), "_hi": F.when(covers(high), F.col("value"))})
     at = at.where(F.col("_lo").isNotNull() | F.col("_hi").isNotNull())
     found = at.groupBy("name", "share").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_h").alias("_h"))
