@@ -53,6 +53,8 @@ _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Hosts a task folds at a time; further ones make it hand over the one it hasn't met for longest.
 HOSTS_AT_ONCE, SLICES, LONGEST_UNIT = 2_000, 16, 12
+# Token streams a task remembers the folded form of.
+STREAMS = 10_000
 
 
 def element(name: str, attributes: str) -> str:
@@ -301,6 +303,7 @@ def content_slots(wrapper: tuple) -> list[str]:
 
 def _infer(batches):
     held: OrderedDict[str, tuple[tuple, set]] = OrderedDict()
+    folded: dict[tuple, tuple] = {}
 
     def hand_over(entries):
         return pa.RecordBatch.from_arrays([pa.array([h for h, _ in entries], type=pa.string()), pa.array([to_text(w) for _, w in entries], type=pa.string())], names=["host", "wrapper"])
@@ -308,7 +311,12 @@ def _infer(batches):
     for batch in batches:
         out = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found = wrapper_of(Page(html).tokens)
+            stream = tuple(Page(html).tokens)
+            if stream not in folded:
+                if len(folded) >= STREAMS:
+                    folded.clear()
+                folded[stream] = wrapper_of(list(stream))
+            found = folded[stream]
             if host in held:
                 wrapper, seen = held[host]
                 if found not in seen:
