@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from terrapanel.llm.common import send_if_small
 from terrapanel.session import cut_lineage, shuffle_width
 
-# Keys a sweep task is meant to hold.
+# Keys a sweep task is meant to hold at most; fewer where there are too few for all task slots.
 SWEEP_ROWS = 500_000
 
 
@@ -103,8 +103,10 @@ def _sweep(keys: DataFrame, bounds: DataFrame, width: int) -> DataFrame:
     behind = F.size(F.filter(start_keys, lambda s: s <= F.col("key")))
     placed = keys.select("host", "path", "key", F.when(behind > 0, F.element_at(ranges, behind)).otherwise(F.lit(0)).alias("_range"))
     placed = placed.where(F.col("_range") > 0)
-    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.ceil(F.col("_n") / SWEEP_ROWS).cast("int").alias("_slices"))
-    counts = F.broadcast(cut_lineage(counts))  # one row for each range, of which there are ``width``
+    counts = cut_lineage(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")))  # one row for each range, of which there are ``width``
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    each = max(1, min(SWEEP_ROWS, -(-total // width)))
+    counts = F.broadcast(counts.select("_range", F.ceil(F.col("_n") / each).cast("int").alias("_slices")))
     sliced = placed.join(counts, "_range").select("host", "path", "key", "_range", F.pmod(F.xxhash64("host", "path"), F.col("_slices")).cast("int").alias("_slice"))
     spread = ranked.join(counts, "_range").select("key", "rule", "verdict", "_range", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
     events = spread.select("*", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("_kind")).unionByName(
