@@ -111,8 +111,9 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     """
     if cosine < COSINE:
         raise ValueError(f"the tables are laid out for cosines of {COSINE} and more")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"), F.col(label).cast("long").alias("label"))
-    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    # Vectors travel as they are stored; tasks compute with them in double precision.
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vector"), F.col(label).cast("long").alias("label"))
+    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vector", lambda v: v != 0)
     usable = rows.where(F.coalesce(usable, F.lit(False)))
 
