@@ -161,6 +161,8 @@ def fold(items: list) -> list:
     """Neighbouring equal runs of items become one repeated group, shortest runs first, until none is left.
 
     A repeated group next to a single copy of what it repeats takes the copy in.
+    A run that opens or closes an element without the other end is no unit: a
+    group of such would change the paths of what follows it.
     """
     items = list(items)
     changed = True
@@ -175,7 +177,7 @@ def fold(items: list) -> list:
                 if len(unit) == length and length > 1 or (len(unit) == 1 and _is_group(unit[0])):
                     while tuple(items[end : end + length]) == unit:
                         end += length
-                if end > i + length:
+                if end > i + length and _is_whole(unit):
                     single = length == 1
                     out.append(unit[0] if single else (("+", unit), False))
                     changed = True
@@ -198,6 +200,33 @@ def _is_group(item) -> bool:
     return isinstance(item[0], tuple)
 
 
+def _is_whole(unit: tuple) -> bool:
+    """Whether every element the unit opens is closed in it, and the other way round."""
+    depth = 0
+    for core, _ in unit:
+        if not isinstance(core, tuple) and core != "#":
+            depth += -1 if core.startswith("/") else 1
+            if depth < 0:
+                return False
+    return depth == 0
+
+
+def _placed(items: list, paths: dict[tuple[int, str], int]) -> list[tuple[int, object]]:
+    """(number of the path of open elements around it, core) of every item; an end has the path of its start."""
+    open_paths, out = [0], []
+    for core, _ in items:
+        if isinstance(core, tuple) or core == "#":
+            out.append((open_paths[-1], core))
+        elif core.startswith("/"):
+            if len(open_paths) > 1:
+                open_paths.pop()
+            out.append((open_paths[-1], core))
+        else:
+            out.append((open_paths[-1], core))
+            open_paths.append(paths.setdefault((open_paths[-1], core), len(paths) + 1))
+    return out
+
+
 def wrapper_of(tokens: list[str]) -> tuple:
     return tuple(fold([(t, False) for t in tokens]))
 
@@ -220,11 +249,17 @@ def _grouped_like(items: tuple, other: tuple) -> list:
 
 
 def merge(a: tuple, b: tuple) -> tuple:
-    """The wrapper of everything two wrappers describe."""
+    """The wrapper of everything two wrappers describe.
+
+    Items are aligned by what they are and the elements they are in.  A stretch
+    where the two differ has no item in common, so that both its sides begin and
+    end in the same element: read one after the other, every item keeps its path.
+    """
     if a == b:
         return a
     left, right = _grouped_like(a, b), _grouped_like(b, a)
-    matcher = SequenceMatcher(None, [core for core, _ in left], [core for core, _ in right], autojunk=False)
+    paths: dict[tuple[int, str], int] = {}
+    matcher = SequenceMatcher(None, _placed(left, paths), _placed(right, paths), autojunk=False)
     out: list = []
     for kind, i, j, k, m in matcher.get_opcodes():
         if kind == "equal":

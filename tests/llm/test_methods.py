@@ -302,3 +302,30 @@ def test_pages_without_an_article_keep_what_is_not_chrome():
 def test_broken_markup_is_survived(page):
     parsed = wrappers.Page(page)
     wrappers.page_text(page, set(wrappers.content_slots(wrappers.wrapper_of(parsed.tokens))))
+
+
+def page_rows(*pages, host="h"):
+    return [(i, f"http://{host}/{i}", page) for i, page in enumerate(pages)]
+
+
+def texts_of(spark, pages):
+    return {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_of_mixed_containers_keep_their_paths():
+    rng = random.Random(7)
+
+    def piece(depth):
+        name = rng.choice(["article", "div", "section", "p", "h1"])
+        inside = "".join(piece(depth - 1) for _ in range(rng.randint(0, 4))) if depth and name not in ("p", "h1") else ""
+        return f"<{name}>{rng.choice(['', 'x', 'y'])}{inside}</{name}>"
+
+    for hosts in range(150):
+        pages = [wrappers.Page("".join(piece(4) for _ in range(rng.randint(1, 3)))) for _ in range(5)]
+        wrapper = wrappers.merge_all([wrappers.wrapper_of(p.tokens) for p in pages])
+        assert wrappers.slots(wrapper) == {path for p in pages for path, _ in p.blocks}
+
+
+def test_texts_of_mixed_containers_stay(spark):
+    got = texts_of(spark, page_rows("<article><h1>t</h1><p>x</p><p>y</p></article>", "<div><h1>t</h1></div><article><h1>u</h1></article>") + [(7, "http://g/1", "<article><p>x</p></article>"), (8, "http://g/2", "<article><div><p>y</p></div></article>")])
+    assert got == {0: "t\n\nx\n\ny", 1: "u", 7: "x", 8: "y"}
