@@ -9,7 +9,7 @@ slot.  What is left after all pages of a host is its wrapper.
 Inference is a fold that can be split anywhere: every task folds the pages it
 reads into one wrapper per host, those are folded in slices per host, and the
 slices into one.  The wrapper's slots are then told apart by the elements that
-hold them, and the pages' blocks that fall into content slots are the main text.
+hold them; of the content slots a page fills, those of its article are its text.
 """
 
 from __future__ import annotations
@@ -323,17 +323,8 @@ def is_chrome(path: tuple[str, ...]) -> bool:
 
 
 def content_slots(wrapper: tuple) -> list[str]:
-    """Paths, joined by blanks, of the slots that hold the main text.
-
-    The slots inside an article, else inside the main element, else inside the
-    body, that are not chrome.
-    """
-    open_slots = [path for path in slots(wrapper) if not is_chrome(path)]
-    for zone in ("article", "main"):
-        inside = [path for path in open_slots if zone in path]
-        if inside:
-            return sorted(" ".join(path) for path in inside)
-    return sorted(" ".join(path) for path in open_slots)
+    """Paths, joined by blanks, of the slots that are not chrome."""
+    return sorted(" ".join(path) for path in slots(wrapper) if not is_chrome(path))
 
 
 def _infer(batches):
@@ -393,7 +384,14 @@ def _slots(batches):
 
 
 def page_text(html: str | None, content: set[str]) -> str:
-    return "\n\n".join(words for path, words in Page(html).blocks if " ".join(path) in content)
+    """The page's blocks in content slots: those inside an article, else inside the main element, else all."""
+    blocks = [(path, words) for path, words in Page(html).blocks if " ".join(path) in content]
+    for zone in ("article", "main"):
+        inside = [(path, words) for path, words in blocks if zone in path]
+        if inside:
+            blocks = inside
+            break
+    return "\n\n".join(words for _, words in blocks)
 
 
 def _apply(batches):
@@ -403,7 +401,7 @@ def _apply(batches):
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row: the blocks in its host's content slots, joined by an empty line.
+    """(page_id, url, text) of every row: its main text's blocks in its host's content slots, joined by an empty line.
 
     Character references are decoded, white space inside a block is one blank.
     NULL and empty html, and pages whose host's wrapper has no content slot, have

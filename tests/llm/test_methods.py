@@ -329,3 +329,9 @@ def test_pages_of_mixed_containers_keep_their_paths():
 def test_texts_of_mixed_containers_stay(spark):
     got = texts_of(spark, page_rows("<article><h1>t</h1><p>x</p><p>y</p></article>", "<div><h1>t</h1></div><article><h1>u</h1></article>") + [(7, "http://g/1", "<article><p>x</p></article>"), (8, "http://g/2", "<article><div><p>y</p></div></article>")])
     assert got == {0: "t\n\nx\n\ny", 1: "u", 7: "x", 8: "y"}
+
+
+def test_every_page_has_its_own_zone(spark):
+    plain, teaser = "<body><div><h1>t</h1><p>x</p></div></body>", "<body><article><p>card</p></article><p>rest</p></body>"
+    got = texts_of(spark, page_rows(plain, teaser, "<body><main><p>m</p></main><p>o</p></body>") + [(7, None, plain), (8, "nowhere", "<article>a</article>")])
+    assert got == {0: "t\n\nx", 1: "card", 2: "m", 7: "t\n\nx", 8: "a"}
