@@ -38,7 +38,10 @@ CHROME_WORDS = frozenset(
     "consent notice notices alert popup modal overlay comment comments reply replies respond discussion footer masthead share sharing social newsletter subscribe "
     "subscription related recommended search login signup toolbar pagination pager widget widgets skip hidden".split()
 )
-COMMENT_WORDS = frozenset("ad advert advertisement comment comments reply replies sponsored".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
+ADVERT_WORDS = frozenset("ad advert advertisement sponsored".split())
+# Words beside which a name tells of the layout or of what is not there: no-sidebar, ad-free, overflow-hidden, search-results.
+LAYOUT_WORDS = frozenset("no not non without with has have free open opened closed enabled disabled overflow layout result results supported".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -48,7 +51,7 @@ _LEX = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Hosts a task folds at a time; further ones make it hand over the one it hasn't met for longest.
@@ -57,17 +60,38 @@ HOSTS_AT_ONCE, SLICES, LONGEST_UNIT = 2_000, 16, 12
 STREAMS = 10_000
 
 
+def words_of(names: str) -> set[str]:
+    """Words of the class names or ids in an attribute that say what the element is.
+
+    A name that tells of the layout, or of what there isn't, says nothing.
+    """
+    found: set[str] = set()
+    for name in names.split():
+        words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", name))}
+        if not words & LAYOUT_WORDS:
+            found |= words
+    return found
+
+
 def element(name: str, attributes: str) -> str:
-    """An element as the wrapper knows it: its name, and a mark if class, id or role say it isn't the article's."""
-    marks = set()
+    """An element as the wrapper knows it: its name, and a mark if class, id or role say it isn't the article's.
+
+    Roles and comments are certain (two marks); other names are believed unless
+    what the element holds speaks against them (one mark).
+    """
+    marks: set[str] = set()
     role = ""
     for key, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
-        if key.lower() == "role":
-            role = value.lower().strip()
-        marks.update(w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value)))
-    telling = COMMENT_WORDS if name == "article" else CHROME_WORDS
-    if role in CHROME_ROLES or (marks & telling and name not in ("html", "body", "main")):
+        key = key.lower()
+        if key in ("class", "id", "role"):
+            value = next((v for v in values if v), "")
+            if key == "role":
+                role = value.lower().strip()
+            marks |= words_of(value)
+    free = name in ("html", "body", "main")
+    if role in CHROME_ROLES or (marks & COMMENT_WORDS and not free):
+        return name + "!!"
+    if marks & (ADVERT_WORDS if name == "article" else CHROME_WORDS) and not free:
         return name + "!"
     if "header" in marks and name in ("div", "section"):
         return "header"
@@ -310,20 +334,21 @@ def slots(wrapper: tuple) -> set[tuple[str, ...]]:
 
 
 def is_chrome(path: tuple[str, ...]) -> bool:
-    """Whether a slot lies in a menu, header, footer, sidebar, notice, advert, form, script, style or comment.
+    """Whether a slot lies for certain in a menu, header, footer, aside, form, script, style or comment.
 
-    A header inside an article is the article's own.
+    A header inside an article is the article's own.  Elements that only their
+    names mark are left to what a page has in them.
     """
     for depth, name in enumerate(path):
-        if name.endswith("!") or name in CHROME_TAGS:
+        if name.endswith("!!") or name.rstrip("!") in CHROME_TAGS:
             return True
-        if name == "header" and not {"article", "main"} & set(path[:depth]):
+        if name.rstrip("!") == "header" and not {"article", "main"} & set(path[:depth]):
             return True
     return False
 
 
 def content_slots(wrapper: tuple) -> list[str]:
-    """Paths, joined by blanks, of the slots that are not chrome."""
+    """Paths, joined by blanks, of the slots that are not certainly chrome."""
     return sorted(" ".join(path) for path in slots(wrapper) if not is_chrome(path))
 
 
@@ -384,14 +409,32 @@ def _slots(batches):
 
 
 def page_text(html: str | None, content: set[str]) -> str:
-    """The page's blocks in content slots: those inside an article, else inside the main element, else all."""
+    """The page's blocks in content slots: those inside an article, else inside the main element, else all.
+
+    What is in a marked element is left out, unless the elements of its path hold
+    most of the page's text.  On a page without an article or main element outside
+    marked ones, those inside them stay as well.
+    """
     blocks = [(path, words) for path, words in Page(html).blocks if " ".join(path) in content]
+    held: dict[tuple[str, ...], int] = {}
+    for path, words in blocks:
+        for depth, name in enumerate(path, 1):
+            if name.endswith("!"):
+                held[path[:depth]] = held.get(path[:depth], 0) + len(words)
+    total = sum(len(words) for _, words in blocks)
+
+    def minor(path: tuple[str, ...], begin: int = 0) -> bool:
+        return any(name.endswith("!") and 2 * held[path[:depth]] <= total for depth, name in enumerate(path, 1) if depth > begin)
+
+    unmarked = [(path, words) for path, words in blocks if not minor(path)] if held else blocks
     for zone in ("article", "main"):
-        inside = [(path, words) for path, words in blocks if zone in path]
+        inside = [(path, words) for path, words in unmarked if zone in path]
         if inside:
-            blocks = inside
-            break
-    return "\n\n".join(words for _, words in blocks)
+            return "\n\n".join(words for _, words in inside)
+    if held:
+        begins = [next((d for d, name in enumerate(path) if name in ("article", "main")), 0) for path, _ in blocks]
+        unmarked = [block for block, begin in zip(blocks, begins) if not minor(block[0], begin)]
+    return "\n\n".join(words for _, words in unmarked)
 
 
 def _apply(batches):

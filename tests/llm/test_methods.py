@@ -335,3 +335,22 @@ def test_every_page_has_its_own_zone(spark):
     plain, teaser = "<body><div><h1>t</h1><p>x</p></div></body>", "<body><article><p>card</p></article><p>rest</p></body>"
     got = texts_of(spark, page_rows(plain, teaser, "<body><main><p>m</p></main><p>o</p></body>") + [(7, None, plain), (8, "nowhere", "<article>a</article>")])
     assert got == {0: "t\n\nx", 1: "card", 2: "m", 7: "t\n\nx", 8: "a"}
+
+
+@pytest.mark.parametrize("attributes", [
+    "class='content no-sidebar'", "class='layout with-sidebar'", "class=overflow-hidden", "class='ad-free'", "id='search-results'", "data-id='menu'", "data-testid='comment-list'",
+    "data-role=banner", "title='class=comments'", "class='sidebar'", "class='post sponsored'", "class=hidden",
+])
+@pytest.mark.parametrize("inner", ["<article><h1>t</h1><p>the text of it</p></article>", "<h1>t</h1><p>the text of it</p>"])
+def test_marks_around_the_whole_text_are_not_believed(spark, attributes, inner):
+    page = f"<body><nav>menu</nav><div {attributes}>{inner}</div><p>end</p></body>"
+    content = set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(page).tokens)))
+    assert wrappers.page_text(page, content).startswith("t\n\nthe text of it")
+
+
+def test_marked_elements_beside_the_text_go():
+    page = "<body><div class=sidebar><article>card</article></div><article><p>text<div class='ad-slot'>buy</div><div class=comments>" + "<p>nice</p>" * 50 + "</div></article></body>"
+    content = set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(page).tokens)))
+    assert wrappers.page_text(page, content) == "text"
+    short = "<body><div class=widget><article>a</article></div><p>longer text outside</p><div class=menu>m</div></body>"
+    assert wrappers.page_text(short, set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(short).tokens)))) == "a\n\nlonger text outside"
