@@ -354,3 +354,10 @@ def test_marked_elements_beside_the_text_go():
     assert wrappers.page_text(page, content) == "text"
     short = "<body><div class=widget><article>a</article></div><p>longer text outside</p><div class=menu>m</div></body>"
     assert wrappers.page_text(short, set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(short).tokens)))) == "a\n\nlonger text outside"
+
+
+@pytest.mark.parametrize("swallower", ["<svg viewBox='0 0 1 1'/>", "<svg/>", "<math />", "<select-box>", "<title-bar>b</title-bar>", "<svg><path d='x>y'/></svg>", "<svg><svg/>t</svg>"])
+def test_foreign_and_custom_elements_end(swallower):
+    page = f"<article>{swallower}<p>x</p></article>"
+    text = wrappers.page_text(page, set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(page).tokens))))
+    assert text.split("\n\n")[-1] == "x" and "t" not in text
