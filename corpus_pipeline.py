@@ -12,26 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm import decontamination, minhash, pieces, quality, toxicity
-from terrapanel.llm.common import read, send_if_small
-from terrapanel.session import cut_lineage, ensure_checkpoint_dir
+from terrapanel.llm.common import read
+from terrapanel.session import ensure_checkpoint_dir
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the rejected ids; rows without an id stay."""
-    ids = send_if_small(cut_lineage(rejected.select(F.col("doc_id").alias("_id")).where(F.col("_id").isNotNull()).distinct()), F.lit(24))
-    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti")
+def _as_values(docs: DataFrame) -> DataFrame:
+    """(_row, text): every row as one value beside its text, so that it is judged by its own score whatever its id."""
+    return docs.select(F.struct(*[F.col(f"`{n}`").alias(n) for n in docs.columns]).alias("_row"), F.col("text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the factorization machine, learnt from the labelled ones among them, scores below one half."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.predict(docs, model).where(F.col("score") >= 0.5))
+    return toxicity.predict(_as_values(docs), model, "_row").where(F.col("score") < 0.5).select("_row.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the weakly supervised scorer keeps."""
     _, scorer = quality.fit(docs)
-    return _without(docs, quality.predict(docs, scorer).where(F.col("score") < quality.KEEP))
+    return quality.predict(_as_values(docs), scorer, "_row").where(F.col("score") >= quality.KEEP).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrapanel.llm.common import flat_lists, mix
 from terrapanel.llm.language import text_runs
@@ -308,9 +309,9 @@ def _score(batches, scorer: LinearScorer):
 def predict(docs: DataFrame, scorer: LinearScorer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row: higher is better; NULL, empty and blank texts have 0.  Repeated rows repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = StructType([StructField("id", docs.schema[doc_id].dataType), StructField("score", DoubleType())])
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, shared.value), f"id {kind}, score double").withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(lambda it: _score(it, shared.value), schema).withColumnRenamed("id", doc_id)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrapanel.llm.common import chunks, crc_mod, flat_lists, words
 from terrapanel.llm.linear import bounded_sample, sigmoid, take_rows
@@ -168,9 +169,9 @@ def _score(batches, model: FactorizationMachine):
 def predict(docs: DataFrame, model: FactorizationMachine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row, from the text alone; NULL and empty texts have the score of no terms."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = StructType([StructField("id", docs.schema[doc_id].dataType), StructField("score", DoubleType())])
     rows = docs.select(F.col(doc_id).alias("id"), term_keys(F.col(text)).alias("terms"))
-    return rows.mapInArrow(lambda it: _score(it, shared.value), f"id {kind}, score double").withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(lambda it: _score(it, shared.value), schema).withColumnRenamed("id", doc_id)
 
 
 def report(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

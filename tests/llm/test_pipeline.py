@@ -74,3 +74,19 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
         assert docs.count() == 0
+
+
+def test_rows_are_judged_by_their_own_text_whatever_their_id(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    kept = docs.join(labels.where("toxic = 0 and quality = 1"), "doc_id", "left_semi").limit(300)
+    wrong = docs.join(labels.where("toxic = 1 or quality = 0"), "doc_id", "left_semi")
+    # Every clean row shares its id with a wrong one, and the wrong ones are there without an id too.
+    shared = kept.agg(F.min("doc_id")).first()[0]
+    mixed = docs.unionByName(wrong.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(wrong.withColumn("doc_id", F.lit(shared)))
+    left = corpus_pipeline.drop_poor(spark, corpus_pipeline.drop_toxic(spark, mixed, SF_DIR), SF_DIR)
+    assert left.columns == docs.columns
+    assert left.where("doc_id is null").count() <= 0.1 * wrong.count()
+    assert left.join(kept.where(F.col("doc_id") == shared).select("text"), "text", "left_semi").count() >= 1
