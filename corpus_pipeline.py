@@ -34,8 +34,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the least id."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each class of near-duplicates: the one of the least id; rows without an id belong to classes too."""
+    return minhash.drop_near_duplicates(docs, unnamed=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def _sign(batches, weighting: str):
             names = dart_signatures(keys, weights, at)
             flat = pa.array([row.tobytes() for row in names], type=pa.binary())
             part = table.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), part.column("node").combine_chunks(), flat], names=["id", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("id", "key", "node")), flat], names=["id", "key", "node", "sig"])
 
 
 def _agreeing_pairs(sig: np.ndarray, starts: np.ndarray, side: np.ndarray, cross: np.ndarray, floor: float):
@@ -225,26 +225,31 @@ def _in_blocks(df: DataFrame, key: str, blocks: Column, columns: list[str]) -> D
     return other.select(key, F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", *columns)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
-    """(doc_id, class_id, kept): documents linked, directly or through others, by similar shingles.
+def _text_key(text: str) -> Column:
+    """A hash of a text as it stands, cheaper to compute than its words."""
+    return F.xxhash64(F.lit(4), F.col(text))
 
-    Two texts are linked where the Jaccard similarity of their shingles, as sets
-    or weighted by ``count``, is ``similarity`` or more.  ``class_id`` is the least
-    id of the class, ``kept`` says that the row has it.  Documents without words
-    link with nothing; a row whose id is NULL stands alone, class NULL, kept.
-    Repeated rows are one text and are all returned.  An empty table gives an
-    empty table.
+
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return (left["key"] == right["key"]) & left["id"].eqNullSafe(right["id"])
+
+
+def _linked_texts(docs: DataFrame, doc_id: str, text: str, similarity: float, weighting: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, links) of all rows given, those without an id too.
+
+    Rows: id, key of the text, node (the text's words; NULL: none).  Texts: one row
+    (node, id, key, n) for each node, the least id that has it (none last), its
+    least key, and how many rows have both.  Links: (node, component).
     """
-    if weighting not in ("set", "count"):
-        raise ValueError("weighting is set or count")
     kind = docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.select(F.col(doc_id).alias("id"), word_keys(F.col(text)).alias("words"))
-    keyed = keyed.select("id", F.when(F.size("words") > 0, F.xxhash64(F.lit(3), "words")).alias("node"), "words")
-    signed = keyed.where(F.col("id").isNotNull()).mapInArrow(lambda it: _sign(it, weighting), f"id {kind}, node bigint, sig binary")
-    signed = cut_lineage(signed)
-    members = signed.select("id", "node")
-    texts = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
-    texts = cut_lineage(signed.join(texts, ["node", "id"]).dropDuplicates(["node"]).select("node", "id", "sig"))
+    keyed = docs.select(F.col(doc_id).alias("id"), _text_key(text).alias("key"), word_keys(F.col(text)).alias("words"))
+    keyed = keyed.select("id", "key", F.when(F.size("words") > 0, F.xxhash64(F.lit(3), "words")).alias("node"), "words")
+    signed = cut_lineage(keyed.mapInArrow(lambda it: _sign(it, weighting), f"id {kind}, key bigint, node bigint, sig binary"))
+    members = signed.select("id", "key", "node")
+    least = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least"))
+    least = least.select(F.col("node").alias("_node"), F.col("least.id").alias("id"), F.col("least.key").alias("key"))
+    texts = signed.join(least, (signed["node"] == least["_node"]) & _same_row(signed, least)).select("node", signed["id"], signed["key"], "sig")
+    texts = cut_lineage(texts.groupBy("node").agg(F.first("id").alias("id"), F.first("key").alias("key"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = texts.select("node", "sig", band.alias("band")).select("node", F.xxhash64("band", F.substring("sig", F.col("band") * 2 * ROWS + 1, F.lit(2 * ROWS))).alias("key"))
@@ -256,43 +261,74 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     family = components(met.mapInArrow(lambda it: _families(it, FLOOR), "a bigint, b bigint"))
 
     suspects = cut_lineage(family.withColumnRenamed("component", "family").join(texts, "node"))
-    full = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("_text")).join(send_if_small(suspects, F.lit(250)), "id")
-    full = full.select("family", "node", "sig", word_keys(F.col("_text")).alias("words"))
-    # Rows of the same id with other words than the text's own are not meant.
-    full = full.where(F.xxhash64(F.lit(3), "words") == F.col("node"))
-    full = cut_lineage(full)
+    whole = docs.select(F.col(doc_id).alias("id"), _text_key(text).alias("key"), F.col(text).alias("_text"))
+    full = whole.join(send_if_small(suspects, F.lit(250)), _same_row(whole, suspects)).select("family", "node", "sig", "_text")
+    if suspects.where("n > 1").limit(1).count():
+        full = full.dropDuplicates(["node"])
+    full = cut_lineage(full.select("family", "node", "sig", word_keys(F.col("_text")).alias("words")))
     sizes = full.groupBy("family").agg(F.sum(F.size("words")).alias("total"), F.count(F.lit(1)).alias("n"))
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS))
     full = _in_blocks(full.join(sizes, "family"), "family", blocks, ["node", "sig", "words"])
     full = full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     linked = components(full.mapInArrow(lambda it: _links(it, FLOOR, similarity, weighting), "a bigint, b bigint"))
+    return members, texts.select("node", "id", "key", "n"), linked
 
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+    """(doc_id, class_id, kept): documents linked, directly or through others, by similar shingles.
+
+    Two texts are linked where the Jaccard similarity of their shingles, as sets
+    or weighted by ``count``, is ``similarity`` or more.  ``class_id`` is the least
+    id of the class, ``kept`` says that the row has it.  Documents without words
+    link with nothing; a row whose id is NULL stands alone, class NULL, kept.
+    Repeated rows are one text and are all returned.  An empty table gives an
+    empty table.
+    """
+    if weighting not in ("set", "count"):
+        raise ValueError("weighting is set or count")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    members, texts, linked = _linked_texts(docs.where(F.col(doc_id).isNotNull()), doc_id, text, similarity, weighting)
     # One row per linked text carries its class; the documents only look theirs up.
     found = linked.join(texts.select("node", "id"), "node")
     least = found.groupBy("component").agg(F.min("id").alias("class_id"))
     found = found.join(least, "component").select("node", "class_id")
     classes = cut_lineage(texts.select("node", "id").join(found, "node", "left").select("node", F.coalesce("class_id", "id").alias("class_id")))
     wordless = members.where(F.col("node").isNull()).select("id", F.col("id").alias("class_id"))
-    out = members.join(classes, "node").select("id", "class_id").unionByName(wordless)
+    out = members.select("id", "node").join(classes, "node").select("id", "class_id").unionByName(wordless)
     out = out.select(F.col("id").alias(doc_id), "class_id").withColumn("kept", F.col(doc_id) == F.col("class_id"))
     alone = docs.where(F.col(doc_id).isNull()).select(F.col(doc_id).alias(doc_id), F.lit(None).cast(kind).alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs``, all columns, with one document of each class: the one of the least id.
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, unnamed: bool = False) -> DataFrame:
+    """``docs``, all columns, with one document of each class: the text of the least id, then of the least key.
 
-    Of rows repeated under one id one stays; rows without an id all stay.
+    Texts are judged, not ids: an id may stand for several, each in its own class.
+    Of rows equal in id and text one stays.  Rows without an id all stay, or, if
+    ``unnamed`` is set, belong to classes as all others do, after those with an id;
+    then only those without words all stay.
     """
-    names = docs.columns
-    found = near_duplicates(docs, doc_id, text, similarity)
-    kept = cut_lineage(found.where(F.col("kept") & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.count(F.lit(1)).alias("_n")))
-    dropped = found.where(~F.col("kept")).select(F.col(doc_id).alias("_id")).distinct()
-    dropped = send_if_small(cut_lineage(dropped), F.lit(24))
-    out = docs.join(dropped, docs[doc_id] == dropped["_id"], "left_anti")
-    if kept.where("_n > 1").limit(1).count():
-        out = out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(out.where(F.col(doc_id).isNull()))
-    return out.select(*[F.col(f"`{n}`") for n in names])
+    rows = docs if unnamed else docs.where(F.col(doc_id).isNotNull())
+    members, texts, linked = _linked_texts(rows, doc_id, text, similarity, "set")
+    found = linked.join(texts, "node")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")).alias("least"))
+    lost = found.join(least, "component").where(F.col("node") != F.col("least.node")).select("node", F.lit(True).alias("lost"))
+    texts = cut_lineage(texts.join(lost, "node", "left").select("node", F.col("id").alias("_id"), F.col("key").alias("_key"), "n", F.col("lost").isNotNull().alias("lost")))
+    first = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
+    dropped = cut_lineage(members.join(texts, "node").where(F.col("lost") | ~first).select("id", "key").distinct())
+    dropped = send_if_small(dropped, F.lit(32))
+    wordless = members.where(F.col("node").isNull() & F.col("id").isNotNull()).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+    again = texts.where(~F.col("lost")).select(F.col("_id").alias("id"), F.col("_key").alias("key"), "n").unionByName(wordless)
+    again = cut_lineage(again.where("n > 1").select("id", "key"))
+
+    # The row travels as one value, so that its columns may have any names.
+    placed = docs.select(F.struct(*[F.col(f"`{n}`").alias(n) for n in docs.columns]).alias("_row"), F.col(doc_id).alias("id"), _text_key(text).alias("key"))
+    out = placed.join(dropped, _same_row(placed, dropped), "left_anti")
+    if again.limit(1).count():
+        again = send_if_small(again, F.lit(32))
+        once = out.join(again, _same_row(out, again), "left_semi").dropDuplicates(["id", "key"])
+        out = out.join(again, _same_row(out, again), "left_anti").unionByName(once)
+    return out.select("_row.*")
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -361,3 +361,25 @@ def test_foreign_and_custom_elements_end(swallower):
     page = f"<article>{swallower}<p>x</p></article>"
     text = wrappers.page_text(page, set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(page).tokens))))
     assert text.split("\n\n")[-1] == "x" and "t" not in text
+
+
+def test_classes_are_dropped_by_text_not_by_id(spark):
+    def words(tag, changed=0):
+        return " ".join(f"{tag}{i}" if i >= changed else f"{tag}new{i}" for i in range(60))
+
+    one, two, three, four = words("a"), words("b"), words("c"), words("d")
+    # Id 5 has the kept text of one class and a near copy in another; id 6 two texts without a duplicate, one of them twice.
+    rows = [(5, one), (9, words("a", 2)), (1, two), (5, words("b", 2)), (6, three), (6, four), (6, four), (None, words("b", 1)), (None, "e " + words("e")), (None, words("e")), (None, ""), (None, ""), (7, "!"), (7, "!"), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string")
+
+    def left(**how):
+        got = minhash.drop_near_duplicates(docs, **how)
+        assert got.columns == docs.columns
+        return sorted(((r["doc_id"] or -1, r["text"]) for r in got.collect()))
+
+    named = [(5, one), (1, two), (6, three), (6, four), (7, "!"), (7, "")]
+    assert left() == sorted(named + [(i or -1, t) for i, t in rows if i is None])
+    got = left(unnamed=True)
+    assert [x for x in got if x[0] > 0] == sorted(named)
+    unnamed = [t for i, t in got if i < 0]
+    assert unnamed.count("") == 2 and len(unnamed) == 3 and max(unnamed, key=len).endswith(words("e"))
