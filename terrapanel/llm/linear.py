@@ -20,6 +20,21 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int = 1) -> Data
     return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
+def sample_of_distinct(df: DataFrame, key: list[str], rows: int, seed: int = 1) -> DataFrame:
+    """One row for each of about ``rows`` values of the ``key`` columns, chosen by a hash, or for all if there are no more.
+
+    The choice follows from the key, so that it is the same however often it is
+    evaluated.  Rows that repeat a key count once, so that the bound holds whatever
+    the rows.
+    """
+    keyed = df.withColumn("_chosen_by", F.xxhash64(F.lit(seed), *key))
+    total = keyed.select("_chosen_by").distinct().count()
+    if total > rows:
+        share = rows / total
+        keyed = keyed.where(F.pmod("_chosen_by", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return keyed.dropDuplicates(["_chosen_by"]).drop("_chosen_by")
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 

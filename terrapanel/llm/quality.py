@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrapanel.llm.common import flat_lists, mix
 from terrapanel.llm.language import text_runs
-from terrapanel.llm.linear import bounded_sample, sigmoid, take_rows
+from terrapanel.llm.linear import sample_of_distinct, sigmoid, take_rows
 
 GOOD, BAD, NOTHING = 1, 0, 2
 # Documents the scorer is trained on at most, chosen by a hash of the id among all.
@@ -289,10 +289,10 @@ def fit_labels(docs: DataFrame, text: str = "text") -> LabelModel:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = TRAIN_DOCS) -> tuple[LabelModel, LinearScorer]:
-    """The label model from all documents, the scorer from a hashed sample of ``max_docs`` at most."""
+    """The label model from all documents, the scorer from a hashed sample of about ``max_docs`` of their ids and texts at most."""
     model = fit_labels(docs, text)
     rows = docs.where(F.col(text).rlike(r"\S")).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    chosen = bounded_sample(rows, F.col("id"), max_docs).select(F.xxhash64("id").alias("order"), "text")
+    chosen = sample_of_distinct(rows, ["id", "text"], max_docs).select(F.xxhash64("id", "text").alias("order"), "text")
     table = chosen.mapInArrow(_examples, "order bigint, pattern int, feature array<int>, value array<float>").toArrow().sort_by("order")
     feature, offsets = flat_lists(table.column("feature"))
     value, _ = flat_lists(table.column("value"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrapanel.llm.common import chunks, crc_mod, flat_lists, words
-from terrapanel.llm.linear import bounded_sample, sigmoid, take_rows
+from terrapanel.llm.linear import bounded_sample, sample_of_distinct, sigmoid, take_rows
 from terrapanel.session import cut_lineage
 
 TERMS = 1 << 20
@@ -149,9 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     """
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = cut_lineage(bounded_sample(own, F.col("_id"), max_docs))
-    # The sample's ids: ``max_docs`` at most, give or take the hash.
+    # The sample's ids: ``max_docs`` at most, give or take the hash; an id that stands for many texts doesn't add to its bound.
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = rows.select(F.xxhash64("_id").alias("order"), "label", term_keys(F.col("_text")).alias("terms"))
+    rows = sample_of_distinct(rows, ["_id", "_text"], max_docs, seed=2)
+    rows = rows.select(F.xxhash64("_id", "_text").alias("order"), "label", term_keys(F.col("_text")).alias("terms"))
     table = rows.mapInArrow(_collect_terms, "order bigint, label int, terms array<int>").toArrow()
     table = table.sort_by("order")
     values, offsets = flat_lists(table.column("terms"))

@@ -383,3 +383,24 @@ def test_classes_are_dropped_by_text_not_by_id(spark):
     assert [x for x in got if x[0] > 0] == sorted(named)
     unnamed = [t for i, t in got if i < 0]
     assert unnamed.count("") == 2 and len(unnamed) == 3 and max(unnamed, key=len).endswith(words("e"))
+
+
+@pytest.mark.parametrize("same", ["null as id", "5"])
+def test_samples_are_bounded_whatever_the_ids(spark, same):
+    from terrapanel.llm.linear import sample_of_distinct
+
+    name = None if same == "null as id" else int(same)
+    rows = spark.createDataFrame([(name if i % 3 == 0 else i, f"text {i}") for i in range(6000)] + [(name, "again")] * 3000, "id long, text string")
+    chosen = sample_of_distinct(rows, ["id", "text"], 600).collect()
+    assert 450 < len(chosen) < 750 and len({tuple(r) for r in chosen}) == len(chosen)
+    assert 0.2 < sum(r["id"] == name for r in chosen) / len(chosen) < 0.47
+    assert sample_of_distinct(rows, ["id", "text"], 10_000).count() == 6001
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda terms, offsets, labels: seen.append(len(labels)))
+    docs = spark.createDataFrame([(1 if i % 3 == 0 else i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), max_docs=300)
+    toxicity.fit(docs, docs.where("doc_id = 1").selectExpr("doc_id", "1 as toxic"), max_docs=300)
+    assert seen[0] <= 400 and 200 < seen[1] < 400
