@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrapanel.llm import decontamination, embeddings, language, minhash, pieces, quality, sharding, toxicity, urlrules, wrappers
+from terrapanel.llm import decontamination, embeddings, language, minhash, pieces, quality, sharding, toxicity, tries, urlrules, wrappers
 from terrapanel.llm.common import read
 
 # The rules of the URL query, as (verdict, host and path).
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.report(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = [
     op1_html_extraction, op2_sentencepiece, op3_toxicity, op4_decontamination, op5_url_filters,
-    op6_embedding_dedup, op7_minhash_dedup, op8_language_id, op9_sharding, op10_quality,
+    op6_embedding_dedup, op7_minhash_dedup, op8_language_id, op9_sharding, op10_quality, op13_prefix_trie,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in [*OPERATORS, pipeline]}
 
@@ -112,9 +116,29 @@ least_of as (select a, min(b) as m from reach group by 1)
 select d.doc_id, least(d.doc_id, coalesce(m, d.doc_id)) as class_id, d.doc_id <= coalesce(m, d.doc_id) as kept
 from documents d left join least_of l on l.a = d.doc_id"""
 
+# crc32 of the decimal id, byte by byte and bit by bit (-1 stands for a shift); a conversation is the list of its turns.
+TRIE_SQL = """
+with recursive own as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as k,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} as x from conversations where conv_id is not null),
+sizes as (select c, count(*) as n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(c as varchar), ''), lambda d: [cast(ascii(d) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end) end), 4294967295) % 9 as h from own group by c),
+turns as (select o.c, k + 100 as k, x from own o join sizes s on o.c = s.c where k > h
+  union all select s.c, k, x from sizes s join own o on o.c = s.c - s.c % 5 where k <= h),
+convs as (select s.c, coalesce(list(t.x order by t.k) filter (t.x is not null), []) as l from sizes s left join turns t on t.c = s.c group by s.c),
+paths as (select c, l, d, len(l) as n, l[1:d] as p from (select c, l, unnest(generate_series(0, len(l))) as d from convs)),
+nodes as (select p, d, min(c) as o, count(*) as n_convs, max(n) as longest, case when d = 0 then 0 else strlen(p[d].t) end as b,
+  sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (n = d), '')) as ends from paths group by p, d),
+named as (select t.c, t.d, o, n_convs, longest, b from paths t join nodes v on t.p = v.p and t.d = v.d),
+parents as (select distinct v.o, v.d, u.o as parent from named v join named u on u.c = v.c and u.d = v.d - 1),
+below as (select distinct u.o, u.d, v.o as vo, v.d as vd, v.n_convs, v.b, v.longest from named u join named v on v.c = u.c and v.d >= u.d),
+sums as (select o, d, count(*) filter (longest = vd) as n_leaves, count(*) filter (vd = d + 1) as n_children, sum((n_convs - 1) * b) as saved from below group by o, d)
+select v.o as conv_id, cast(v.d as bigint) as depth, parent as parent_conv_id, v.n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens, ends as ends_sha256
+from nodes v join sums s on s.o = v.o and s.d = v.d left join parents q on q.o = v.o and q.d = v.d"""
+
 SQL: dict[str, str] = {
     "op4_decontamination": DECONTAMINATION_SQL,
     "op5_url_filters": URL_SQL,
     "op6_embedding_dedup": EMBEDDING_SQL,
     "op7_minhash_dedup": MINHASH_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
