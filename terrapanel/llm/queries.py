@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrapanel.llm import decontamination, embeddings, language, minhash, pieces, quality, sharding, toxicity, tries, urlrules, wrappers
+from terrapanel.llm import decontamination, embeddings, language, minhash, pieces, quality, runs, sharding, suffixes, toxicity, tries, urlrules, wrappers
 from terrapanel.llm.common import read
 
 # The rules of the URL query, as (verdict, host and path).
@@ -53,6 +53,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(read(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.report(read(spark, sf_dir, "conversations"))
 
@@ -65,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = [
     op1_html_extraction, op2_sentencepiece, op3_toxicity, op4_decontamination, op5_url_filters,
-    op6_embedding_dedup, op7_minhash_dedup, op8_language_id, op9_sharding, op10_quality, op13_prefix_trie,
+    op6_embedding_dedup, op7_minhash_dedup, op8_language_id, op9_sharding, op10_quality, op11_periodic_runs, op12_suffix_dedup, op13_prefix_trie,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in [*OPERATORS, pipeline]}
 

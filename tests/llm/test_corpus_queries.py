@@ -20,7 +20,10 @@ def duck():
 
 
 def rows(df):
-    return sorted(tuple("~" if pd.isna(v) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    def text(v):
+        return "~" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+
+    return sorted(tuple(text(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -91,3 +94,20 @@ def test_quality_without_labels(spark, duck):
     truth = dict(duck.execute("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchall())
     known = got[got.doc_id.isin(truth)]
     assert (known.kept.astype(int) == known.doc_id.map(truth)).mean() > 0.98
+
+
+def test_repeats_against_all_windows(spark, duck):
+    from test_suffixes import plain
+
+    texts = duck.execute("select doc_id, text from documents").fetchall()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op12_suffix_dedup"](spark, SF_DIR).collect()}
+    assert got == dict(zip([i for i, _ in texts], plain([t for _, t in texts], 200), strict=True))
+
+
+def test_runs_against_their_definition(spark, duck):
+    from test_runs import as_rows, plain_report
+
+    got = {r[0]: r for r in as_rows(QUERIES["op11_periodic_runs"](spark, SF_DIR))}
+    texts = dict(duck.execute("select doc_id, text from documents").fetchall())
+    assert set(got) == set(texts)
+    assert all(got[i] == plain_report(i, t) for i, t in texts.items() if len((t or "").split()) <= 1500)
