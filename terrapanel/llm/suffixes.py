@@ -15,7 +15,11 @@ three cases:
 * one region, once: nothing in it is repeated (most buckets);
 * one region, several times: all of it is;
 * several regions: they are sorted against each other byte by byte, as above.  Buckets
-  too large for a task are split by the pointers of their windows, fully refined.
+  too large for a task are refined by joins: their windows fall into ranges by where
+  the anchor lies in them, all windows of a range share a core, and only members whose
+  core others have too go on to the halves of the range.
+
+All tables here grow with the texts, so none is broadcast, at any size.
 """
 
 from __future__ import annotations
@@ -28,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.llm.common import chunks, mix, send_if_small, whole_groups
+from terrapanel.llm.common import chunks, mix, whole_groups
 from terrapanel.session import cut_lineage, ensure_checkpoint_dir
 
 LENGTH, GRAM = 200, 40
 # Bytes looked at together in a task, and regions of one bucket that are sorted in one task.
-PIECE, BUCKET = 1 << 20, 1024
+PIECE, BUCKET = 1 << 19, 2048
 
 _PLACE = np.uint64((1 << 22) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -85,17 +89,17 @@ def _gram(length: int) -> int:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
-    """Regions of the texts ``data[bounds[i]:bounds[i+1]]``: owner, start, stop, windows, anchor, region, times.
+    """Regions of the texts ``data[bounds[i]:bounds[i+1]]``: owner, start, windows, lead, times, anchor, region.
 
-    A region that follows itself, as in periodic text, is one entry with its ``times``;
-    ``start`` and ``stop`` enclose all of them, ``windows`` are those of one.
+    ``lead`` bytes lie before the anchor.  A region that follows itself, as in periodic
+    text, is one entry with its ``times``; ``windows`` are those of one.
     """
     size = _gram(length)
     names = gram_pointers(data, size)
     width = length - size + 1
     count = len(data) - length + 1
     if count <= 0:
-        return {n: np.zeros(0, dtype=np.int64) for n in ("owner", "start", "stop", "windows", "times")} | {n: np.zeros(0, dtype=np.uint64) for n in ("anchor", "region")}
+        return {n: np.zeros(0, dtype=np.int64) for n in ("owner", "start", "windows", "lead", "times")} | {n: np.zeros(0, dtype=np.uint64) for n in ("anchor", "region")}
     least = (names & ~_PLACE) | np.arange(len(names), dtype=np.uint64)
     reach = 1
     while reach < width:
@@ -122,11 +126,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> dict[
     again = np.zeros(len(start), dtype=bool)
     again[1:] = (anchor[1:] == anchor[:-1]) & (region[1:] == region[:-1]) & (owner[1:] == owner[:-1]) & (start[1:] == final[:-1] + 1)
     head = np.flatnonzero(~again)
-    tail = np.append(head[1:], len(start)) - 1 if len(head) else head
-    return {
-        "owner": owner[head], "start": start[head], "stop": final[tail] + length, "windows": (final - start + 1)[head],
-        "times": tail - head + 1, "anchor": anchor[head], "region": region[head],
-    }
+    times = np.diff(np.append(head, len(start)))
+    return {"owner": owner[head], "start": start[head], "windows": (final - start + 1)[head], "lead": (at - start)[head], "times": times, "anchor": anchor[head], "region": region[head]}
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +138,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-_REGION = "ka long, kb long, start long, stop long, windows int, times long, anchor long, region long"
+_REGION = "ka long, kb int, start int, windows int, lead int, times int, anchor long, region long"
 
 
 def _scan(length: int):
@@ -153,12 +154,10 @@ def _scan(length: int):
                     found = anchors(data[begin:end], bounds, length)
                     owner = found["owner"] + lo
                     shift = begin - offsets[owner]
+                    small = [pa.array(x.astype(np.int32)) for x in (found["start"] + shift, found["windows"], found["lead"], found["times"])]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ka[owner]), pa.array(kb[owner]), pa.array(found["start"] + shift), pa.array(found["stop"] + shift), pa.array(found["windows"].astype(np.int32)),
-                            pa.array(found["times"]), pa.array(found["anchor"].view(np.int64)), pa.array(found["region"].view(np.int64)),
-                        ],
-                        names=["ka", "kb", "start", "stop", "windows", "times", "anchor", "region"],
+                        [pa.array(ka[owner]), pa.array(kb[owner]), *small, pa.array(found["anchor"].view(np.int64)), pa.array(found["region"].view(np.int64))],
+                        names=["ka", "kb", "start", "windows", "lead", "times", "anchor", "region"],
                     )
 
     return task
@@ -242,34 +241,54 @@ def _sorted_buckets(length: int):
     return task
 
 
-def _named_windows(length: int):
-    """Regions into their windows, fully refined: (ka, kb, lo, times, w1, w2)."""
-
-    def task(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            all_offsets = _bytes_of(batch.column("bytes"))[1]
-            for lo, hi in chunks(all_offsets, PIECE // 4):
-                part = table.slice(lo, hi - lo)
-                data, offsets, windows, times = _layout(part)
-                owner, at = _window_places(offsets, windows)
-                size = _gram(length)
-                grams = gram_pointers(data, size)
-                base = part.column("start").to_numpy()[owner] - offsets[:-1][owner]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part.column("ka").to_numpy()[owner]), pa.array(part.column("kb").to_numpy()[owner]), pa.array(base + at), pa.array(times[owner]),
-                        *[pa.array(_window_names(grams, at, length, size, salt).view(np.int64)) for salt in (3, 4)],
-                    ],
-                    names=["ka", "kb", "lo", "times", "w1", "w2"],
-                )
+def _halved(members: DataFrame, length: int) -> DataFrame:
+    """(ka, kb, lo, hi): the stretches of regions of large buckets that are repeated.
 
-    return task
+    A window's range is told by the bytes between its start and the anchor.  All windows
+    of a range share the bytes between the last start and the first end, their core; a
+    member without another of the same core is done.  Members equal in all their windows
+    of the range are repeated there; one of them stays to be met by others.  The rest is
+    looked at by halves of the range, down to single windows, so each round is a few
+    rows a member, counted before the shuffle, and no bucket is ever in one task.
+    """
+    width = length - _gram(length) + 1
+    step = -(-width // 4)
+    ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(min(a + step, width) - 1).alias("b")) for a in range(0, width, step)])
+    kept = ["ka", "kb", "start", "windows", "lead", "anchor", "bytes"]
+    own = F.filter(ranges, lambda r: (r["a"] <= F.col("lead")) & (r["b"] > F.col("lead") - F.col("windows")))
+    rows = members.select(*kept, F.xxhash64("ka", "kb", "start").alias("who"), F.col("times").alias("n"), (F.col("times") > 1).alias("met"), F.explode(own).alias("r")).select("*", "r.*").drop("r")
+    core, span = ["c1", "c2"], ["c1", "c2", "p", "q", "s1", "s2"]
+    out = []
+    while step:
+        step = 0 if step == 1 else -(-step // 2)
+        p, q = F.greatest("a", F.col("lead") - F.col("windows") + 1), F.least("b", "lead")
+        rows = rows.withColumns({"p": p, "q": q})
+        inner = F.expr(f"substring(bytes, lead - a + 1, {length} - b + a)")
+        outer = F.expr(f"substring(bytes, lead - q + 1, {length} - p + q)")
+        names = {f"c{k}": F.xxhash64(F.lit(k), F.col("anchor"), F.col("a"), inner) for k in (1, 2)} | {f"s{k}": F.xxhash64(F.lit(k), outer) for k in (1, 2)}
+        rows = cut_lineage(rows.withColumns(names))
+        spans = cut_lineage(rows.groupBy(*span).agg(F.sum("n").alias("all"), F.min("who").alias("one")))
+        shared = spans.groupBy(*core).agg(F.sum("all").alias("n"), F.count_if(F.col("all") == 1).alias("open")).where("n > 1 and open > 0").select(*core)
+        told = rows.join(spans.hint("merge"), span)
+        out.append(told.where("all > 1 and not met").select("ka", "kb", (F.col("start") + F.col("lead") - F.col("q")).cast("long").alias("lo"), (F.col("start") + F.col("lead") - F.col("p") + length).cast("long").alias("hi")))
+        if not step:
+            break
+        left = told.where("all = 1 or who = one").join(shared.hint("merge"), core, "left_semi")
+        middle = F.least(F.col("a") + step, F.col("b") + 1)
+        halves = F.array(F.struct(F.col("a").alias("a"), (middle - 1).alias("b")), F.struct(middle.alias("a"), F.col("b").alias("b")))
+        halves = F.filter(halves, lambda r: (r["a"] <= r["b"]) & (r["a"] <= F.col("q")) & (r["b"] >= F.col("p")))
+        rows = cut_lineage(left.select(*kept, "who", F.col("all").alias("n"), (F.col("all") > 1).alias("met"), F.explode(halves).alias("r")).select("*", "r.*").drop("r"))
+        if rows.isEmpty():
+            break
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def row_keys(doc_id: str, text: str) -> list[Column]:
-    """Two hashes that stand for a row: of its text, and of its id and text."""
-    return [F.xxhash64(F.lit(12), F.col(text)).alias("ka"), F.xxhash64(F.col(doc_id), F.col(text)).alias("kb")]
+    """96 bits that stand for a row of the input, of its text and of its id and text; equal rows share them."""
+    return [F.xxhash64(F.lit(12), F.col(text)).alias("ka"), F.shiftright(F.xxhash64(F.col(doc_id), F.col(text)), 32).cast("int").alias("kb")]
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -285,31 +304,33 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``ka`` and ``kb`` are ``row_keys``; spans may touch and overlap, and are not sorted.
     """
     rows = docs.where(F.octet_length(text) >= length).select(*row_keys(doc_id, text), F.col(text).cast("binary").alias("text"))
-    found = _stored(rows.mapInArrow(_scan(length), _REGION))
-    buckets = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    hits = _stored(found.join(send_if_small(cut_lineage(buckets), F.lit(24)), "anchor"))
-    place = F.struct("ka", "kb", "start", "windows")
-    regions = cut_lineage(hits.groupBy("anchor", "region").agg(F.sum("times").alias("times"), F.min(place).alias("at")))
-    mixed = cut_lineage(regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    members = regions.join(send_if_small(mixed, F.lit(32)), "anchor").select("anchor", "region", "times", "members", "at.*")
-    members = cut_lineage(members)
+    # Twice from the texts: to count the buckets, and to keep the places of those that hold several.
+    found = rows.mapInArrow(_scan(length), _REGION)
+    buckets = found.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("region").alias("least"), F.max("region").alias("most"))
+    buckets = buckets.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed"))
+    hits = _stored(found.join(buckets.hint("merge"), "anchor"))
+    place = F.struct("ka", "kb", "start", "windows", "lead")
+    regions = hits.where("mixed").groupBy("anchor", "region").agg(F.sum("times").cast("int").alias("times"), F.min(place).alias("at"))
+    regions = cut_lineage(regions.select("anchor", "region", "times", "at.*"))
+    members = regions.join(regions.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).hint("merge"), "anchor")
 
     # The bytes of one place of each region, read from the row that holds it.
-    wanted = members.groupBy("ka", "kb").agg(F.collect_list(F.struct("anchor", "region", "times", "members", "start", "windows")).alias("wanted"))
-    wanted = cut_lineage(wanted)
-    read = rows.join(send_if_small(wanted, F.lit(32) + F.size("wanted") * 56), ["ka", "kb"]).select("ka", "kb", "text", F.explode("wanted").alias("w"))
-    read = read.select("ka", "kb", "w.*", F.expr(f"substring(text, int(w.start) + 1, w.windows + {length - 1})").alias("bytes"))
+    wanted = members.groupBy("ka", "kb").agg(F.collect_list(F.struct("anchor", "region", "times", "members", "start", "windows", "lead")).alias("wanted"))
+    read = rows.join(wanted.hint("merge"), ["ka", "kb"]).select("ka", "kb", "text", F.explode("wanted").alias("w"))
+    read = read.select("ka", "kb", "w.*", F.expr(f"substring(text, w.start + 1, w.windows + {length - 1})").alias("bytes"))
     read = _stored(read.dropDuplicates(["anchor", "region"]))
     few = read.where(F.col("members") <= BUCKET).repartition("anchor").sortWithinPartitions("anchor")
-    spans = few.mapInArrow(_sorted_buckets(length), "ka long, kb long, lo long, hi long")
-    named = read.where(F.col("members") > BUCKET).mapInArrow(_named_windows(length), "ka long, kb long, lo long, times long, w1 long, w2 long")
-    # One group for each window: its members are counted before the shuffle, and single ones need no more.
-    twice = named.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2")
-    spans = spans.unionByName(named.where("times = 1").join(twice, ["w1", "w2"]).select("ka", "kb", "lo", (F.col("lo") + length).alias("hi")))
+    spans = few.mapInArrow(_sorted_buckets(length), "ka long, kb int, lo long, hi long")
+    many = read.where(F.col("members") > BUCKET)
+    if not many.isEmpty():
+        spans = spans.unionByName(_halved(many, length))
 
     # Everything else that was hit is repeated as a whole.
-    single = members.where("times = 1").select("anchor", "region")
-    whole = hits.join(send_if_small(single, F.lit(32)), ["anchor", "region"], "left_anti").select("ka", "kb", F.col("start").alias("lo"), F.col("stop").alias("hi"))
+    single = regions.where("times = 1").select("anchor", "region")
+    first = F.col("start").cast("long")
+    enclosed = [F.col("ka"), F.col("kb"), first.alias("lo"), (first + F.col("times") * F.col("windows") - 1 + length).alias("hi")]
+    whole = hits.where("not mixed").select(*enclosed)
+    whole = whole.unionByName(hits.where("mixed").join(single.hint("merge"), ["anchor", "region"], "left_anti").select(*enclosed))
     return whole.unionByName(spans).groupBy("ka", "kb").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -352,10 +373,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     table.  A text is read in pieces of ``PIECE`` bytes.  ``kept`` is binary, because a
     range may end inside a character.
     """
-    spans = cut_lineage(repeated_spans(docs, doc_id, text, length))
-    small = send_if_small(spans, F.lit(32) + F.size("spans") * 32)
+    spans = repeated_spans(docs, doc_id, text, length)
     keyed = docs.select(F.struct(*[F.col(f"`{n}`").alias(n) for n in docs.columns if n != text]).alias("row"), *row_keys(doc_id, text), F.col(text).cast("binary").alias("text"))
-    joined = keyed.join(small, ["ka", "kb"], "left").select("row", "text", "spans")
+    joined = keyed.join(spans.hint("merge"), ["ka", "kb"], "left").select("row", "text", "spans")
     shape = T.StructType(joined.select("row").schema.fields + T.StructType.fromDDL("removed array<struct<lo:bigint,hi:bigint>>, kept binary").fields)
     return joined.mapInArrow(_cut, shape)
 

@@ -64,9 +64,16 @@ def test_short_windows(spark, length):
     assert found(spark, texts, length) == sorted(plain(texts, length))
 
 
-def test_past_the_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "send_if_small", lambda df, size: df)
-    texts = corpus(random.Random(9))
+@pytest.mark.parametrize("bucket", [2048, 50, 2])
+def test_one_passage_in_many_surroundings(spark, monkeypatch, bucket):
+    """A long bucket of a passage that is met in part, whole, twice in a row, and cut off, by hundreds of texts."""
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    dice = random.Random(bucket)
+    passage = prose(dice, 70)
+    texts = []
+    for k in range(300):
+        a, b = dice.randint(0, 200), dice.randint(200, len(passage))
+        texts.append(prose(dice, dice.randint(0, 9)) + passage[a:b] + ("" if k % 7 else passage[a:b]) + prose(dice, dice.randint(0, 30)))
     assert found(spark, texts) == sorted(plain(texts, 200))
 
 
