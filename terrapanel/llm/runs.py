@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrapanel.functions.columns import bound
 from terrapanel.llm.common import chunks, mix
 
 EXPONENT, LEAST = 4, 6
@@ -328,13 +329,23 @@ def periodic_runs(docs: DataFrame, text: str = "text", exponent: int = EXPONENT,
 
 def with_periodic_tails(text: Column, key: Column) -> Column:
     """``text`` with, for one key in ten, the words from some word on replaced by a period of them, over and over."""
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     h = F.crc32(key.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words)
-    a = F.pmod(g, F.greatest(n, F.lit(1)))
-    period = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    shown = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.element_at(words, (F.when(i < a, i).otherwise(a + (i - a) % period) + 1).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(shown, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def joined(words: Column) -> Column:
+        n = F.size(words)
+        start = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+        plan = F.struct(start.alias("a"), (F.lit(1) + F.floor((n - start) / (F.lit(3) + g % 8))).cast("int").alias("p"))
+        # Words and plan are worked out once a text; the tail is one period, repeated and cut.
+        return bound(plan, lambda s: F.array_join(F.concat(F.slice(words, F.lit(1), s["a"]), _repeated(F.slice(words, s["a"] + 1, s["p"]), n - s["a"])), " "))
+
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), bound(words, joined)).otherwise(text)
+
+
+def _repeated(period: Column, length: Column) -> Column:
+    times = F.ceil(length / F.greatest(F.size(period), F.lit(1))).cast("int")
+    return F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), length)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
