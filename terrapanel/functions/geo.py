@@ -101,7 +101,7 @@ def albers_forward(lon: str, lat: str, crs: str | Albers = "EPSG:3310") -> tuple
     return F.expr(x), F.expr(y)
 
 
-def albers_inverse(x: str, y: str, crs: str | Albers = "EPSG:3310") -> tuple[Column, Column]:
+def albers_inverse_text(x: str, y: str, crs: str | Albers = "EPSG:3310") -> tuple[str, str]:
     """Projected metres -> degrees (lon, lat).
 
     Latitude starts from the authalic-latitude series and takes one Newton step,
@@ -118,4 +118,9 @@ def albers_inverse(x: str, y: str, crs: str | Albers = "EPSG:3310") -> tuple[Col
     s = f"sin({start})"
     curve = f"(1 - {num(e2)} * {s} * {s})"
     phi = f"({start} + {curve} * {curve} / (2 * cos({start})) * (({q} - {p.q_text(s)}) / {num(1 - e2)}))"
-    return F.expr(f"degrees(atan2({dx}, {dy}) / {num(n)}) + {num(p.lon0)}"), F.expr(f"degrees({phi})")
+    return f"(degrees(atan2({dx}, {dy}) / {num(n)}) + {num(p.lon0)})", f"degrees({phi})"
+
+
+def albers_inverse(x: str, y: str, crs: str | Albers = "EPSG:3310") -> tuple[Column, Column]:
+    lon, lat = albers_inverse_text(x, y, crs)
+    return F.expr(lon), F.expr(lat)

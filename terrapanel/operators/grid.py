@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import bound
-from terrapanel.functions.geo import albers_forward, albers_inverse
+from terrapanel.functions.geo import albers_forward, albers_inverse, albers_inverse_text
+from terrapanel.operators.outlines import PARTS_SCHEMA, cells_to_parts
 from terrapanel.operators.polygons import clip_ring, ring_moments, within_polygon
 from terrapanel.session import cut_lineage
 
@@ -70,12 +71,11 @@ def assign_to_cells(
     return inside.withColumns({"i": i, "j": j}).drop("_x", "_y").join(cells.select("i", "j", "grid_id"), ["i", "j"])
 
 
-def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: bool = False) -> DataFrame:
-    """Squares over a projected boundary cut to it: (i, j, cell, area, cx, cy), empty ones left out.
+def _ring_pieces(rings: DataFrame, cell_m: float, whole_metres: bool) -> tuple[DataFrame, int]:
+    """(i, j, hole, ring): what each square over a projected boundary holds of each ring; and the squares of a column.
 
     Rings are first cut into vertical strips, then strips into cells, so a cell only
-    works on the vertices of its strip.  ``whole_metres`` starts the grid at the
-    integer part of the bounds.
+    works on the vertices of its strip.
     """
     corner = rings.select(F.explode("ring").alias("v")).select("v.x", "v.y")
     x0, y0, x1, y1 = extent(corner, "x", "y")
@@ -92,7 +92,7 @@ def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: boo
     # Each ring meets the strips it reaches, and no others.
     first, last = (F.floor((pick(F.transform("ring", lambda v: v["x"])) - x0) / cell_m) for pick in (F.array_min, F.array_max))
     reached = F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(nx - 1).cast("long")))
-    strips = rings.where(first <= last).where((last >= 0) & (first <= nx - 1)).select(F.explode(reached).alias("i"), "hole", "ring")
+    strips = rings.where(first <= last).where((last >= 0) & (first <= nx - 1)).select(F.explode(reached).alias("i"), F.coalesce("hole", F.lit(False)).alias("hole"), "ring")
     strips = strips.withColumn("ring", clip_ring(F.col("ring"), x_range=range_of("i", x0)))
     reach = F.aggregate(
         "ring",
@@ -101,13 +101,32 @@ def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: boo
         lambda s: F.sequence(F.floor((s["low"] - y0) / cell_m), F.floor((s["high"] - y0) / cell_m)),
     )
     cells = strips.withColumn("j", F.explode(reach)).where(F.col("j").between(0, ny - 1))
-    signed = cells.select("i", "j", "hole", bound(clip_ring(F.col("ring"), y_range=range_of("j", y0)), ring_moments).alias("m"))
-    signed = signed.withColumn("s", F.when(F.col("hole"), -1.0).otherwise(1.0))
-    merged = signed.groupBy("i", "j").agg(
-        F.sum(F.col("s") * F.col("m.area")).alias("area"),
-        F.sum(F.col("s") * F.col("m.mx")).alias("mx"),
-        F.sum(F.col("s") * F.col("m.my")).alias("my"),
-    )
+    return cells.select("i", "j", "hole", clip_ring(F.col("ring"), y_range=range_of("j", y0)).alias("ring")), ny
+
+
+def _parts(pieces: DataFrame) -> DataFrame:
+    """(i, j, part, rings, area, mx, my): the disjoint parts of each cell, overlaps united.  The pieces of one cell meet in one row."""
+    held = pieces.where("ring is not null").groupBy("i", "j").agg(F.collect_list(F.struct("hole", "ring")).alias("pieces"))
+    return held.mapInArrow(cells_to_parts, PARTS_SCHEMA)
+
+
+def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: bool = False) -> DataFrame:
+    """Squares over a projected boundary cut to it: (i, j, cell, area, cx, cy), empty ones left out.
+
+    ``whole_metres`` starts the grid at the integer part of the bounds.  Where pieces of
+    several outer rings meet in a cell, they are united first, so that ground they
+    share counts once; everywhere else the rings' own sums do.
+    """
+    pieces, ny = _ring_pieces(rings, cell_m, whole_metres)
+    several = rings.where(~F.coalesce("hole", F.lit(False))).count() > 1
+    pieces = cut_lineage(pieces) if several else pieces
+    signed = pieces.select("i", "j", "hole", F.when(F.col("hole"), -1.0).otherwise(1.0).alias("s"), bound(F.col("ring"), ring_moments).alias("m"))
+    sums = {"area": "area", "mx": "mx", "my": "my"}
+    merged = signed.groupBy("i", "j").agg(*[F.sum(F.col("s") * F.col(f"m.{m}")).alias(n) for n, m in sums.items()], F.count_if(~F.col("hole") & (F.col("m.area") > 0)).alias("outers"))
+    if several:
+        crowded = merged.where("outers > 1").select("i", "j")
+        united = _parts(pieces.join(crowded, ["i", "j"], "left_semi")).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in sums])
+        merged = merged.where("outers <= 1").drop("outers").unionByName(united)
     # Slivers below a square millimetre are rounding, not land.
     kept = merged.where(F.col("area") > 1e-6)
     return kept.select(
@@ -115,6 +134,20 @@ def clipped_cells(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: boo
     )
 
 
+def cell_polygons(rings: DataFrame, cell_m: float = 5000.0, *, whole_metres: bool = False) -> DataFrame:
+    """What a projected boundary leaves of each square, as polygons: (i, j, cell, part, rings, area, cx, cy), one row per part.
+
+    ``rings`` holds the part's outer ring, counter-clockwise, and its holes, clockwise,
+    each closed and from its least corner on.  Overlapping pieces are one part, pieces
+    that touch in a corner are several.
+    """
+    pieces, ny = _ring_pieces(rings, cell_m, whole_metres)
+    parts = _parts(pieces)
+    return parts.select(
+        "i", "j", (F.col("i") * ny + F.col("j")).alias("cell"), "part", "rings", "area", (F.col("mx") / F.col("area")).alias("cx"), (F.col("my") / F.col("area")).alias("cy")
+    )
+
+
 def number_cells(cells: DataFrame, scheme: str = "text", prefix: str = "CA5K_") -> DataFrame:
     """Adds ``grid_id``: ``text`` = dense zero-padded ids column by column, ``integer`` = the square's own number.
 
@@ -138,6 +171,21 @@ def cell_grid(rings: DataFrame, cell_m: float = 5000.0, crs: str = "EPSG:3310",
     return cells.select("grid_id", lon.alias("lon"), lat.alias("lat"), "i", "j", "area")
 
 
+def grid_geometry(rings: DataFrame, cell_m: float = 5000.0, crs: str = "EPSG:3310", scheme: str = "text") -> DataFrame:
+    """(grid_id, lon, lat, parts): the clipped cells, their centroids, and their outlines in degrees; ``parts`` holds polygons of rings.
+
+    The clipped squares are made once; ids, centroids and outlines all follow from their parts.
+    """
+    polygons = cut_lineage(cell_polygons(rings, cell_m, whole_metres=scheme == "integer"))
+    weighted = [F.sum(F.col(c) * F.col("area")).alias(f"_{c}") for c in ("cx", "cy")]
+    merged = polygons.groupBy("i", "j", "cell").agg(F.sum("area").alias("area"), *weighted, F.array_sort(F.collect_list(F.struct("part", "rings"))).alias("parts"))
+    merged = merged.where(F.col("area") > 1e-6).withColumns({c: F.col(f"_{c}") / F.col("area") for c in ("cx", "cy")})
+    lon, lat = albers_inverse("cx", "cy", crs)
+    x, y = albers_inverse_text("v.x", "v.y", crs)
+    outlines = F.expr(f"transform(parts, p -> transform(p.rings, r -> transform(r, v -> named_struct('x', {x}, 'y', {y}))))")
+    return number_cells(merged, scheme).select("grid_id", lon.alias("lon"), lat.alias("lat"), outlines.alias("parts"))
+
+
 def raster_frame(spark: SparkSession, bbox: Sequence[float], res_m: float = 1000.0, crs: str = "EPSG:5070") -> DataFrame:
     """Pixels of a north-up raster over a lon/lat box: (row, col, x, y, longitude, latitude) of pixel centres."""
     x0, y0, x1, y1 = projected_bounds(spark, bbox, crs, edge_points=21)

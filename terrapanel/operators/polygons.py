@@ -1,7 +1,9 @@
 """Boundaries: edge tables, containment, and exact clipping of square cells.
 
 Boundary tables hold rings as rows: ``ring_id``, ``hole`` and ``ring``, an array of
-(x, y) structs whose last vertex repeats the first.
+(x, y) structs whose last vertex repeats the first.  Ground is inside if more outer
+rings than holes lie around it, so parts may overlap, touch or enclose each other, and
+rings may run either way.
 """
 
 from __future__ import annotations
@@ -32,9 +34,21 @@ def project_rings(rings: DataFrame, crs: str = "EPSG:3310") -> DataFrame:
     return rings.withColumn("ring", F.expr(f"transform(ring, v -> named_struct('x', {x}, 'y', {y}))"))
 
 
+def oriented(rings: DataFrame) -> DataFrame:
+    """Outer rings counter-clockwise, holes clockwise, so that every edge has its ground to the left."""
+    first = F.element_at("ring", 1)
+
+    def cross(i: Column) -> Column:
+        a, b = F.element_at("ring", i), F.element_at("ring", i + 1)
+        return (a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"])
+
+    area = F.aggregate(F.sequence(F.lit(1), F.size("ring") - 1), F.lit(0.0), lambda s, i: s + cross(i))
+    return rings.withColumn("ring", F.when((area > 0) == F.coalesce("hole", F.lit(False)), F.reverse("ring")).otherwise(F.col("ring")))
+
+
 def edges_of(rings: DataFrame) -> DataFrame:
     """(x1, y1, x2, y2) per ring edge."""
-    numbered = rings.select("ring", F.explode(F.sequence(F.lit(1), F.size("ring") - 1)).alias("i"))
+    numbered = rings.where(F.size("ring") > 1).select("ring", F.explode(F.sequence(F.lit(1), F.size("ring") - 1)).alias("i"))
     a, b = F.element_at("ring", F.col("i")), F.element_at("ring", F.col("i") + 1)
     return numbered.select(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
@@ -51,12 +65,12 @@ def band_count(edges: int, tall: float, height: float) -> tuple[int, int]:
 
 
 def within_polygon(points: DataFrame, rings: DataFrame, *, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Rows inside the boundary by the even-odd rule (half-open: lower and left edges count as inside).
+    """Rows inside the boundary by its winding number (half-open: lower and left edges count as inside).
 
     Edges are grouped by horizontal band, so a point meets only the edges of its band;
     rows are neither copied nor shuffled while the band table can be broadcast.
     """
-    edges = edges_of(rings).where("y1 <> y2")
+    edges = edges_of(oriented(rings.where(F.size("ring") > 1))).where("y1 <> y2")
     size = edges.agg(
         F.count("*").alias("n"), F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2")), F.sum(F.abs(F.col("y2") - F.col("y1")))
     ).first()
@@ -83,7 +97,9 @@ def within_polygon(points: DataFrame, rings: DataFrame, *, x: str = "lon", y: st
         reaches = (e["y1"] > py) != (e["y2"] > py)
         return reaches & (px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
 
-    return joined.where(F.size(F.filter("_edges", crossed)) % 2 == 1).drop("_band", "_edges")
+    # Looking east, edges that go up have their ground on this side, edges that go down beyond.
+    covers = F.aggregate(F.filter("_edges", crossed), F.lit(0), lambda n, e: n + F.when(e["y2"] > e["y1"], 1).otherwise(-1))
+    return joined.where(covers > 0).drop("_band", "_edges")
 
 
 def clip_ring(ring: Column, x_range: tuple[Column, Column] | None = None, y_range: tuple[Column, Column] | None = None) -> Column:

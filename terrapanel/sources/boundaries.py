@@ -23,7 +23,8 @@ def features(spark: SparkSession, path: str) -> DataFrame:
 def dissolve(found: DataFrame, wanted: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Rings of the features whose properties match the first satisfiable (name, value) pair.
 
-    Disjoint parts stay separate rings; the even-odd rule needs no merged outline.
+    Parts stay separate rings, also where they overlap or touch: what lies inside is a
+    matter of winding numbers, and ``grid`` unites what meets in a cell.
     """
     if wanted:
         tests = [F.col("properties")[name] == value for name, value in wanted]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.polygons import ring_moments
@@ -46,15 +46,22 @@ def write_by_day(df: DataFrame, path: str, date: str = "date") -> None:
 
 
 def write_grid(cells: DataFrame, rings: DataFrame, folder: str) -> None:
-    """Lookup table plus one GeoJSON feature per line: ``rings`` holds (grid_id, ring) of closed rings in degrees."""
+    """Lookup table plus one GeoJSON feature per line.
+
+    ``rings`` is (grid_id, ring) with one closed ring in degrees, or (grid_id, parts)
+    with polygons of rings, as ``grid_geometry`` makes them.
+    """
     cells.select("grid_id", "lon", "lat").write.mode("overwrite").parquet(f"{folder}/lookup")
-    ordered = F.transform("ring", lambda v: F.array(v["x"], v["y"]))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct("grid_id").alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(ordered).alias("coordinates")).alias("geometry"),
-    )
-    rings.where(ring_moments(F.col("ring"))["area"] > 0).select(F.to_json(feature).alias("value")).write.mode("overwrite").text(f"{folder}/features")
+    if "parts" not in rings.columns:
+        rings = rings.where(ring_moments(F.col("ring"))["area"] > 0).select("grid_id", F.array(F.array("ring")).alias("parts"))
+    pairs = F.transform("parts", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))))
+
+    def feature(kind: str, coordinates: Column) -> Column:
+        geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("grid_id").alias("properties"), geometry))
+
+    line = F.when(F.size("parts") == 1, feature("Polygon", F.get("_pairs", F.lit(0)))).otherwise(feature("MultiPolygon", F.col("_pairs")))
+    rings.withColumn("_pairs", pairs).select(line.alias("value")).write.mode("overwrite").text(f"{folder}/features")
 
 
 def write_model(model: PipelineModel, record: DataFrame, folder: str) -> None:
