@@ -4,6 +4,12 @@ A series is one row per (key, order): feed panels that were aggregated to
 (cell, day) first.  Its length is then the number of days, however many raw
 observations one cell attracts, so a window partition is bounded by the calendar.
 
+A series longer than a task can hold is named by ``block_rows``: its rows are numbered
+across tasks, cut into blocks of that many, and each block is worked on by itself.  What
+it needs from others is little: the last and next known row, from a table with one
+row a block, and for rolling frames the few rows before it, which go to both blocks.
+Results are the same with and without.
+
 Backward looks run as forward looks over the reversed order: a frame that ends at
 "unbounded following" is re-read for every row, one that starts at "unbounded
 preceding" is read once.  All windows of one key share one exchange.
@@ -16,6 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrapanel.operators.distributed import with_range_bucket
+from terrapanel.session import cut_lineage
+
+# Rows of one series in a task, for callers without a reason for another number.
+SERIES_ROWS = 1 << 16
+
 _AGGREGATES = {"mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
 
 
@@ -41,13 +53,62 @@ def position(order: str) -> Column:
     return F.unix_date(F.col(order).cast("date"))
 
 
-def neighbours(df: DataFrame, key, order: str, col: str, at: Column) -> DataFrame:
+def _beside(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be NULL."""
+    renamed = small.withColumnsRenamed({k: f"_key{n}" for n, k in enumerate(keys)})
+    same = F.col(keys[0]).eqNullSafe(F.col("_key0"))
+    for n, k in enumerate(keys[1:], 1):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{n}"))
+    return df.join(renamed, same, "left").drop(*[f"_key{n}" for n in range(len(keys))])
+
+
+def numbered(df: DataFrame, key, order: str) -> DataFrame:
+    """Adds ``_n``: each row's number in its series, from 1, found range by range of ``order``, materialised."""
+    keys = _cols(key)
+    ranged = cut_lineage(with_range_bucket(df, [], order))
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    before = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_before"))
+    inside = ranged.withColumn("_n", F.row_number().over(_forward([*keys, "_bucket"], order)))
+    joined = _beside(inside, before, [*keys, "_bucket"])
+    return cut_lineage(joined.select(*df.columns, (F.col("_n") + F.col("_before")).cast("long").alias("_n")))
+
+
+def _blocks(df: DataFrame, key, order: str, reach: int, block_rows: int) -> tuple[DataFrame, list[str]]:
+    """Rows with their block ``_b``, and as guests (``_guest``) in the next one if less than ``reach`` rows from it; and the blocks' keys."""
+    if reach > block_rows:
+        raise ValueError("a block must hold the rows a frame reaches back")
+    at = F.col("_n") - 1
+    own = F.floor(at / block_rows).cast("long")
+    places = F.when(at % block_rows >= block_rows - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = numbered(df, key, order).withColumn("_b", F.explode(places))
+    return rows.withColumn("_guest", F.col("_b") != own), [*_cols(key), "_b"]
+
+
+def _own_rows(df: DataFrame) -> DataFrame:
+    return df.where(~F.col("_guest")).drop("_n", "_b", "_guest")
+
+
+def neighbours(df: DataFrame, key, order: str, col: str, at: Column, block_rows: int | None = None) -> DataFrame:
     """Adds row number ``_n``, place ``_a`` and the nearest known rows before (``_p``) and after (``_f``)."""
     known = F.col(col).isNotNull()
-    df = df.withColumn("_n", F.row_number().over(_forward(key, order))).withColumn("_a", at)
-    point = F.when(known, F.struct(F.col(col).alias("v"), F.col("_n").alias("n"), F.col("_a").alias("a")))
-    df = df.withColumn("_p", F.last(point, ignorenulls=True).over(_seen(key, order)))
-    return df.withColumn("_f", F.last(point, ignorenulls=True).over(_ahead(key, order)))
+    if block_rows is None:
+        df = df.withColumn("_n", F.row_number().over(_forward(key, order))).withColumn("_a", at)
+        point = F.when(known, F.struct(F.col(col).alias("v"), F.col("_n").alias("n"), F.col("_a").alias("a")))
+        df = df.withColumn("_p", F.last(point, ignorenulls=True).over(_seen(key, order)))
+        return df.withColumn("_f", F.last(point, ignorenulls=True).over(_ahead(key, order)))
+    keys = _cols(key)
+    df = numbered(df, key, order).withColumns({"_a": at, "_b": F.floor((F.col("_n") - 1) / block_rows)})
+    point = F.when(known, F.struct(F.col("_n").alias("n"), F.col(col).alias("v"), F.col("_a").alias("a")))
+    # One row a block: its first and last known rows, and those of the blocks before and after.
+    ends = df.groupBy(*keys, "_b").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
+    earlier = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.last("_first", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*keys, "_b", earlier.alias("_earlier"), later.alias("_later"))
+    block = [*keys, "_b"]
+    df = df.withColumn("_p", F.last(point, ignorenulls=True).over(_seen(block, "_n"))).withColumn("_f", F.last(point, ignorenulls=True).over(_ahead(block, "_n")))
+    joined = _beside(df, carried, block)
+    return joined.withColumns({"_p": F.coalesce("_p", "_earlier"), "_f": F.coalesce("_f", "_later")}).drop("_b", "_earlier", "_later")
 
 
 def _between(x: str) -> Column:
@@ -58,20 +119,20 @@ def _between(x: str) -> Column:
     return p["v"] + (f["v"] - p["v"]) * share
 
 
-def fill_linear(df: DataFrame, key, order: str, col: str, out: str | None = None) -> DataFrame:
+def fill_linear(df: DataFrame, key, order: str, col: str, out: str | None = None, *, block_rows: int | None = None) -> DataFrame:
     """Linear by row position inside; the first and last known values extend to the ends."""
-    marked = neighbours(df, key, order, col, F.lit(0))
+    marked = neighbours(df, key, order, col, F.lit(0), block_rows)
     filled = F.coalesce(F.col(col).cast("double"), _between("n"), F.col("_p")["v"], F.col("_f")["v"])
     return marked.withColumn(out or col, filled).drop("_n", "_a", "_p", "_f")
 
 
-def fill_time(df: DataFrame, key, order: str, col: str, out: str, limit: int | None = 2, ends: bool = True) -> DataFrame:
+def fill_time(df: DataFrame, key, order: str, col: str, out: str, limit: int | None = 2, ends: bool = True, *, block_rows: int | None = None) -> DataFrame:
     """Linear in time for rows at most ``limit`` rows away from a known one.
 
     With ``ends`` the nearest known value extends past both ends (within ``limit``);
     ``limit=None, ends=False`` fills every interior gap and nothing else.
     """
-    marked = neighbours(df, key, order, col, position(order))
+    marked = neighbours(df, key, order, col, position(order), block_rows)
     back, ahead = F.col("_n") - F.col("_p")["n"], F.col("_f")["n"] - F.col("_n")
     value = _between("a")
     if ends:
@@ -81,54 +142,77 @@ def fill_time(df: DataFrame, key, order: str, col: str, out: str, limit: int | N
     return marked.withColumn(out, F.coalesce(F.col(col).cast("double"), value)).drop("_n", "_a", "_p", "_f")
 
 
-def rolling_rows(df: DataFrame, key, order: str, specs: Sequence[tuple[str, int, str, str]]) -> DataFrame:
+def _rolled(df: DataFrame, key, order: str, reach: int, block_rows: int | None, made) -> DataFrame:
+    """Adds ``made(key, order)``, columns over frames of up to ``reach`` rows before."""
+    if block_rows is None:
+        return df.withColumns(made(key, order))
+    rows, block = _blocks(df, key, order, reach, block_rows)
+    return _own_rows(rows.withColumns(made(block, "_n")))
+
+
+def rolling_rows(df: DataFrame, key, order: str, specs: Sequence[tuple[str, int, str, str]], *, block_rows: int | None = None) -> DataFrame:
     """Count-based rolling aggregates; each spec is (col, n, agg, out).
 
     NULL until ``n`` rows exist and wherever the frame holds a NULL.
     """
-    made = {}
-    for col, n, agg, out in specs:
-        frame = _forward(key, order).rowsBetween(-(n - 1), 0)
-        made[out] = F.when(F.count(col).over(frame) == n, _AGGREGATES[agg](col).over(frame))
-    return df.withColumns(made)
+
+    def made(key, order) -> dict[str, Column]:
+        out = {}
+        for col, n, agg, name in specs:
+            frame = _forward(key, order).rowsBetween(-(n - 1), 0)
+            out[name] = F.when(F.count(col).over(frame) == n, _AGGREGATES[agg](col).over(frame))
+        return out
+
+    return _rolled(df, key, order, max(n for _, n, _, _ in specs) - 1, block_rows, made)
 
 
-def event_history(df: DataFrame, key, order: str, col: str, windows: dict[str, int], include_current: bool = True) -> DataFrame:
+def event_history(df: DataFrame, key, order: str, col: str, windows: dict[str, int], include_current: bool = True, *, block_rows: int | None = None) -> DataFrame:
     """Rolling event totals, 0 while the window is not full.
 
     ``include_current=False`` leaves the row's own day out, as training on the same
     day's label requires.
     """
-    made = {}
-    for out, n in windows.items():
-        first, last = (-(n - 1), 0) if include_current else (-n, -1)
-        frame = _forward(key, order).rowsBetween(first, last)
-        made[out] = F.coalesce(F.when(F.count(col).over(frame) == n, F.sum(col).over(frame)), F.lit(0))
-    return df.withColumns(made)
 
+    def made(key, order) -> dict[str, Column]:
+        out = {}
+        for name, n in windows.items():
+            first, last = (-(n - 1), 0) if include_current else (-n, -1)
+            frame = _forward(key, order).rowsBetween(first, last)
+            out[name] = F.coalesce(F.when(F.count(col).over(frame) == n, F.sum(col).over(frame)), F.lit(0))
+        return out
 
-def rolling_days(df: DataFrame, key, order: str, specs: Sequence[tuple[str, int, int, str]]) -> DataFrame:
+    return _rolled(df, key, order, max(windows.values()), block_rows, made)
+
+
+def rolling_days(df: DataFrame, key, order: str, specs: Sequence[tuple[str, int, int, str]], *, block_rows: int | None = None) -> DataFrame:
     """Calendar rolling means over ``(t - days, t]``; each spec is (col, days, min_known, out)."""
-    day = Window.partitionBy(*_cols(key)).orderBy("_day")
-    made = {}
-    for col, days, least, out in specs:
-        frame = day.rangeBetween(-(days - 1), 0)
-        made[out] = F.when(F.count(col).over(frame) >= least, F.avg(col).over(frame))
-    return df.withColumn("_day", position(order)).withColumns(made).drop("_day")
+
+    def made(key, order) -> dict[str, Column]:
+        out = {}
+        for col, days, least, name in specs:
+            frame = Window.partitionBy(*_cols(key)).orderBy("_day").rangeBetween(-(days - 1), 0)
+            out[name] = F.when(F.count(col).over(frame) >= least, F.avg(col).over(frame))
+        return out
+
+    # With one row a day, the days a frame reaches back hold no more rows than days.
+    return _rolled(df.withColumn("_day", position(order)), key, order, max(days for _, days, _, _ in specs) - 1, block_rows, made).drop("_day")
 
 
-def missing_streak(df: DataFrame, key, order: str, col: str, flag: str, out: str) -> DataFrame:
+def missing_streak(df: DataFrame, key, order: str, col: str, flag: str, out: str, *, block_rows: int | None = None) -> DataFrame:
     """``flag``: 1 where missing; ``out``: length of the current run of missing rows, else 0."""
+    if block_rows is not None:
+        marked = neighbours(df.withColumn(flag, F.col(col).isNull().cast("int")), key, order, col, F.lit(0), block_rows)
+        return marked.withColumn(out, (F.col("_n") - F.coalesce(F.col("_p")["n"], F.lit(0))).cast("int")).drop("_n", "_a", "_p", "_f")
     df = df.withColumns({flag: F.col(col).isNull().cast("int"), "_n": F.row_number().over(_forward(key, order))})
     last_known = F.max(F.when(F.col(flag) == 0, F.col("_n"))).over(_seen(key, order))
     return df.withColumn(out, (F.col("_n") - F.coalesce(last_known, F.lit(0))).cast("int")).drop("_n")
 
 
-def vegetation_features(df: DataFrame, key=("latitude", "longitude"), order: str = "date", col: str = "ndvi", limit: int = 2) -> DataFrame:
+def vegetation_features(df: DataFrame, key=("latitude", "longitude"), order: str = "date", col: str = "ndvi", limit: int = 2, *, block_rows: int | None = None) -> DataFrame:
     """Small-gap fill, missingness and 7/21-day means of a vegetation series."""
-    df = fill_time(df, key, order, col, f"{col}_interp", limit)
-    df = missing_streak(df, key, order, col, f"{col}_missing_flag", f"{col}_missing_streak")
-    df = rolling_days(df, key, order, [(f"{col}_interp", 7, 3, f"{col}_7d_mean"), (f"{col}_interp", 21, 7, f"{col}_21d_mean")])
+    df = fill_time(df, key, order, col, f"{col}_interp", limit, block_rows=block_rows)
+    df = missing_streak(df, key, order, col, f"{col}_missing_flag", f"{col}_missing_streak", block_rows=block_rows)
+    df = rolling_days(df, key, order, [(f"{col}_interp", 7, 3, f"{col}_7d_mean"), (f"{col}_interp", 21, 7, f"{col}_21d_mean")], block_rows=block_rows)
     return df.withColumn(f"{col}_drop", F.col(f"{col}_7d_mean") - F.col(f"{col}_21d_mean"))
 
 
@@ -164,9 +248,9 @@ def fill_cube(df: DataFrame, col: str, out: str, *, lat: str = "latitude", lon:
     return across.withColumn(out, F.when(F.col("_ever"), F.col("_w"))).drop("_t", "_u", "_w", "_ever")
 
 
-def fill_nearest_along(df: DataFrame, key, axis: str, col: str, out: str) -> DataFrame:
+def fill_nearest_along(df: DataFrame, key, axis: str, col: str, out: str, *, block_rows: int | None = None) -> DataFrame:
     """Nearest known value along ``axis`` between two known ones; ties to the lower coordinate."""
-    marked = neighbours(df, key, axis, col, F.col(axis).cast("double"))
+    marked = neighbours(df, key, axis, col, F.col(axis).cast("double"), block_rows)
     p, f = F.col("_p"), F.col("_f")
     nearest = F.when(F.col("_a") - p["a"] <= f["a"] - F.col("_a"), p["v"]).otherwise(f["v"])
     inside = F.when(p.isNotNull() & f.isNotNull(), nearest)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import bound, day_of_year_to_date, strip_units
 from terrapanel.operators.cleaning import null_nan, require_columns, resolve_columns
 from terrapanel.schemas import WEATHER_FILE
+from terrapanel.session import cut_lineage, fits_broadcast, measured
 
 # Code points that count as white space.
 _BLANK_POINTS = [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -105,3 +106,39 @@ def scan_factors(spark: SparkSession, path: str) -> DataFrame:
 
 def parquet_to_csv(spark: SparkSession, source: str, target: str) -> None:
     spark.read.parquet(source).write.mode("overwrite").option("header", True).csv(target)
+
+
+def with_position(read: DataFrame, out: str = "position") -> DataFrame:
+    """Adds each row's number in file order, from 0: files by name, rows as they stand.
+
+    ``read`` comes straight from a file reader.  A row's place in its block is known
+    where it is read; what lies before a block follows from a table with one row a
+    block.  The rows are materialised once, with the blocks they were read in, so that
+    numbers hold whatever the split size and whatever is read again.
+    """
+    block = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    located = cut_lineage(read.select("*", *[c.alias(n) for n, c in block.items()], F.monotonically_increasing_id().alias("_at")))
+    blocks = cut_lineage(located.groupBy(*block).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows")))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("_file").agg(F.sum("_rows").alias("_held"))  # one row a file
+    whole = files.select("_file", F.coalesce(F.sum("_held").over(Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_files"))
+    starts = blocks.join(whole, "_file").select(*block, (F.col("_files") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    starts = cut_lineage(starts)
+    rows, size = measured(starts)
+    joined = located.join(F.broadcast(starts) if fits_broadcast(1, size) else starts, [*block])
+    return joined.withColumn(out, F.col("_at") + F.col("_shift")).drop(*block, "_at", "_shift")
+
+
+def align_by_position(left: DataFrame, right: DataFrame, out: str = "position") -> DataFrame:
+    """Rows of two file readers side by side, first with first; files without a key, such as features and their labels.
+
+    An error if one holds more rows than the other, or if they share a column.
+    """
+    shared = set(left.columns) & set(right.columns)
+    if shared:
+        raise ValueError(f"columns on both sides: {sorted(shared)}")
+    first, second = (cut_lineage(with_position(side, out)) for side in (left, right))
+    sizes = first.count(), second.count()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"{sizes[0]} rows on one side, {sizes[1]} on the other")
+    return first.join(second, out)

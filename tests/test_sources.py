@@ -153,3 +153,54 @@ def test_sinks_round_trip(spark, tmp_path):
     feature = json.loads(spark.read.text(str(tmp_path / "g" / "features")).first().value)
     assert feature["geometry"]["coordinates"][0][1] == [1.0, 0.0]
     assert sinks.write_report(cells, {"none": cells.where("false"), "some": cells}, str(tmp_path / "r")) == ["some"]
+
+
+def test_windows_leave_the_rest_of_a_tile_alone(spark):
+    """Axes that run either way, turn back, miss the window or are empty; pixels outside never become rows."""
+    lat, lon = [40.0 - 0.5 * i for i in range(20)], [-125.0 + 0.25 * i for i in range(30)]
+    raw = list(range(600))
+    box = (-122.6, 34.9, -120.4, 37.1)
+    axes = {"down": (lat, lon), "up": (lat[::-1], lon), "west": (lat, lon[::-1]), "miss": ([l + 30 for l in lat], lon), "turns": (lat, lon[:15] + lon[:15])}
+    rows = [(f"{n}_20230705_", {"scale_factor": "2", "valid_range": "[0, 500]", "valid_max": "450", "missing_value": "99"}, a, b, raw) for n, (a, b) in axes.items()]
+    rows += [("none_20230705_", {}, [], [], []), ("short_20230705_", {}, [36.0], [-122.0], [7])]
+    df = spark.createDataFrame(rows, "file string, attrs map<string,string>, lat array<double>, lon array<double>, raw array<int>")
+    got = sorted((r.longitude, r.latitude, r.ndvi is None, r.ndvi or 0.0) for r in tiles.tiles_to_rows(df, bbox=box).collect())
+    want = []
+    for _, attrs, a, b, values in rows:
+        for k, v in enumerate(values):
+            x, y = b[k % len(b)], a[k // len(b)]
+            if box[0] <= x <= box[2] and box[1] <= y <= box[3]:
+                bad = bool(attrs) and (v > 450 or v == 99)
+                want.append((x, y, bad, 0.0 if bad else v * (2.0 if attrs else 1.0)))
+    assert got == sorted(want)
+    monotone = df.where("file not like 'turns%'")
+    lines = tiles.window_lines(monotone, box)
+    assert lines.agg(F.sum(F.size("line"))).first()[0] == tiles.tiles_to_rows(monotone, bbox=box).count()
+    assert tiles.tiles_to_rows(df).count() == 3001
+    # Attributes are parsed below the explosion of lines, once a tile.
+    plan = tiles.tiles_to_rows(df, bbox=box)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last_generate = max(n for n, line in enumerate(plan) if "Generate" in line)
+    assert all(n > last_generate for n, line in enumerate(plan) if "valid_range" in line)
+
+
+def test_files_without_a_key_align_by_position(spark, tmp_path):
+    """Whatever the split size, the number of files, and what else stands in them."""
+    n = 3000
+    for name, column, parts in (("x", "cast(id * 2 as double) as a, 'q' as q", 4), ("y", "id % 7 as label", 3)):
+        frame = spark.range(n).repartitionByRange(parts, "id").sortWithinPartitions("id")
+        frame.selectExpr(*column.split(", ")).write.option("header", True).csv(str(tmp_path / name))
+    for size in ("64m", "1k", "333b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            left = spark.read.schema("a double, q string").option("header", True).csv(str(tmp_path / "x"))
+            right = spark.read.schema("label long").option("header", True).csv(str(tmp_path / "y"))
+            rows = tabular.align_by_position(left, right).collect()
+            assert sorted((r.position, r.a, r.q, r.label) for r in rows) == [(i, 2.0 * i, "q", i % 7) for i in range(n)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    with pytest.raises(ValueError, match="rows on one side"):
+        tabular.align_by_position(left, spark.read.schema("label long").option("header", True).csv(str(tmp_path / "y" / "part-00000*")))
+    with pytest.raises(ValueError, match="both sides"):
+        tabular.align_by_position(left, left)

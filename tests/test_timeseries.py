@@ -94,3 +94,45 @@ def test_keep_covered_needs_every_column(spark):
     rows = [("a", 1, 1.0, None), ("a", 2, None, 2.0), ("b", 1, 1.0, None)]
     df = spark.createDataFrame(rows, "k string, d int, x double, y double")
     assert {r.k for r in keep_covered(df, "k", ["x", "y"]).collect()} == {"a"}
+
+
+def long_frames(spark):
+    """One key with a third of all rows, uneven days, NULL keys, values that are missing for longer than a block."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for key, n in (("a", 300), ("b", 290), (None, 150), ("c", 150), ("d", 3), ("e", 1)):
+        days = np.cumsum(rng.integers(1, 4, n))
+        for k, d in enumerate(days):
+            missing = rng.random() < 0.4 or 40 <= k < 75 or (key == "d")
+            rows.append((key, DAY + dt.timedelta(days=int(d)), None if missing else float(rng.normal()), int(rng.random() < 0.3)))
+    return spark.createDataFrame(rows, "k string, date date, v double, hit int")
+
+
+@pytest.mark.parametrize("block_rows", [21, 64, 1000])
+def test_blocks_change_nothing(spark, block_rows):
+    df = long_frames(spark)
+    makers = {
+        "linear": lambda d, **o: ts.fill_linear(d, "k", "date", "v", "o", **o),
+        "time": lambda d, **o: ts.fill_time(d, ["k"], "date", "v", "o", 2, **o),
+        "interior": lambda d, **o: ts.fill_time(d, "k", "date", "v", "o", None, False, **o),
+        "rows": lambda d, **o: ts.rolling_rows(d, "k", "date", [("v", 3, "mean", "o"), ("hit", 7, "sum", "p")], **o),
+        "history": lambda d, **o: ts.event_history(d, "k", "date", "hit", {"o": 7, "p": 14}, **o),
+        "before": lambda d, **o: ts.event_history(d, "k", "date", "hit", {"o": 14}, False, **o),
+        "days": lambda d, **o: ts.rolling_days(d, "k", "date", [("v", 7, 3, "o"), ("v", 21, 2, "p")], **o),
+        "streak": lambda d, **o: ts.missing_streak(d, "k", "date", "v", "o", "p", **o),
+        "nearest": lambda d, **o: ts.fill_nearest_along(d.withColumn("x", F.unix_date("date").cast("double")), "k", "x", "v", "o", **o),
+        "all": lambda d, **o: ts.vegetation_features(d.withColumnRenamed("v", "ndvi"), ["k"], **o),
+    }
+    for name, make in makers.items():
+        whole, cut = (make(df, **o).toPandas().sort_values(["k", "date"], ignore_index=True) for o in ({}, {"block_rows": block_rows}))
+        pd.testing.assert_frame_equal(cut[whole.columns], whole, rtol=1e-9, obj=name)
+
+
+def test_blocks_are_balanced(spark):
+    """A key with a third of all rows is cut into blocks of at most the asked size, also in the numbering."""
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 1000 as string)) as k", "cast(id as double) as x", "if(id % 5 = 0, null, cast(id as double)) as v")
+    rows, keys = ts._blocks(df, "k", "x", 6, 500)
+    assert rows.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 506
+    assert rows.where("not _guest").count() == 30_000
+    with pytest.raises(ValueError):
+        ts.rolling_rows(df, "k", "x", [("v", 600, "mean", "m")], block_rows=500)
