@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -19,9 +17,10 @@ from pyspark.sql import types as T
 
 from terrapanel.operators.distributed import take_by_hash
 from terrapanel.operators.spatial import salted
-from terrapanel.session import cut_lineage
+from terrapanel.session import cut_lineage, fits_broadcast
 
 MEMBER_ROWS = VISITOR_ROWS = 4096  # rows of a ball, and of those that search it, that meet in one task
+FANOUT = 16  # balls that a ball is split into
 
 
 def _uniform(*parts: Column) -> Column:
@@ -38,68 +37,92 @@ def _distances(here: np.ndarray, there: np.ndarray):
         yield lo, np.sqrt((gap * gap).sum(axis=2))
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=float) for v in column.to_pylist()])
+def _gap(here: str, there: str) -> str:
+    """SQL text of the distance of two vectors."""
+    return f"sqrt(aggregate(zip_with({here}, {there}, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))"
 
 
-def _place(batches, pivots: np.ndarray):
-    """Adds each vector's nearest pivot and the distance to it."""
-    for batch in batches:
-        if batch.num_rows:
-            found = [(d.argmin(axis=1), d.min(axis=1)) for _, d in _distances(_vectors(batch.column("vec")), pivots)]
-            home, reach = (np.concatenate([f[c] for f in found]) for c in range(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(reach)], names=[*batch.schema.names, "home", "reach"])
+def _beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Join with a table of balls, which is broadcast if its measured size allows."""
+    size = F.coalesce(F.sum(F.size("vecs") if "vecs" in right.columns else F.size("pivot")), F.lit(0)) * 8 + F.count("*") * 64
+    return left.join(F.broadcast(right) if fits_broadcast(1, right.agg(size.cast("long")).first()[0]) else right, key)
 
 
-def _route(batches, pivots: np.ndarray, radius: np.ndarray, members: np.ndarray, k: int):
-    """Adds the balls that can hold one of a vector's k nearest others.
+def _split(placed: DataFrame, open_balls: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Cut every open ball into up to ``FANOUT`` by pivots drawn from it; (rows with their new ball, the new balls).
+
+    A row goes to its nearest pivot; the pivots of a ball are the least of its rows by
+    hash, one for each of ``FANOUT`` shares of them, so both follow from the rows.
+    """
+    inside = _beside(placed, open_balls.select("ball", F.array().cast("array<double>").alias("pivot")), "ball").drop("pivot")
+    digest = F.xxhash64(F.lit(seed), F.col("ball"), F.col("vec"))
+    drawn = inside.groupBy("ball", F.pmod(digest, F.lit(FANOUT)).alias("no")).agg(F.min(F.struct(digest.alias("h"), F.col("vec").alias("vec")))["vec"].alias("vec"))
+    pivots = cut_lineage(drawn.groupBy("ball").agg(F.array_sort(F.collect_list(F.struct("no", "vec"))).alias("pivots")))
+    pivots = pivots.withColumn("vecs", F.flatten(F.transform("pivots", lambda p: p["vec"])))
+    near = F.expr(f"array_min(transform(pivots, p -> named_struct('reach', {_gap('vec', 'p.vec')}, 'no', p.no, 'vec', p.vec)))")
+    moved = _beside(inside, pivots, "ball").withColumn("near", near)
+    rows = cut_lineage(moved.select("vid", "vec", "copies", (F.col("ball") * FANOUT + 1 + F.col("near.no")).alias("ball"), F.col("ball").alias("parent"), F.col("near.reach").alias("reach"), F.col("near.vec").alias("pivot")))
+    balls = rows.groupBy("parent", "ball", "pivot").agg(F.max("reach").alias("radius"), F.sum("copies").alias("members"), F.count("*").alias("size"))
+    return rows.select("vid", "vec", "copies", "ball"), cut_lineage(balls)
+
+
+def _nearer(reached: DataFrame, k: int) -> DataFrame:
+    """Without the balls that can't hold one of a vector's k nearest others.
 
     The balls nearest by their far side, as many as hold k others, bound the k-th
     distance; balls whose near side lies beyond are left out.
     """
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        open_balls = []
-        for _, d in _distances(_vectors(batch.column("vec")), pivots):
-            far = d + radius
-            order = np.argsort(far, axis=1, kind="stable")
-            held = np.cumsum(members[order], axis=1) - 1
-            last = np.minimum((held < k).sum(axis=1), len(pivots) - 1)
-            bound = np.where(held[:, -1] >= k, np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)[:, 0], np.inf)
-            open_balls += [np.flatnonzero(row).astype(np.int32) for row in d - radius <= (bound * (1 + 1e-12))[:, None]]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(open_balls, type=pa.list_(pa.int32()))], names=[*batch.schema.names, "balls"])
+    held = F.sum("members").over(Window.partitionBy("vid").orderBy("far", "ball").rowsBetween(Window.unboundedPreceding, 0))
+    summed = reached.withColumn("held", held)
+    bound = F.min(F.when(F.col("held") > k, F.col("far"))).over(Window.partitionBy("vid"))
+    return summed.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("near") - F.col("far") * 1e-12 <= F.col("bound"))).drop("held", "bound")
 
 
 def feature_neighbours(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(vec, near): the k nearest other rows of every distinct vector, nearest first, ties by the vector.
 
     ``points`` holds one ``vec array<double>`` per row.  Equal vectors travel once with
-    their count.  As many pivots as the square root of the vectors, drawn from them and
-    hence as dense as they are, divide them into balls; a vector searches the balls that
-    can still hold one of its k nearest (triangle inequality), so the result is exact.
-    Members and visitors of a ball meet piece by piece, whatever its size.
+    their count.  Balls are split level by level, ``FANOUT`` at a time, until they hold
+    ``MEMBER_ROWS`` vectors at most; a vector goes down the levels to the balls that can
+    still hold one of its k nearest (triangle inequality), so the result is exact.
+    Balls are tables and levels are joins, so what reaches the driver doesn't grow.
+    Members and visitors of a ball meet piece by piece, however many come.
     """
     distinct = points.groupBy("vec").agg(F.count("*").alias("copies"))
     distinct = cut_lineage(distinct.withColumn("vid", F.monotonically_increasing_id()))
-    n = distinct.count()
-    wanted = max(1, math.isqrt(n))
-    # The square root of the vectors: the least by hash.
-    drawn = distinct.orderBy(F.md5(F.concat(F.col("vec").cast("string"), F.lit(f"|{seed}")))).limit(wanted).select("vec").collect()
-    context = points.sparkSession.sparkContext
-    pivots = context.broadcast(np.array([list(r.vec) for r in drawn], dtype=float).reshape(len(drawn), -1))
-    schema = "vec array<double>, copies bigint, vid bigint, home int, reach double"
-    placed = cut_lineage(distinct.mapInArrow(lambda it: _place(it, pivots.value), schema))
-    balls = {r.home: (r.radius, r.members, r.size) for r in placed.groupBy("home").agg(F.max("reach").alias("radius"), F.sum("copies").alias("members"), F.count("*").alias("size")).collect()}  # one row per pivot
-    shape = context.broadcast(np.array([balls.get(p, (-np.inf, 0, 0)) for p in range(len(drawn))], dtype=float).reshape(len(drawn), 3))
-    routed = placed.mapInArrow(lambda it: _route(it, pivots.value, shape.value[:, 0], shape.value[:, 1], k), f"{schema}, balls array<int>")
-    visits = cut_lineage(routed.select("vid", "vec", F.explode("balls").alias("p")))
+    rows = distinct.select("vid", "vec", "copies", F.lit(0).cast("long").alias("ball"))
+    balls = rows.groupBy("ball").agg(F.count("*").alias("size"))
+    done, levels = [], []
+    while True:
+        open_balls = cut_lineage(balls.where(F.col("size") > MEMBER_ROWS).select("ball"))
+        if open_balls.isEmpty():
+            done.append(rows)
+            break
+        done.append(rows.join(open_balls, "ball", "left_anti"))
+        rows, balls = _split(rows, open_balls, seed + len(levels))
+        levels.append((open_balls, balls))
+    placed = done[0].select("vid", "vec", "copies", "ball")
+    for more in done[1:]:
+        placed = placed.unionByName(more.select("vid", "vec", "copies", "ball"))
+    placed = cut_lineage(placed)
+
+    # Every vector starts at the root; of the balls it has reached, open ones give way to their parts.
+    start = {"ball": F.lit(0).cast("long"), "near": F.lit(0.0), "far": F.lit(float("inf")), "members": F.lit(0).cast("long")}
+    reached = distinct.select("vid", "vec", *[c.alias(n) for n, c in start.items()])
+    for open_balls, parts in levels:
+        closed = reached.join(open_balls, "ball", "left_anti")
+        below = _beside(reached.join(open_balls, "ball").select("vid", "vec", F.col("ball").alias("parent")), parts.drop("size"), "parent")
+        below = below.withColumn("d", F.expr(_gap("vec", "pivot")))
+        below = below.select("vid", "vec", "ball", (F.col("d") - F.col("radius")).alias("near"), (F.col("d") + F.col("radius")).alias("far"), "members")
+        reached = cut_lineage(_nearer(closed.select(*below.columns).unionByName(below), k))
+    visits = cut_lineage(reached.select("vid", "vec", F.col("ball").alias("p")))
     # A ball and its visitors are cut into pieces of bounded size; every piece meets every piece.
     sizes = visits.groupBy("p").agg(F.ceil(F.count("*") / VISITOR_ROWS).cast("int").alias("v"))
-    pieces = cut_lineage(sizes.join(placed.groupBy(F.col("home").alias("p")).agg(F.ceil(F.count("*") / MEMBER_ROWS).cast("int").alias("m")), "p"))
-    pieces = F.broadcast(pieces)  # one row per pivot
+    pieces = cut_lineage(sizes.join(placed.groupBy(F.col("ball").alias("p")).agg(F.ceil(F.count("*") / MEMBER_ROWS).cast("int").alias("m")), "p"))
+    pieces = F.broadcast(pieces) if fits_broadcast(pieces.count(), 32) else pieces  # one row per ball
     left = visits.join(pieces, "p").withColumns({"i": F.pmod(F.xxhash64("vid"), F.col("v")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("m") - 1))})
-    right = placed.select(F.col("home").alias("p"), "vid", "vec", "copies").join(pieces, "p")
+    # Both sides come from one table; under names of its own the right one is told apart.
+    right = placed.select(F.col("ball").alias("p"), *[F.col(c).alias(c) for c in ("vid", "vec", "copies")]).join(pieces, "p")
     right = right.withColumns({"j": F.pmod(F.xxhash64("vid"), F.col("m")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("v") - 1))})
 
     def search(rows: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
@@ -183,6 +206,28 @@ def fit(df: DataFrame, features: Sequence[str], label: str, name: str, weight: s
     return Pipeline(stages=[assembler, learner(name, len(features), label, weight, **options)]).fit(df)
 
 
+@dataclass
+class ValidatedModel:
+    """Boosted trees up to the one at which the loss on validation rows is least."""
+
+    model: PipelineModel
+    trees: int
+    losses: list[float]  # on the validation rows, after each tree that was tried
+
+
+def fit_validated(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, weight: str | None = None, **options) -> ValidatedModel:
+    """Boost all trees, weigh every number of first trees on ``val``, keep the best (the fewest of equals).
+
+    The kept trees are fitted again alone: with the same seed they are the same ones.
+    One number per tree reaches the driver.
+    """
+    whole = fit(train, features, label, "gbt", weight, **options)
+    losses = [float(v) for v in whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(val))]
+    trees = losses.index(min(losses)) + 1
+    kept = whole if trees == len(losses) else fit(train, features, label, "gbt", weight, **{**options, "maxIter": trees})
+    return ValidatedModel(kept, trees, losses)
+
+
 def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     """Adds the probability of class 1, or the decision value of a margin classifier."""
     scored = model.transform(df)
@@ -248,12 +293,13 @@ METADATA_SCHEMA = T.StructType(
         T.StructField("val_fire_cases", T.LongType()),
         T.StructField("features", T.ArrayType(T.StringType())),
         T.StructField("scale_pos_weight", T.DoubleType()),
+        T.StructField("trees", T.LongType()),
     ]
 )
 
 
-def model_record(train: DataFrame, val_scored: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """One row describing a trained model on its validation scores."""
+def model_record(train: DataFrame, val_scored: DataFrame, features: Sequence[str], label: str, trees: int | None = None) -> DataFrame:
+    """One row describing a trained model on its validation scores; ``trees`` are those kept by validation."""
     from terrapanel.operators.metrics import auc_ap, best_threshold, score_curve
     from terrapanel.operators.sampling import class_balance
 
@@ -262,6 +308,6 @@ def model_record(train: DataFrame, val_scored: DataFrame, features: Sequence[str
     val = val_scored.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")).first()
     row = (
         quality.roc_auc, quality.avg_precision, best.threshold, balance.n_pos + balance.n_neg, val.n,
-        balance.n_pos, val.p, list(features), float(balance.scale_pos_weight),
+        balance.n_pos, val.p, list(features), float(balance.scale_pos_weight), trees,
     )
     return train.sparkSession.createDataFrame([row], METADATA_SCHEMA)

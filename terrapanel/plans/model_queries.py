@@ -122,6 +122,36 @@ def mi_select(spark, sf_dir):
     return sampling.select_k_best(sampling.mutual_information(items, _MI_COLS, "label", 10), 3)
 
 
+def _mi_near_sql(c: str) -> str:
+    """Gaps to the third nearest row of the class, from the values around; counts between both ends by running sums."""
+    around = ", ".join(f"{way}(struct_pack(v := v, n := n), {s}) over w" for way in ("lag", "lead") for s in (1, 2, 3))
+    return f"""select '{c}' as feature, greatest(0, any_value(dn.g) + sum(q.n * (dk.g - ds.g - dm.g)) / sum(q.n)) as mi from (
+      select a.y, a.v, a.n, a.size, a.k, a.d, case when a.d = 0 then (select t.n from tot_{c} t where t.v = a.v) else hi.upto - coalesce(lo.upto, 0) end as m
+      from (select *, list_sort(flatten(list_transform(list_filter(near, lambda x: x is not null), lambda x: list_transform(range(least(x.n, 3)), lambda z: abs(x.v - v)))) || list_transform(range(least(n - 1, 3)), lambda z: 0e0))[k] as d
+        from (select y, v, n, size, cast(least(3, size - 1) as bigint) as k, [{around}] as near from val_{c} window w as (partition by y order by v))) a
+      asof left join cum_{c} hi on a.v + a.d > hi.v asof left join cum_{c} lo on a.v - a.d >= lo.v) q
+      join harm dk on dk.n = q.k join harm ds on ds.n = q.size join harm dm on dm.n = q.m join harm dn on dn.n = (select sum(n) from val_{c})"""
+
+
+def _mi_near_tables(c: str) -> str:
+    return f"""val_{c} as (select *, sum(n) over (partition by y) as size from (select label as y, cast({c} as double) as v, count(*) as n from li group by 1, 2)),
+      tot_{c} as (select v, sum(n) as n from val_{c} group by 1), cum_{c} as (select v, sum(n) over (order by v) as upto from tot_{c})"""
+
+
+@register(
+    "mi_knn",
+    "rank:l feature:s mi:f6",
+    "with li as (select cast(l_returnflag = 'R' as integer) as label, * from lineitem), "
+    + "harm as (select n, coalesce(sum(1e0 / (n - 1)) over (order by n rows between unbounded preceding and current row), 0) - 0.57721566490153286e0 as g from (select unnest(generate_series(1, (select count(*) from lineitem))) as n) where n > 1 union all select 1, -0.57721566490153286e0), "
+    + ", ".join(_mi_near_tables(c) for c in _MI_COLS) + " select row_number() over (order by mi desc, feature) as rank, * from (" + " union all ".join(_mi_near_sql(c) for c in _MI_COLS) + ")",
+)
+def mi_knn(spark, sf_dir):
+    """Features by mutual information from nearest neighbours, best first."""
+    items = table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    scores = sampling.mutual_information_neighbours(items, _MI_COLS, "label", 3)
+    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mi").desc(), "feature")))  # one row per feature
+
+
 # Evaluation.
 
 _CURVE = f"""{roles.SCORED}, g as (select score, count(*) as n, sum(label) as p from scored group by 1),
@@ -321,6 +351,121 @@ def select_refit(spark, sf_dir):
     return scored.agg(F.count("*").alias("scored_rows")).withColumns(counts)
 
 
+# Learners small enough that SQL can fit them too: every split is searched, every leaf and loss worked out.
+
+_SMALL = ["l_linenumber", "l_discount", "l_tax"]
+_SMALL_ROWS = """small as (select l_linenumber as x1, l_discount as x2, l_tax as x3, l_returnflag = 'R' as hit, l_orderkey % 3 <> 0 as tr, count(*) as w from lineitem group by all)"""
+_BOOSTED, _STEP = 5, 0.5
+
+
+def _small_frame(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    return [cut_lineage(items.where(part).select("label", *_SMALL)) for part in ("l_orderkey % 3 <> 0", "l_orderkey % 3 = 0")]
+
+
+def _long_sql(source: str, *columns: str) -> str:
+    """(f, x, columns): the training rows of ``source``, once for each feature."""
+    return " union all ".join(f"select {f} as f, x{f} as x, {', '.join(columns)} from {source} where tr" for f in (1, 2, 3))
+
+
+def _boost_sql() -> str:
+    """One stump a round, fitted to what the rounds before leave: t0 to t<n> hold the sums of trees, l1 to l<n> the losses."""
+    ctes = [_SMALL_ROWS, "t0 as (select *, case when hit then 1 else -1 end as y, 0e0 as total from small)"]
+    for m in range(_BOOSTED):
+        rest, rate = ("cast(y as double)", "1e0") if m == 0 else ("4e0 * y / (1 + exp(2 * y * total))", f"{_STEP}e0")
+        ctes.append(f"r{m} as (select *, {rest} as r from t{m})")
+        ctes.append(f"c{m} as (select f, x, sum(w) as n, sum(w * r) as s from ({_long_sql(f'r{m}', 'w', 'r')}) group by 1, 2)")
+        ctes.append(f"p{m} as (select f, x, sum(n) over u as n, sum(s) over u as s, sum(n) over (partition by f) as nt, sum(s) over (partition by f) as st, row_number() over (partition by f order by x desc) as back from c{m} window u as (partition by f order by x))")
+        ctes.append(f"b{m} as (select f, x as edge, s / n as low, (st - s) / (nt - n) as high from p{m} where back > 1 order by s * s / n + (st - s) * (st - s) / (nt - n) desc, f, x limit 1)")
+        ctes.append(f"t{m + 1} as (select x1, x2, x3, hit, tr, w, y, total + {rate} * case when case f when 1 then x1 when 2 then x2 else x3 end <= edge then low else high end as total from r{m} cross join b{m})")
+    ctes.append("losses as (" + " union all ".join(f"select {m} as trees, sum(w * 2 * ln(1 + exp(-2 * y * total))) / sum(w) as loss from t{m} where not tr" for m in range(1, _BOOSTED + 1)) + ")")
+    ctes.append("best as (select trees from losses order by loss, trees limit 1)")
+    return "with " + ", ".join(ctes)
+
+
+@register("gbt_validated", "trees:l loss:f9 kept:b num_val_rows:l", f"{_boost_sql()} select trees, loss, trees = (select trees from best) as kept, (select sum(w) from small where not tr) as num_val_rows from losses")
+def gbt_validated(spark, sf_dir):
+    """Boosted stumps: the loss on validation rows after each tree, and the number of trees that the record keeps."""
+    train, val = _small_frame(spark, sf_dir)
+    found = learning.fit_validated(train, val, _SMALL, "label", maxDepth=1, maxIter=_BOOSTED, stepSize=_STEP, subsamplingRate=1.0)
+    record = learning.model_record(train, cut_lineage(learning.score(found.model, val).select("label", "score")), _SMALL, "label", found.trees)
+    losses = spark.createDataFrame(list(enumerate(found.losses, 1)), "trees long, loss double")
+    return losses.crossJoin(F.broadcast(record.select(F.col("trees").alias("best"), "num_val_rows"))).withColumn("kept", F.col("trees") == F.col("best"))  # one row of record
+
+
+@register(
+    "gbt_scores",
+    "l_linenumber:l l_discount:f2 l_tax:f2 rows:l score:f9",
+    f"""{_boost_sql()}, every as ({' union all '.join(f"select {m} as trees, x1, x2, x3, w, total from t{m} where not tr" for m in range(1, _BOOSTED + 1))})
+    select x1 as l_linenumber, x2 as l_discount, x3 as l_tax, sum(w) as rows, any_value(1 / (1 + exp(-2 * total))) as score from every where trees = (select trees from best) group by 1, 2, 3""",
+)
+def gbt_scores(spark, sf_dir):
+    """What the kept trees give to the validation rows."""
+    train, val = _small_frame(spark, sf_dir)
+    found = learning.fit_validated(train, val, _SMALL, "label", maxDepth=1, maxIter=_BOOSTED, stepSize=_STEP, subsamplingRate=1.0)
+    return learning.score(found.model, val).groupBy(*_SMALL).agg(F.count("*").alias("rows"), F.max("score").alias("score"))
+
+
+def _gini(n: str, p: str) -> str:
+    return f"(1 - pow({p} / {n}, 2) - pow(({n} - {p}) / {n}, 2))"
+
+
+_TREE_LABEL = "l_linenumber * 2 + l_discount * 100 + case when l_returnflag = 'R' then 3 else 0 end >= 12"
+
+
+def _tree_sql() -> str:
+    """A tree of two levels by Gini: s0 and s1 are the best splits of the nodes, k0 and k1 those that tell classes apart, ``placed`` the rows' last nodes."""
+    ctes = [_SMALL_ROWS.replace("l_returnflag = 'R' as hit", f"{_TREE_LABEL} as hit"), "n0 as (select *, 0 as node, 0 as up from small)"]
+    for level in (0, 1):
+        ctes.append(f"c{level} as (select node, f, x, cast(sum(w) as double) as n, cast(sum(case when hit then w else 0 end) as double) as p from ({_long_sql(f'n{level}', 'node', 'w', 'hit')}) group by 1, 2, 3)")
+        ctes.append(f"p{level} as (select node, f, x, sum(n) over u as n, sum(p) over u as p, sum(n) over (partition by node, f) as nt, sum(p) over (partition by node, f) as pt, row_number() over (partition by node, f order by x desc) as back from c{level} window u as (partition by node, f order by x))")
+        gain = f"{_gini('nt', 'pt')} - n / nt * {_gini('n', 'p')} - (nt - n) / nt * {_gini('(nt - n)', '(pt - p)')}"
+        ctes.append(f"s{level} as (select * from (select node, f, x as edge, nt * ({gain}) as worth, row_number() over (partition by node order by {gain} desc, f, x) as rk from p{level} where back > 1) where rk = 1 and worth > 1e-9)")
+        ctes.append(f"n{level + 1} as (select x1, x2, x3, hit, tr, w, case when s.node is null then t.node else 2 * t.node + case when case f when 1 then x1 when 2 then x2 else x3 end <= edge then 1 else 2 end end as node, t.node as up from n{level} t left join s{level} s on s.node = t.node)")
+    # Two leaves of one class are one leaf.
+    ctes += [f"f{level} as (select node, 2 * sum(case when hit then w else 0 end) > sum(w) as yes from n{level} where tr group by 1)" for level in (1, 2)]
+    ctes.append("k1 as (select s.* from s1 s join f2 a on a.node = 2 * s.node + 1 join f2 b on b.node = 2 * s.node + 2 where a.yes <> b.yes)")
+    ctes.append("k0 as (select * from s0 where exists (select 1 from k1) or (select count(distinct yes) from f1) > 1)")
+    ctes.append("placed as (select x1, x2, x3, hit, tr, w, case when not exists (select 1 from k0) then 0 when up in (select node from k1) then node else up end as node from n2)")
+    ctes.append("leaves as (select node, sum(case when hit then w else 0 end) / cast(sum(w) as double) as score from placed where tr group by 1)")
+    return "with " + ", ".join(ctes)
+
+
+def _tree_frame(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumn("label", F.expr(_TREE_LABEL).cast("int"))
+    return [cut_lineage(items.where(part).select("label", *_SMALL)) for part in ("l_orderkey % 3 <> 0", "l_orderkey % 3 = 0")]
+
+
+def _small_tree(train):
+    return learning.fit(train, _SMALL, "label", "random_forest", numTrees=1, maxDepth=2, minInstancesPerNode=1, bootstrap=False, featureSubsetStrategy="all", subsamplingRate=1.0)
+
+
+@register(
+    "tree_importance",
+    "rank:l feature:s importance:f9 chosen:b",
+    f"""{_tree_sql()}, worth as (select f, sum(worth) as v from (select f, worth from k0 union all select f, worth from k1) group by 1),
+    every as (select name as feature, coalesce(v, 0) / (select sum(v) from worth) as importance from (values {', '.join(f"({f}, '{c}')" for f, c in enumerate(_SMALL, 1))}) t(f, name) left join worth using (f))
+    select row_number() over (order by importance desc, feature) as rank, feature, importance, row_number() over (order by importance desc, feature) <= 2 as chosen from every""",
+)
+def tree_importance(spark, sf_dir):
+    """Importance and rank of each feature in a tree of two levels, and the two features chosen to refit on."""
+    train, _ = _tree_frame(spark, sf_dir)
+    options = {"numTrees": 1, "maxDepth": 2, "minInstancesPerNode": 1, "bootstrap": False, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
+    chosen = learning.select_by_importance(train, _SMALL, "label", 2, "random_forest", **options)
+    return learning.feature_importance(_small_tree(train), _SMALL, spark).withColumn("chosen", F.col("feature").isin(chosen))
+
+
+@register(
+    "tree_scores",
+    "l_linenumber:l l_discount:f2 l_tax:f2 rows:l score:f9",
+    f"{_tree_sql()} select x1 as l_linenumber, x2 as l_discount, x3 as l_tax, sum(w) as rows, any_value(score) as score from placed join leaves using (node) where not tr group by 1, 2, 3",
+)
+def tree_scores(spark, sf_dir):
+    """The share of positives in the leaf that each validation row falls into."""
+    train, val = _tree_frame(spark, sf_dir)
+    return learning.score(_small_tree(train), val).groupBy(*_SMALL).agg(F.count("*").alias("rows"), F.max("score").alias("score"))
+
+
 _STEPS_SVM = [round(-2.0 + 0.1 * i, 1) for i in range(41)]
 
 

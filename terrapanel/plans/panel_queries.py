@@ -245,6 +245,25 @@ def gap_fill_linear(spark, sf_dir):
     return fill_linear(roles.series(spark, sf_dir), "grid_id", "date", "ndvi")
 
 
+_LONG = """with e as (select event_type, event_id, case when event_id % 7 <> 0 then value end as v, cast(value > 50 as integer) as hit, row_number() over (partition by event_type order by event_id) as n from events),
+m as (select *, last_value(v ignore nulls) over b as pv, last_value(case when v is not null then n end ignore nulls) over b as pn, first_value(v ignore nulls) over f as nv, first_value(case when v is not null then n end ignore nulls) over f as nn
+  from e window b as (partition by event_type order by event_id rows between unbounded preceding and current row), f as (partition by event_type order by event_id rows between current row and unbounded following))
+select event_type, event_id, coalesce(v, pv + (nv - pv) * ((n - pn) / cast(nn - pn as double)), pv, nv) as filled, case when count(v) over w7 = 7 then avg(v) over w7 end as mean7,
+  case when count(*) over w14 = 14 then sum(hit) over w14 else 0 end as last14, case when v is null then n - coalesce(pn, 0) else 0 end as streak
+from m window w7 as (partition by event_type order by event_id rows between 6 preceding and current row), w14 as (partition by event_type order by event_id rows between 13 preceding and current row)"""
+
+
+@register("long_series", "event_type:s event_id:l filled:f6 mean7:f6 last14:l streak:l", _LONG)
+def long_series(spark, sf_dir):
+    """Series that are longer than a task should hold, a thousand rows at a time."""
+    held = {"block_rows": 1000}
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value"))
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", value.alias("v"), (F.col("value") > 50).cast("int").alias("hit"))
+    filled = fill_linear(events, "event_type", "event_id", "v", "filled", **held)
+    rolled = rolling_rows(filled, "event_type", "event_id", [("v", 7, "mean", "mean7")], **held)
+    return missing_streak(event_history(rolled, "event_type", "event_id", "hit", {"last14": 14}, **held), "event_type", "event_id", "v", "flag", "streak", **held)
+
+
 _BACK = "over (partition by grid_id order by date rows between unbounded preceding and current row)"
 _AHEAD = "over (partition by grid_id order by date rows between current row and unbounded following)"
 _TIMED = f"""timed_n as (select *, row_number() over (partition by grid_id order by date) as n from {{source}}),

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import clip
 from terrapanel.functions.geo import albers_forward, albers_inverse
-from terrapanel.operators.grid import assign_to_cells, cell_grid as clipped_lookup, cell_of, centroid_grid, clipped_cells, extent, number_cells, raster_frame
-from terrapanel.operators.landcover import landcover_fraction
+from terrapanel.operators.grid import assign_to_cells, cell_grid as clipped_lookup, cell_of, cell_polygons, centroid_grid, clipped_cells, extent, grid_geometry, number_cells, raster_frame
+from terrapanel.operators.landcover import landcover_area_fraction, landcover_fraction, spread_over_cells, square_footprint
 from terrapanel.operators.neighbors import neighbor_sum, radius_mean
 from terrapanel.operators.panel import build_panel, cell_day_mean, densify, merge_factors
 from terrapanel.operators.polygons import RINGS_SCHEMA, within_polygon
+from terrapanel.operators.radius import radius_links, radius_mean_by_tiles
 from terrapanel.operators.spatial import assign_nearest, index_cells, knn_edges, radius_edges
 from terrapanel.operators.terrain import terrain
 from terrapanel.operators.timeseries import densify_cube, event_history, fill_cube, fill_time
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
 from terrapanel.plans.roles import place, place_sql, table
+from terrapanel.session import cut_lineage, ensure_checkpoint_dir
+from terrapanel.sources.sinks import write_grid
 from terrapanel.sources.tiles import clip_pixels, mask_fill, tiles_to_rows
-from terrapanel.session import cut_lineage
 
 
 @register(
@@ -193,6 +197,142 @@ def oblique_clip_area(spark, sf_dir):
     return clipped_cells(spark.createDataFrame([(0, False, [(x0, y0), (x1, y0), (x0, y1), (x0, y0)])], RINGS_SCHEMA), 5000.0)
 
 
+# Holes as (left, foot, width, height): shares of the box, and metres on top.
+_SLITS = [((0.31, 0.17, 0.41, 0.47), (0, 0)), ((0.12, 0.81, 0, 0), (1500, 1200)), ((0.5, 0.7, 0, 0.23), (1200, 0)), ((0.05, 0.4, 0.2, 0), (0, 900))]
+
+
+def _slit_boundary(spark, sf_dir):
+    """The box with a wide hole, a small one, and an upright and a level slit that cut cells in two."""
+    x0, y0, x1, y1 = _cells_box(spark, sf_dir)
+    w, h = x1 - x0, y1 - y0
+    rings = [(0, False, _box(x0, y0, x1, y1))]
+    for number, ((a, b, c, d), (p, q)) in enumerate(_SLITS, 1):
+        left, foot = x0 + a * w, y0 + b * h
+        rings.append((number, True, _box(left, foot, left + (c * w + p), foot + (d * h + q))))
+    return spark.createDataFrame(rings, RINGS_SCHEMA)
+
+
+def _box(a, b, c, d):
+    return [(a, b), (c, b), (c, d), (a, d), (a, b)]
+
+
+_SQUARES = f"""with {roles.CELLS}, {roles.cone_sql('EPSG:3310')}, xy as ({roles.forward_sql('cells')}),
+box as (select *, x1 - x0 as w, y1 - y0 as h from (select min(x) - 7000 as x0, min(y) - 7000 as y0, max(x) + 7000 as x1, max(y) + 7000 as y1 from xy)),
+sq as (select i, j, x0 + i * 5000 as ax, least(x0 + (i + 1) * 5000, x1) as bx, y0 + j * 5000 as ay, least(y0 + (j + 1) * 5000, y1) as b_y from box
+  cross join (select unnest(generate_series(0, cast(ceil(w / 5000) as bigint) - 1)) as i from box) cross join (select unnest(generate_series(0, cast(ceil(h / 5000) as bigint) - 1)) as j from box))"""
+_HOLES = "holes as (" + " union all ".join(
+    f"select x0 + {a}e0 * w as lx, y0 + {b}e0 * h as ly, x0 + {a}e0 * w + ({c}e0 * w + {p}) as ux, y0 + {b}e0 * h + ({d}e0 * h + {q}) as uy from box" for (a, b, c, d), (p, q) in _SLITS
+) + ")"
+# What each hole takes from a square; and the corners of the rest: points with one or three of the four grounds around them, or two that face each other.
+_CORNERS = f"""{_SQUARES}, {_HOLES},
+gone as (select * from (select i, j, ax, bx, ay, b_y, greatest(ax, lx) as gx, least(bx, ux) as hx, greatest(ay, ly) as gy, least(b_y, uy) as hy from sq cross join holes) where gx < hx and gy < hy),
+spots as (select distinct s.i, s.j, s.ax, s.bx, s.ay, s.b_y, x, y from sq s join (select i, j, ax as x from sq union select i, j, bx from sq union select i, j, gx from gone union select i, j, hx from gone) xs on xs.i = s.i and xs.j = s.j
+  join (select i, j, ay as y from sq union select i, j, b_y from sq union select i, j, gy from gone union select i, j, hy from gone) ys on ys.i = s.i and ys.j = s.j),
+grounds as (select i, j, x, y, u, v, x + u * 0.01e0 > ax and x + u * 0.01e0 < bx and y + v * 0.01e0 > ay and y + v * 0.01e0 < b_y
+  and not exists (select 1 from gone g where g.i = p.i and g.j = p.j and x + u * 0.01e0 > gx and x + u * 0.01e0 < hx and y + v * 0.01e0 > gy and y + v * 0.01e0 < hy) as free
+  from spots p cross join (values (-1), (1)) a(u) cross join (values (-1), (1)) b(v)),
+corners as (select i, j, x, y, count(*) filter (free) as n, coalesce(sum(u * v) filter (free), 0) as turn from grounds group by 1, 2, 3, 4)"""
+
+
+@register("cell_outline_corners", "i:l j:l x:f3 y:f3", f"{_CORNERS} select i, j, x, y from corners where n in (1, 3) or (n = 2 and abs(turn) = 2)")
+def cell_outline_corners(spark, sf_dir):
+    """Every corner of what a boundary with holes leaves of its cells."""
+    rings = cell_polygons(_slit_boundary(spark, sf_dir), 5000.0).select("i", "j", F.explode("rings").alias("ring"))
+    return rings.select("i", "j", F.inline(F.slice("ring", 1, F.size("ring") - 1))).distinct()
+
+
+@register(
+    "cell_outlines",
+    "i:l j:l parts:l rings:l corners:l area:f2 length:f2",
+    f"""{_CORNERS}, shape as (select i, j, sum(case when n in (1, 3) then 1 when n = 2 and abs(turn) = 2 then 2 else 0 end) as corners,
+      sum(case when n = 1 then 1 when n = 2 and abs(turn) = 2 then 2 when n = 3 then -1 else 0 end) / 4 as bends from corners group by 1, 2),
+    cut as (select i, j, sum((hx - gx) * (hy - gy)) as gone, count(*) filter (gx > ax and hx < bx and gy > ay and hy < b_y) as inside,
+      sum(2 * (hx - gx) + 2 * (hy - gy) - 2 * (case when gx = ax then hy - gy else 0 end + case when hx = bx then hy - gy else 0 end + case when gy = ay then hx - gx else 0 end + case when hy = b_y then hx - gx else 0 end)) as rim from gone group by 1, 2)
+    select s.i, s.j, bends + coalesce(inside, 0) as parts, bends + 2 * coalesce(inside, 0) as rings, corners, (bx - ax) * (b_y - ay) - coalesce(gone, 0) as area, 2 * (bx - ax) + 2 * (b_y - ay) + coalesce(rim, 0) as length
+    from sq s join shape f on f.i = s.i and f.j = s.j left join cut c on c.i = s.i and c.j = s.j where (bx - ax) * (b_y - ay) - coalesce(gone, 0) > 1e-6""",
+)
+def cell_outlines(spark, sf_dir):
+    """Parts, rings, corners, area and length of the outlines of every clipped cell."""
+    polygons = cell_polygons(_slit_boundary(spark, sf_dir), 5000.0)
+    corners = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r) - 1)
+
+    def step(r, k):
+        a, b = F.element_at(r, k), F.element_at(r, k + 1)
+        return F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2))
+
+    length = F.aggregate("rings", F.lit(0.0), lambda s, r: s + F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda t, k: t + step(r, k)))
+    return polygons.groupBy("i", "j").agg(F.count("*").alias("parts"), F.sum(F.size("rings")).alias("rings"), F.sum(corners).alias("corners"), F.sum("area").alias("area"), F.sum(length).alias("length"))
+
+
+@register(
+    "grid_features",
+    "grid_id:s kind:s parts:l rings:l lon:f6 lat:f6",
+    f"""{_CORNERS}, shape as (select i, j, sum(case when n = 1 then 1 when n = 2 and abs(turn) = 2 then 2 when n = 3 then -1 else 0 end) / 4 as bends from corners group by 1, 2),
+    cut as (select i, j, sum((hx - gx) * (hy - gy)) as gone, sum((hx - gx) * (hy - gy) * (gx + hx) / 2) as mx, sum((hx - gx) * (hy - gy) * (gy + hy) / 2) as my, count(*) filter (gx > ax and hx < bx and gy > ay and hy < b_y) as inside from gone group by 1, 2),
+    rest as (select s.i, s.j, cast(bends + coalesce(inside, 0) as bigint) as parts, cast(bends + 2 * coalesce(inside, 0) as bigint) as rings, (bx - ax) * (b_y - ay) as whole, coalesce(gone, 0) as gone, (ax + bx) / 2 as sx, (ay + b_y) / 2 as sy, coalesce(mx, 0) as mx, coalesce(my, 0) as my
+      from sq s join shape f on f.i = s.i and f.j = s.j left join cut c on c.i = s.i and c.j = s.j),
+    middles as (select 'CA5K_' || lpad(cast(row_number() over (order by i, j) - 1 as varchar), 5, '0') as grid_id, parts, rings, (whole * sx - mx) / (whole - gone) as cx, (whole * sy - my) / (whole - gone) as cy from rest where whole - gone > 1e-6)
+    select grid_id, case when parts = 1 then 'Polygon' else 'MultiPolygon' end as kind, parts, rings, lon_ as lon, lat_ as lat from ({roles.inverse_sql('middles', 'cx', 'cy')})""",
+)
+def grid_features(spark, sf_dir):
+    """The clipped grid written as outlines and lookup, and both read again."""
+    geometry = cut_lineage(grid_geometry(_slit_boundary(spark, sf_dir), 5000.0))
+    folder = f"{ensure_checkpoint_dir(spark)}/grid-{uuid.uuid4().hex}"
+    write_grid(geometry, geometry.select("grid_id", "parts"), folder)
+    shape = "struct<properties: struct<grid_id: string>, geometry: struct<type: string, coordinates: string>>"
+    read = spark.read.text(f"{folder}/features").select(F.from_json("value", shape).alias("f")).select("f.properties.grid_id", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("text"))
+    ring = "array<array<array<double>>>"
+    parts = F.when(F.col("kind") == "Polygon", F.array(F.from_json("text", ring))).otherwise(F.from_json("text", f"array<{ring}>"))
+    counted = read.withColumn("p", parts).select("grid_id", "kind", F.size("p").alias("parts"), F.aggregate("p", F.lit(0), lambda n, x: n + F.size(x)).alias("rings"))
+    return counted.join(spark.read.parquet(f"{folder}/lookup"), "grid_id")
+
+
+# Boxes that overlap, touch and enclose each other, as (hole, left, foot, right, head) in shares of the box; the first hole lies under another box.
+_PATCHES = [
+    (False, 0.0, 0.0, 0.5, 0.6), (False, 0.3, 0.4, 0.8, 0.9), (False, 0.8, 0.4, 1.0, 0.7), (False, 0.1, 0.1, 0.2, 0.2),
+    (True, 0.35, 0.45, 0.45, 0.55), (True, 0.05, 0.3, 0.09, 0.38), (False, 0.8, 0.9, 1.0, 1.0),
+]
+
+
+def _patches(spark, sf_dir):
+    x0, y0, x1, y1 = _cells_box(spark, sf_dir)
+    w, h = x1 - x0, y1 - y0
+    boxes = [(n, hole, _box(x0 + a * w, y0 + b * h, x0 + c * w, y0 + d * h)) for n, (hole, a, b, c, d) in enumerate(_PATCHES)]
+    # Every other ring runs the other way round.
+    return spark.createDataFrame([(n, hole, ring[::-1] if n % 2 else ring) for n, hole, ring in boxes], RINGS_SCHEMA)
+
+
+_COVERS = "covers as (" + " union all ".join(
+    f"select {-1 if hole else 1} as n, x0 + {a}e0 * w as lx, y0 + {b}e0 * h as ly, x0 + {c}e0 * w as ux, y0 + {d}e0 * h as uy from box" for hole, a, b, c, d in _PATCHES
+) + ")"
+
+
+@register(
+    "overlap_points",
+    "id:l",
+    f"{_SQUARES}, {roles.POINTS}, {_COVERS}, pxy as ({roles.forward_sql('points')}) select id from pxy p where (select sum(n) from covers where p.x >= lx and p.x < ux and p.y >= ly and p.y < uy) > 0",
+)
+def overlap_points(spark, sf_dir):
+    """Points inside a boundary whose parts overlap, touch and enclose each other."""
+    return within_polygon(_projected_points(spark, sf_dir), _patches(spark, sf_dir), x="x", y="y").select("id")
+
+
+@register(
+    "overlap_clip_area",
+    "i:l j:l area:f2 cx:f3 cy:f3",
+    f"""{_SQUARES}, {_COVERS},
+    xs as (select i, j, x from (select i, j, ax, bx, unnest(list_concat([ax, bx], (select list(lx) from covers), (select list(ux) from covers))) as x from sq) where x between ax and bx group by 1, 2, 3),
+    ys as (select i, j, y from (select i, j, ay, b_y, unnest(list_concat([ay, b_y], (select list(ly) from covers), (select list(uy) from covers))) as y from sq) where y between ay and b_y group by 1, 2, 3),
+    xr as (select i, j, x as p, lead(x) over (partition by i, j order by x) as q from xs), yr as (select i, j, y as r, lead(y) over (partition by i, j order by y) as s from ys),
+    bits as (select xr.i, xr.j, p, q, r, s from xr join yr on yr.i = xr.i and yr.j = xr.j where q is not null and s is not null),
+    held as (select * from bits where (select sum(n) from covers where (p + q) / 2 > lx and (p + q) / 2 < ux and (r + s) / 2 > ly and (r + s) / 2 < uy) > 0),
+    sums as (select i, j, sum((q - p) * (s - r)) as area, sum((q - p) * (s - r) * (p + q) / 2) as mx, sum((q - p) * (s - r) * (r + s) / 2) as my from held group by 1, 2)
+    select i, j, area, mx / area as cx, my / area as cy from sums where area > 1e-6""",
+)
+def overlap_clip_area(spark, sf_dir):
+    return clipped_cells(_patches(spark, sf_dir), 5000.0)
+
+
 @register(
     "points_in_clipped_grid",
     "id:l i:l j:l grid_id:s",
@@ -320,6 +460,40 @@ def landcover_fraction_query(spark, sf_dir):
     return shares.join(valid.withColumnsRenamed({f"pct_{c}": f"pct_{c}_valid" for c in _CLASSES}), ["i", "j"])
 
 
+# Pixels of 800 m against squares of 10 km: what a square takes of a pixel is the product of two overlaps.
+_FOOTPRINTS = f"""with {roles.cone_sql('EPSG:5070')}, px as (select p_partkey, p_type, {_TERRAIN_PLACE} from part), xy as ({roles.forward_sql('px')}),
+cols as (select *, unnest(generate_series(cast(floor((x - 400) / 10000) as bigint), cast(floor((x + 400) / 10000) as bigint))) as i from xy),
+held as (select *, unnest(generate_series(cast(floor((y - 400) / 10000) as bigint), cast(floor((y + 400) / 10000) as bigint))) as j from cols),
+cut as (select p_partkey, p_type, i, j, (least(x + 400, (i + 1) * 10000e0) - greatest(x - 400, i * 10000e0)) * (least(y + 400, (j + 1) * 10000e0) - greatest(y - 400, j * 10000e0)) as covered from held)"""
+
+
+def _footprints(spark, sf_dir):
+    lon, lat = roles.terrain_place("p_partkey")
+    x, y = albers_forward("lon", "lat", "EPSG:5070")
+    centres = table(spark, sf_dir, "part").select("p_partkey", "p_type", lon.alias("lon"), lat.alias("lat")).select("p_partkey", "p_type", x.alias("x"), y.alias("y"))
+    return spread_over_cells(centres.select("p_partkey", "p_type", square_footprint(F.col("x"), F.col("y"), 800.0).alias("ring")), 10_000.0)
+
+
+@register("pixel_weights", "p_partkey:l i:l j:l covered:f3 share:f6", f"{_FOOTPRINTS} select p_partkey, i, j, covered, covered / 640000e0 as share from cut where covered > 0")
+def pixel_weights(spark, sf_dir):
+    """What every pixel gives to the squares it lies in."""
+    return _footprints(spark, sf_dir)
+
+
+@register(
+    "landcover_area",
+    "i:l j:l " + " ".join(f"pct_{c}:f6 pct_{c}_valid:f6" for c in _CLASSES),
+    f"""{_FOOTPRINTS}, v as (select *, case when p_type in ({', '.join(f"'{c}'" for c in _CLASSES)}) then covered else 0 end as known from cut)
+    select i, j, {', '.join(f"100e0 * sum(case when p_type = '{c}' then covered else 0 end) / sum(covered) as pct_{c}, 100e0 * sum(case when p_type = '{c}' then covered else 0 end) / sum(known) as pct_{c}_valid" for c in _CLASSES)}
+    from v group by 1, 2 having sum(known) > 0""",
+)
+def landcover_area(spark, sf_dir):
+    """Class shares of 10 km squares by covered ground; PROMO pixels stand for missing data."""
+    covered = cut_lineage(_footprints(spark, sf_dir).drop("p_partkey", "share"))
+    valid = landcover_area_fraction(covered, "p_type", _CLASSES, renormalise=True)
+    return landcover_area_fraction(covered, "p_type", _CLASSES).join(valid.withColumnsRenamed({f"pct_{c}": f"pct_{c}_valid" for c in _CLASSES}), ["i", "j"])
+
+
 _TILE_BOX = (-124.0, 0.1, -123.4, 1e9)
 
 
@@ -424,6 +598,33 @@ def radius_mean_query(spark, sf_dir):
     return radius_mean(wide, cells, radius_edges(cells, 10.0), {c: f"{c}_10km" for c in _SMOOTHED})
 
 
+# Customers share 37 places, a few metres apart; their orders are totalled by quarter.
+_CROWD_PLACE = "(c_custkey % 37)"
+_CROWD = f"""crowd as (select c_custkey as grid_id, lat + (c_custkey % 5) * 0.0001e0 as lat, lon from (select *, {place_sql(_CROWD_PLACE)} from customer)),
+spent as (select o_custkey as grid_id, cast(date_trunc('quarter', o_orderdate) as date) as date, avg(o_totalprice) as price, avg(case when o_orderpriority <> '1-URGENT' then o_totalprice / 1000 end) as calm from orders group by 1, 2),
+ties as (select a.grid_id, b.grid_id as neighbor_id from crowd a cross join crowd b where {roles.haversine_sql('a', 'b')} <= 10)"""
+
+
+def _crowd(spark, sf_dir):
+    spot = place(_CROWD_PLACE)
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("grid_id"), (spot["lat"] + F.col("c_custkey") % 5 * F.lit(0.0001)).alias("lat"), spot["lon"].alias("lon"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grid_id"), F.trunc("o_orderdate", "quarter").alias("date"), "o_totalprice", "o_orderpriority")
+    calm = F.avg(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice") / 1000))
+    return cells, orders.groupBy("grid_id", "date").agg(F.avg("o_totalprice").alias("price"), calm.alias("calm"))
+
+
+@register(
+    "radius_mean_crowded",
+    "grid_id:l date:d price:f4 price_10km:f4 calm_10km:f6",
+    f"""with {_CROWD} select s.grid_id, s.date, any_value(s.price) as price, avg(o.price) as price_10km, avg(o.calm) as calm_10km
+    from spent s join ties t on t.grid_id = s.grid_id join spent o on o.grid_id = t.neighbor_id and o.date = s.date group by 1, 2""",
+)
+def radius_mean_crowded(spark, sf_dir):
+    """Means over a radius where many cells share a place."""
+    cells, panel = _crowd(spark, sf_dir)
+    return radius_mean_by_tiles(panel, radius_links(cells, 10.0), {"price": "price_10km", "calm": "calm_10km"})
+
+
 def _cube(spark, sf_dir):
     """(date, latitude, longitude, ndvi) of the days read; 47 series share a meridian of 53 places, so that places are missing."""
     s = F.col("grid_id")

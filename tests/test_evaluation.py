@@ -162,3 +162,48 @@ def test_qa_report(spark):
 
 def test_published_rates():
     assert 92 * 16_901 == 1_554_892 and 78 / 16_901 == 0.00461511153186202
+
+
+@pytest.mark.parametrize("rows, fanout", [(25, 4), (60, 16)])
+def test_feature_neighbours_down_a_tree_of_balls(spark, monkeypatch, rows, fanout):
+    """Balls of any depth: clusters, copies, one line, ties; the same neighbours as all pairs give."""
+    monkeypatch.setattr(learning, "MEMBER_ROWS", rows)
+    monkeypatch.setattr(learning, "FANOUT", fanout)
+    rng = np.random.default_rng(rows)
+    x = np.r_[rng.normal(size=(300, 2)), np.repeat(rng.normal(size=(1, 2)), 90, axis=0), 1e6 + 1e-3 * rng.normal(size=(150, 2)), rng.integers(0, 4, (120, 2)).astype(float)]
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>")
+    got = {tuple(r.vec): np.array(r.near) for r in learning.feature_neighbours(df, 4).collect()}
+    assert len(got) == len({tuple(v) for v in x})
+    for i, v in enumerate(x):
+        others = np.delete(x, i, axis=0)
+        gap = np.sqrt(((others - v) ** 2).sum(axis=1))
+        expected = others[np.lexsort((others[:, 1], others[:, 0], gap))[:4]]
+        np.testing.assert_array_equal(got[tuple(v)], expected)
+
+
+def test_neighbours_bring_no_rows_to_the_driver(spark, monkeypatch):
+    """Flags and sizes only, however many balls there are."""
+    monkeypatch.setattr(learning, "MEMBER_ROWS", 20)
+    brought = []
+    kind = type(spark.range(1))
+    whole = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: [brought.append(len(rows := whole(self))), rows][1])
+    df = spark.range(2000).selectExpr("array(cast(id % 1999 as double), cast(id * 7 % 1009 as double)) as vec")
+    learning.feature_neighbours(df, 3)
+    assert brought and max(brought) <= 1
+
+
+def test_validation_keeps_the_best_number_of_trees(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 3))
+    y = (x[:, 0] + 0.8 * rng.normal(size=1500) > 0.8).astype(int)
+    df = spark.createDataFrame([(int(label), *map(float, v)) for label, v in zip(y, x)], "label int, a double, b double, c double")
+    train, val = df.limit(500), df.exceptAll(df.limit(500))
+    found = learning.fit_validated(train, val, list("abc"), "label", maxIter=25, maxDepth=4, stepSize=0.4)
+    assert len(found.losses) == 25 and found.trees == found.losses.index(min(found.losses)) + 1 < 25
+    kept = found.model.stages[-1]
+    assert kept.getNumTrees == found.trees
+    again = kept.evaluateEachIteration(found.model.stages[0].transform(val))
+    np.testing.assert_allclose(again, found.losses[: found.trees], rtol=1e-9)
+    record = learning.model_record(train, learning.score(found.model, val), list("abc"), "label", found.trees).first()
+    assert record.trees == found.trees and record.num_val_rows == 1000
