@@ -3,7 +3,8 @@
 Normalised vectors of cosine ``c`` lie ``sqrt(2 - 2c)`` apart, so one distance
 bounds all wanted pairs.  Each of ``TABLES`` tables cuts ``PROJECTIONS`` Gaussian
 projections into steps of ``STEP`` and buckets vectors of one label by the step
-numbers.  Buckets of one vector are dropped by counting before any vector moves.
+numbers.  Equal vectors of a label are one from the start and carry their number.
+Buckets of one vector are dropped by counting before any vector moves.
 Inside a bucket all cosines are computed in double precision, block against
 block where it is large; a pair counts in the first table it meets in, so that
 links are counted without emitting pairs, and connected by one edge per vector.
@@ -57,13 +58,13 @@ def _hash(batches):
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
             keys[at] = bucket_keys(x, labels[at])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(table.num_rows + 1) * TABLES, type=pa.int32()), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), lists], names=["id", "keys"])
+        yield pa.RecordBatch.from_arrays([*[table.column(n).combine_chunks() for n in ("id", "copies", "vector")], lists], names=["id", "copies", "vector", "keys"])
 
 
 def _link(batches, cosine: float):
     for table in whole_groups(batches, ["key", "i", "j"]):
         starts = group_starts(table, ["key", "i", "j"])
-        ids, i, j, block, at_table = (table.column(c).to_numpy() for c in ("id", "i", "j", "block", "at"))
+        ids, copies, i, j, block, at_table = (table.column(c).to_numpy() for c in ("id", "copies", "i", "j", "block", "at"))
         keys = flat_lists(table.column("keys"))[0].reshape(-1, TABLES)
         values, offsets = flat_lists(table.column("vector"))
         count = np.zeros(table.num_rows, dtype=np.int64)
@@ -89,8 +90,8 @@ def _link(batches, cosine: float):
             for t in range(int(at_table[lo])):
                 new &= keys[a, t] != keys[b, t]
             a, b = a[new], b[new]
-            np.add.at(count, a, 1)
-            np.add.at(count, b, 1)
+            np.add.at(count, a, copies[b])
+            np.add.at(count, b, copies[a])
             ends.append((a, b))
         if not ends or not count.any():
             continue
@@ -117,22 +118,31 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vector", lambda v: v != 0)
     usable = rows.where(F.coalesce(usable, F.lit(False)))
 
-    hashed = cut_lineage(usable.mapInArrow(_hash, "id bigint, keys array<bigint>").dropDuplicates(["id"]))
+    # Which vector an id stands for follows from the rows' content alone; equal ones of a label are one, named by the least id.
+    names = ["h1", "h2"]
+    usable = usable.select("*", *[F.xxhash64(F.lit(k), F.col("label"), F.col("vector")).alias(n) for k, n in enumerate(names)])
+    owned = cut_lineage(usable.groupBy("id").agg(F.min(F.struct(*names)).alias("h")).select("id", "h.*"))
+    folded = cut_lineage(owned.groupBy(*names).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    content = usable.dropDuplicates(names).drop("id").join(folded, names).select(F.col("node").alias("id"), "copies", "vector", "label")
+    kind = content.schema["vector"].dataType.simpleString()
+    hashed = cut_lineage(content.mapInArrow(_hash, f"id bigint, copies bigint, vector {kind}, keys array<bigint>"))
     entries = hashed.select("id", F.posexplode("keys").alias("at", "key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut_lineage(entries.join(shared, "key"))
-    unique = usable.dropDuplicates(["id"]).join(hashed, "id")
-    live = unique.join(met.groupBy("id").agg(F.collect_list(F.struct("key", "at", "n")).alias("places")), "id")
-    placed = live.select("id", "vector", "keys", F.explode("places").alias("p")).select("id", "vector", "keys", "p.key", "p.at", F.ceil(F.col("p.n") / BLOCK).cast("int").alias("blocks"))
+    live = hashed.join(met.groupBy("id").agg(F.collect_list(F.struct("key", "at", "n")).alias("places")), "id")
+    placed = live.select("id", "copies", "vector", "keys", F.explode("places").alias("p")).select("id", "copies", "vector", "keys", "p.key", "p.at", F.ceil(F.col("p.n") / BLOCK).cast("int").alias("blocks"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "id", "keys", "vector")
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "id", "copies", "keys", "vector")
     met_in = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = cut_lineage(met_in.mapInArrow(lambda it: _link(it, cosine), "id bigint, links bigint, to bigint"))
 
     counted = links.groupBy("id").agg(F.sum("links").alias("n_links"))
-    groups = components(links.where("id <> to"), "id", "to")
-    found = cut_lineage(counted.join(groups.select(F.col("node").alias("id"), "component"), "id"))
-    out = rows.select("id").join(found, "id", "left")
+    groups = components(links.where("id <> to"), "id", "to").select(F.col("node").alias("id"), "component")
+    found = folded.withColumnRenamed("node", "id").join(counted, "id", "left").join(groups, "id", "left")
+    # A vector's copies link with each other too.
+    found = found.select(*names, (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    of_id = cut_lineage(owned.join(found, names).select("id", "n_links", "component"))
+    out = rows.select("id").join(of_id, "id", "left")
     return out.select(
         F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
