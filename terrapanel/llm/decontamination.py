@@ -1,5 +1,10 @@
 """Benchmark decontamination: broadcast hash set of test n-grams, scan of training windows, exact check, removal.
 
+What every executor gets are the windows' keys alone, eight bytes each, as many at a
+time as the limit allows; a larger benchmark takes several scans of the documents.  So
+documents are never shuffled, only the places whose key is a window's; there the words
+themselves are compared.
+
 Words are what ``common.words`` takes.  A window is ``size`` consecutive words of
 an item; an item of fewer words, but not none, is one window.  All built-in
 expressions; no Python runs on the executors.
@@ -14,8 +19,8 @@ from terrapanel.llm.common import send_if_small, words
 from terrapanel.session import cut_lineage
 
 WINDOW = 10
-# A key no window needs to avoid: rows that carry it stand for the document itself.
-_SELF = 7_777_777_777_777_777
+# Bytes of keys sent to every executor at a time, and of one key in a hash table.
+KEY_BYTES, BYTES_OF_KEY = 64 << 20, 32
 # The separators as they stand in the original text.
 _BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
@@ -78,44 +83,58 @@ def identity(doc_id: str, text: str) -> list[Column]:
     return [F.xxhash64(F.col(doc_id), F.col(text)).alias("_ka"), F.xxhash64(F.lit(1), F.col(text), F.col(doc_id)).alias("_kb")]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: (doc_id, n_words, hits, items, copies, _ka, _kb).
+def _candidates(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(ka, kb, at, length, key, words): the places of documents whose key and length are a window's.
 
-    ``hits`` holds the disjoint word ranges (start, end) inside occurrences of
-    windows, ``items`` the ids, as sorted strings, of the items with an occurring
-    window.  Equal rows are returned once with ``copies`` of them; NULL text has
-    no words; an empty benchmark hits nothing; items whose id is NULL hit words
-    but are not listed.  The windows are broadcast if they are small enough,
-    otherwise the keys are joined by a shuffle.
+    The keys are dealt to as many slices as their counted bytes need; each slice is
+    broadcast and meets all documents.
     """
-    table, lengths = item_windows(benchmark, item_id, item_text, size)
-    marker = table.sparkSession.range(1).select(
-        F.lit(_SELF).cast("long").alias("key"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items")
-    )
-    bytes_of = F.lit(64) + F.coalesce(F.length(F.array_join("window", " ")), F.lit(0)) * 2 + F.size("items") * 24
-    table = send_if_small(table.unionByName(marker), bytes_of)
-
-    found = words(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("_id"), *identity(doc_id, text), F.coalesce(found, F.array().cast("array<string>")).alias("_words"))
-    rows = _with_window_keys(rows, lengths)
-    keys = F.concat(F.array(F.lit(_SELF).cast("long")), *[F.col(f"_k{n}") for n in lengths])
-    rows = rows.select("_id", "_ka", "_kb", "_n", "_words", F.posexplode(keys).alias("_p", "key"))
-    start, length, before = F.lit(None).cast("int"), F.lit(0), F.lit(1)
+    keys = windows.select("key", "length").distinct()
+    slices = max(1, -(-windows.count() * BYTES_OF_KEY // KEY_BYTES))
+    start, length, before = F.lit(None).cast("int"), F.lit(0), F.lit(0)
     for n in lengths:
         count = F.greatest(F.col("_n") - (n - 1), F.lit(0))
         inside = (F.col("_p") >= before) & (F.col("_p") < before + count)
         start, length = F.when(inside, F.col("_p") - before).otherwise(start), F.when(inside, F.lit(n)).otherwise(length)
         before = before + count
-    joined = rows.join(table, "key").withColumn("_at", start).withColumn("_len", length)
-    whole = (F.col("_p") == 0) & F.col("window").isNull()
-    same = (F.col("_p") > 0) & (F.col("_len") == F.col("length")) & (F.slice("_words", F.col("_at") + 1, F.greatest(F.col("_len"), F.lit(1))) == F.col("window"))
-    checked = joined.where(whole | same).select("_id", "_ka", "_kb", "_n", whole.alias("_whole"), "_at", (F.col("_at") + F.col("_len")).alias("_end"), "items")
-    grouped = checked.groupBy("_id", "_ka", "_kb", "_n").agg(
-        F.sum(F.col("_whole").cast("long")).alias("copies"),
-        F.array_sort(F.collect_set(F.when(~F.col("_whole"), F.struct(F.col("_at").alias("start"), F.col("_end").alias("end"))))).alias("spans"),
+    every = F.concat(*[F.col(f"_k{n}") for n in lengths])
+    found = []
+    for k in range(slices):
+        share = keys if slices == 1 else keys.where(F.pmod("key", F.lit(slices)) == k)
+        placed = _with_window_keys(rows, lengths).select("_ka", "_kb", "_n", "_words", F.posexplode(every).alias("_p", "key"))
+        placed = placed.withColumns({"at": start, "length": length}).join(F.broadcast(share), ["key", "length"], "left_semi")
+        found.append(placed.select("_ka", "_kb", "at", "length", "key", F.slice("_words", F.col("at") + 1, F.col("length")).alias("words")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document: (doc_id, n_words, hits, items, _ka, _kb).
+
+    ``hits`` holds the disjoint word ranges (start, end) inside occurrences of
+    windows, ``items`` the ids, as sorted strings, of the items with an occurring
+    window.  Repeated rows are returned as often; NULL text has no words; an empty
+    benchmark hits nothing; items whose id is NULL hit words but are not listed.
+    """
+    windows, lengths = item_windows(benchmark, item_id, item_text, size)
+    found = F.coalesce(words(F.col(text)), F.array().cast("array<string>"))
+    every = docs.select(F.col(doc_id).alias("_id"), *identity(doc_id, text), F.size(found).cast("long").alias("n_words"))
+    none = [F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")]
+    if not lengths:
+        return every.select(F.col("_id").alias(doc_id), "n_words", none[0].alias("hits"), none[1].alias("items"), "_ka", "_kb")
+    rows = docs.select(*identity(doc_id, text), found.alias("_words"))
+    places = _candidates(rows, windows, lengths)
+    bytes_of = F.lit(64) + F.coalesce(F.length(F.array_join("window", " ")), F.lit(0)) * 2 + F.size("items") * 24
+    checked = places.join(send_if_small(windows, bytes_of), ["key", "length"]).where(F.col("words") == F.col("window"))
+    grouped = checked.groupBy("_ka", "_kb").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("end")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    return grouped.select(F.col("_id").alias(doc_id), F.col("_n").cast("long").alias("n_words"), _disjoint(F.col("spans")).alias("hits"), "items", "copies", "_ka", "_kb")
+    hit = cut_lineage(grouped.select("_ka", "_kb", _disjoint(F.col("spans")).alias("hits"), "items"))
+    joined = every.join(send_if_small(hit, F.lit(64) + 8 * F.size("hits") + 24 * F.size("items")), ["_ka", "_kb"], "left")
+    return joined.select(F.col("_id").alias(doc_id), "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"), "_ka", "_kb")
 
 
 def _disjoint(spans: Column) -> Column:
@@ -168,7 +187,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated.  Repeated rows give repeated rows."""
     found = find_contamination(docs, benchmark, doc_id, text, size)
-    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     n_hit = hit_words(F.col("hits"))
     return found.select(
         doc_id, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
