@@ -8,7 +8,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrapanel.llm import decontamination, embeddings, minhash, pieces, quality, toxicity, urlrules, wrappers
+from terrapanel.llm import decontamination, embeddings, language, minhash, pieces, quality, toxicity, urlrules, wrappers
 from terrapanel.llm.common import components, least_labels
 
 VOCABULARY = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
@@ -186,6 +186,30 @@ def test_embeddings_by_brute_force(spark, monkeypatch, block):
     assert sum(got[i]["component_id"] == want.get(i, i) for i in got) >= 0.97 * len(got)
 
 
+def test_equal_vectors_are_one(spark, monkeypatch):
+    """A third of all rows are copies of one vector: as many links, and no more work than one vector."""
+    rng = np.random.default_rng(6)
+    near = rng.standard_normal(16)
+    vectors = [(i, [float(v) for v in near], 1) for i in range(4000)]
+    vectors += [(4000 + i, [float(v) for v in near + 0.01 * rng.standard_normal(16)], 1) for i in range(5)]
+    vectors += [(5000 + i, [float(v) for v in near * 2.0], 1) for i in range(3)] + [(6000 + i, [float(v) for v in near], 2) for i in range(7)]
+    vectors += [(7000 + i, [float(v) for v in rng.standard_normal(16)], 1) for i in range(100)]
+    seen = []
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "components", lambda edges, a, b: seen.append(edges.count()) or components(edges, a, b))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] == (4007, 0) for i in range(4008 - 3) if i < 4005) and all(got[5000 + i] == (4007, 0) for i in range(3))
+    assert all(got[6000 + i] == (6, 6000) for i in range(7)) and all(got[7000 + i] == (0, 7000 + i) for i in range(100))
+    assert seen[0] < 300
+
+
+def test_an_id_stands_for_one_vector(spark):
+    """Whichever of two vectors under one id is taken, its place in the tables and its cosines agree."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sorted((got[2], got[3])) in ([(0, 2), (1, 1)], [(0, 3), (1, 1)]) and got[1] == (1, 1)
+
+
 # Decontamination, URL rules
 
 
@@ -209,13 +233,23 @@ def test_decontamination_by_brute_force(spark, items, docs):
         assert got[d] == (len(words), len(hit), len(named))
 
 
-def test_decontamination_without_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("key_bytes", [64 << 20, 100])
+def test_decontamination_without_broadcast(spark, monkeypatch, key_bytes):
+    """A benchmark larger than what may be sent at once: keys go out slice by slice, windows and hits are shuffled."""
     monkeypatch.setattr("terrapanel.llm.common.BROADCAST_BYTES", 0)
     monkeypatch.setattr(decontamination, "send_if_small", lambda df, size, limit=0: df)
-    docs = spark.createDataFrame([(1, "x y z one two three four x"), (2, "one two")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "one two three"), (8, "z")], "item_id long, text string")
-    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontamination.report(docs, items).collect()}
-    assert got == {1: (4, 2), 2: (0, 0)}
+    monkeypatch.setattr(decontamination, "KEY_BYTES", key_bytes)
+    docs = spark.createDataFrame([(1, "x y z one two three four x"), (2, "one two"), (3, "five six seven eight nine ten eleven " * 3), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three"), (8, "z"), (9, "seven eight nine ten eleven five six seven eight nine ten eleven")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_hit"], r["n_items"]) for r in decontamination.report(docs, items).collect())
+    assert got == [(1, 4, 2), (2, 0, 0), (3, 0, 0), (3, 19, 1)]
+    # Documents meet keys where they are: nothing of theirs is exchanged before it is a candidate.
+    windows, lengths = decontamination.item_windows(items)
+    rows = docs.select(*decontamination.identity("doc_id", "text"), decontamination.words(docs["text"]).alias("_words")).where("_words is not null")
+    found = decontamination._candidates(rows, windows, lengths)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= -(-windows.count() * decontamination.BYTES_OF_KEY // key_bytes) and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
 
 
 def test_nested_rules_by_brute_force(spark, monkeypatch):
@@ -404,3 +438,54 @@ def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
     toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), max_docs=300)
     toxicity.fit(docs, docs.where("doc_id = 1").selectExpr("doc_id", "1 as toxic"), max_docs=300)
     assert seen[0] <= 400 and 200 < seen[1] < 400
+
+
+# Language identification
+
+
+def test_long_texts_are_read_by_pieces():
+    text = "Être ou  ne pas être, là est la question!  12 Ähren  日本語 x" * 3
+    buckets, _, letters = language.gram_buckets([text])
+    whole = np.bincount(buckets, minlength=language.BUCKETS)
+    for step in (1, 2, 3, 7, 50, 10_000):
+        counts, n = language.long_gram_counts(text, step)
+        assert (counts == whole).all() and n == letters[0]
+    counts, n = language.long_gram_counts("")
+    assert not counts.any() and n == 0
+
+
+def counted_model(texts):
+    """Plain counts of n-grams by language, as dictionaries."""
+    grams, docs = {}, {}
+    for text, lang in texts:
+        docs[lang] = docs.get(lang, 0) + 1
+        for b in language.gram_buckets([text])[0].tolist():
+            grams.setdefault(lang, {}).setdefault(b, 0)
+            grams[lang][b] += 1
+    return grams, docs
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "own"])
+def test_language_by_plain_counts(spark, monkeypatch, ids):
+    """Log probabilities and predictions from dictionaries; ids may be missing or all the same."""
+    monkeypatch.setattr(language, "_CHARS", 60)
+    dice = random.Random(3)
+    words = {"en": ["the", "thing", "which", "ought"], "de": ["der", "straße", "schön", "auch"], "fr": ["le", "été", "beauté", "aux"]}
+    texts = [(" ".join(dice.choice(words[lang]) for _ in range(dice.randint(1, 40))), lang) for lang in words for _ in range(60)]
+    rows = [({"none": None, "one": 5, "own": i}[ids], t, lang) for i, (t, lang) in enumerate(texts)] + [(1, None, "en"), (2, "the", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    grams, count = counted_model(texts)
+    assert model.languages == ["de", "en", "fr"]
+    for c, lang in enumerate(model.languages):
+        total = sum(grams[lang].values()) + language.SMOOTHING * language.BUCKETS
+        assert model.log_prior[c] == pytest.approx(np.log(count[lang] / len(texts)))
+        for b in list(grams[lang])[:50]:
+            assert model.log_prob[b, c] == pytest.approx(np.log((grams[lang][b] + language.SMOOTHING) / total))
+    got = language.predict(docs.where("text is not null"), model).collect()
+    named = language.predict(docs.where("text is not null"), model).join(docs, "doc_id") if ids == "own" else None
+    assert len(got) == len(texts) + 1 and {r["lang_pred"] for r in got} == {"de", "en", "fr"}
+    if named is not None:
+        assert named.where("lang is not null and lang <> lang_pred").count() <= 2
+    report = language.report(docs).collect()
+    assert any(r["lang_pred"] != "und" for r in report)
