@@ -8,16 +8,21 @@ slot.  What is left after all pages of a host is its wrapper.
 
 Inference is a fold that can be split anywhere: every task folds the pages it
 reads into one wrapper per host, those are folded in slices per host, and the
-slices into one.  The wrapper's slots are then told apart by the elements that
-hold them; of the content slots a page fills, those of its article are its text.
+slices into one.  Beside the structure, a wrapper knows which texts stand in the same
+slot on all pages of its host: those are the template's, the other slots are data.
+Its slots are then told apart by the elements that hold them; of the content slots a
+page fills, those of its article are its text, and where no element names an
+article, all that is not template.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
 from collections import OrderedDict
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -30,9 +35,14 @@ from terrapanel.session import cut_lineage
 
 # Kinds of elements and names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title svg math iframe object select"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-CHROME_TAGS = frozenset(f"nav footer aside form button dialog menu head {RAW}".split())
+RAW = "script style noscript template textarea title svg iframe select"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()) | frozenset(
+    # Formulae inside a line of text.
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle semantics annotation".split()
+)
+CHROME_TAGS = frozenset(f"nav footer aside button dialog menu head {RAW}".split())
+# Elements that are chrome unless they are around the page: they hold its article, or most of its text.
+AROUND = frozenset("form header".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies "
     "consent notice notices alert popup modal overlay comment comments reply replies respond discussion footer masthead share sharing social newsletter subscribe "
@@ -42,6 +52,8 @@ COMMENT_WORDS = frozenset("comment comments reply replies".split())
 ADVERT_WORDS = frozenset("ad advert advertisement sponsored".split())
 # Words beside which a name tells of the layout or of what is not there: no-sidebar, ad-free, overflow-hidden, search-results.
 LAYOUT_WORDS = frozenset("no not non without with has have free open opened closed enabled disabled overflow layout result results supported".split())
+# Words that may stand beside those in a name inside an article: related-posts, share-buttons; not related-work, comment-count.
+FILLER_WORDS = frozenset("area bar block body box button buttons container content inline item items left link links list main post posts right section slot text title top unit wrapper".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -73,21 +85,36 @@ def words_of(names: str) -> set[str]:
     return found
 
 
-def element(name: str, attributes: str) -> str:
+def plain_words_of(names: str) -> set[str]:
+    """The same, of those names alone that say nothing else."""
+    found: set[str] = set()
+    for name in names.split():
+        words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", name))}
+        if words <= CHROME_WORDS | FILLER_WORDS:
+            found |= words
+    return found
+
+
+def element(name: str, attributes: str, inside: bool = False) -> str:
     """An element as the wrapper knows it: its name, and a mark if class, id or role say it isn't the article's.
 
     Roles and comments are certain (two marks); other names are believed unless
-    what the element holds speaks against them (one mark).
+    what the element holds speaks against them (one mark).  Of an article, and
+    ``inside`` one, only names that say nothing else are believed, and no id of
+    a section, paragraph or heading, which is where links lead to.
     """
     marks: set[str] = set()
     role = ""
+    strict = inside or name == "article"
+    anchor = inside and (name in ("section", "p") or name[:1] == "h" and name[1:].isdigit())
     for key, *values in _ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id", "role"):
             value = next((v for v in values if v), "")
             if key == "role":
                 role = value.lower().strip()
-            marks |= words_of(value)
+            if not (anchor and key == "id"):
+                marks |= plain_words_of(value) if strict else words_of(value)
     free = name in ("html", "body", "main")
     if role in CHROME_ROLES or (marks & COMMENT_WORDS and not free):
         return name + "!!"
@@ -114,6 +141,9 @@ class Page:
         position = 0
         source = html or ""
 
+        def known(name: str, attributes: str) -> str:
+            return element(name, attributes, any(known in ("article", "main") for _, known in stack))
+
         def flush() -> None:
             if text:
                 words = " ".join("".join(text).split())
@@ -136,7 +166,7 @@ class Page:
                 continue
             name = name.lower()
             if name in INLINE:
-                marked = element(name, found[4]) if not found[2] else name
+                marked = known(name, found[4]) if not found[2] else name
                 if marked.endswith("!") and found[4].strip().endswith("/") is False:
                     flush()
                     stack.append((name, marked))
@@ -171,7 +201,7 @@ class Page:
                         break
             if found[4].rstrip().endswith("/"):
                 continue
-            stack.append((name, element(name, found[4])))
+            stack.append((name, known(name, found[4])))
             self.tokens.append(stack[-1][1])
         if position < len(source):
             text.append(html_lib.unescape(source[position:].partition("<")[0] if re.match(r"</?[a-zA-Z!]", source[position:]) else source[position:]))
@@ -334,17 +364,12 @@ def slots(wrapper: tuple) -> set[tuple[str, ...]]:
 
 
 def is_chrome(path: tuple[str, ...]) -> bool:
-    """Whether a slot lies for certain in a menu, header, footer, aside, form, script, style or comment.
+    """Whether a slot lies for certain in a menu, footer, aside, dialog, script, style or comment.
 
-    A header inside an article is the article's own.  Elements that only their
-    names mark are left to what a page has in them.
+    Forms and headers, and elements that only their names mark, are left to what a
+    page has in them.
     """
-    for depth, name in enumerate(path):
-        if name.endswith("!!") or name.rstrip("!") in CHROME_TAGS:
-            return True
-        if name.rstrip("!") == "header" and not {"article", "main"} & set(path[:depth]):
-            return True
-    return False
+    return any(name.endswith("!!") or name.rstrip("!") in CHROME_TAGS for name in path)
 
 
 def content_slots(wrapper: tuple) -> list[str]:
@@ -352,94 +377,153 @@ def content_slots(wrapper: tuple) -> list[str]:
     return sorted(" ".join(path) for path in slots(wrapper) if not is_chrome(path))
 
 
-def _infer(batches):
-    held: OrderedDict[str, tuple[tuple, set]] = OrderedDict()
-    folded: dict[tuple, tuple] = {}
+def block_key(path: tuple[str, ...], words: str) -> int:
+    """What a slot and its text are known by."""
+    return int.from_bytes(hashlib.blake2b(f"{' '.join(path)}\0{words}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+@dataclass
+class Fixed:
+    """Slots with the same text on all pages of a host that name no article, and whether those pages differ at all."""
 
-    def hand_over(entries):
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in entries], type=pa.string()), pa.array([to_text(w) for _, w in entries], type=pa.string())], names=["host", "wrapper"])
+    keys: frozenset | None = None  # None: no such page yet
+    page: int = 0
+    several: bool = False
 
+    def joined(self, other: Fixed) -> Fixed:
+        if self.keys is None or other.keys is None:
+            return other if self.keys is None else self
+        return Fixed(self.keys & other.keys, min(self.page, other.page), self.several or other.several or self.page != other.page)
+
+
+def fixed_of(blocks: list[tuple[tuple[str, ...], str]]) -> Fixed:
+    if any("article" in path or "main" in path for path, _ in blocks):
+        return Fixed()
+    keys = frozenset(block_key(path, words) for path, words in blocks if not is_chrome(path))
+    return Fixed(keys, hash(keys), False) if keys else Fixed()
+
+
+_HOST = "host string, wrapper string, fixed array<bigint>, page bigint, several boolean"
+
+
+def _host_rows(entries: list[tuple[str, tuple, Fixed]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([h for h, _, _ in entries], type=pa.string()), pa.array([to_text(w) for _, w, _ in entries], type=pa.string()),
+            pa.array([None if f.keys is None else sorted(f.keys) for _, _, f in entries], type=pa.list_(pa.int64())),
+            pa.array([f.page for _, _, f in entries], type=pa.int64()), pa.array([f.several for _, _, f in entries], type=pa.bool_()),
+        ],
+        names=["host", "wrapper", "fixed", "page", "several"],
+    )
+
+
+def _infer(batches):
+    held: OrderedDict[str, tuple[tuple, set, Fixed]] = OrderedDict()
+    folded: dict[tuple, tuple] = {}
     for batch in batches:
         out = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            stream = tuple(Page(html).tokens)
+            page = Page(html)
+            stream, fixed = tuple(page.tokens), fixed_of(page.blocks)
             if stream not in folded:
                 if len(folded) >= STREAMS:
                     folded.clear()
                 folded[stream] = wrapper_of(list(stream))
             found = folded[stream]
             if host in held:
-                wrapper, seen = held[host]
+                wrapper, seen, before = held[host]
                 if found not in seen:
                     seen.add(found)
                     wrapper = merge(wrapper, found)
-                    held[host] = (wrapper, seen)
+                held[host] = (wrapper, seen, before.joined(fixed))
                 held.move_to_end(host)
             else:
-                held[host] = (found, {found})
+                held[host] = (found, {found}, fixed)
                 if len(held) > HOSTS_AT_ONCE:
-                    old, (wrapper, _) = held.popitem(last=False)
-                    out.append((old, wrapper))
+                    old, (wrapper, _, before) = held.popitem(last=False)
+                    out.append((old, wrapper, before))
         if out:
-            yield hand_over(out)
-    yield hand_over([(h, w) for h, (w, _) in held.items()])
+            yield _host_rows(out)
+    yield _host_rows([(h, w, f) for h, (w, _, f) in held.items()])
 
 
 def _combine(batches, keys: list[str]):
     for table in whole_groups(batches, keys):
         found: dict[str, list[tuple]] = {}
-        for host, wrapper in zip(table.column("host").to_pylist(), table.column("wrapper").to_pylist()):
+        fixed: dict[str, Fixed] = {}
+        for host, wrapper, texts, page, several in zip(*(table.column(n).to_pylist() for n in ("host", "wrapper", "fixed", "page", "several")), strict=True):
             found.setdefault(host, []).append(from_text(wrapper))
-        merged = [(h, merge_all(ws)) for h, ws in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in merged]), pa.array([to_text(w) for _, w in merged])], names=["host", "wrapper"])
+            fixed[host] = fixed.get(host, Fixed()).joined(Fixed(None if texts is None else frozenset(texts), page, several))
+        yield _host_rows([(h, merge_all(ws), fixed[h]) for h, ws in found.items()])
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper) of every host of ``pages``; pages without a host are one host, the empty one."""
+    """(host, wrapper, fixed, page, several) of every host of ``pages``; pages without a host are one host, the empty one.
+
+    ``fixed`` are the slots with one text on all pages that name no article, as ``block_key``;
+    they tell template from data only if ``several`` of those pages differ.
+    """
     rows = split_url(pages.select(F.col(url).alias("_url"), F.col(html).alias("html")), "_url").select("host", "html").where(F.col("html").isNotNull())
-    first = rows.mapInArrow(_infer, "host string, wrapper string").distinct().withColumn("slice", F.pmod(F.xxhash64("wrapper"), F.lit(SLICES)).cast("int"))
-    second = first.repartition("host", "slice").sortWithinPartitions("host", "slice").mapInArrow(lambda it: _combine(it, ["host", "slice"]), "host string, wrapper string")
-    return second.repartition("host").sortWithinPartitions("host").mapInArrow(lambda it: _combine(it, ["host"]), "host string, wrapper string")
+    first = rows.mapInArrow(_infer, _HOST).withColumn("slice", F.pmod(F.xxhash64("wrapper"), F.lit(SLICES)).cast("int"))
+    second = first.repartition("host", "slice").sortWithinPartitions("host", "slice").mapInArrow(lambda it: _combine(it, ["host", "slice"]), _HOST)
+    return second.repartition("host").sortWithinPartitions("host").mapInArrow(lambda it: _combine(it, ["host"]), _HOST)
 
 
 def _slots(batches):
     for batch in batches:
         paths = [content_slots(from_text(w)) for w in batch.column("wrapper").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, type=pa.list_(pa.string()))], names=["host", "slots"])
+        template = [t if several and t else [] for t, several in zip(batch.column("fixed").to_pylist(), batch.column("several").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, type=pa.list_(pa.string())), pa.array(template, type=pa.list_(pa.int64()))], names=["host", "slots", "template"])
 
 
-def page_text(html: str | None, content: set[str]) -> str:
-    """The page's blocks in content slots: those inside an article, else inside the main element, else all.
+def page_text(html: str | None, content: set[str], template: frozenset | set = frozenset()) -> str:
+    """The page's blocks in content slots: those inside an article, else inside the main element, else all but the ``template``'s.
 
-    What is in a marked element is left out, unless the elements of its path hold
-    most of the page's text.  On a page without an article or main element outside
-    marked ones, those inside them stay as well.
+    What is in a marked element, a form or a header is left out, unless the elements
+    of its path hold most of the page's text, or the form or header holds an article.
+    On a page without an article or main element outside marked ones, those inside
+    them stay as well.  An article that holds less than half of what the main
+    element around it holds is a teaser.
     """
     blocks = [(path, words) for path, words in Page(html).blocks if " ".join(path) in content]
     held: dict[tuple[str, ...], int] = {}
     for path, words in blocks:
         for depth, name in enumerate(path, 1):
-            if name.endswith("!"):
+            if name.endswith("!") or name in AROUND:
                 held[path[:depth]] = held.get(path[:depth], 0) + len(words)
     total = sum(len(words) for _, words in blocks)
 
+    def small(path: tuple[str, ...], depth: int) -> bool:
+        name, above, below = path[depth - 1], path[: depth - 1], path[depth:]
+        if name.endswith("!"):
+            return 2 * held[path[:depth]] <= total
+        if name not in AROUND or (name == "header" and ("article" in above or "main" in above)):
+            return False
+        return "article" not in below and "main" not in below and 3 * held[path[:depth]] <= 2 * total
+
     def minor(path: tuple[str, ...], begin: int = 0) -> bool:
-        return any(name.endswith("!") and 2 * held[path[:depth]] <= total for depth, name in enumerate(path, 1) if depth > begin)
+        return any(small(path, depth) for depth in range(begin + 1, len(path) + 1))
 
     unmarked = [(path, words) for path, words in blocks if not minor(path)] if held else blocks
+    inside = {zone: [(path, words) for path, words in unmarked if zone in path] for zone in ("article", "main")}
+    size = {zone: sum(len(words) for _, words in found) for zone, found in inside.items()}
     for zone in ("article", "main"):
-        inside = [(path, words) for path, words in unmarked if zone in path]
-        if inside:
-            return "\n\n".join(words for _, words in inside)
+        teaser = zone == "article" and 2 * size["article"] < sum(len(words) for path, words in inside["main"])
+        if inside[zone] and not teaser:
+            return "\n\n".join(words for _, words in inside[zone])
     if held:
         begins = [next((d for d, name in enumerate(path) if name in ("article", "main")), 0) for path, _ in blocks]
         unmarked = [block for block, begin in zip(blocks, begins) if not minor(block[0], begin)]
+    if template and not any("article" in path or "main" in path for path, _ in unmarked):
+        # A page of nothing but template is a copy of what all pages hold, and stays.
+        unmarked = [(path, words) for path, words in unmarked if block_key(path, words) not in template] or unmarked
     return "\n\n".join(words for _, words in unmarked)
 
 
 def _apply(batches):
     for batch in batches:
-        texts = [page_text(h, set(s or ())) for h, s in zip(batch.column("html").to_pylist(), batch.column("slots").to_pylist())]
+        columns = (batch.column(n).to_pylist() for n in ("html", "slots", "template"))
+        texts = [page_text(h, set(s or ()), set(t or ())) for h, s, t in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, type=pa.string())], names=["id", "url", "text"])
 
 
@@ -448,15 +532,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Character references are decoded, white space inside a block is one blank.
     NULL and empty html, and pages whose host's wrapper has no content slot, have
-    the empty text.  Repeated rows repeat; NULL ids and urls are kept.
+    the empty text.  Repeated rows repeat; NULL ids and urls are kept.  A page of any
+    length is read whole, in memory in proportion to it.
     """
-    found = cut_lineage(infer_wrappers(pages, url, html).mapInArrow(_slots, "host string, slots array<string>"))
-    small = send_if_small(found, F.length("host") + F.length(F.array_join("slots", " ")) + 64)
+    found = cut_lineage(infer_wrappers(pages, url, html).mapInArrow(_slots, "host string, slots array<string>, template array<bigint>"))
+    small = send_if_small(found, F.length("host") + F.length(F.array_join("slots", " ")) + 8 * F.size("template") + 64)
     kind = pages.schema[page_id].dataType.simpleString()
     rows = split_url(pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")), "url")
-    rows = rows.join(small, "host", "left").select("id", "url", "html", "slots")
+    rows = rows.join(small, "host", "left").select("id", "url", "html", "slots", "template")
     out = rows.mapInArrow(_apply, f"id {kind}, url string, text string")
-    return out.select(F.col("id").alias(page_id), F.col("url").alias(url), "text")
+    return out.select(F.col("id").alias(page_id), F.col(url).alias(url), "text")
 
 
 def report(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
