@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +84,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # Helpers for code inside tasks.
 
 
+def handed_back(rows):
+    """``rows``, and then the memory that making them took: Python workers live on from stage to stage."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def flat_lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(values, offsets) of a list column without NULL entries; NULL lists count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import chunks, components, flat_lists, group_starts, least_labels, mix, send_if_small, unit, whole_groups, word_keys
+from terrapanel.llm.common import chunks, components, flat_lists, group_starts, handed_back, least_labels, mix, send_if_small, unit, whole_groups, word_keys
 from terrapanel.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -244,7 +244,7 @@ def _linked_texts(docs: DataFrame, doc_id: str, text: str, similarity: float, we
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(F.col(doc_id).alias("id"), _text_key(text).alias("key"), word_keys(F.col(text)).alias("words"))
     keyed = keyed.select("id", "key", F.when(F.size("words") > 0, F.xxhash64(F.lit(3), "words")).alias("node"), "words")
-    signed = cut_lineage(keyed.mapInArrow(lambda it: _sign(it, weighting), f"id {kind}, key bigint, node bigint, sig binary"))
+    signed = cut_lineage(keyed.mapInArrow(lambda it: handed_back(_sign(it, weighting)), f"id {kind}, key bigint, node bigint, sig binary"))
     members = signed.select("id", "key", "node")
     least = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least"))
     least = least.select(F.col("node").alias("_node"), F.col("least.id").alias("id"), F.col("least.key").alias("key"))
@@ -258,7 +258,7 @@ def _linked_texts(docs: DataFrame, doc_id: str, text: str, similarity: float, we
     met = met.join(texts.select("node", "sig"), "node")
     met = _in_blocks(met, "key", F.ceil(F.col("n") / BLOCK_TEXTS), ["node", "sig"])
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    family = components(met.mapInArrow(lambda it: _families(it, FLOOR), "a bigint, b bigint"))
+    family = components(met.mapInArrow(lambda it: handed_back(_families(it, FLOOR)), "a bigint, b bigint"))
 
     suspects = cut_lineage(family.withColumnRenamed("component", "family").join(texts, "node"))
     whole = docs.select(F.col(doc_id).alias("id"), _text_key(text).alias("key"), F.col(text).alias("_text"))
@@ -270,7 +270,7 @@ def _linked_texts(docs: DataFrame, doc_id: str, text: str, similarity: float, we
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS))
     full = _in_blocks(full.join(sizes, "family"), "family", blocks, ["node", "sig", "words"])
     full = full.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    linked = components(full.mapInArrow(lambda it: _links(it, FLOOR, similarity, weighting), "a bigint, b bigint"))
+    linked = components(full.mapInArrow(lambda it: handed_back(_links(it, FLOOR, similarity, weighting)), "a bigint, b bigint"))
     return members, texts.select("node", "id", "key", "n"), linked
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import chunks, flat_lists
+from terrapanel.llm.common import chunks, flat_lists, handed_back
 from terrapanel.llm.language import text_runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,7 +34,7 @@ _FOREIGN = 0x110001
 # How a text falls into units. One blank before a word is left out of the unit's name.
 _UNIT = re.compile(r" *[^ \n]+| +|\n[^ \n]*")
 # Units kept from batch to batch, and units up to which merging runs for all units at once.
-CACHE_UNITS, SHORT_UNIT = 400_000, 48
+CACHE_UNITS, SHORT_UNIT = 200_000, 48
 
 
 @dataclass
@@ -316,7 +316,7 @@ def segment(units: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray
     return value.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
-def _runs(units: list[str], limit: int = 250_000):
+def _runs(units: list[str], limit: int = 120_000):
     """Runs of units that hold about ``limit`` characters together."""
     ends = np.cumsum([len(u) + 1 for u in units])
     lo = 0
@@ -386,7 +386,7 @@ def _sums(ids: np.ndarray, offsets: np.ndarray) -> list[int]:
 def _encode(batches, model: PieceModel):
     encoder = Encoder(model)
     for batch in batches:
-        for lo, texts in text_runs(batch.column("text"), 1_000_000):
+        for lo, texts in text_runs(batch.column("text")):
             ids, offsets = encoder.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids, type=pa.int32()))
             same = [a == b for a, b in zip(decode_ids(ids, offsets, model), texts)]
@@ -406,7 +406,7 @@ def encode(docs: DataFrame, model: PieceModel, doc_id: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(lambda it: _encode(it, shared.value), f"id {kind}, ids array<int>, ids_crc32 bigint, round_trip boolean")
+    out = rows.mapInArrow(lambda it: handed_back(_encode(it, shared.value)), f"id {kind}, ids array<int>, ids_crc32 bigint, round_trip boolean")
     return out.withColumnRenamed("id", doc_id)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from terrapanel.llm.common import flat_lists, mix
+from terrapanel.llm.common import flat_lists, handed_back, mix
 from terrapanel.llm.language import text_runs
 from terrapanel.llm.linear import sample_of_distinct, sigmoid, take_rows
 
@@ -282,7 +282,7 @@ LABELLERS = 8
 def fit_labels(docs: DataFrame, text: str = "text") -> LabelModel:
     """Accuracies of the labellers from the votes on all documents that hold a word."""
     rows = docs.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("text"))
-    counted = rows.mapInArrow(_patterns, "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lambda it: handed_back(_patterns(it)), "pattern int, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
     found = sorted((r["pattern"], r["n"]) for r in counted.collect())
     patterns = np.array([p for p, _ in found], dtype=np.int64)
     return estimate(votes_of(patterns, LABELLERS), np.array([n for _, n in found], dtype=float))
@@ -311,7 +311,7 @@ def predict(docs: DataFrame, scorer: LinearScorer, doc_id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     schema = StructType([StructField("id", docs.schema[doc_id].dataType), StructField("score", DoubleType())])
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, shared.value), schema).withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(lambda it: handed_back(_score(it, shared.value)), schema).withColumnRenamed("id", doc_id)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

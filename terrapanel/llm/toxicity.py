@@ -3,9 +3,12 @@
     score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>)   over a text's terms
 
 The terms of a text are its words and the beginnings of its longer words, hashed.
-The pairs let two terms that are harmless alone raise the score together, which
-no additive weight can.  Terms that tell nothing about the label (chi-square) are
-left out, so that long texts don't gather noise.  Fitted on a bounded sample.
+The pairs let two terms that are harmless alone raise the score together, or one
+take back what the other says, which no additive weight can.  Terms stay if they go
+with the label, for or against it, among texts of like length; or if they do among the
+texts that hold a term which speaks for it; or if they are the most frequent, whose
+pairs alone may tell.  All others are left out, so that long texts don't gather noise.
+Fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from terrapanel.llm.common import chunks, crc_mod, flat_lists, words
+from terrapanel.llm.common import chunks, crc_mod, flat_lists, handed_back, words
 from terrapanel.llm.linear import bounded_sample, sample_of_distinct, sigmoid, take_rows
 from terrapanel.session import cut_lineage
 
@@ -29,21 +32,22 @@ TRAIN_DOCS = 12_000
 FACTORS, STEPS, BATCH, RATE, DECAY = 8, 600, 256, 0.1, 1e-4
 # How much more a missed toxic document counts than a clean one that is suspected.
 POSITIVE = 3.0
-# Chi-square of one degree of freedom at 0.001, and the terms kept at least if there are as many.
-TELLING, LEAST_TERMS = 10.83, 256
+# Chi-square of one degree of freedom at 0.001, and the frequent terms that stay whatever they tell.
+TELLING, FREQUENT = 10.83, 64
 
 
 def term_keys(text: Column) -> Column:
-    """Hashes of words, and of the beginnings of words longer than ``STEM``."""
-    found = F.coalesce(words(text), F.array().cast("array<string>"))
+    """The distinct hashed terms: words, and the beginnings of words longer than ``STEM``."""
+    found = F.array_distinct(F.coalesce(words(text), F.array().cast("array<string>")))
     stems = F.transform(F.filter(found, lambda w: F.length(w) > STEM), lambda w: F.xxhash64(F.lit("stem"), F.substring(w, 1, STEM)))
-    return F.concat(F.transform(found, lambda w: F.xxhash64(w)), stems)
+    every = F.concat(F.transform(found, lambda w: F.xxhash64(w)), stems)
+    return F.array_distinct(F.transform(every, lambda h: h.bitwiseAND(F.lit(TERMS - 1).cast("long")).cast("int")))
 
 
 def distinct_terms(values: np.ndarray, offsets: np.ndarray, slot_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct hashed terms, or kept slots where ``slot_of`` maps terms to those."""
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    terms = (values & (TERMS - 1)).astype(np.int64)
+    terms = values.astype(np.int64) & (TERMS - 1)
     if slot_of is not None:
         terms = slot_of[terms]
         known = terms >= 0
@@ -74,22 +78,48 @@ class FactorizationMachine:
         return sigmoid(self.logits(slots, owner, len(at) - 1)[0])
 
 
-def telling_terms(terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The hashed terms whose presence speaks for the label, by chi-square.
+def association(terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chi-square, excess) of every hashed term and the label among the chosen rows, by strata of like numbers of terms.
 
-    What speaks against it is mostly what longer or rarer texts happen to hold.
+    Long texts hold more of everything; within a stratum (powers of two) that doesn't
+    pass for association.  ``excess`` is how many more labelled texts hold the term
+    than would by chance.
     """
+    excess, spread = np.zeros(TERMS), np.zeros(TERMS)
     owner = np.repeat(np.arange(len(labels)), np.diff(offsets))
-    both = np.bincount(terms, weights=labels[owner], minlength=TERMS)
-    seen = np.bincount(terms, minlength=TERMS).astype(float)
-    n, positive = len(labels), float(labels.sum())
-    odds = both * (n - positive - seen + both) - (positive - both) * (seen - both)
-    spread = seen * (n - seen) * positive * (n - positive)
+    stratum = np.frexp(np.diff(offsets))[1]
+    for s in np.unique(stratum[rows]):
+        inside = rows & (stratum == s)
+        n, positive = float(inside.sum()), float(labels[inside].sum())
+        if n < 2 or positive in (0.0, n):
+            continue
+        mine = inside[owner]
+        seen = np.bincount(terms[mine], minlength=TERMS).astype(float)
+        both = np.bincount(terms[mine], weights=labels[owner[mine]], minlength=TERMS)
+        excess += both - seen * positive / n
+        spread += seen * (n - seen) * positive * (n - positive) / (n * n * (n - 1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((seen >= 2) & (spread > 0) & (odds > 0), n * odds**2 / spread, 0.0)
-    order = np.argsort(-chi, kind="stable")
-    least = min(LEAST_TERMS, int((chi > 0).sum()))
-    return np.sort(order[: max(least, int((chi >= TELLING).sum()))])
+        return np.where(spread > 0, excess**2 / spread, 0.0), excess
+
+
+def telling_terms(terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The hashed terms the machine may use: those that tell, by themselves or beside others, and the most frequent."""
+    owner = np.repeat(np.arange(len(labels)), np.diff(offsets))
+    seen = np.bincount(terms, minlength=TERMS)
+    chi, excess = association(terms, offsets, labels, np.ones(len(labels), dtype=bool))
+    tells = (chi >= TELLING) & (seen >= 2)
+    # Beside a term that speaks for the label, others may confirm or take back what it says.
+    speaks = tells & (excess > 0)
+    beside = np.zeros(len(labels), dtype=bool)
+    beside[owner[speaks[terms]]] = True
+    near, _ = association(terms, offsets, labels, beside)
+    among = np.bincount(terms[beside[owner]], minlength=TERMS)
+    kept = tells | ((near >= TELLING) & (among >= 2))
+    # Nothing tells of a term that all texts hold.
+    common = np.minimum(seen, len(labels) - seen)
+    frequent = np.argsort(-common, kind="stable")[:FREQUENT]
+    kept[frequent[common[frequent] > 0]] = True
+    return np.flatnonzero(kept)
 
 
 def train(terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int = 3) -> FactorizationMachine:
@@ -172,7 +202,7 @@ def predict(docs: DataFrame, model: FactorizationMachine, doc_id: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([StructField("id", docs.schema[doc_id].dataType), StructField("score", DoubleType())])
     rows = docs.select(F.col(doc_id).alias("id"), term_keys(F.col(text)).alias("terms"))
-    return rows.mapInArrow(lambda it: _score(it, shared.value), schema).withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(lambda it: handed_back(_score(it, shared.value)), schema).withColumnRenamed("id", doc_id)
 
 
 def report(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
