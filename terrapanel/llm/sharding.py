@@ -13,44 +13,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.llm.common import send_if_small
-from terrapanel.session import cut_lineage, shuffle_width
+from terrapanel.session import cut_lineage
 
-# Bytes of records a bucket is meant to hold, how many times that it may hold, and how
-# many buckets a task takes one after the other, so that tasks are of even size.
-BUCKET_BYTES, SLACK, BUCKETS_PER_TASK = 8 << 20, 4, 4
+# Bytes of records a bucket is meant to hold, how many buckets a task takes one after
+# the other, so that tasks are of even size, and the least number of tasks.
+BUCKET_BYTES, BUCKETS_PER_TASK, LEAST_TASKS = 8 << 20, 4, 64
 
 
 def _record_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
+def _copy_numbers(rows: DataFrame) -> DataFrame:
+    """Adds ``_copy``: rows of equal ``_content`` are numbered from 0, in any order.
+
+    Only rows that have an equal are touched.  They are numbered where they were
+    read and then carry on from what other parts of the table hold of them, so a
+    group of any size is never in one task.
+    """
+    twice = rows.groupBy("_content").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_content")
+    twice = send_if_small(cut_lineage(twice), F.lit(24))
+    single = rows.join(twice, "_content", "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    copies = cut_lineage(rows.join(twice, "_content", "left_semi").withColumn("_part", F.spark_partition_id()))
+    held = copies.groupBy("_content", "_part").agg(F.count(F.lit(1)).alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut_lineage(held.select("_content", "_part", before.alias("_first")))
+    here = F.row_number().over(Window.partitionBy("_content", "_part").orderBy("_size")) - 1
+    numbered = copies.withColumn("_here", here).join(send_if_small(starts, F.lit(40)), ["_content", "_part"])
+    return single.unionByName(numbered.withColumn("_copy", (F.col("_first") + F.col("_here")).cast("long")).select(*single.columns))
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` plus ``_shard`` (0 to shards-1) and ``_slot`` (0, 1, ... in each shard).
 
     Columns of those two names in the input are replaced.
 
-    A record's bucket follows from the seed, its id and its text.  Rows equal in
-    both would meet in one bucket; where that makes a bucket larger than memory
-    allows, the rows' positions in the input are hashed too.  NULL ids and texts
-    are records like others; an empty table gives an empty table.
+    A record's bucket follows from the seed, its id, its text and its number among
+    the rows equal in both, so equal rows spread over the buckets like others, and
+    ids and texts are dealt alike however the table is split and Spark is set.
+    NULL ids and texts are records like others; an empty table gives an empty table.
     """
     names = [n for n in docs.columns if n not in ("_shard", "_slot")]
     size = _record_bytes(F.col(text))
-    total, longest = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
-    tasks = max(shuffle_width(docs.sparkSession), -(-total // (bucket_bytes * BUCKETS_PER_TASK)))
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    tasks = max(LEAST_TASKS, -(-total // (bucket_bytes * BUCKETS_PER_TASK)))
     buckets = tasks * BUCKETS_PER_TASK
     content = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     # The record travels as one value, so that its columns may have any names.
-    record = F.struct(content.alias("_order"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("_record")
-    keyed = docs.select(F.pmod(content, F.lit(buckets)).cast("int").alias("_bucket"), size.alias("_size"), record)
-    sizes = keyed.groupBy("_bucket").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    sizes = cut_lineage(sizes)
-    largest = sizes.agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("m")).first()["m"]
-    if largest > SLACK * bucket_bytes + longest:
-        # Equal records by the memory-full: scatter by place as well, once, into a stored table.
-        placed = F.pmod(F.xxhash64(content, F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-        keyed = cut_lineage(docs.select(placed.alias("_bucket"), size.alias("_size"), record))
-        sizes = cut_lineage(keyed.groupBy("_bucket").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
+    rows = docs.select(content.alias("_content"), size.alias("_size"), F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("_value"))
+    order = F.xxhash64("_content", "_copy")
+    record = F.struct(order.alias("_order"), "_value.*").alias("_record")
+    keyed = _copy_numbers(rows).select(F.pmod(order, F.lit(buckets)).cast("int").alias("_bucket"), "_size", record)
+    sizes = cut_lineage(keyed.groupBy("_bucket").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
 
     # How many records the buckets before hold: prefix sums over blocks, so that no task sees all buckets.
     block = (F.col("_bucket") / 4096).cast("int")
