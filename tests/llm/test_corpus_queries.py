@@ -70,8 +70,8 @@ def test_pages(spark, duck):
 
     got = {r["page_id"]: r for r in QUERIES["op1_html_extraction"](spark, SF_DIR).collect()}
     for page_id, url, page in duck.execute("select page_id, url, html from pages").fetchall():
-        inside = re.sub("</?b>", " ", page[page.index("<article>") + 9 :].split("</article>")[0])
-        blocks = [" ".join(h.unescape(x).split()) for x in re.split("<br>|</?p>|</?h1>", inside)]
+        inside = re.sub("</?b>|<br>", " ", page[page.index("<article>") + 9 :].split("</article>")[0])
+        blocks = [" ".join(h.unescape(x).split()) for x in re.split("</?p>|</?h1>", inside)]
         text = "\n\n".join(b for b in blocks if b)
         assert (got[page_id]["text"], got[page_id]["n_chars"], got[page_id]["url"]) == (text, len(text), url)
 

@@ -8,7 +8,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrapanel.llm import decontamination, embeddings, language, minhash, pieces, quality, toxicity, urlrules, wrappers
+from terrapanel.llm import decontamination, embeddings, language, minhash, pieces, quality, sharding, toxicity, urlrules, wrappers
 from terrapanel.llm.common import components, least_labels
 
 VOCABULARY = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
@@ -397,6 +397,55 @@ def test_foreign_and_custom_elements_end(swallower):
     assert text.split("\n\n")[-1] == "x" and "t" not in text
 
 
+def test_template_texts_are_told_from_data(spark):
+    """Slots with one text on all pages of a host are its template, if its pages differ; nothing marks them otherwise."""
+    def page(body):
+        return f"<body><div>Welcome to our site</div><div><h1>{body} title</h1><p>{body} text</p></div><div>All rights reserved 2020</div></body>"
+
+    got = texts_of(spark, page_rows(page("one"), page("two")) + [(9, "http://alone/1", page("three")), (10, "http://twice/1", page("four")), (11, "http://twice/2", page("four"))])
+    assert got[0] == "one title\n\none text" and got[1] == "two title\n\ntwo text"
+    # One page, or copies of one, can't tell.
+    assert all(got[i].startswith("Welcome to our site\n\n") and got[i].endswith("2020") for i in (9, 10, 11))
+    # Without what the host's pages say together, the template stays: the wrapper decides.
+    content = set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(page("one")).tokens)))
+    assert wrappers.page_text(page("one"), content) != got[0]
+
+
+def test_template_texts_are_found_however_pages_are_dealt(spark, monkeypatch):
+    """Many tasks, slices and few hosts at once give what one task gives."""
+    def page(host, n):
+        return f"<body><p>line of {host}</p><p>{host} {n}</p><ul><li>a {n}</li><li>b</li></ul></body>"
+
+    rows = [(100 * h + n, f"http://h{h}/{n}", page(h, n)) for h in range(6) for n in range(8)]
+    want = {100 * h + n: f"{h} {n}\n\na {n}" for h in range(6) for n in range(8)}
+    assert texts_of(spark, rows) == want
+    monkeypatch.setattr(wrappers, "HOSTS_AT_ONCE", 1)
+    monkeypatch.setattr(wrappers, "SLICES", 2)
+    frame = spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(9, "page_id")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(frame).collect()} == want
+    # An article's text is never template.
+    same = [(i, f"http://s/{i}", f"<article><p>the same</p><p>{i}</p></article>") for i in range(3)]
+    assert texts_of(spark, same) == {i: f"the same\n\n{i}" for i in range(3)}
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><form id=aspnetForm><div><h1>t</h1><p>the text of it</p></div></form></body>", "t\n\nthe text of it"),
+    ("<body><form id=aspnetForm><nav>menu</nav><article><p>the text of it</p></article></form></body>", "the text of it"),
+    ("<body><div class='header-fixed'><main><p>the text of it</p></main></div></body>", "the text of it"),
+    ("<body><div class='site header-sticky'><article><p>the text of it</p></article></div></body>", "the text of it"),
+    ("<body><article class='post comment-count-5'><p>the text of it</p></article></body>", "the text of it"),
+    ("<body><main><article><p>teaser</p></article><p>" + "main words " * 27 + "end</p></main></body>", "teaser\n\n" + "main words " * 27 + "end"),
+    ("<body><article><section id=search><h2>How to search</h2><p>a</p></section><div class='related-work'>b</div><div class='skip-lists'>c</div></article></body>", "How to search\n\na\n\nb\n\nc"),
+    ("<body><article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object>an object</object></article></body>", "So x=2 holds.\n\nan object"),
+    ("<body><header><h1>site</h1></header><form>mail <input></form><div><p>some text of the page that is long</p></div></body>", "some text of the page that is long"),
+    ("<body><article><p>long enough a text</p><div class='related-posts'>x</div><div class='share-buttons'>y</div><div id=comments>z</div><form>w</form></article></body>", "long enough a text"),
+    ("<body><aside><article>card</article></aside><footer><article>card</article></footer><article><p>text</p></article></body>", "text"),
+])
+def test_no_article_is_lost_to_what_is_around_it(page, text):
+    content = set(wrappers.content_slots(wrappers.wrapper_of(wrappers.Page(page).tokens)))
+    assert wrappers.page_text(page, content) == text
+
+
 def test_classes_are_dropped_by_text_not_by_id(spark):
     def words(tag, changed=0):
         return " ".join(f"{tag}{i}" if i >= changed else f"{tag}new{i}" for i in range(60))
@@ -489,3 +538,107 @@ def test_language_by_plain_counts(spark, monkeypatch, ids):
         assert named.where("lang is not null and lang <> lang_pred").count() <= 2
     report = language.report(docs).collect()
     assert any(r["lang_pred"] != "und" for r in report)
+
+
+# Scorers against plain forms
+
+
+def test_factorization_machine_is_a_sum_over_pairs(spark):
+    """Scores of whole texts, term by term and pair by pair."""
+    rng = np.random.default_rng(11)
+    words = ["red", "green", "bluebird", "yellowish", "x"]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(60)] + [(60, None), (61, ""), (62, "unseen words"), (63, "red " * 30_000)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    keys = {r["doc_id"]: r["k"] for r in frame.select("doc_id", toxicity.term_keys(frame["text"]).alias("k")).collect()}
+    known = sorted({k & (toxicity.TERMS - 1) for i in range(40) for k in keys[i]})
+    slot_of = np.full(toxicity.TERMS, -1, dtype=np.int32)
+    slot_of[known] = np.arange(len(known))
+    model = toxicity.FactorizationMachine(-0.7, rng.normal(size=len(known)), rng.normal(size=(len(known), 5)), slot_of)
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(frame, model).collect()}
+    for i, _ in texts:
+        slots = sorted({int(slot_of[k & (toxicity.TERMS - 1)]) for k in keys[i]} - {-1})
+        logit = model.bias + sum(model.weights[s] for s in slots)
+        logit += sum(float(model.factors[s] @ model.factors[t]) for n, s in enumerate(slots) for t in slots[:n])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-12)
+
+
+def test_label_model_by_plain_expectation_maximisation():
+    rng = np.random.default_rng(12)
+    votes = np.unique(rng.integers(0, 3, (60, 4)), axis=0)
+    counts = rng.integers(1, 50, len(votes)).astype(float)
+    start = {1: [0.02, 0.38, 0.60], 0: [0.40, 0.10, 0.50]}
+    table = {c: [list(start[c]) for _ in range(4)] for c in (0, 1)}
+    prior = 0.8
+    for _ in range(300):
+        good = []
+        for row in votes:
+            a, b = prior, 1 - prior
+            for k, v in enumerate(row):
+                a, b = a * table[1][k][v], b * table[0][k][v]
+            good.append(a / (a + b))
+        for c in (0, 1):
+            for k in range(4):
+                sums = [4.0 * start[c][v] + sum(n * (g if c else 1 - g) for n, g, row in zip(counts, good, votes) if row[k] == v) for v in range(3)]
+                table[c][k] = [x / sum(sums) for x in sums]
+        prior = (sum(n * g for n, g in zip(counts, good)) + 3.2) / (counts.sum() + 4.0)
+    model = quality.estimate(votes, counts, rounds=300)
+    assert model.prior == pytest.approx(prior, abs=1e-6)
+    np.testing.assert_allclose(model.table, [table[0], table[1]], atol=1e-5)
+
+
+def plain_features(text):
+    """Shares of runs of three character classes, of token shapes, and of repeated tokens, under their hashed names."""
+    def name(value):
+        return int(quality.mix(np.array([value], dtype=np.uint64))[0] % np.uint64(quality.FEATURES))
+
+    kinds = [int(quality.class_table()[ord(c)]) for c in text + "\n"]
+    groups = [[name(a * 256 + b * 16 + c + (1 << 20)) for a, b, c in zip(kinds, kinds[1:], kinds[2:])], [], []]
+    tokens = [[]]
+    for c, k in zip(text + "\n", kinds):
+        if k in (quality._BLANK, quality._BREAK):
+            tokens.append([])
+        else:
+            tokens[-1].append((c, k))
+    before = None
+    for token in [t for t in tokens if t]:
+        again = token == before
+        symbols = sum(k == quality._SYMBOL for _, k in token)
+        shape = min(len(token), 15)
+        for part in (token[0][1], token[-1][1], min(symbols, 3), int(again)):
+            shape = shape * 16 + part
+        groups[1].append(name(shape + (1 << 40)))
+        groups[2].append(name((1 if again else 2) + (1 << 50)))
+        before = token
+    out = []
+    for group in groups:
+        out += [(f, (group.count(f) / len(group)) ** 0.5) for f in set(group)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("text", ["Hello, hello world. 12 #tags!!", "a a a b", "", "   ", "Ünïcode ΣΑΣ\n日本 x%% ##"])
+def test_quality_features_by_plain_counts(text):
+    feature, value, offsets = quality.features([text, "other text"])
+    got = sorted(zip(feature[: offsets[1]].tolist(), value[: offsets[1]].tolist()))
+    want = plain_features(text)
+    assert [f for f, _ in got] == [f for f, _ in want]
+    np.testing.assert_allclose([v for _, v in got], [v for _, v in want], atol=1e-12)
+
+
+# Sharding
+
+
+def test_shards_do_not_depend_on_how_a_table_is_split(spark):
+    """Equal rows spread over buckets; ids, texts and shards are the same for any split and any setting."""
+    rows = [(None, "one and the same")] * 400 + [(i, f"text {i % 50}") for i in range(300)] + [(7, "again")] * 50 + [(8, None)] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = set()
+    for parts, width in ((1, 8), (3, 8), (17, 3)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(width))
+        try:
+            dealt = sharding.shuffle_into_shards(frame.repartition(parts), shards=5, bucket_bytes=500)
+            seen.add(tuple(sorted(((str(r["doc_id"]), str(r["text"]), r["_shard"], r["_slot"]) for r in dealt.collect()))))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(seen) == 1
+    shards = [r[2] for r in next(iter(seen)) if r[1] == "one and the same"]
+    assert min(shards.count(k) for k in range(5)) > 50
