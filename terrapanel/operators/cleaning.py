@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,38 +97,39 @@ def state_in(col: Column, states: Sequence[str]) -> Column:
     return col.isin(spelled)
 
 
+@dataclass(frozen=True)
+class IncidentColumns:
+    """Where an incident table keeps what is asked for."""
+
+    discovered: str = "FireDiscoveryDateTime"
+    state: str = "POOState"
+    kind: str = "IncidentTypeCategory"
+
+
+# What a record's status columns hold when it may be used.
+RECORD_STATUS = {
+    "public": "ADSPermissionState = 'DEFAULT'",
+    "valid": "IsValid = 1",
+    "released": "IsQuarantined = 0 or IsQuarantinedInIRWIN = 0 or IsQuarantined is null",
+}
+
+
 def incident_filter(
-    df: DataFrame,
-    start: str,
-    end: str,
-    *,
-    tz: str = "America/Los_Angeles",
-    states: Sequence[str] = (),
-    types: Sequence[str] = (),
-    adsp_default: bool = False,
-    valid_only: bool = False,
-    non_quarantined_only: bool = False,
-    time: str = "FireDiscoveryDateTime",
-    state: str = "POOState",
-    kind: str = "IncidentTypeCategory",
+    df: DataFrame, days: tuple[str, str], *, tz: str = "America/Los_Angeles", states: Sequence[str] = (), types: Sequence[str] = (), status: Sequence[str] = (), columns: IncidentColumns = IncidentColumns()
 ) -> DataFrame:
-    """Incidents discovered in the local days start..end, by state, type and record status.
+    """Incidents discovered between two local days, both included, by state, type and the named kinds of record status.
 
     All tests are plain comparisons on stored columns and reach the scan.
     """
-    low, high = local_window_utc(start, end, tz)
-    out = df.where((F.col(time) >= low) & (F.col(time) <= high))
+    low, high = local_window_utc(*days, tz)
+    tests = [F.col(columns.discovered).between(low, high), *[F.expr(RECORD_STATUS[s]) for s in status]]
     if types:
-        out = out.where(F.col(kind).isin(list(types)))
+        tests.append(F.col(columns.kind).isin(list(types)))
     if any(s.strip() for s in states):
-        out = out.where(state_in(F.col(state), states))
-    if adsp_default:
-        out = out.where(F.col("ADSPermissionState") == "DEFAULT")
-    if valid_only:
-        out = out.where(F.col("IsValid") == 1)
-    if non_quarantined_only:
-        out = out.where((F.col("IsQuarantined") == 0) | (F.col("IsQuarantinedInIRWIN") == 0) | F.col("IsQuarantined").isNull())
-    return out
+        tests.append(state_in(F.col(columns.state), states))
+    for test in tests:
+        df = df.where(test)
+    return df
 
 
 def clean_portal_incidents(df: DataFrame, state: str = "US-CA", kind: str = "WF") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.spatial import bucket_of, bucket_text
-from terrapanel.session import cut_lineage, fits_broadcast, measured
+from terrapanel.session import cut_lineage, fits_broadcast
 
 LEVELS = range(2, 21)
 TILE_CELLS = 20_000  # cells the fullest tile is meant to hold
@@ -40,7 +40,9 @@ def _around(panel: DataFrame, cells: DataFrame, links: DataFrame, made: dict, ce
     flags = [c for c in links.columns if c not in (cell, "neighbor_id")]
     placed = links.join(tiles, cell).groupBy("neighbor_id", "_tile").agg(F.collect_list(F.struct(cell, *flags)).alias("_to"))
     routes = cut_lineage(placed)
-    rows, size = measured(routes.select("neighbor_id", F.explode("_to").alias("t")).select("neighbor_id", "t.*"))
+    # Eight bytes a field, and the letters of ids that are text; read off the arrays.
+    letters = F.aggregate("_to", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t[cell].cast("string"))) if dict(cells.dtypes)[cell] == "string" else F.lit(0)
+    size = routes.agg(F.coalesce(F.sum(F.size("_to") * (24 + 8 * len(flags)) + letters + 32), F.lit(0)).cast("long")).first()[0]
     kept = [c for c in panel.columns if c not in (cell, date)]
     routed = panel.withColumnRenamed(cell, "neighbor_id").join(F.broadcast(routes) if fits_broadcast(1, size) else routes.hint("shuffle_hash"), "neighbor_id")
     sent = routed.repartition("_tile", date).select("*", F.inline("_to")).drop("_to", "neighbor_id")

@@ -146,7 +146,7 @@ def incident_filter_query(spark, sf_dir):
         (c % 2).alias("IsQuarantinedInIRWIN"),
     )
     return incident_filter(
-        incidents, "1997-03-01", "1997-07-15", states=["F", " US-O"], types=["1-URGENT", "2-HIGH"], adsp_default=True, valid_only=True, non_quarantined_only=True
+        incidents, ("1997-03-01", "1997-07-15"), states=["F", " US-O"], types=["1-URGENT", "2-HIGH"], status=["public", "valid", "released"]
     )
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from terrapanel.operators import qa
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
-from terrapanel.plans.roles import table
+from terrapanel.plans.roles import place, place_sql, table
 from terrapanel.session import ensure_checkpoint_dir
 from terrapanel.sources import sinks, tabular
+from terrapanel.sources.boundaries import read_boundary
 from terrapanel.sources.settings import read_settings
 
 
@@ -133,6 +134,31 @@ def settings_file(spark, sf_dir):
     return spark.createDataFrame([(read.start_date, read.end_date, *read.bbox, read.resolution_km)], "start_date string, end_date string, x0 double, y0 double, x1 double, y1 double, resolution_km double")
 
 
+@register(
+    "boundary_file",
+    "x0:f6 y0:f6 x1:f6 y1:f6 hole:b",
+    f"""with spots as (select s_suppkey, {place_sql('s_suppkey')} from supplier where s_nationkey % 5 = 2)
+    select lon as x0, lat as y0, lon + 0.5e0 as x1, lat + 0.5e0 as y1, false as hole from spots union all
+    select lon + 0.1e0, lat + 0.1e0, lon + 0.2e0, lat + 0.2e0, true from spots where s_suppkey % 2 = 0""",
+)
+def boundary_file(spark, sf_dir):
+    """Boundary documents, one a nation, read as files; the features that match the first property any has."""
+    path, spot = _folder(spark), place("s_suppkey")
+    placed = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", spot["lon"].alias("x"), spot["lat"].alias("y"))
+
+    def ring(low: float, high: float):
+        return F.array(*[F.array(F.col("x") + a, F.col("y") + b) for a, b in ((low, low), (high, low), (high, high), (low, high), (low, low))])
+
+    rings = F.when(F.col("s_suppkey") % 2 == 0, F.array(ring(0.0, 0.5), ring(0.1, 0.2))).otherwise(F.array(ring(0.0, 0.5)))
+    shape = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('"MultiPolygon","coordinates":'), F.to_json(F.array(rings)))).otherwise(F.concat(F.lit('"Polygon","coordinates":'), F.to_json(rings)))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"STATEFP":"'), F.col("s_nationkey") % 5, F.lit('"},"geometry":{"type":'), shape, F.lit("}}"))
+    documents = placed.groupBy("s_nationkey").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value"))
+    documents.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    found = read_boundary(spark, path, [("STUSPS", "CA"), ("STATEFP", "2")])
+    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
+    return found.select(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"), "hole")
+
+
 @register("sorted_head", "place:l o_orderkey:l price:f2", f"select row_number() over (order by price desc nulls last, o_orderkey) as place, o_orderkey, price from ({_PRICED}) order by place limit 100")
 def sorted_head(spark, sf_dir):
     """The first hundred rows of a written table, sorted by two keys."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,7 +17,8 @@ from terrapanel.operators.timeseries import event_history, rolling_rows
 from terrapanel.plans import roles
 from terrapanel.plans.catalog import register
 from terrapanel.plans.roles import WEATHER, table
-from terrapanel.session import cut_lineage
+from terrapanel.session import cut_lineage, ensure_checkpoint_dir
+from terrapanel.sources.sinks import write_model
 
 
 def _orders(spark, sf_dir):
@@ -466,6 +470,32 @@ def tree_scores(spark, sf_dir):
     return learning.score(_small_tree(train), val).groupBy(*_SMALL).agg(F.count("*").alias("rows"), F.max("score").alias("score"))
 
 
+@register(
+    "model_files",
+    "l_linenumber:l l_discount:f2 l_tax:f2 score:f9 threshold:f9 num_train_rows:l num_val_rows:l",
+    f"""{_tree_sql()}, v as (select score, sum(w) as n, sum(case when hit then w else 0 end) as p from placed join leaves using (node) where not tr group by 1),
+    curve as (select score, cast(sum(p) over (order by score desc) as double) as tp, sum(n) over (order by score desc) as said, (select sum(p) from v) as pos from v),
+    marks as (select score, 2 * (tp / said) * (tp / pos) / (tp / said + tp / pos + 1e-9) as f from curve)
+    select x1 as l_linenumber, x2 as l_discount, x3 as l_tax, any_value(score) as score, (select score from marks order by f desc, score limit 1) as threshold, (select sum(w) from small where tr) as num_train_rows,
+      (select sum(w) from small where not tr) as num_val_rows from placed join leaves using (node) where not tr group by 1, 2, 3""",
+)
+def model_files(spark, sf_dir):
+    """A model with its record and threshold written to files; the scores of the model that was read again."""
+    train, val = _tree_frame(spark, sf_dir)
+    model, folder = _small_tree(train), f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    record = learning.model_record(train, cut_lineage(learning.score(model, val).select("label", "score")), _SMALL, "label")
+    write_model(model, record, folder)
+    scored = learning.score(PipelineModel.load(f"{folder}/model"), val).groupBy(*_SMALL).agg(F.max("score").alias("score"))
+    stated = spark.read.json(f"{folder}/metadata").select("num_train_rows", "num_val_rows").crossJoin(spark.read.json(f"{folder}/threshold"))  # one row each
+    return scored.crossJoin(F.broadcast(stated))
+
+
+@register("label_encode", "o_orderkey:l label:l", "select o_orderkey, dense_rank() over (order by o_orderpriority) - 1 as label from orders")
+def label_encode(spark, sf_dir):
+    """Class names numbered in alphabetical order."""
+    return learning.encode_label(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
+
+
 _STEPS_SVM = [round(-2.0 + 0.1 * i, 1) for i in range(41)]
 
 

@@ -132,14 +132,12 @@ def shifted_day_sql(day: str) -> str:
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, date, lat, lon) of urgent finished orders."""
-    orders = table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
+    """(id, date, lat, lon) of all orders."""
     where = place("o_custkey")
-    return orders.select(F.col("o_orderkey").alias("id"), shifted_day(spark, sf_dir, F.col("o_orderdate")).cast("date").alias("date"), *[c.alias(n) for n, c in where.items()])
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), shifted_day(spark, sf_dir, F.col("o_orderdate")).cast("date").alias("date"), *[c.alias(n) for n, c in where.items()])
 
 
-INCIDENTS = f"""incidents as (select o_orderkey as id, cast({shifted_day_sql('o_orderdate')} as date) as date, {place_sql('o_custkey')}
-  from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT')"""
+INCIDENTS = f"""incidents as (select o_orderkey as id, cast({shifted_day_sql('o_orderdate')} as date) as date, {place_sql('o_custkey')} from orders)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
