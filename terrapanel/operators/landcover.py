@@ -49,7 +49,10 @@ def spread_over_cells(pixels: DataFrame, cell_m: float, *, ring: str = "ring", x
         values = F.transform(ring, lambda v: v[axis])
         return F.sequence(F.floor((F.array_min(values) - low) / cell_m), F.floor((F.array_max(values) - low) / cell_m))
 
-    placed = pixels.where(F.size(ring) > 3).select(*kept, ring, F.array(reach("x", x0), reach("y", y0)).alias("_reach"), ring_moments(F.col(ring))["area"].alias("_whole"))
+    # Exploded, a value is worked out once; a filter on a mere expression would repeat it.
+    rings = pixels.select(*kept, F.explode(F.array(F.col(ring))).alias(ring)).where(F.size(ring) > 3)
+    measures = F.struct(F.array(reach("x", x0), reach("y", y0)).alias("_reach"), ring_moments(F.col(ring))["area"].alias("_whole"))
+    placed = rings.select(*kept, ring, F.inline(F.array(measures)))
     alone = (F.size(F.col("_reach")[0]) == 1) & (F.size(F.col("_reach")[1]) == 1)
     spread = placed.where("_whole > 0").withColumn("_alone", alone).withColumn("i", F.explode(F.col("_reach")[0])).withColumn("j", F.explode(F.col("_reach")[1]))
 
@@ -59,7 +62,7 @@ def spread_over_cells(pixels: DataFrame, cell_m: float, *, ring: str = "ring", x
 
     cut = bound(clip_ring(F.col(ring), side("i", x0), side("j", y0)), lambda r: ring_moments(r)["area"])
     covered = F.when(F.col("_alone"), F.col("_whole")).otherwise(cut)
-    return spread.withColumn("covered", covered).where("covered > 0").select(*kept, "i", "j", "covered", (F.col("covered") / F.col("_whole")).alias("share"))
+    return spread.select(*kept, "i", "j", "_whole", F.explode(F.array(covered)).alias("covered")).where("covered > 0").select(*kept, "i", "j", "covered", (F.col("covered") / F.col("_whole")).alias("share"))
 
 
 def landcover_area_fraction(covered: DataFrame, code: str, classes: Sequence, *, renormalise: bool = False, prefix: str = "pct_") -> DataFrame:

@@ -146,23 +146,29 @@ def ring_moments(ring: Column) -> Column:
 
     Sums run relative to the first vertex, which keeps them accurate far from the origin.
     """
-    first = F.element_at(ring, 1)
-
-    def term(i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
-        ax, ay, bx, by = a["x"] - first["x"], a["y"] - first["y"], b["x"] - first["x"], b["y"] - first["y"]
-        cross = ax * by - bx * ay
-        return F.struct(cross.alias("c"), (cross * (ax + bx)).alias("mx"), (cross * (ay + by)).alias("my"))
-
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    sums = F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.size(ring) - 1), term),
-        zero,
-        lambda s, t: F.struct((s["c"] + t["c"]).alias("c"), (s["mx"] + t["mx"]).alias("mx"), (s["my"] + t["my"]).alias("my")),
-        lambda s: F.struct(
-            (F.abs(s["c"]) / 2).alias("area"),
-            (F.sign(s["c"]) * s["mx"] / 6 + F.abs(s["c"]) / 2 * first["x"]).alias("mx"),
-            (F.sign(s["c"]) * s["my"] / 6 + F.abs(s["c"]) / 2 * first["y"]).alias("my"),
-        ),
-    )
-    return sums
+    def moments(ring: Column) -> Column:
+        def about(first: Column) -> Column:
+            def term(i: Column) -> Column:
+                ends = F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b"))
+                return bound(ends, lambda e: crossed(*[e[v][c] - first[c] for v in "ab" for c in "xy"]))
+
+            def crossed(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+                sides = F.struct((ax * by - bx * ay).alias("c"), (ax + bx).alias("x"), (ay + by).alias("y"))
+                return bound(sides, lambda s: F.struct(s["c"].alias("c"), (s["c"] * s["x"]).alias("mx"), (s["c"] * s["y"]).alias("my")))
+
+            zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+            return F.aggregate(
+                F.transform(F.sequence(F.lit(1), F.size(ring) - 1), term),
+                zero,
+                lambda s, t: F.struct((s["c"] + t["c"]).alias("c"), (s["mx"] + t["mx"]).alias("mx"), (s["my"] + t["my"]).alias("my")),
+                lambda s: F.struct(
+                    (F.abs(s["c"]) / 2).alias("area"),
+                    (F.sign(s["c"]) * s["mx"] / 6 + F.abs(s["c"]) / 2 * first["x"]).alias("mx"),
+                    (F.sign(s["c"]) * s["my"] / 6 + F.abs(s["c"]) / 2 * first["y"]).alias("my"),
+                ),
+            )
+
+        return bound(F.element_at(ring, 1), about)
+
+    # Bound once: a ring that is itself worked out would be so again for every vertex.
+    return bound(ring, moments)

@@ -40,6 +40,16 @@ def test_a_pixels_shares_sum_to_one(spark):
         assert math.isclose(r.pct_a, 100 * ground.loc[(r.i, r.j), "a"] / ground.loc[(r.i, r.j)].sum(), rel_tol=1e-9)
 
 
+def test_a_footprint_that_is_worked_out_is_so_once(spark, capsys):
+    """What a pixel's ring is made of stands in the plan once a corner, not once for every use of the ring."""
+    pixels = spark.range(40).select("id", landcover.square_footprint(F.hypot(F.col("id") * 7.0, F.lit(1.0)), F.col("id") * 3.0, 4.0).alias("ring"))
+    spread = landcover.spread_over_cells(pixels, 10.0)
+    spread.explain()
+    assert capsys.readouterr().out.lower().count("hypot") <= 5
+    found = spread.groupBy("id").agg(F.sum("covered").alias("c"), F.sum("share").alias("s"), F.count("*").alias("n")).toPandas()
+    assert len(found) == 40 and np.allclose(found.c, 16) and np.allclose(found.s, 1) and found.n.max() == 4
+
+
 def digamma(n):
     return sum(1 / i for i in range(1, int(n))) - 0.5772156649015329
 
