@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.operators.distributed import with_range_bucket
-from terrapanel.session import cut_lineage
+from terrapanel.session import cut_lineage, shuffle_width
 
 # Rows of one series in a task, for callers without a reason for another number.
 SERIES_ROWS = 1 << 16
@@ -226,7 +226,9 @@ def densify_cube(df: DataFrame, *, lat: str = "latitude", lon: str = "longitude"
     known = df.na.drop(subset=[date, lat, lon])
     axes = known.agg(F.sort_array(F.collect_set(date)).alias("_days"), F.sort_array(F.collect_set(lat)).alias("_lats"))
     axes = axes.select(F.struct("_days", "_lats").alias("_axes")).scalar()
-    columns = known.select(lon).distinct().withColumn(lat, F.explode(axes["_lats"])).withColumn(date, F.explode(axes["_days"]))
+    # Dealt out again: the longitudes are so few bytes that their groups meet in one task, which would write the whole cube.
+    meridians = known.select(lon).distinct().repartition(shuffle_width(df.sparkSession), F.xxhash64(lon))
+    columns = meridians.withColumn(lat, F.explode(axes["_lats"])).withColumn(date, F.explode(axes["_days"]))
     rest = [c for c in df.columns if c not in (date, lat, lon)]
     stacked = columns.select(date, lat, lon, F.lit(True).alias("_dense")).unionByName(known, allowMissingColumns=True)
     merged = stacked.groupBy(date, lat, lon).agg(*[F.max(c).alias(c) for c in rest])

@@ -136,3 +136,12 @@ def test_blocks_are_balanced(spark):
     assert rows.where("not _guest").count() == 30_000
     with pytest.raises(ValueError):
         ts.rolling_rows(df, "k", "x", [("v", 600, "mean", "m")], block_rows=500)
+
+
+def test_a_cube_is_written_by_many_tasks(spark, capsys):
+    """Longitudes are dealt out by number, which is kept however few bytes they are, before days and latitudes are generated."""
+    df = spark.range(400).selectExpr("date_add(date'2023-07-01', cast(id % 5 as int)) as date", "cast(id % 4 as double) as latitude", "cast(id div 4 as double) as longitude", "cast(id as double) as ndvi")
+    cube = ts.densify_cube(df)
+    cube.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert cube.count() == 5 * 4 * 100 and cube.where("ndvi is not null").count() == 400
