@@ -118,6 +118,14 @@ def test_learners_find_what_is_there(separable, name, options):
     assert metrics.auc_ap(metrics.score_curve(scored)).first().roc_auc > 0.93
 
 
+def test_a_forest_keeps_the_nodes_of_its_rows(separable):
+    """No level walks the rows down the trees again; the trees are those of a forest that does."""
+    train, _ = separable
+    assert learning.learner("random_forest", 4, "label").getCacheNodeIds()
+    kept, walked = (learning.fit(train, list("abcd"), "label", "random_forest", numTrees=5, maxDepth=12, **o).stages[-1].toDebugString for o in ({}, {"cacheNodeIds": False}))
+    assert kept.split("\n")[1:] == walked.split("\n")[1:] and len(kept.split("\n")) > 50
+
+
 def test_imbalanced_pipeline_finds_the_telling_features(separable):
     train, val = separable
     found = learning.imbalanced_pipeline(train, val, ["a", "b", "c", "d"], "label", "id", ratio=2, k_best=2, thresholds=[t / 10 for t in range(-20, 21)])
