@@ -111,8 +111,8 @@ def radius_mean_by_tiles(panel: DataFrame, links: RadiusLinks, columns: dict[str
     """Adds per column (``{column: output}``) the NULL-skipping mean over the same day's rows of all cells within the radius, its own included.
 
     ``panel`` has one row per cell and day.  A tile's rows are added up once, its total
-    goes to the tiles it is linked to, and from there to their cells; single pairs are
-    added as they are.  Cells without links get NULL.
+    goes to the tiles it is linked to, and from there to the rows of their cells, not to
+    every cell on every day; single pairs are added as they are.  Cells without links get NULL.
     """
     if not links.tile_links:
         return radius_mean(panel, links.cells, links.near, columns, cell=cell, date=date)
@@ -130,8 +130,9 @@ def radius_mean_by_tiles(panel: DataFrame, links: RadiusLinks, columns: dict[str
     single = values.withColumnRenamed(cell, "neighbor_id").join(by(links.near, "neighbor_id", 48), "neighbor_id").groupBy(cell, date).agg(*added(True))
     members = by(links.members, cell, 48)
     of_tile = values.join(members, cell).groupBy(F.col("node").alias("other"), date).agg(*added(True))
-    to_tile = of_tile.join(by(links.tiles, "other", 32), "other").groupBy("node", date).agg(*added(False))
-    from_tiles = to_tile.join(members, "node").select(cell, date, *totals)
+    to_tile = cut_lineage(of_tile.join(by(links.tiles, "other", 32), "other").groupBy("node", date).agg(*added(False)))
+    asking = panel.select(cell, date).distinct().join(members, cell)
+    from_tiles = asking.join(by(to_tile, "node", 32 + 16 * len(columns)), ["node", date]).select(cell, date, *totals)
     whole = single.unionByName(from_tiles).groupBy(cell, date).agg(*added(False))
     means = {out: F.try_divide(F.col(f"_s{n}"), F.col(f"_c{n}").cast("double")) for n, out in enumerate(columns.values())}
     return panel.join(whole, [cell, date], "left").withColumns(means).drop(*totals)

@@ -141,3 +141,26 @@ def test_ten_thousand_cells_at_one_place_cost_linear_rows(spark):
     panel = cells.selectExpr("grid_id", "1 as date", "cast(grid_id as double) as v")
     assert radius.radius_mean_by_tiles(panel, links, {"v": "m"}).agg(F.min("m"), F.max("m"), F.count("m")).first() == (4999.5, 4999.5, 10_000)
     assert radius.radius_links(cells.limit(0), 10.0).near.count() == 0
+
+
+def most_rows(df):
+    """The largest number of rows that a step of the plan that ran put out."""
+    df.collect()
+    found, open_nodes = [0], [df._jdf.queryExecution().executedPlan()]
+    while open_nodes:
+        node = open_nodes.pop()
+        rows = node.metrics().get("numOutputRows")
+        found += [rows.get().value()] if rows.isDefined() else []
+        kind = node.getClass().getSimpleName()
+        children = node.children()
+        open_nodes += [children.apply(i) for i in range(children.size())]
+        open_nodes += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+    return max(found)
+
+
+def test_totals_of_a_tile_go_to_rows_not_to_every_cell_on_every_day(spark):
+    cells = spark.range(400).selectExpr("id as grid_id", "35D + (id % 2) * 0.0001D as lat", "-120D as lon")
+    panel = cells.selectExpr("grid_id", "cast(grid_id as int) as date", "cast(grid_id as double) as v")
+    means = radius.radius_mean_by_tiles(panel, radius.radius_links(cells, 10.0), {"v": "m"})
+    assert most_rows(means) < 10_000  # not 400 cells on 400 days
+    assert means.where("m = v").count() == 400
