@@ -19,6 +19,7 @@ from terrapanel.session import cut_lineage, fits_broadcast
 
 LEVELS = range(2, 21)
 TILE_CELLS = 20_000  # cells the fullest tile is meant to hold
+RADIUS_TILE_CELLS = 500  # the same for means over a radius, where a tile with all its days is one task's
 
 
 def tile_level(cells: DataFrame, most: int = TILE_CELLS) -> int:
@@ -64,7 +65,28 @@ def neighbor_sum(
 def radius_mean(
     panel: DataFrame, cells: DataFrame, edges: DataFrame, columns: dict[str, str], *, cell: str = "grid_id", date: str = "date"
 ) -> DataFrame:
-    """Adds per column (``{column: output}``) the NULL-skipping mean over all cells within the radius, itself included."""
-    links = edges.select(cell, "neighbor_id", (F.col(cell) == F.col("neighbor_id")).alias("_own"))
-    made = {out: F.avg(c) for c, out in columns.items()}
-    return _around(panel, cells, links, made, cell, date)
+    """Adds per column (``{column: output}``) the NULL-skipping mean over all cells within the radius, itself included.
+
+    Links are many here, so they don't ride along with every row: a cell's days are one
+    array, as long as the calendar, which meets the cell's links into a tile once.  Only
+    sums are kept per cell and day; the row's own columns come back by a join.
+    """
+    tiles = cells.select(F.col(cell), bucket_of("lat", "lon", tile_level(cells, RADIUS_TILE_CELLS)).alias("_tile"))
+    tiles = F.broadcast(tiles) if fits_broadcast(1, _id_bytes(cells, cell, 32)) else tiles
+    routes = edges.select(cell, "neighbor_id").join(tiles, cell).groupBy("neighbor_id", "_tile").agg(F.collect_list(cell).alias("_to"))
+    known = panel.where(F.col(cell).isNotNull())
+    days = known.groupBy(F.col(cell).alias("neighbor_id")).agg(F.collect_list(F.struct(date, *columns)).alias("_days"))
+    sent = routes.join(days, "neighbor_id").repartition("_tile").select("_tile", "neighbor_id", "_to", F.inline("_days"))
+    sent = sent.select("_tile", "neighbor_id", date, *columns, F.explode("_to").alias(cell)).withColumn("_own", F.col(cell) == F.col("neighbor_id"))
+    means = sent.groupBy("_tile", date, cell).agg(F.max("_own").alias("_own"), *[F.avg(c).alias(out) for c, out in columns.items()]).where("_own")
+    means = means.select(F.col(cell).alias("_cell"), F.col(date).alias("_date"), *columns.values())
+    kept = [c for c in panel.columns if c not in (cell, date)]
+    own = known.groupBy(cell, date).agg(F.any_value(F.struct(*kept)).alias("_self"))
+    joined = own.join(means, (F.col(cell) == F.col("_cell")) & F.col(date).eqNullSafe(F.col("_date")))
+    return joined.select(cell, date, "_self.*", *columns.values())
+
+
+def _id_bytes(cells: DataFrame, cell: str, row_bytes: int) -> int:
+    """Bytes of a table with one id a row."""
+    size = F.coalesce(F.octet_length(F.col(cell).cast("string")), F.lit(0)) + row_bytes
+    return cells.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]

@@ -273,6 +273,8 @@ def radius_edges(cells: DataFrame, radius_km: float, *, cell_id: str = "grid_id"
     there = here.select(
         F.col(cell_id).alias("neighbor_id"), F.col("_lat").alias("_nlat"), F.col("_lon").alias("_nlon"), bucket_of("_lat", "_lon", level).alias("_bucket")
     )
+    # A cell table is one small file; the pairs are many more than its cells, and all cores shall make them.
+    reached = reached.repartition(4 * max(1, cells.sparkSession.sparkContext.defaultParallelism), F.col(cell_id))
     left, right = salted(reached, there, F.col(cell_id))
     pairs = left.join(right, ["_bucket", "_salt"])
     distance = haversine_km("_lat", "_lon", "_nlat", "_nlon")

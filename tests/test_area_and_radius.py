@@ -143,24 +143,40 @@ def test_ten_thousand_cells_at_one_place_cost_linear_rows(spark):
     assert radius.radius_links(cells.limit(0), 10.0).near.count() == 0
 
 
-def most_rows(df):
-    """The largest number of rows that a step of the plan that ran put out."""
+def measured(df, metric, of="numOutputRows"):
+    """What the steps of the plan that ran, those that also have the metric ``of``, say of one metric."""
     df.collect()
-    found, open_nodes = [0], [df._jdf.queryExecution().executedPlan()]
+    found, open_nodes = [], [df._jdf.queryExecution().executedPlan()]
     while open_nodes:
         node = open_nodes.pop()
-        rows = node.metrics().get("numOutputRows")
-        found += [rows.get().value()] if rows.isDefined() else []
+        value, other = node.metrics().get(metric), node.metrics().get(of)
+        found += [value.get().value()] if value.isDefined() and other.isDefined() else []
         kind = node.getClass().getSimpleName()
         children = node.children()
         open_nodes += [children.apply(i) for i in range(children.size())]
         open_nodes += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
-    return max(found)
+    return found
 
 
 def test_totals_of_a_tile_go_to_rows_not_to_every_cell_on_every_day(spark):
     cells = spark.range(400).selectExpr("id as grid_id", "35D + (id % 2) * 0.0001D as lat", "-120D as lon")
     panel = cells.selectExpr("grid_id", "cast(grid_id as int) as date", "cast(grid_id as double) as v")
     means = radius.radius_mean_by_tiles(panel, radius.radius_links(cells, 10.0), {"v": "m"})
-    assert most_rows(means) < 10_000  # not 400 cells on 400 days
+    assert max(measured(means, "numOutputRows")) < 10_000  # not 400 cells on 400 days
     assert means.where("m = v").count() == 400
+
+
+def test_links_of_a_cell_are_not_sent_with_each_of_its_days(spark):
+    cells = spark.range(120).selectExpr("id as grid_id", "35D + id * 0.0001D as lat", "-120D as lon")
+    panel = cells.crossJoin(spark.range(200).selectExpr("cast(id as int) as date")).selectExpr("grid_id", "date", "cast(grid_id + date as double) as v", "'x' as note")
+    means = neighbors.radius_mean(panel, cells, spatial.radius_edges(cells, 10.0), {"v": "m"})
+    assert sum(measured(means, "dataSize", of="shuffleBytesWritten")) < 12_000_000  # 2,880,000 links and days, of eight bytes at least
+    assert means.columns == ["grid_id", "date", "v", "note", "m"] and means.where("abs(m - 59.5 - date) < 1e-9").count() == 24_000
+
+
+def test_radius_means_of_repeated_and_null_keys(spark):
+    """Repeated rows count as often as they come and give one row; rows without a cell or a place have no mean."""
+    cells = spark.createDataFrame([(1, 35.0, -120.0), (2, 35.01, -120.0), (3, 38.0, -120.0), (4, None, -120.0), (None, 35.0, -120.0)], "grid_id long, lat double, lon double")
+    panel = spark.createDataFrame([(1, 1, 2.0), (1, 1, 2.0), (2, 1, 8.0), (2, None, 5.0), (3, 1, None), (4, 1, 1.0), (None, 1, 1.0)], "grid_id long, date int, v double")
+    found = neighbors.radius_mean(panel, cells, spatial.radius_edges(cells, 10.0), {"v": "m"}).collect()
+    assert sorted(map(tuple, found), key=str) == [(1, 1, 2.0, 4.0), (2, 1, 8.0, 4.0), (2, None, 5.0, 5.0), (3, 1, None, None)]
