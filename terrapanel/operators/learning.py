@@ -19,7 +19,8 @@ from terrapanel.operators.distributed import take_by_hash
 from terrapanel.operators.spatial import salted
 from terrapanel.session import cut_lineage, fits_broadcast
 
-MEMBER_ROWS = VISITOR_ROWS = 4096  # rows of a ball, and of those that search it, that meet in one task
+MEMBER_ROWS = 512  # distinct vectors of a ball
+VISITOR_ROWS = 4096  # of those that search it, that meet it in one task
 FANOUT = 16  # balls that a ball is split into
 
 
@@ -44,52 +45,69 @@ def _gap(here: str, there: str) -> str:
 
 def _beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Join with a table of balls, which is broadcast if its measured size allows."""
-    size = F.coalesce(F.sum(F.size("vecs") if "vecs" in right.columns else F.size("pivot")), F.lit(0)) * 8 + F.count("*") * 64
+    numbers = sum((F.size(n) for n, t in right.dtypes if t == "array<double>"), F.lit(0))
+    size = F.coalesce(F.sum(numbers), F.lit(0)) * 8 + F.count("*") * 64
     return left.join(F.broadcast(right) if fits_broadcast(1, right.agg(size.cast("long")).first()[0]) else right, key)
 
 
-def _split(placed: DataFrame, open_balls: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+def _box(width: int, low: str = "lo", high: str = "hi") -> list[Column]:
+    """The least box, in the directions of the axes, around the vectors of a group."""
+    return [F.array(*[f(F.col("vec")[i]) for i in range(width)]).cast("array<double>").alias(n) for f, n in ((F.min, low), (F.max, high))]
+
+
+def _apart(width: int, low: str, high: str, other_low: str, other_high: str, *, far: bool = False) -> Column:
+    """The least distance of two boxes (none where both end at infinity), or the greatest of their places; a vector is a box of its own."""
+    gap = "greatest({3}[{4}] - {0}[{4}], {1}[{4}] - {2}[{4}])" if far else "nanvl(greatest({2}[{4}] - {1}[{4}], {0}[{4}] - {3}[{4}], 0D), 0D)"
+    return F.expr("sqrt(" + " + ".join(["0D", *[f"pow({gap.format(low, high, other_low, other_high, i)}, 2)" for i in range(width)]]) + ")")
+
+
+def _split(placed: DataFrame, open_balls: DataFrame, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Cut every open ball into up to ``FANOUT`` by pivots drawn from it; (rows with their new ball, the new balls).
 
     A row goes to its nearest pivot; the pivots of a ball are the least of its rows by
     hash, one for each of ``FANOUT`` shares of them, so both follow from the rows.
     """
-    inside = _beside(placed, open_balls.select("ball", F.array().cast("array<double>").alias("pivot")), "ball").drop("pivot")
+    inside = _beside(placed, open_balls.select("ball"), "ball")
     digest = F.xxhash64(F.lit(seed), F.col("ball"), F.col("vec"))
     drawn = inside.groupBy("ball", F.pmod(digest, F.lit(FANOUT)).alias("no")).agg(F.min(F.struct(digest.alias("h"), F.col("vec").alias("vec")))["vec"].alias("vec"))
     pivots = cut_lineage(drawn.groupBy("ball").agg(F.array_sort(F.collect_list(F.struct("no", "vec"))).alias("pivots")))
     pivots = pivots.withColumn("vecs", F.flatten(F.transform("pivots", lambda p: p["vec"])))
-    near = F.expr(f"array_min(transform(pivots, p -> named_struct('reach', {_gap('vec', 'p.vec')}, 'no', p.no, 'vec', p.vec)))")
+    near = F.expr(f"array_min(transform(pivots, p -> named_struct('reach', {_gap('vec', 'p.vec')}, 'no', p.no)))")
     moved = _beside(inside, pivots, "ball").withColumn("near", near)
-    rows = cut_lineage(moved.select("vid", "vec", "copies", (F.col("ball") * FANOUT + 1 + F.col("near.no")).alias("ball"), F.col("ball").alias("parent"), F.col("near.reach").alias("reach"), F.col("near.vec").alias("pivot")))
-    balls = rows.groupBy("parent", "ball", "pivot").agg(F.max("reach").alias("radius"), F.sum("copies").alias("members"), F.count("*").alias("size"))
+    rows = cut_lineage(moved.select("vid", "vec", "copies", (F.col("ball") * FANOUT + 1 + F.col("near.no")).alias("ball"), F.col("ball").alias("parent")))
+    balls = rows.groupBy("parent", "ball").agg(*_box(width, "plo", "phi"), F.sum("copies").alias("members"), F.count("*").alias("size"))
     return rows.select("vid", "vec", "copies", "ball"), cut_lineage(balls)
 
 
 def _nearer(reached: DataFrame, k: int) -> DataFrame:
-    """Without the balls that can't hold one of a vector's k nearest others.
+    """Without the balls that can't hold one of the k nearest others of a group's vectors.
 
-    The balls nearest by their far side, as many as hold k others, bound the k-th
-    distance; balls whose near side lies beyond are left out.
+    No vector of a group has its k-th nearest other beyond ``reach``, nor beyond the far
+    sides of the balls nearest by them, as many as hold k others; balls whose near side
+    lies beyond are left out.
     """
-    held = F.sum("members").over(Window.partitionBy("vid").orderBy("far", "ball").rowsBetween(Window.unboundedPreceding, 0))
+    held = F.sum("members").over(Window.partitionBy("home", "scale").orderBy("far", "ball").rowsBetween(Window.unboundedPreceding, 0))
     summed = reached.withColumn("held", held)
-    bound = F.min(F.when(F.col("held") > k, F.col("far"))).over(Window.partitionBy("vid"))
-    return summed.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("near") - F.col("far") * 1e-12 <= F.col("bound"))).drop("held", "bound")
+    bound = F.min(F.when(F.col("held") > k, F.col("far"))).over(Window.partitionBy("home", "scale"))
+    return summed.withColumn("bound", F.least("reach", bound)).where(F.col("near") * (1 - 1e-12) <= F.col("bound")).drop("held", "bound")
 
 
 def feature_neighbours(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(vec, near): the k nearest other rows of every distinct vector, nearest first, ties by the vector.
 
-    ``points`` holds one ``vec array<double>`` per row.  Equal vectors travel once with
-    their count.  Balls are split level by level, ``FANOUT`` at a time, until they hold
-    ``MEMBER_ROWS`` vectors at most; a vector goes down the levels to the balls that can
-    still hold one of its k nearest (triangle inequality), so the result is exact.
+    ``points`` holds one ``vec array<double>`` per row; a vector with a missing component
+    has no distances and no neighbours.  Equal vectors travel once with their count.
+    Balls are split level by level, ``FANOUT`` at a time, until they hold ``MEMBER_ROWS``
+    vectors at most.  The k-th nearest in its own ball bounds a vector's search; vectors
+    of a ball with bounds of one size go down the levels as one box, and in the end a
+    vector visits the balls whose boxes lie within its own bound, so the result is exact.
     Balls are tables and levels are joins, so what reaches the driver doesn't grow.
-    Members and visitors of a ball meet piece by piece, however many come.
+    A ball meets its visitors piece by piece, however many come.
     """
-    distinct = points.groupBy("vec").agg(F.count("*").alias("copies"))
+    known = points.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)))
+    distinct = known.groupBy("vec").agg(F.count("*").alias("copies"))
     distinct = cut_lineage(distinct.withColumn("vid", F.monotonically_increasing_id()))
+    width = distinct.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0]
     rows = distinct.select("vid", "vec", "copies", F.lit(0).cast("long").alias("ball"))
     balls = rows.groupBy("ball").agg(F.count("*").alias("size"))
     done, levels = [], []
@@ -99,51 +117,71 @@ def feature_neighbours(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
             done.append(rows)
             break
         done.append(rows.join(open_balls, "ball", "left_anti"))
-        rows, balls = _split(rows, open_balls, seed + len(levels))
+        rows, balls = _split(rows, open_balls, width, seed + len(levels))
         levels.append((open_balls, balls))
     placed = done[0].select("vid", "vec", "copies", "ball")
     for more in done[1:]:
         placed = placed.unionByName(more.select("vid", "vec", "copies", "ball"))
     placed = cut_lineage(placed)
 
-    # Every vector starts at the root; of the balls it has reached, open ones give way to their parts.
-    start = {"ball": F.lit(0).cast("long"), "near": F.lit(0.0), "far": F.lit(float("inf")), "members": F.lit(0).cast("long")}
-    reached = distinct.select("vid", "vec", *[c.alias(n) for n, c in start.items()])
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        """How far a vector's k-th nearest other may lie at most, by its own ball alone."""
+        here, copies = np.stack(group["vec"].to_numpy()), group["copies"].to_numpy()
+        bound = np.full(len(here), np.inf)
+        if len(here) > k:  # the k + 1 nearest vectors, itself among them, hold k others
+            for lo, d in _distances(here, here):
+                bound[lo : lo + len(d)] = np.partition(d, k, axis=1)[:, k]
+        bound[np.isnan(bound)] = np.inf  # infinite components
+        bound[copies > k] = 0.0
+        octave = np.where(bound == 0, -2000, np.where(np.isinf(bound), 2000, np.frexp(bound)[1]))
+        scale = np.maximum(octave, int(np.median(octave)))  # one group for the nearer half, the rest by octaves
+        return pd.DataFrame({"vid": group["vid"], "vec": group["vec"], "home": group["ball"], "bound": bound, "scale": scale})
+
+    asking = cut_lineage(placed.groupBy("ball").applyInPandas(settle, "vid long, vec array<double>, home long, bound double, scale int"))
+    # Every group starts at the root; of the balls it has reached, open ones give way to their parts.
+    nowhere = F.lit(None).cast("array<double>")
+    start = {"ball": F.lit(0).cast("long"), "plo": nowhere, "phi": nowhere, "near": F.lit(0.0), "far": F.lit(float("inf")), "members": F.lit(0).cast("long")}
+    groups = asking.groupBy("home", "scale").agg(*_box(width), F.max("bound").alias("reach"))
+    own = ["home", "scale", "lo", "hi", "reach"]
+    reached = groups.select(*own, *[c.alias(n) for n, c in start.items()])
     for open_balls, parts in levels:
         closed = reached.join(open_balls, "ball", "left_anti")
-        below = _beside(reached.join(open_balls, "ball").select("vid", "vec", F.col("ball").alias("parent")), parts.drop("size"), "parent")
-        below = below.withColumn("d", F.expr(_gap("vec", "pivot")))
-        below = below.select("vid", "vec", "ball", (F.col("d") - F.col("radius")).alias("near"), (F.col("d") + F.col("radius")).alias("far"), "members")
+        below = _beside(reached.join(open_balls, "ball").select(*own, F.col("ball").alias("parent")), parts.drop("size"), "parent")
+        boxes = (width, "lo", "hi", "plo", "phi")
+        below = below.select(*own, "ball", "plo", "phi", _apart(*boxes).alias("near"), _apart(*boxes, far=True).alias("far"), "members")
         reached = cut_lineage(_nearer(closed.select(*below.columns).unionByName(below), k))
-    visits = cut_lineage(reached.select("vid", "vec", F.col("ball").alias("p")))
-    # A ball and its visitors are cut into pieces of bounded size; every piece meets every piece.
-    sizes = visits.groupBy("p").agg(F.ceil(F.count("*") / VISITOR_ROWS).cast("int").alias("v"))
-    pieces = cut_lineage(sizes.join(placed.groupBy(F.col("ball").alias("p")).agg(F.ceil(F.count("*") / MEMBER_ROWS).cast("int").alias("m")), "p"))
+    within = F.col("plo").isNull() | (_apart(width, "vec", "vec", "plo", "phi") * (1 - 1e-12) <= F.col("bound"))
+    visits = asking.join(reached.select("home", "scale", F.col("ball").alias("p"), "plo", "phi"), ["home", "scale"]).where(within)
+    visits = cut_lineage(visits.select("vid", "vec", "bound", "p"))
+    # The visitors of a ball are cut into pieces of bounded size; the ball meets every piece.
+    pieces = cut_lineage(visits.groupBy("p").agg(F.ceil(F.count("*") / VISITOR_ROWS).cast("int").alias("v")))
     pieces = F.broadcast(pieces) if fits_broadcast(pieces.count(), 32) else pieces  # one row per ball
-    left = visits.join(pieces, "p").withColumns({"i": F.pmod(F.xxhash64("vid"), F.col("v")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("m") - 1))})
+    left = visits.join(pieces, "p").withColumn("i", F.pmod(F.xxhash64("vid"), F.col("v")).cast("int"))
     # Both sides come from one table; under names of its own the right one is told apart.
     right = placed.select(F.col("ball").alias("p"), *[F.col(c).alias(c) for c in ("vid", "vec", "copies")]).join(pieces, "p")
-    right = right.withColumns({"j": F.pmod(F.xxhash64("vid"), F.col("m")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("v") - 1))})
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("v") - 1)))
 
     def search(rows: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         found = {"vid": [], "d": [], "near": []}
         if len(rows) and len(group):
             here, there = np.stack(rows["vec"].to_numpy()), np.stack(group["vec"].to_numpy())
-            asking, ids, copies = rows["vid"].to_numpy(), group["vid"].to_numpy(), group["copies"].to_numpy()
+            asking, ids, copies, bound = rows["vid"].to_numpy(), group["vid"].to_numpy(), group["copies"].to_numpy(), rows["bound"].to_numpy()
             most = min(k + 1, len(there)) - 1
             for lo, d in _distances(here, there):
+                hit = d <= bound[lo : lo + len(d), None]
                 # The k + 1 nearest vectors hold k others; all that tie with the last of them come along.
-                cut = np.partition(d, most, axis=1)[:, most]
-                row, at = np.nonzero(d <= cut[:, None])
+                many = np.flatnonzero(hit.sum(axis=1) > most + 1)
+                hit[many] = d[many] <= np.partition(d[many], most, axis=1)[:, most, None]
+                row, at = np.nonzero(hit)
                 times = np.minimum(copies[at] - (asking[lo + row] == ids[at]), k)
                 row, at = np.repeat(row, times), np.repeat(at, times)
                 found["vid"].append(asking[lo + row])
                 found["d"].append(d[row, at])
                 found["near"] += list(there[at])
             found["vid"], found["d"] = np.concatenate(found["vid"]), np.concatenate(found["d"])
-        return pd.DataFrame(found)
+        return pd.DataFrame({**found, "near": pd.Series(found["near"], dtype=object)})  # also where nothing is found
 
-    partial = left.select("p", "i", "j", "vid", "vec").groupBy("p", "i", "j").cogroup(right.select("p", "i", "j", "vid", "vec", "copies").groupBy("p", "i", "j"))
+    partial = left.select("p", "i", "vid", "vec", "bound").groupBy("p", "i").cogroup(right.select("p", "i", "vid", "vec", "copies").groupBy("p", "i"))
     hits = partial.applyInPandas(search, "vid long, d double, near array<double>")
     best = F.row_number().over(Window.partitionBy("vid").orderBy("d", "near"))
     ranked = hits.withColumn("rank", best).where(F.col("rank") <= k).groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("rank", "near"))).alias("hits"))

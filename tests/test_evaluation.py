@@ -201,6 +201,37 @@ def test_neighbours_bring_no_rows_to_the_driver(spark, monkeypatch):
     assert brought and max(brought) <= 1
 
 
+def test_vectors_visit_only_balls_within_their_bound(spark, monkeypatch):
+    """Long tails and values that most rows share: the same neighbours as all pairs give, from few balls."""
+    monkeypatch.setattr(learning, "MEMBER_ROWS", 60)
+    visits = []
+    cut = learning.cut_lineage
+    monkeypatch.setattr(learning, "cut_lineage", lambda df: [visits.append(df.count()) if {"vid", "vec", "p"} <= set(df.columns) else None, cut(df)][1])
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((3000, 4)) < 0.6, 0.0, np.round(np.exp(2 * rng.normal(size=(3000, 4))), 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>")
+    got = {tuple(r.vec): np.array(r.near) for r in learning.feature_neighbours(df, 5).collect()}
+    assert set(got) == {tuple(v) for v in x} and sum(visits) < 15 * len(got)
+    for i in range(0, 3000, 7):
+        others = np.delete(x, i, axis=0)
+        gap = np.sqrt(((others - x[i]) ** 2).sum(axis=1))
+        np.testing.assert_array_equal(got[tuple(x[i])], others[np.lexsort((*others.T[::-1], gap))[:5]])
+
+
+def test_a_ball_may_hold_nobodys_neighbour(spark, monkeypatch):
+    """The last vector is alone in its ball, which gives nothing to anyone."""
+    monkeypatch.setattr(learning, "MEMBER_ROWS", 2)
+    x = [[float(i), 0.0] for i in range(24)] + [[1e9, 0.0]]
+    got = {r.vec[0]: r.near[0][0] for r in learning.feature_neighbours(spark.createDataFrame([(v,) for v in x], "vec array<double>"), 1).collect()}
+    assert got == {0.0: 1.0, **{float(i): i - 1.0 for i in range(1, 24)}, 1e9: 23.0}
+
+
+def test_vectors_with_missing_components_have_no_neighbours(spark):
+    rows = [[0.0, 0.0], [1.0, 0.0], [3.0, 0.0], [float("nan"), 0.0], [0.0, None]]
+    found = learning.feature_neighbours(spark.createDataFrame([(v,) for v in rows], "vec array<double>"), 1).collect()
+    assert sorted((r.vec[0], r.near[0][0]) for r in found) == [(0.0, 1.0), (1.0, 0.0), (3.0, 1.0)]
+
+
 def test_validation_keeps_the_best_number_of_trees(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(1500, 3))
