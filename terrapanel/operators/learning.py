@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,8 @@ from terrapanel.session import cut_lineage, fits_broadcast
 MEMBER_ROWS = 512  # distinct vectors of a ball
 VISITOR_ROWS = 4096  # of those that search it, that meet it in one task
 FANOUT = 16  # balls that a ball is split into
+TASK_ROWS = 65_536  # rows of a perceptron that one task weighs
+SLICE_ROWS = 512  # of those, rows whose layers are held at once
 
 
 def _uniform(*parts: Column) -> Column:
@@ -242,10 +247,207 @@ def learner(name: str, features: int, label: str, weight: str | None = None, **o
     raise ValueError(f"unknown learner {name!r}")
 
 
+def _layers(weights: np.ndarray, sizes: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(matrix, intercepts) of every layer, as views of the weights in Spark's order."""
+    found, at = [], 0
+    for n, m in zip(sizes, sizes[1:]):
+        found.append((weights[at : at + n * m].reshape(n, m), weights[at + n * m : at + (n + 1) * m]))
+        at += (n + 1) * m
+    return found
+
+
+def _cross_entropy(x: np.ndarray, y: np.ndarray, weights: np.ndarray, sizes: Sequence[int]) -> tuple[float, np.ndarray]:
+    """(sum over the rows, its gradient) for logistic hidden layers under a softmax."""
+    layers, gradient = _layers(weights, sizes), np.empty_like(weights)
+    values = [x]
+    for matrix, intercepts in layers[:-1]:
+        z = values[-1] @ matrix
+        z += intercepts
+        with np.errstate(over="ignore"):
+            np.exp(np.negative(z, out=z), out=z)
+        z += 1.0
+        values.append(np.reciprocal(z, out=z))
+    z = values[-1] @ layers[-1][0] + layers[-1][1]
+    z -= z.max(axis=1, keepdims=True)
+    delta, row = np.exp(z), np.arange(len(y))
+    total = delta.sum(axis=1, keepdims=True)
+    loss = float((np.log(total[:, 0]) - z[row, y]).sum())
+    delta /= total
+    delta[row, y] -= 1.0
+    for i, (matrix, intercepts) in reversed(list(enumerate(_layers(gradient, sizes)))):
+        np.matmul(values[i].T, delta, out=matrix)
+        delta.sum(axis=0, out=intercepts)
+        if i:
+            delta = delta @ layers[i][0].T
+            delta *= values[i]
+            delta *= 1.0 - values[i]
+    return loss, gradient
+
+
+@dataclass
+class _Point:
+    """A place on the line that a descent searches."""
+
+    t: float
+    x: np.ndarray
+    value: float
+    gradient: np.ndarray
+    slope: float  # along the line
+
+
+def _between(left: _Point, right: _Point) -> float:
+    """Where the cubic through two points is least, not too near to either."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d1 = left.slope + right.slope - 3 * np.float64(left.value - right.value) / (left.t - right.t)
+        d2 = np.sqrt(d1 * d1 - left.slope * right.slope)
+        t = right.t - (right.t - left.t) * (right.slope + d2 - d1) / (right.slope - left.slope + 2 * d2)
+    return float(np.clip(t, left.t + 0.1 * (right.t - left.t), left.t + 0.9 * (right.t - left.t)))
+
+
+def _line_search(at, start: _Point, t: float, tries: int = 10) -> _Point | None:
+    """A point of the line that meets the strong Wolfe conditions; ``at`` weighs one."""
+
+    def worse(c: _Point) -> bool:
+        return c.value > start.value + 1e-4 * c.t * start.slope
+
+    def flat(c: _Point) -> bool:
+        return abs(c.slope) <= 0.9 * abs(start.slope)
+
+    def zoom(low: _Point, high: _Point) -> _Point | None:
+        for _ in range(tries):
+            where = _between(*sorted((low, high), key=lambda p: p.t))
+            if np.isnan(where):
+                return None
+            c = at(where)
+            if worse(c) or c.value >= low.value:
+                high = c
+                continue
+            if flat(c):
+                return c
+            high, low = low if c.slope * (high.t - low.t) >= 0 else high, c
+        return None
+
+    low = start
+    for i in range(tries if start.slope <= 0 else 0):
+        c = at(t)
+        if not np.isfinite(c.value):
+            t /= 2
+            continue
+        if worse(c) or (i > 0 and c.value >= low.value):
+            return zoom(low, c)
+        if flat(c):
+            return c
+        if c.slope >= 0:
+            return zoom(c, low)
+        low, t = c, t * 1.5
+    return None
+
+
+def _descend(weigh, x: np.ndarray, steps: int, tolerance: float, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with the line search and the stops of Spark's own; ``weigh`` gives value and gradient.
+
+    A failed search is tried once more along the gradient.  The value counts as settled
+    when it is within the tolerance of the greatest of the last twenty.
+    """
+    value, gradient = weigh(x)
+    first, recent, history, step, failed = value, [np.inf], [], 0, False
+    while step < steps:
+        settled = len(recent) > 1 and abs(value - max(recent)) <= tolerance * first
+        if settled or np.linalg.norm(gradient) <= max(tolerance * value, 1e-8):
+            break
+        way, shares = gradient.copy(), []
+        for s, g in history:  # the latest first
+            shares.append(s @ way / (s @ g))
+            way -= shares[-1] * g
+        if history:
+            way *= history[0][0] @ history[0][1] / (history[0][1] @ history[0][1])
+        for (s, g), share in reversed(list(zip(history, shares))):
+            way += (share - g @ way / (s @ g)) * s
+        way = -way
+
+        def at(t: float) -> _Point:
+            there = x + t * way
+            v, g = weigh(there)
+            return _Point(t, there, v, g, float(g @ way))
+
+        start = _Point(0.0, x, value, gradient, float(gradient @ way))
+        found = _line_search(at, start, 1.0 if step else 1.0 / float(np.linalg.norm(way)))
+        if found is None or found.t * np.linalg.norm(gradient) < 1e-10:
+            if failed:
+                break
+            history, failed = [], True
+            continue
+        history = [(found.x - x, found.gradient - gradient), *history][:memory]
+        x, value, gradient, step, failed = found.x, found.value, found.gradient, step + 1, False
+        recent = [*recent, value][-20:]
+    return x
+
+
+def fit_perceptron(df: DataFrame, classifier: MultilayerPerceptronClassifier):
+    """Spark's perceptron, with the gradient of all rows worked out by NumPy in the tasks.
+
+    First weights, descent and model are those of the classifier.  Every row weighs the
+    same, however rows lie in tasks; Spark takes the mean over the means of blocks,
+    in which the rows of a task's last, shorter block weigh more.
+    """
+    spark, label = df.sparkSession, classifier.getLabelCol()
+    sizes = classifier.getLayers()
+    blank = spark.createDataFrame([(Vectors.dense([0.0] * sizes[0]),)], ["features"]).withColumn(label, F.lit(0).cast(df.schema[label].dataType))
+
+    def unmoved(params: dict):
+        return classifier.copy({classifier.maxIter: 0, **params}).fit(blank)
+
+    start = unmoved({}).weights.toArray()
+    n_rows = df.count()
+    if not n_rows:
+        raise ValueError("no rows to train on")
+    classes, vector = F.col(label).cast("double"), vector_to_array("features")
+    known = F.coalesce((classes >= 0) & (classes < sizes[-1]) & (classes == F.floor(classes)), F.lit(False))
+    odd_class = F.raise_error(F.concat(F.lit("no class of the perceptron: "), F.coalesce(classes.cast("string"), F.lit("null"))))
+    odd_value = F.raise_error(F.lit("features of a perceptron must be finite"))
+    rows = df.select(
+        F.when(F.forall(vector, lambda v: F.abs(v) < float("inf")), vector).otherwise(odd_value.cast("array<double>")).alias("x"),
+        F.when(known, classes.cast("int")).otherwise(odd_class.cast("int")).alias("y"),
+    )
+
+    def packed(batches):
+        """Rows as bytes, many at a time, so that weighing them takes no conversion."""
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, sizes[0])
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            cuts = range(0, len(y), SLICE_ROWS)
+            yield pa.RecordBatch.from_pydict({n: pa.array([v[i : i + SLICE_ROWS].tobytes() for i in cuts], pa.binary()) for n, v in (("x", x), ("y", y))})
+
+    spread = rows.repartition(-(-n_rows // TASK_ROWS))
+    blocks = spread.mapInArrow(packed, "x binary, y binary").rdd.map(lambda r: (bytes(r["x"]), bytes(r["y"]))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def weigh(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        def add(total: np.ndarray, block: tuple[bytes, bytes]) -> np.ndarray:
+            x, y = np.frombuffer(block[0]).reshape(-1, sizes[0]), np.frombuffer(block[1], np.int32)
+            loss, gradient = _cross_entropy(x, y, weights, sizes)
+            return total + np.concatenate([[loss, len(y)], gradient])
+
+        total = blocks.treeAggregate(np.zeros(len(weights) + 2), add, np.add)
+        return float(total[0] / total[1]), total[2:] / total[1]
+
+    try:
+        weights = _descend(weigh, start, classifier.getMaxIter(), classifier.getTol())
+    finally:
+        blocks.unpersist()
+    model = unmoved({classifier.initialWeights: Vectors.dense(weights)})
+    model.set(model.maxIter, classifier.getMaxIter())
+    if not classifier.isSet(classifier.initialWeights):
+        model.clear(model.initialWeights)
+    return model
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, name: str, weight: str | None = None, **options) -> PipelineModel:
     """Assemble (rows with missing features are an error, impute first) and train."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[assembler, learner(name, len(features), label, weight, **options)]).fit(df)
+    chosen = learner(name, len(features), label, weight, **options)
+    if name == "mlp" and chosen.getSolver() == "l-bfgs":
+        return PipelineModel(stages=[assembler, fit_perceptron(assembler.transform(df), chosen)])
+    return Pipeline(stages=[assembler, chosen]).fit(df)
 
 
 @dataclass

@@ -126,6 +126,35 @@ def test_a_forest_keeps_the_nodes_of_its_rows(separable):
     assert kept.split("\n")[1:] == walked.split("\n")[1:] and len(kept.split("\n")) > 50
 
 
+def test_a_perceptron_weighs_rows_alike_however_they_lie(separable):
+    """A task's last, shorter block of rows weighs no more than others: the model is the same for any layout."""
+    train, _ = separable
+    one, many = (learning.fit(train.repartition(n, "id"), list("abcd"), "label", "mlp", maxIter=15).stages[-1].weights.toArray() for n in (1, 7))
+    assert np.abs(one - many).max() < 1e-9
+
+
+def test_a_perceptron_goes_the_way_of_sparks(separable, tmp_path):
+    """In whole blocks of one task Spark weighs rows alike too."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    train, val = separable
+    blocks = train.orderBy("id").limit(896).coalesce(1).cache()
+    spark_own = Pipeline(stages=[VectorAssembler(inputCols=list("abcd"), outputCol="features"), learning.learner("mlp", 4, "label", maxIter=25)]).fit(blocks)
+    found = learning.fit(blocks, list("abcd"), "label", "mlp", maxIter=25)
+    assert np.abs(found.stages[-1].weights.toArray() - spark_own.stages[-1].weights.toArray()).max() < 1e-7
+    assert found.stages[-1].getMaxIter() == 25 and not found.stages[-1].isSet("initialWeights")
+    found.save(str(tmp_path / "m"))
+    assert PipelineModel.load(str(tmp_path / "m")).transform(val).count() == 300
+
+
+@pytest.mark.parametrize("row, message", [((None, 3.0), "no class"), ((2, 3.0), "no class"), ((-1, 3.0), "no class"), ((1, float("inf")), "must be finite")])
+def test_a_perceptron_refuses_what_it_cannot_learn(spark, row, message):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), row], "label int, a double")
+    with pytest.raises(Exception, match=message):
+        learning.fit(df, ["a"], "label", "mlp", maxIter=2)
+
+
 def test_imbalanced_pipeline_finds_the_telling_features(separable):
     train, val = separable
     found = learning.imbalanced_pipeline(train, val, ["a", "b", "c", "d"], "label", "id", ratio=2, k_best=2, thresholds=[t / 10 for t in range(-20, 21)])
