@@ -1,9 +1,13 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from terrapanel.operators import distributed, learning, metrics, qa, sampling
+from terrapanel.operators import distributed, learning, metrics, qa, sampling, trees
 
 
 def scores(n=3000, seed=1, hot=1000):
@@ -126,6 +130,48 @@ def test_a_forest_keeps_the_nodes_of_its_rows(separable):
     assert kept.split("\n")[1:] == walked.split("\n")[1:] and len(kept.split("\n")) > 50
 
 
+def _trees_of(model):
+    return re.sub(r"uid=\w+", "", model.stages[-1].toDebugString)
+
+
+def test_a_tree_of_all_rows_is_sparks(spark):
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 20, 900), rng.integers(0, 9, 900), rng.integers(0, 3, 900)], axis=1)
+    y = ((x[:, 0] > 7) ^ (x[:, 1] > 3) ^ (rng.random(900) < 0.1)).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(v), 1.0 + 2.0 * int(v)) for r, v in zip(x, y)], "a double, b double, c double, label int, w double").repartition(3)
+    whole = {"numTrees": 1, "maxDepth": 6, "bootstrap": False, "featureSubsetStrategy": "all"}
+    for weight in (None, "w"):
+        spark_own = Pipeline(stages=[VectorAssembler(inputCols=list("abc"), outputCol="features"), learning.learner("random_forest", 3, "label", weight, **whole)]).fit(df)
+        found = learning.fit(df, list("abc"), "label", "random_forest", weight, **whole)
+        assert _trees_of(found) == _trees_of(spark_own)
+        assert np.allclose(found.stages[-1].featureImportances.toArray(), spark_own.stages[-1].featureImportances.toArray())
+        mine, theirs = ([r.score for r in learning.score(m, df).orderBy("a", "b", "c").collect()] for m in (found, spark_own))
+        assert np.allclose(mine, theirs)
+
+
+def test_a_forest_is_the_same_however_its_work_is_cut(separable, monkeypatch):
+    train, features = separable[0], list("abcd")
+    whole = _trees_of(learning.fit(train, features, "label", "random_forest", numTrees=5, maxDepth=6))
+    monkeypatch.setattr(trees, "BAG_ROWS", 2 * train.count())  # two trees together
+    monkeypatch.setattr(trees, "SUM_CELLS", 6000)  # few nodes to a pass
+    assert _trees_of(learning.fit(train, features, "label", "random_forest", numTrees=5, maxDepth=6)) == whole
+
+
+def test_cut_points_follow_sparks_rule():
+    values, counts = np.arange(5.0), np.ones(5)
+    assert trees.cut_points(values, counts, 4).tolist() == [0.5, 1.5, 2.5, 3.5]
+    assert trees.cut_points(np.arange(100.0), np.ones(100), 3).tolist() == [24.5, 49.5, 74.5]
+    assert trees.cut_points(np.array([3.0]), np.array([9.0]), 31).tolist() == []
+    rows = np.random.default_rng(1).normal(size=100_000)
+    found, total = trees._counted(rows, np.ones(len(rows)))
+    assert len(found) <= trees.SUMMARY and total.sum() == len(rows)
+
+
+def test_a_forest_of_other_classes_is_left_to_spark(spark):
+    df = spark.createDataFrame([(float(i), i % 3) for i in range(60)], "a double, label int")
+    assert learning.fit(df, ["a"], "label", "random_forest", numTrees=2, maxDepth=3).stages[-1].numClasses == 3
+
+
 def test_a_perceptron_weighs_rows_alike_however_they_lie(separable):
     """A task's last, shorter block of rows weighs no more than others: the model is the same for any layout."""
     train, _ = separable
